@@ -57,11 +57,8 @@ def unpack(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     return out
 
 
-def exchange(
-    df: DataFrame, send: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], kinds: tuple[str, ...],
-    receive: Callable[..., Iterator[pa.RecordBatch]], schema: str,
-) -> DataFrame:
-    """``send`` gives packed rows (see Packer); ``receive`` gets all records of a partition as columns."""
+def exchange(packed: DataFrame, kinds: tuple[str, ...], receive: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Deals packed rows out to their partitions; ``receive`` gets all records of one as columns."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [unpack(x.as_buffer(), kinds) for b in batches for x in b.column(1)]
@@ -70,7 +67,7 @@ def exchange(
             del held
             yield from receive(*columns)
 
-    return df.mapInArrow(send, PACKED).repartitionById(partitions(df), "part").mapInArrow(gather, schema)
+    return packed.repartitionById(partitions(packed), "part").mapInArrow(gather, schema)
 
 
 def uniform_part(hashes: np.ndarray, parts: int) -> np.ndarray:

@@ -14,9 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .exchange import Packer, exchange, partitions, uniform_part
+from .exchange import PACKED, Packer, exchange, partitions, uniform_part
 from .tables import doc_id, keyed
 from .words import PLAIN, Chunk, chunks, mix
 
@@ -24,7 +23,7 @@ from .words import PLAIN, Chunk, chunks, mix
 COVERS = {1: (0,), 3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
 _KNOWN = np.uint32(1 << 31)
 _PLACES = ("u8", "i8", "i4", "u4")
-_FOUND = "key long, salt int, places binary"
+_OF_ROW = ("i8", "i4", "u4")
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -53,47 +52,73 @@ def _repeated(select) -> tuple:
                 many[:-1] |= ~new[1:]
                 one, known = np.sort(order[new]), np.sort(order[many])
                 yield from packer.add(uniform_part(hashes[one], parts), hashes[one], key[one], salt[one], place[one])
-                yield from packer.add(uniform_part(mix(key[known].view(np.uint64)), parts), hashes[known], key[known], salt[known], place[known] | _KNOWN)
+                yield from packer.add(_home(key[known], parts), hashes[known], key[known], salt[known], place[known] | _KNOWN)
             yield from packer.flush()
 
         return send
 
-    def receive(hashes: np.ndarray, key: np.ndarray, salt: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        known = place >= _KNOWN
-        asked = np.flatnonzero(~known)
-        order = asked[np.argsort(hashes[asked], kind="stable")]
-        same = hashes[order[1:]] == hashes[order[:-1]]
-        found = np.concatenate([np.flatnonzero(known), order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(order) else order])
-        found = found[np.lexsort((salt[found], key[found]))]
-        key, salt, place = key[found], salt[found], place[found] & ~_KNOWN
-        if len(found):
-            cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]), [True]]))
-            for a in range(0, len(cuts) - 1, 4096):
-                at = cuts[a : a + 4097]
-                yield pa.record_batch({
-                    "key": pa.array(key[at[:-1]], pa.int64()), "salt": pa.array(salt[at[:-1]], pa.int32()),
-                    "places": pa.array([place[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()),
-                })
-
-    return sender, receive
-
-
-def _found(df: DataFrame, select) -> DataFrame:
-    """key, salt and the places (lists of packed positions) of all hashes that occur more than once."""
-    sender, receive = _repeated(select)
-    rows = exchange(df, sender(partitions(df)), _PLACES, receive, _FOUND)
-    return rows.groupBy("key", "salt").agg(F.collect_list("places").alias("places"))
-
-
-def _spread(chunk: Chunk, first: np.ndarray, before: int, after: int) -> np.ndarray:
-    """Marks words from ``before`` words before to ``after`` words after each listed place of its text."""
-    places = chunk.rows.column(chunk.rows.schema.get_field_index("places"))
+    def receiver(parts: int):
+        def receive(hashes: np.ndarray, key: np.ndarray, salt: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+            known = place >= _KNOWN
+            asked = np.flatnonzero(~known)
+            order = asked[np.argsort(hashes[asked], kind="stable")]
+            same = hashes[order[1:]] == hashes[order[:-1]]
+            several = np.zeros(len(order), bool)
+            several[1:] |= same
+            several[:-1] |= same
+            found = np.sort(np.concatenate([np.flatnonzero(known), order[several]]))
+            packer = Packer(parts, *_OF_ROW)
+            yield from packer.add(_home(key[found], parts), key[found], salt[found], place[found] & ~_KNOWN)
+            yield from packer.flush()
+
+        return receive
+
+    return sender, receiver
+
+
+def _home(key: np.ndarray, parts: int) -> np.ndarray:
+    return uniform_part(mix(key.view(np.uint64)), parts)
+
+
+def _found(df: DataFrame, select, before: int, after: int) -> DataFrame:
+    """One row for each key and salt: the places of all its hashes that occur more than once.
+
+    ``spans`` holds them as disjoint ranges of word positions (packed starts and ends), each place
+    reaching from ``before`` words before it to ``after`` words after it.
+    """
+
+    def join_up(key: np.ndarray, salt: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((place, salt, key))
+        key, salt, place = key[order], salt[order], place[order].astype(np.int64)
+        row = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
+        new = row.copy()
+        new[1:] |= place[1:] - before > place[:-1] + after + 1
+        at = np.flatnonzero(new)
+        start, end = np.maximum(place[at] - before, 0), place[np.append(at[1:], len(place)) - 1] + after + 1
+        rows = np.append(np.flatnonzero(row[at]), len(at))
+        for a in range(0, len(rows) - 1, 4096):
+            cuts = rows[a : a + 4097]
+            first = at[cuts[:-1]]
+            yield pa.record_batch({
+                "key": pa.array(key[first]), "salt": pa.array(salt[first]),
+                "spans": pa.array([np.stack([start[x:y], end[x:y]]).astype(np.uint32).tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+            })
+
+    parts = partitions(df)
+    sender, receiver = _repeated(select)
+    found = exchange(df.mapInArrow(sender(parts), PACKED), _PLACES, receiver(parts), PACKED)
+    return exchange(found, _OF_ROW, join_up, "key long, salt int, spans binary")
+
+
+def _spread(chunk: Chunk, first: np.ndarray) -> np.ndarray:
+    """Marks the words inside the spans of their text."""
+    spans = chunk.rows.column(chunk.rows.schema.get_field_index("spans"))
     steps = np.zeros(first[-1] + 1, np.int32)
-    for i, blobs in enumerate(places):
-        if blobs.is_valid:
-            at = first[i] + np.frombuffer(b"".join(blobs.as_py()), np.uint32).astype(np.int64)
-            np.add.at(steps, np.maximum(at - before, first[i]), 1)
-            np.add.at(steps, np.minimum(at + after + 1, first[i + 1]), -1)
+    for i, packed in enumerate(spans):
+        if packed.is_valid:
+            ends = np.frombuffer(packed.as_buffer(), np.uint32).astype(np.int64).reshape(2, -1)
+            for at, step in zip(np.minimum(first[i] + ends, first[i + 1]), (1, -1), strict=True):
+                np.add.at(steps, at, step)
     return np.cumsum(steps[:-1]) > 0
 
 
@@ -120,14 +145,14 @@ def remove_repeats(documents: DataFrame, window: int = 35) -> DataFrame:
     def full_windows(chunk: Chunk):
         words = chunk.words(PLAIN)
         at, hashes = words.windows(window)
-        keep = _spread(chunk, words.first, period - 1, 0)[at]
+        keep = _spread(chunk, words.first)[at]
         row = words.text_of[at[keep]]
         return hashes[keep], row, at[keep] - words.first[row]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             words = chunk.words(PLAIN)
-            gone = _spread(chunk, words.first, 0, window - 1)
+            gone = _spread(chunk, words.first)
             n_removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[words.first])
             texts = chunk.rows.column(chunk.rows.schema.get_field_index("text")).cast(pa.string())
             if n_removed.any():
@@ -140,8 +165,8 @@ def remove_repeats(documents: DataFrame, window: int = 35) -> DataFrame:
             })
 
     rows = keyed(documents)
-    candidates = rows.join(_found(rows, anchors), ["key", "salt"])
-    repeats = _found(candidates, full_windows)
+    candidates = rows.join(_found(rows, anchors, period - 1, 0), ["key", "salt"])
+    repeats = _found(candidates, full_windows, 0, window - 1)
     out = rows.join(repeats, ["key", "salt"], "left").mapInArrow(cut, "key long, salt int, n_words long, n_removed long, text string")
     return out.select("key", "salt", doc_id(), "n_words", "n_removed", "text")
 

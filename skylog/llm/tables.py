@@ -21,7 +21,7 @@ def keyed(documents: DataFrame, text: str = "text") -> DataFrame:
     """
     return documents.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"),
-        (F.xxhash64(F.col(text)) % F.lit(1 << 31)).cast("int").alias("salt"),
+        F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("salt"),
         F.col(text).cast("string").alias("text"),
     )
 
