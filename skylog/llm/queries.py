@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring_dedup
+from . import ngram_join, substring_dedup
 from .tables import read
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_classes(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), _SPACE, " "))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op10_substring_dedup": op10_substring_dedup}
 SQL: dict[str, str] = {}
