@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, substring_dedup
+from . import decontaminate, ngram_join, substring_dedup
 from .tables import read
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -15,11 +15,17 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_classes(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), _SPACE, " "))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
 SQL: dict[str, str] = {}
