@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, substring_dedup
+from . import decontaminate, ngram_join, packing, substring_dedup
 from .tables import read
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -15,6 +15,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_classes(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -27,5 +31,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op7_packing": op7_packing, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
 SQL: dict[str, str] = {}
