@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, packing, substring_dedup
+from . import decontaminate, ngram_join, packing, substring_dedup, toxicity
 from .tables import read
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -15,6 +15,13 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_classes(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    learnt = read(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
+    scored = toxicity.score(documents, toxicity.fit(documents, learnt))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -31,5 +38,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op7_packing": op7_packing, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op4_toxicity": op4_toxicity, "op7_packing": op7_packing, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
 SQL: dict[str, str] = {}
