@@ -61,7 +61,7 @@ def _examples(documents: DataFrame, labels: DataFrame, limit: int) -> list:
     return keyed(documents).join(F.broadcast(chosen), "key").orderBy(F.xxhash64("key"), "key", "salt").limit(limit).select("toxic", "text").mapInArrow(run, "toxic int, features binary, sentences binary").collect()
 
 
-def fit(documents: DataFrame, labels: DataFrame, limit: int = 8000, rounds: int = 150, shrink: float = 2e-4) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, limit: int = 8000, rounds: int = 300, shrink: float = 1e-5) -> Model:
     """Learns from at most ``limit`` labelled documents (the documented bound; nothing else is capped).
 
     Words seen in fewer than 4 of them get no weight. Without labelled documents, or with one kind of
@@ -85,15 +85,14 @@ def fit(documents: DataFrame, labels: DataFrame, limit: int = 8000, rounds: int
     at = np.concatenate([a + s for a, s in zip(first, inside, strict=True)])
     at, word = at[word >= 0], word[word >= 0]
     total, owner = int(n_sentences.sum()), np.repeat(np.arange(len(x)), n_sentences)
-    # a document's label weighs the same however long it is; both kinds of label weigh alike
-    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    w, b = np.zeros(len(known)), -np.log(n_sentences.mean() * 2 + 1)
+    # one label is one observation, however long its document is
+    w, b = np.zeros(len(known)), -np.log(n_sentences.mean() * 10 + 1)
     step_w, step_b = np.full(len(known), 1e-12), 1e-12
     for _ in range(rounds):
         z = np.clip(b + np.bincount(at, w[word], total), -30, 30)
         p = 1 / (1 + np.exp(-z))
         none = np.exp(np.add.reduceat(np.log1p(-p), first))
-        pull = np.where(y > 0, none / np.maximum(1 - none, 1e-9), -1.0) * weight
+        pull = np.where(y > 0, none / np.maximum(1 - none, 1e-9), -1.0) / len(y)
         g = p * pull[owner]
         gw, gb = np.bincount(word, g[at], len(known)), g.sum()
         step_w, step_b = step_w + gw**2, step_b + gb**2
