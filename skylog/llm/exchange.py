@@ -58,14 +58,17 @@ def unpack(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
 
 
 def exchange(packed: DataFrame, kinds: tuple[str, ...], receive: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Deals packed rows out to their partitions; ``receive`` gets all records of one as columns."""
+    """Deals packed rows out to their partitions; ``receive`` gets the number and all records of one, as columns."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [unpack(x.as_buffer(), kinds) for b in batches for x in b.column(1)]
+        held, part = [], 0
+        for batch in batches:
+            part = batch.column(0)[0].as_py()
+            held += [unpack(x.as_buffer(), kinds) for x in batch.column(1)]
         if held:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             del held
-            yield from receive(*columns)
+            yield from receive(part, *columns)
 
     return packed.repartitionById(partitions(packed), "part").mapInArrow(gather, schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join, packing, substring_dedup, toxicity
+from . import decontaminate, fingerprints, ngram_join, packing, substring_dedup, toxicity
 from .tables import read
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -22,6 +22,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = fingerprints.compare_with_next(read(spark, sf_dir, "documents"))
+    return compared.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -38,5 +43,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op4_toxicity": op4_toxicity, "op7_packing": op7_packing, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"pipeline": pipeline, "op1_ngram_join": op1_ngram_join, "op4_toxicity": op4_toxicity, "op6_fingerprints": op6_fingerprints, "op7_packing": op7_packing, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
 SQL: dict[str, str] = {}

@@ -58,7 +58,7 @@ def _repeated(select) -> tuple:
         return send
 
     def receiver(parts: int):
-        def receive(hashes: np.ndarray, key: np.ndarray, salt: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def receive(_: int, hashes: np.ndarray, key: np.ndarray, salt: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
             known = place >= _KNOWN
             asked = np.flatnonzero(~known)
             order = asked[np.argsort(hashes[asked], kind="stable")]
@@ -87,7 +87,7 @@ def _found(df: DataFrame, select, before: int, after: int) -> DataFrame:
     reaching from ``before`` words before it to ``after`` words after it.
     """
 
-    def join_up(key: np.ndarray, salt: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def join_up(_: int, key: np.ndarray, salt: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((place, salt, key))
         key, salt, place = key[order], salt[order], place[order].astype(np.int64)
         row = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])

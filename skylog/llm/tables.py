@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _NO_ID = -(1 << 63)
@@ -14,26 +14,35 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def keyed(documents: DataFrame, text: str = "text") -> DataFrame:
+def key_columns(text: str = "text") -> list[Column]:
     """``key`` and ``salt`` tell rows apart: the doc_id (the least long if null) and 31 bits of the text's hash.
 
     Rows that repeat both doc_id and text are equal to each other and get equal results.
     """
-    return documents.select(
+    return [
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("key"),
         F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("salt"),
-        F.col(text).cast("string").alias("text"),
-    )
+    ]
+
+
+def keyed(documents: DataFrame, text: str = "text") -> DataFrame:
+    """key, salt and text of every row."""
+    return documents.select(*key_columns(text), F.col(text).cast("string").alias("text"))
 
 
 def doc_id():
     return F.when(F.col("key") != _NO_ID, F.col("key")).alias("doc_id")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows written to the cluster's shared checkpoint folder and read again, without lineage."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for written tables that the cluster names in spark.checkpoint.dir; a new one where it names none."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder and read again, without lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
