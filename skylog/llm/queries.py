@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, ngram_join, packing, substring_dedup, toxicity
+from . import decontaminate, fingerprints, html_text, ngram_join, packing, substring_dedup, toxicity, url_lists
 from .tables import read
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -15,6 +15,59 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_classes(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
+def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as captures of a day by page_id, against list events derived from the hosts of all pages."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", day(F.col("page_id") * 7919 % 366).alias("fetched"))
+    hosts = pages.select(F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("host"), "page_id").groupBy("host").agg(F.min("page_id").alias("m"))
+    m, first = F.col("m"), F.col("m") * 31 % 300
+    event = lambda name, pattern, action, n: F.struct(F.lit(name).alias("list_name"), pattern.alias("pattern"), F.lit(action).alias("action"), day(n).alias("effective"))
+    host, parent = F.col("host"), F.regexp_replace("host", r"^[^.]+\.", "")
+    blocks = F.array(event("spam", host, "add", first), event("spam", host, "remove", first + 45), event("spam", host, "add", first + 120))
+    allows = F.when(m % 5 == 0, F.array(event("allow", parent, "add", m * 17 % 366), event("allow", parent, "remove", m * 17 % 366 + 20))).otherwise(F.array().cast("array<struct<list_name:string,pattern:string,action:string,effective:date>>"))
+    entries = hosts.where("host != ''").select(F.inline(F.concat(blocks, allows)))
+    return url_lists.judge(captures, entries).select("capture_id", "fetched", "n_active", F.array_join("lists", ",").alias("lists"), "blocked")
+
+
+_OP3 = """
+with captures as (
+  select page_id as capture_id, url, date '2024-01-01' + cast(page_id * 7919 % 366 as integer) as fetched,
+         lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) as host from pages),
+hosts as (select host, min(capture_id) as m from captures where host <> '' group by host),
+entries as (
+  select 'spam' as list_name, host as pattern, true as added, m * 31 % 300 as day from hosts
+  union all select 'spam', host, false, m * 31 % 300 + 45 from hosts
+  union all select 'spam', host, true, m * 31 % 300 + 120 from hosts
+  union all select 'allow', regexp_replace(host, '^[^.]+[.]', ''), true, m * 17 % 366 from hosts where m % 5 = 0
+  union all select 'allow', regexp_replace(host, '^[^.]+[.]', ''), false, m * 17 % 366 + 20 from hosts where m % 5 = 0),
+days as (
+  select list_name, pattern, date '2024-01-01' + cast(day as integer) as from_day, bool_and(added) as added
+  from entries group by all),
+changes as (
+  select * from (select *, lag(added, 1, false) over (partition by list_name, pattern order by from_day) as before from days)
+  where added <> before),
+valid as (
+  select * from (select *, lead(from_day) over (partition by list_name, pattern order by from_day) as until_day from changes)
+  where added),
+keys as (
+  select capture_id, fetched, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) as pattern
+  from captures where host <> ''),
+met as (
+  select k.capture_id, count(*) as n_active, string_agg(distinct v.list_name, ',' order by v.list_name) as lists
+  from keys k join valid v on v.pattern = k.pattern and v.from_day <= k.fetched and (v.until_day is null or k.fetched < v.until_day)
+  group by k.capture_id)
+select c.capture_id, c.fetched, coalesce(n_active, 0) as n_active, coalesce(lists, '') as lists,
+       coalesce(lists, '') <> '' and not contains(coalesce(lists, ''), 'allow') as blocked
+from captures c left join met using (capture_id)
+"""
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     learnt = read(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
@@ -49,5 +102,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op1_ngram_join": op1_ngram_join, "op4_toxicity": op4_toxicity, "op6_fingerprints": op6_fingerprints, "op7_packing": op7_packing, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
-SQL: dict[str, str] = {}
+QUERIES = {"pipeline": pipeline, "op1_ngram_join": op1_ngram_join, "op2_html_text": op2_html_text, "op3_url_lists": op3_url_lists, "op4_toxicity": op4_toxicity, "op6_fingerprints": op6_fingerprints, "op7_packing": op7_packing, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
+SQL: dict[str, str] = {"op3_url_lists": _OP3}
