@@ -1,8 +1,9 @@
 """Main text of web pages by a maximum-scoring subsequence of words and tags.
 
-Each word scores 1, each kind of tag a learnt negative weight; the contiguous run of tokens with the
+Each word scores a positive, each kind of tag a negative weight; the contiguous run of tokens with the
 largest sum is the content region, found by one linear scan. Weights come from pages that label
-themselves: those with exactly one article element. A structured perceptron lowers the tags that
+themselves: those with exactly one article element. A word's weight is the share of content among the
+words of its container (the innermost sectioning element, apart if marked as no article text). For tags, a structured perceptron lowers those that
 wrongly taken regions hold and raises those that wrongly lost ones do, with a margin: outside words
 count several times, inside words a part, while it learns. Within the region, markup, and elements
 that are no article text by their name or class, are left out.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,28 +26,36 @@ RAW = "script|style|noscript|template|iframe|object|svg|math|textarea|select|tit
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements and class or id words of what is not article text.
+SECTIONS = frozenset("article aside body dialog div footer form head header main nav section".split())
 OTHER = frozenset("nav aside footer form button dialog menu".split())
 OTHER_CLASSES = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer menu nav navbar newsletter notice popup promo related share sharing sidebar social sponsor sponsored subscribe".split())
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
 _MARK = re.compile(r"\b(?:class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
-#: A token: start and end in the page, tag name ("" for text, "!" for what is skipped), 1 if it closes, marked as other, number of words.
-Token = tuple[int, int, str, int, bool, int]
+#: A token: start and end in the page, tag name ("" for text, "!" for what is skipped), 1 if it closes, marked as other, number of words, container.
+Token = tuple[int, int, str, int, bool, int, str]
 
 
 def tokens(page: str) -> list[Token]:
     out: list[Token] = []
-    last = 0
+    inside, last = ["body"], 0
+
+    def text(start: int, end: int) -> None:
+        if end > start:
+            out.append((start, end, "", 0, False, len(page[start:end].split()), inside[-1]))
+
     for m in _TOKEN.finditer(page):
-        if m.start() > last:
-            out.append((last, m.start(), "", 0, False, len(page[last : m.start()].split())))
+        text(last, m.start())
         name = (m[3] or "!").lower()
         marked = name in OTHER or bool(m[4]) and any(w in OTHER_CLASSES for a in _MARK.findall(m[4]) for w in re.split(r"[^a-z]+", a.lower()))
-        out.append((m.start(), m.end(), name, int(bool(m[2])), marked, 0))
+        if name in SECTIONS and not m[2]:
+            inside.append(name + "*" * marked)
+        elif m[2] and (open_ := [k for k, x in enumerate(inside) if k and x.rstrip("*") == name]):
+            del inside[open_[-1] :]
+        out.append((m.start(), m.end(), name, int(bool(m[2])), marked, 0, ""))
         last = m.end()
-    if last < len(page):
-        out.append((last, len(page), "", 0, False, len(page[last:].split())))
+    text(last, len(page))
     return out
 
 
@@ -63,27 +73,32 @@ def region(scores: list[float]) -> tuple[int, int]:
 
 @dataclass
 class Weights:
-    """Negative weights by tag name; ``other`` is that of names never seen."""
+    """Negative weights by tag name, positive ones of a word by its container; ``other`` are those of names never seen."""
 
     tags: dict[str, float]
-    other: float = -2.0
+    words: dict[str, float]
+    other: tuple[float, float] = (-2.0, 0.5)
 
     def of(self, token: Token) -> float:
-        return float(token[5]) if token[2] in ("", "!") else self.tags.get(token[2], self.other)
+        return token[5] * self.words.get(token[6], self.other[1]) if token[2] in ("", "!") else self.tags.get(token[2], self.other[0])
 
 
 def learn(pages: list[str], rounds: int = 12, step: float = 0.5) -> Weights:
-    """Structured perceptron on pages with exactly one article element; others are passed over."""
-    weights, examples = Weights({}), []
+    """Learns from pages with exactly one article element; others are passed over."""
+    examples, content, all_ = [], Counter(), Counter()
     for page in pages:
         found = tokens(page)
         ends = [i for i, t in enumerate(found) if t[2] == "article"]
         if len(ends) == 2 and not found[ends[0]][3] and found[ends[1]][3]:
             examples.append((found, ends[0] + 1, ends[1]))
+            for i, t in enumerate(found):
+                all_[t[6]] += t[5]
+                content[t[6]] += t[5] * (ends[0] < i < ends[1])
+    weights = Weights({}, {k: max(0.02, content[k] / n) for k, n in all_.items() if n})
     for _ in range(rounds):
         wrong = 0
         for found, a, b in examples:
-            x, y = region([t[5] * (0.5 if a <= i < b else 4.0) if t[2] in ("", "!") else weights.of(t) for i, t in enumerate(found)])
+            x, y = region([weights.of(t) * (0.5 if a <= i < b else 4.0) if t[2] in ("", "!") else weights.of(t) for i, t in enumerate(found)])
             for i in [*range(min(a, x), max(a, x)), *range(min(b, y), max(b, y))]:
                 name = found[i][2]
                 if name not in ("", "!"):
@@ -101,7 +116,7 @@ def main_text(page: str, weights: Weights) -> str:
     a, b = region([weights.of(t) for t in found])
     blocks, now, i = [], [], a
     while i < b:
-        start, end, name, closes, marked, _ = found[i]
+        start, end, name, closes, marked = found[i][:5]
         if name == "":
             now.append(page[start:end])
         elif name != "!":
