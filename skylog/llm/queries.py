@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, html_text, ngram_join, packing, substring_dedup, toxicity, url_lists
+from . import decontaminate, fingerprints, html_text, lm_score, ngram_join, packing, substring_dedup, token_counts, toxicity, url_lists
 from .tables import read
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -75,6 +75,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    good = read(spark, sf_dir, "labels").where("quality = 1")
+    return lm_score.score(documents, lm_score.fit(documents, good)).drop("key", "salt")
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     compared = fingerprints.compare_with_next(read(spark, sf_dir, "documents"))
     return compared.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
@@ -84,6 +90,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every document: a word cut near its start, words put in its middle, its last eighth put anew."""
+    documents = read(spark, sf_dir, "documents")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    edit = lambda k, start, end, new: F.struct(F.lit(k).alias("n"), start.cast("long").alias("start"), end.cast("long").alias("end"), new.alias("new_text"))
+    a, b, c = F.floor(n / 10), F.floor(n / 2), F.floor(n * 7 / 8)
+    text = F.coalesce("text", F.lit(""))
+    new = F.array(
+        edit(1, a, a + 5, F.lit("")), edit(2, b, b, F.concat(F.lit(" edited: "), F.substr(text, F.lit(1), F.lit(12)))),
+        edit(3, c, F.least(c + 40, n), F.upper(F.substr(text, (c + 1).cast("int"), F.lit(40)))),
+    )
+    return token_counts.count_edited(documents, documents.select("doc_id", F.explode(new).alias("e")).select("doc_id", "e.*"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -102,5 +122,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op1_ngram_join": op1_ngram_join, "op2_html_text": op2_html_text, "op3_url_lists": op3_url_lists, "op4_toxicity": op4_toxicity, "op6_fingerprints": op6_fingerprints, "op7_packing": op7_packing, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {"pipeline": pipeline, "op1_ngram_join": op1_ngram_join, "op2_html_text": op2_html_text, "op3_url_lists": op3_url_lists, "op4_toxicity": op4_toxicity, "op5_lm_score": op5_lm_score, "op6_fingerprints": op6_fingerprints, "op7_packing": op7_packing, "op8_token_counts": op8_token_counts, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
 SQL: dict[str, str] = {"op3_url_lists": _OP3}
