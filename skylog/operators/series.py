@@ -17,7 +17,10 @@ from .stats import error_vs_throttle, estimate_sample_rate, motor_frequency, pid
 from .units import missing_channels, pid_error, to_channels, to_display_units, with_t_sec
 
 PROPWASH_BAND, NOISE_BAND = (30.0, 90.0), (10.0, 150.0)
-_SERIES = Window.partitionBy("log_id", "channel")
+
+
+def _series() -> Window:
+    return Window.partitionBy("log_id", "channel")
 
 
 def _check(**ranges) -> None:
@@ -32,7 +35,7 @@ def downsample_minmax(channels: DataFrame, max_points: int) -> DataFrame:
     are those of evenly spaced doubles, cut to whole rows.
     """
     bins = max_points // 2
-    rows = channels.withColumns({"idx": F.row_number().over(_SERIES.orderBy("seq")) - 1, "n": F.count("*").over(_SERIES)})
+    rows = channels.withColumns({"idx": F.row_number().over(_series().orderBy("seq")) - 1, "n": F.count("*").over(_series())})
     width = F.col("n") / F.lit(float(bins))
     guess = F.floor(((F.col("idx") + 1) * bins - 1) / F.col("n"))
     edge = lambda k: F.floor(k * width)
@@ -56,8 +59,8 @@ def segments(channels: DataFrame, nperseg: int) -> DataFrame:
     n is nperseg, or the channel's length if it is shorter; the hop is n - n // 2; ``at`` is the first
     sample's position. Channels with fewer than 8 values give none.
     """
-    rows = channels.where("v is not null and not isnan(v)").withColumn("idx", F.row_number().over(_SERIES.orderBy("seq")) - 1)
-    rows = rows.withColumn("total", F.count("*").over(_SERIES)).withColumn("n", F.least(F.col("total"), F.lit(nperseg))).where("n >= 8")
+    rows = channels.where("v is not null and not isnan(v)").withColumn("idx", F.row_number().over(_series().orderBy("seq")) - 1)
+    rows = rows.withColumn("total", F.count("*").over(_series())).withColumn("n", F.least(F.col("total"), F.lit(nperseg))).where("n >= 8")
     hop = F.expr("n - n div 2")
     last = F.expr("(total - n div 2) div (n - n div 2) - 1")
     first = F.greatest(F.lit(0), F.floor((F.col("idx") - F.col("n")) / hop) + 1)
@@ -97,7 +100,7 @@ def _bins(psd: DataFrame, max_freq: float) -> DataFrame:
 def welch(channels: DataFrame, rates: DataFrame, max_freq: float, nperseg: int, least: int = 0) -> DataFrame:
     """(log_id, channel, bin, freq, psd): mean density over segments; channels of fewer than ``least`` rows give none."""
     if least:
-        channels = channels.withColumn("_n", F.count("*").over(_SERIES)).where(F.col("_n") >= least).drop("_n")
+        channels = channels.withColumn("_n", F.count("*").over(_series())).where(F.col("_n") >= least).drop("_n")
     rows = _bins(segment_psd(segments(channels, nperseg), rates), max_freq)
     return rows.groupBy("log_id", "channel", "bin").agg(F.first("freq").alias("freq"), F.avg("p").alias("psd"))
 
@@ -128,7 +131,7 @@ def spectrogram(frames: DataFrame, config: DataFrame, name: str, max_freq: float
     """
     _check(max_freq=(max_freq, 10, 1000), nperseg=(nperseg, 64, 8192))
     channels = to_channels(to_display_units(with_t_sec(frames), config), [name])
-    channels = channels.withColumn("_n", F.count("*").over(_SERIES)).where("_n >= 32").drop("_n")
+    channels = channels.withColumn("_n", F.count("*").over(_series())).where("_n >= 32").drop("_n")
     cut = segments(channels, nperseg)
     counts = cut.groupBy("log_id", "channel").agg((F.max("segment") + 1).alias("_s"))
     k = F.explode(F.sequence(F.lit(0), F.least(F.col("_s"), F.lit(max_time_bins)).cast("int") - 1))

@@ -537,3 +537,70 @@ def mismatch_context(t: Tables) -> DataFrame:
     diff = _diff(t)
     out = reconcile.mismatch_context(diff, reconcile.reconcile_summary(diff), t.frames, t.config)
     return _rounded(out.drop("first_row"))
+
+
+# -- sources and streams --------------------------------------------------------------------------
+
+_MARKER = "H Product:"
+_SECTION_TEXT = "'{m} recorder' || chr(10) || 'H I interval:' || {c} || chr(10) || 'H P interval:1/' || ({s} + 2) || chr(10) || 'H rollPID:' || ({c} % 90) || ',40,' || {s} || chr(10) || repeat('x', {c} % 61)"
+
+
+def _log_files(t: Tables) -> DataFrame:
+    """One file per log, with a section for each 500 frames."""
+    text = _SECTION_TEXT.format(m=_MARKER, c="cast(c as string)", s="s")
+    sections = t._all.groupBy("log_id", F.expr("n div 500").alias("s")).agg(F.count("*").alias("c")).withColumn("text", F.expr(text))
+    parts = F.array_sort(F.collect_list(F.struct("s", "text")))
+    return sections.groupBy(F.col("log_id").alias("path")).agg(F.encode(F.array_join(F.transform(parts, lambda p: p["text"]), ""), "UTF-8").alias("content"))
+
+
+_SECTIONS = f"""secs as (select log_id as path, s, c, {_SECTION_TEXT.format(m=_MARKER, c="c", s="s")} as text from (select log_id, n // 500 as s, count(*) as c from f group by all)),
+placed as (select *, cast(sum(length(text)) over (partition by path order by s) as bigint) as stop from secs)"""
+
+
+@query(f", {_SECTIONS} select path, s as section_no, stop - length(text) as start_offset, length(text) as size from placed")
+def section_listing(t: Tables) -> DataFrame:
+    from skylog import sources
+
+    return sources.section_listing(sources.split_sections(_log_files(t), _MARKER)).withColumn("section_no", F.col("section_no").cast("long"))
+
+
+@query(f", {_SECTIONS} select path || '#' || s as log_id, unnest(['Product', 'I interval', 'P interval', 'rollPID']) as field_name, unnest([' recorder', cast(c as varchar), '1/' || (s + 2), (c % 90) || ',40,' || s]) as field_value from placed")
+def parse_headers(t: Tables) -> DataFrame:
+    from skylog import sources
+
+    return sources.parse_headers(sources.split_sections(_log_files(t), _MARKER)).drop("line_no")
+
+
+@query(f", {_SECTIONS} select path || '#' || s as log_id, c as frame_interval_i, 1 as p_num, s + 2 as p_denom, [c % 90, 40, s] as pid_roll, [0, 0, 0] as pid_yaw, 110 as vbatscale, 1.0::double as gyro_scale from placed")
+def sys_config(t: Tables) -> DataFrame:
+    from skylog import sources
+
+    out = sources.sys_config(sources.parse_headers(sources.split_sections(_log_files(t), _MARKER)))
+    return out.select("log_id", "frame_interval_i", "p_num", "p_denom", "pid_roll", "pid_yaw", "vbatscale", "gyro_scale")
+
+
+def _stream_folder(spark: SparkSession) -> str:
+    import tempfile
+    import uuid
+
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-")
+    return f"{shared}/stream-{uuid.uuid4().hex}"
+
+
+def live_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a feed of frames, followed to its present end."""
+    from skylog.streaming import live_limits as follow
+
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    feed = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet").selectExpr("event_type as log_id", "event_id as seq", "event_id * 1000 as time", "value", "user_id")
+    folder = _stream_folder(spark)
+    done = follow(feed, ["value", "user_id"]).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    done.awaitTermination()
+    rows = spark.read.parquet(f"{folder}/out")
+    return rows.groupBy("log_id", "channel").agg(*(F.max_by(c, "n").alias(c) for c in ("time", "min", "max")), F.max("n").alias("n"))
+
+
+QUERIES["live_limits"] = live_limits
+SQL["live_limits"] = """select event_type as log_id, unnest(['value', 'user_id']) as channel, max(event_id) * 1000 as time, unnest([min(value), cast(min(user_id) as double)]) as min,
+  unnest([max(value), cast(max(user_id) as double)]) as max, count(*) as n from events group by event_type"""
