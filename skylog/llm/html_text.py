@@ -139,9 +139,14 @@ def main_text(page: str, weights: Weights) -> str:
 
 
 def fit(pages: DataFrame, limit: int = 1000, longest: int = 200_000) -> Weights:
-    """Learns from at most ``limit`` self-labelled pages of at most ``longest`` characters, chosen by a hash of the page (the documented bound)."""
+    """Learns from ``limit`` self-labelled pages of at most ``longest`` characters, those with the least hashes (the documented bound).
+
+    Hashes alone are ranked; pages are brought to the driver once they are chosen.
+    """
     labelled = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").contains("<article") & (F.length("html") <= longest))
-    return learn([r.html for r in labelled.orderBy(F.xxhash64("html")).limit(limit).collect()])
+    hashed = labelled.select("html", F.xxhash64("html").alias("h"))
+    last = hashed.select("h").distinct().orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    return learn([r.html for r in hashed.where(F.col("h") <= last).select("html").distinct().orderBy("html").toLocalIterator()] if last is not None else [])
 
 
 def extract(pages: DataFrame, weights: Weights) -> DataFrame:
