@@ -124,6 +124,16 @@ def band_energy(psd: DataFrame, low: float, high: float, name: str = "energy") -
     return rows.withColumn("area", area).groupBy("log_id", "channel").agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias(name))
 
 
+def band_energies(psd: DataFrame, bands: dict[str, tuple[float, float]], peak: tuple[float, float]) -> DataFrame:
+    """One row per channel with the energy of each named band, and peak_hz, the first strongest frequency from one to another."""
+    w = Window.partitionBy("log_id", "channel").orderBy("bin")
+    rows = psd.withColumns({"_f": F.lead("freq").over(w), "_p": F.lead("psd").over(w)})
+    area = (F.col("psd") + F.col("_p")) / 2 * (F.col("_f") - F.col("freq"))
+    sums = [F.coalesce(F.sum(F.when((F.col("freq") >= low) & (F.col("_f") <= high), area)), F.lit(0.0)).alias(name) for name, (low, high) in bands.items()]
+    strongest = F.max_by("freq", F.when(F.col("freq").between(*peak), F.struct("psd", -F.col("bin"))))
+    return rows.groupBy("log_id", "channel").agg(*sums, strongest.alias("peak_hz"))
+
+
 def spectrogram(frames: DataFrame, config: DataFrame, name: str, max_freq: float = 200, nperseg: int = 1024, max_time_bins: int = 256) -> DataFrame:
     """(log_id, channel, column, time_s, bin, freq, power_db), floor -80 dB; evenly chosen segments if there are too many.
 
@@ -162,4 +172,4 @@ def pid_error_analysis(frames: DataFrame, config: DataFrame, max_freq: float = 2
     return out.withColumn("propwash_ratio", ratio).join(by_throttle, ["log_id", "axis"], "left")
 
 
-__all__ = ["NOISE_BAND", "PROPWASH_BAND", "band_energy", "channel_series", "downsample_minmax", "error_psd", "missing_channels", "pid_error_analysis", "power_spectrum", "segment_psd", "segments", "spectrogram", "spectrum_info", "welch"]
+__all__ = ["NOISE_BAND", "PROPWASH_BAND", "band_energies", "band_energy", "channel_series", "downsample_minmax", "error_psd", "missing_channels", "pid_error_analysis", "power_spectrum", "segment_psd", "segments", "spectrogram", "spectrum_info", "welch"]
