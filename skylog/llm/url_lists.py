@@ -48,10 +48,10 @@ def judge(captures: DataFrame, entries: DataFrame, allow: str = "allow") -> Data
     rows = captures.select(F.col("capture_id"), "url", F.col("fetched").cast("date").alias("fetched"))
     valid = intervals(entries)
     period = lambda d: F.floor(F.unix_date(d) / PERIOD)
-    span = rows.agg(F.min("fetched").alias("low"), F.max("fetched").alias("high"))
-    cut = valid.crossJoin(F.broadcast(span)).where("from_day <= high and (until_day is null or until_day > low)")  # one row
-    first, last = F.greatest("from_day", "low"), F.least(F.coalesce(F.date_sub("until_day", 1), "high"), "high")
-    dealt = cut.withColumn("period", F.explode(F.sequence(period(first), period(last)))).drop("low", "high")
+    low, high = (F.lit(d).cast("date") for d in rows.agg(F.min("fetched"), F.max("fetched")).first())
+    cut = valid.where((F.col("from_day") <= high) & (F.col("until_day").isNull() | (F.col("until_day") > low)))
+    first, last = F.greatest("from_day", low), F.least(F.coalesce(F.date_sub("until_day", 1), high), high)
+    dealt = cut.withColumn("period", F.explode(F.sequence(period(first), period(last))))
     # equal captures are judged once, which also gathers the copies of a hot URL before the join
     asked = rows.where("fetched is not null and url is not null").select("url", "fetched").distinct()
     keys = asked.select("url", "fetched", F.explode(url_keys()).alias("pattern"), period(F.col("fetched")).alias("period"))
