@@ -31,7 +31,8 @@ def query(sql: str | None = None):
 
 
 def _rounded(df: DataFrame, n: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, n).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+    """Doubles rounded for comparison, without negative zeros."""
+    return df.select(*((F.round(c, n) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 # -- units and names ------------------------------------------------------------------------------
@@ -114,7 +115,7 @@ def decode_events(t: Tables) -> DataFrame:
 _ERROR = f"{_DISPLAY}, err as (select log_id, seq, rcCommand_3, unnest(['roll', 'pitch', 'yaw']) as axis, unnest([setpoint_0 - g0, setpoint_1 - g1, setpoint_2 - g2]) as error from display)"
 
 
-@query(f", {_ERROR} select log_id, axis, seq, round(error, 6) as error from err")
+@query(f", {_ERROR} select log_id, axis, seq, round(error, 6) + 0.0::double as error from err")
 def pid_error(t: Tables) -> DataFrame:
     return _rounded(units.pid_error(units.to_display_units(t.frames, t.config)).select("log_id", "axis", "seq", "error"))
 
@@ -571,12 +572,12 @@ def parse_headers(t: Tables) -> DataFrame:
     return sources.parse_headers(sources.split_sections(_log_files(t), _MARKER)).drop("line_no")
 
 
-@query(f", {_SECTIONS} select path || '#' || s as log_id, c as frame_interval_i, 1 as p_num, s + 2 as p_denom, [c % 90, 40, s] as pid_roll, [0, 0, 0] as pid_yaw, 110 as vbatscale, 1.0::double as gyro_scale from placed")
+@query(f", {_SECTIONS} select path || '#' || s as log_id, c as frame_interval_i, 1 as p_num, s + 2 as p_denom, (c % 90) || ',40,' || s as pid_roll, '0,0,0' as pid_yaw, 110 as vbatscale, 1.0::double as gyro_scale from placed")
 def sys_config(t: Tables) -> DataFrame:
     from skylog import sources
 
     out = sources.sys_config(sources.parse_headers(sources.split_sections(_log_files(t), _MARKER)))
-    return out.select("log_id", "frame_interval_i", "p_num", "p_denom", "pid_roll", "pid_yaw", "vbatscale", "gyro_scale")
+    return out.select("log_id", "frame_interval_i", "p_num", "p_denom", F.array_join("pid_roll", ",").alias("pid_roll"), F.array_join("pid_yaw", ",").alias("pid_yaw"), "vbatscale", "gyro_scale")
 
 
 def _stream_folder(spark: SparkSession) -> str:

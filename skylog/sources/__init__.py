@@ -152,10 +152,7 @@ def read_headers_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_frames_csv(spark: SparkSession, path: str, log_id: str | None = None) -> DataFrame:
-    """A decoder's CSV: blanks before names and " (unit)" behind them go, numbers are cast, texts stay.
-
-    Rows are numbered by the loop iteration and time, which rise along a log.
-    """
+    """A decoder's CSV: blanks before names and " (unit)" behind them go, numbers are cast, texts stay."""
     raw = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     plain = {c: re.sub(r"\s*\([^)]*\)$", "", c.strip()) for c in raw.columns}
     texts = {"frame_type", "log_id", "flightModeFlags", "stateFlags", "failsafePhase"}
