@@ -61,7 +61,7 @@ def _examples(documents: DataFrame, labels: DataFrame, limit: int) -> list:
     return keyed(documents).join(F.broadcast(chosen), "key").orderBy(F.xxhash64("key"), "key", "salt").limit(limit).select("toxic", "text").mapInArrow(run, "toxic int, features binary, sentences binary").collect()
 
 
-def fit(documents: DataFrame, labels: DataFrame, limit: int = 8000, rounds: int = 300, shrink: float = 1e-5) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, limit: int = 6000, rounds: int = 500, shrink: float = 2e-5) -> Model:
     """Learns from at most ``limit`` labelled documents (the documented bound; nothing else is capped).
 
     Words seen in fewer than 4 of them get no weight. Without labelled documents, or with one kind of
@@ -76,15 +76,17 @@ def fit(documents: DataFrame, labels: DataFrame, limit: int = 8000, rounds: int
     inside = [np.frombuffer(r.sentences, np.int32) for r in rows]
     n_sentences = np.array([s[-1] + 1 if len(s) else 1 for s in inside])
     first = np.cumsum(n_sentences) - n_sentences
-    doc = np.repeat(np.arange(len(x)), [len(w) for w in x])
-    pairs = np.unique(np.concatenate(x) * np.int64(len(x)) + doc)
-    known = np.flatnonzero(np.bincount(pairs // len(x), minlength=1 << BITS) >= 4)
-    code = np.full(1 << BITS, -1)
+    seen = np.zeros(1 << BITS, np.int32)
+    for features in x:
+        seen[np.unique(features)] += 1
+    known = np.flatnonzero(seen >= 4)
+    code = np.full(1 << BITS, -1, np.int32)
     code[known] = np.arange(len(known))
-    word = code[np.concatenate(x)]
-    at = np.concatenate([a + s for a, s in zip(first, inside, strict=True)])
-    at, word = at[word >= 0], word[word >= 0]
-    total, owner = int(n_sentences.sum()), np.repeat(np.arange(len(x)), n_sentences)
+    kept = [code[f] >= 0 for f in x]
+    word = np.concatenate([code[f[k]] for f, k in zip(x, kept, strict=True)])
+    at = np.concatenate([(a + s[k]).astype(np.int32) for a, s, k in zip(first, inside, kept, strict=True)])
+    del rows, x, inside, kept
+    total, owner = int(n_sentences.sum()), np.repeat(np.arange(len(y), dtype=np.int32), n_sentences)
     # one label is one observation, however long its document is
     w, b = np.zeros(len(known)), -np.log(n_sentences.mean() * 10 + 1)
     step_w, step_b = np.full(len(known), 1e-12), 1e-12
