@@ -103,8 +103,19 @@ class PartEnum:
         ks = {k for n in range(max(1, low), min(low + 64, self.ends[band + 1]) + 1) for b, k in self.tasks(n) if b == band}
         return min((scheme.sure(k) for k in ks), default=1)
 
+    def spare(self, band: int) -> int:
+        """Signatures of an instance that a set may leave out, the first ones of an order that all sets share."""
+        return min(self.sure(band) - 1, 0xFFFF)
+
     def signatures(self, elements: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Instance and signatures (uint64) of a sorted set of hashes."""
+        return ((band, signs) for band, signs, _ in self.signed(elements))
+
+    def signed(self, elements: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
+        """Instance, signatures (uint64) of a sorted set of hashes, and how many of the ``spare`` ones are left out already.
+
+        Empty parts, by their place, come first in the order of those to leave out.
+        """
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(elements))])
         for band, k in self.tasks(len(elements)):
             scheme = self.scheme(band)
@@ -115,11 +126,12 @@ class PartEnum:
             full = np.stack([counts[:, s].sum(1) for s in map(list, scheme.subsets)], 1).ravel() > 0
             place = (np.arange(value.size, dtype=np.uint64) | np.uint64(band << 40)) + np.uint64(1)
             signs = mix(value.ravel() ^ mix(place * np.uint64(0x9E3779B97F4A7C15)))
-            yield band, signs[full] if len(signs) - full.sum() < self.sure(band) else signs
+            empty = np.flatnonzero(~full)[: self.spare(band)]
+            yield band, np.delete(signs, empty), len(empty)
 
 
-_SIGNED = ("u4", "u1", "u8", "u1")
-_SHARED = ("u8", "u8", "u1", "u4")
+_SIGNED = ("u4", "u1", "u8", "u1", "u2")
+_SHARED = ("u8", "u8", "u1", "u4", "u2")
 _KEPT = ("u8", "u8")
 
 
@@ -192,8 +204,9 @@ def _members(rows: DataFrame, scheme: PartEnum, shingle: int) -> DataFrame:
     """(bucket, node): the sets to compare in each bucket of a signature.
 
     Records of signatures are dealt by signature, those that several sets share then by set: a linked
-    pair shares at least ``sure`` signatures of its instance, so each set may leave out its ``sure`` - 1
-    most common ones, in one order for all sets, and still meets every partner. The others are dealt by
+    pair shares at least ``sure`` signatures of its instance, so each set may leave out its first
+    ``sure`` - 1, in one order for all sets, and still meets every partner: those of empty parts, which
+    are never sent, and then the most common ones. The others are dealt by
     signature again. Common passages thus cost their records, not pairs of the documents that hold them.
     """
     parts = partitions(rows)
@@ -205,29 +218,29 @@ def _members(rows: DataFrame, scheme: PartEnum, shingle: int) -> DataFrame:
                 if not len(elements) or (node := _name(elements)) in seen:
                     continue
                 seen.add(node)
-                for band, signs in scheme.signatures(elements):
+                for band, signs, left in scheme.signed(elements):
                     part = ((signs >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
                     id_ = np.full(len(signs), node, np.int64).view(np.uint64)
-                    yield from packer.add(part, signs & np.uint64(0xFFFFFFFF), (signs >> np.uint64(32)) & np.uint64(0xFF), id_, np.full(len(signs), band))
+                    yield from packer.add(part, signs & np.uint64(0xFFFFFFFF), (signs >> np.uint64(32)) & np.uint64(0xFF), id_, np.full(len(signs), band), np.full(len(signs), left))
         yield from packer.flush()
 
-    def share(part: int, low: np.ndarray, high: np.ndarray, node: np.ndarray, band: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def share(part: int, low: np.ndarray, high: np.ndarray, node: np.ndarray, band: np.ndarray, left: np.ndarray) -> Iterator[pa.RecordBatch]:
         # 40 bits of a signature and its partition: chance meetings are rare, and every pair is verified
         sign = (high.astype(np.uint64) << np.uint64(32)) | low
         at, times = _groups(sign, node)
         packer = Packer(parts, *_SHARED)
         sign = mix(sign[at] | np.uint64((part & 0xFFFFFF) << 40))
-        yield from packer.add(uniform_part(mix(node[at]), parts), sign, node[at], band[at], times)
+        yield from packer.add(uniform_part(mix(node[at]), parts), sign, node[at], band[at], times, left[at])
         yield from packer.flush()
 
-    def leave_out(_: int, sign: np.ndarray, node: np.ndarray, band: np.ndarray, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def leave_out(_: int, sign: np.ndarray, node: np.ndarray, band: np.ndarray, times: np.ndarray, left: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((sign, ~times, band, node))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(node[order]) != 0) | (np.diff(band[order]) != 0)
         start = np.flatnonzero(new)
         rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
-        sure = np.array([scheme.sure(b) for b in range(int(band.max()) + 1)])
-        kept = order[rank >= sure[band[order]] - 1]
+        spare = np.array([scheme.spare(b) for b in range(int(band.max()) + 1)])
+        kept = order[rank + left[order] >= spare[band[order]]]
         packer = Packer(parts, *_KEPT)
         yield from packer.add(uniform_part(sign[kept], parts), sign[kept], node[kept])
         yield from packer.flush()

@@ -88,6 +88,36 @@ def test_signatures_meet(spark):
     assert scheme.band(3) == scheme.band(4) != scheme.band(5)
 
 
+def test_short_near_copies_meet(spark):
+    """Pairs at the similarity bound are linked, though some parts are empty in both and nobody else shares their signatures."""
+    rows, n = [], 0
+    for size in range(11, 61):
+        for _ in range(8):
+            words = [f"w{n}x{i}" for i in range(size + 4 + size // 7)]
+            rows += [(n, " ".join(words[: size + 4])), (n + 1, " ".join(words[size // 7 :]))]
+            n += 2
+    got = {r.doc_id: r.component_id for r in ngram_join.link_classes(table(spark, rows)).collect()}
+    assert [i for i, c in got.items() if c != i - i % 2] == []
+
+
+def test_signatures_left_out_once():
+    """Of what sets at the bound share, a signature of a part that is not empty is left when each has left out its spare ones."""
+    import numpy as np
+
+    scheme, random_ = PartEnum(75), random.Random(11)
+    for n in range(11, 61):
+        for _ in range(10):
+            both = [random_.getrandbits(64) for _ in range(n - n // 7)]
+            signed = [{b: (v, left) for b, v, left in scheme.signed(np.array(sorted(both + [random_.getrandbits(64) for _ in range(n // 7)]), np.uint64))} for _ in range(2)]
+            met = False
+            for band in signed[0].keys() & signed[1].keys():
+                (x, i), (y, j) = signed[0][band], signed[1][band]
+                shared = np.intersect1d(x, y)
+                assert len(shared) >= scheme.sure(band) - min(i, j)
+                met |= bool(len(shared[scheme.spare(band) - i :]) and len(shared[scheme.spare(band) - j :]))
+            assert met
+
+
 def test_link_classes_of_nothing(spark):
     assert ngram_join.link_classes(table(spark, [])).count() == 0
     assert [r.component_id for r in ngram_join.link_classes(table(spark, [(3, None)])).collect()] == [3]
