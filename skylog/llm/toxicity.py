@@ -18,25 +18,39 @@ from pyspark.sql import functions as F
 from .tables import doc_id, keyed
 from .words import ALNUM, Chunk, chunks
 
-#: Word features are the upper bits of a word's hash.
-BITS = 18
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
 
 
 @dataclass
 class Model:
+    """Sorted hashes of the known words, their weights, and the bias."""
+
+    words: np.ndarray
     weights: np.ndarray
     bias: float
 
+    def weigh(self, words: np.ndarray) -> np.ndarray:
+        """The weight of each word; 0 if it is not known."""
+        at, known = _find(self.words, words)
+        return np.where(known, self.weights[at], 0.0) if len(self.words) else np.zeros(len(words))
+
+
+def _find(names: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each hash asked for in the sorted names, and whether it is there at all."""
+    if not len(names):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
+    return at, names[at] == asked
+
 
 def _sentences(chunk: Chunk):
-    """Words of a chunk, their features and the number of the sentence that each is in (from 0, text by text)."""
+    """Words of a chunk and the number of the sentence that each is in (from 0, text by text)."""
     words = chunk.words(ALNUM)
     ends = np.concatenate([[0], np.cumsum(_ENDS[chunk.data])])[words.start]
     new = np.ones(len(words.hash), bool)
     new[1:] = ends[1:] != ends[:-1]
     new[words.first[:-1][np.diff(words.first) > 0]] = True
-    return words, (words.hash >> np.uint64(64 - BITS)).astype(np.int32), np.cumsum(new) - 1
+    return words, np.cumsum(new) - 1
 
 
 def held_out(doc: F.Column) -> F.Column:
@@ -44,16 +58,16 @@ def held_out(doc: F.Column) -> F.Column:
 
 
 def _examples(documents: DataFrame, labels: DataFrame, limit: int) -> list:
-    """Features of at most ``limit`` labelled documents, chosen by a hash of their id."""
+    """Word hashes of at most ``limit`` labelled documents, chosen by a hash of their id."""
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("key"), "key").limit(limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            words, features, sentence = _sentences(chunk)
+            words, sentence = _sentences(chunk)
             cut = list(zip(words.first[:-1], words.first[1:], strict=True))
             yield pa.record_batch({
                 "toxic": pa.array(chunk.column("toxic").astype(np.int32)),
-                "features": pa.array([features[a:b].tobytes() for a, b in cut], pa.binary()),
+                "features": pa.array([words.hash[a:b].tobytes() for a, b in cut], pa.binary()),
                 "sentences": pa.array([(sentence[a:b] - sentence[a] if b > a else sentence[:0]).astype(np.int32).tobytes() for a, b in cut], pa.binary()),
             })
 
@@ -71,21 +85,18 @@ def fit(documents: DataFrame, labels: DataFrame, limit: int = 6000, rounds: int
     y = np.array([r.toxic for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         rate = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-        return Model(np.zeros(1 << BITS), float(np.log(rate / (1 - rate))))
-    x = [np.frombuffer(r.features, np.int32) for r in rows]
+        return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(rate / (1 - rate))))
+    x = [np.frombuffer(r.features, np.uint64) for r in rows]
     inside = [np.frombuffer(r.sentences, np.int32) for r in rows]
     n_sentences = np.array([s[-1] + 1 if len(s) else 1 for s in inside])
     first = np.cumsum(n_sentences) - n_sentences
-    seen = np.zeros(1 << BITS, np.int32)
-    for features in x:
-        seen[np.unique(features)] += 1
-    known = np.flatnonzero(seen >= 4)
-    code = np.full(1 << BITS, -1, np.int32)
-    code[known] = np.arange(len(known))
-    kept = [code[f] >= 0 for f in x]
-    word = np.concatenate([code[f[k]] for f, k in zip(x, kept, strict=True)])
+    known, seen = np.unique(np.concatenate([np.unique(f) for f in x]), return_counts=True)
+    known = known[seen >= 4]
+    places = [_find(known, f) for f in x]
+    kept = [k for _, k in places]
+    word = np.concatenate([at[k].astype(np.int32) for at, k in places])
     at = np.concatenate([(a + s[k]).astype(np.int32) for a, s, k in zip(first, inside, kept, strict=True)])
-    del rows, x, inside, kept
+    del rows, x, inside, places, kept
     total, owner = int(n_sentences.sum()), np.repeat(np.arange(len(y), dtype=np.int32), n_sentences)
     # one label is one observation, however long its document is
     w, b = np.zeros(len(known)), -np.log(n_sentences.mean() * 10 + 1)
@@ -101,9 +112,7 @@ def fit(documents: DataFrame, labels: DataFrame, limit: int = 6000, rounds: int
         w += 0.5 * gw / np.sqrt(step_w)
         b += 0.5 * gb / np.sqrt(step_b)
         w = np.sign(w) * np.maximum(np.abs(w) - 0.5 * shrink / np.sqrt(step_w), 0)
-    weights = np.zeros(1 << BITS)
-    weights[known] = w
-    return Model(weights, float(b))
+    return Model(known, w, float(b))
 
 
 def score(documents: DataFrame, model: Model, from_score: float = 0.5) -> DataFrame:
@@ -118,9 +127,9 @@ def score(documents: DataFrame, model: Model, from_score: float = 0.5) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for chunk in chunks(batches):
-            words, features, sentence = _sentences(chunk)
+            words, sentence = _sentences(chunk)
             start = np.flatnonzero(np.diff(sentence, prepend=-1))
-            z = np.clip(model.bias + (np.add.reduceat(model.weights[features], start) if len(start) else np.empty(0)), -30, 30)
+            z = np.clip(model.bias + (np.add.reduceat(model.weigh(words.hash), start) if len(start) else np.empty(0)), -30, 30)
             p = 1 / (1 + np.exp(-z))
             row = words.text_of[start]
             safe = np.zeros(len(chunk.rows))

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from skylog.llm import fingerprints, html_text, lm_score, packing, token_counts, tokens, toxicity, url_lists
 from skylog.llm.queries import QUERIES, SQL
+from skylog.llm.words import ALNUM, split_words
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
 from oracle import assert_same, database
@@ -205,6 +206,19 @@ def test_toxicity_learns_and_locates(spark):
     assert sum(len(r.offending) for r in scored.values()) > 90
 
 
+def test_toxicity_of_unknown_words(spark):
+    """A word that training has not seen weighs nothing, however near its hash is to that of an insult."""
+    rows, labels = toxic_table(spark)
+    model = toxicity.fit(table(spark, rows), labels)
+    data = " ".join(["vile", "nasty", *(f"q{i}" for i in range(400_000))]).encode()
+    words = split_words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), ALNUM)
+    near = np.flatnonzero(np.isin(words.hash[2:] >> np.uint64(46), words.hash[:2] >> np.uint64(46)))
+    assert len(near)
+    texts = ["unheard", *(f"q{i}" for i in near)]
+    scores = {r.doc_id: r.score for r in toxicity.score(table(spark, list(enumerate(texts))), model).collect()}
+    assert set(scores.values()) == {scores[0]} and scores[0] < 0.5
+
+
 def test_toxicity_of_odd_rows(spark):
     for labels in ([], [(4, 1)], [(None, 1), (4, None)]):
         model = toxicity.fit(table(spark, ODD), spark.createDataFrame(labels, "doc_id long, toxic int"))
