@@ -28,13 +28,14 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each link class: the least doc_id, of equal ones that with the least text hash.
 
-    Rows that repeat both are one document; documents without words are kept.
+    Rows that repeat both are one document; documents without words are linked with nothing, every row of them is kept.
     """
-    classes = ngram_join.link_classes(docs).select("key", "salt", "doc_id", "n_shingles", "component_id")
-    best = classes.where("n_shingles > 0").groupBy(F.coalesce("component_id", "key").alias("class")).agg(F.min(F.struct("key", "salt")).alias("best")).select("best.*")
-    kept = best.unionByName(classes.where("n_shingles = 0").select("key", "salt")).distinct()
-    rows = docs.select(*COLUMNS, *key_columns()).join(kept, ["key", "salt"], "left_semi")
-    return rows.dropDuplicates(["key", "salt"]).select(*COLUMNS)
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    texts = docs.where(worded)
+    classes = ngram_join.link_classes(texts).select("key", "salt", "component_id")
+    best = classes.groupBy(F.coalesce("component_id", "key").alias("class")).agg(F.min(F.struct("key", "salt")).alias("best")).select("best.*").distinct()
+    rows = texts.select(*COLUMNS, *key_columns()).join(best, ["key", "salt"], "left_semi").dropDuplicates(["key", "salt"])
+    return rows.select(*COLUMNS).unionByName(docs.where(~worded).select(*COLUMNS))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

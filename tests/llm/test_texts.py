@@ -250,6 +250,17 @@ def test_lm_counts_are_those_of_all_texts(spark):
     assert models.pair_counts[1].sum() == 9 and models.pair_counts[0].sum() == 5
 
 
+def test_near_copies_keep_every_row_without_words(spark):
+    import corpus_pipeline as cp
+
+    odd = [(None, None, "en"), (None, None, "de"), (None, "", "en"), (None, "", "en"), (None, " \n\x0b", "fr"), (7, None, "en"), (7, None, "de")]
+    rows = odd + [(1, "é", "en"), (1, "é", "de"), (2, "\x1cx", "en"), (3, "É", "en"), (4, "É", "en")]
+    docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text, r.lang) for r in cp.without_near_copies(spark, docs, DATA).collect())
+    assert {k: n for k, n in got.items() if not (k[1] or "").strip(" \n\x0b")} == Counter(odd)
+    assert sorted(k[0] for k in got if (k[1] or "").strip(" \n\x0b")) == [1, 2, 3]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
