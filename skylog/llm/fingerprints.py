@@ -61,8 +61,10 @@ def fingerprints(texts: list[bytes], samples: int = SAMPLES) -> np.ndarray:
             continue
         row = np.repeat(np.arange(high - low), np.diff(words.first[low : high + 1]))
         places, n = np.unique((row.astype(np.uint64) << np.uint64(48)) | (words.hash[a:b] >> np.uint64(16)), return_counts=True)
-        kinds, which = np.unique((places << np.uint64(16)) | np.minimum(n, 0xFFFF).astype(np.uint64), return_inverse=True)
-        values = _draws(mix(kinds >> np.uint64(16)), kinds & np.uint64(0xFFFF), samples)
+        # counts by rank: 1 << 16 different ones would take 2**31 words, more than a batch can hold
+        counts, rank = np.unique(n, return_inverse=True)
+        kinds, which = np.unique((places << np.uint64(16)) | rank.astype(np.uint64), return_inverse=True)
+        values = _draws(mix(kinds >> np.uint64(16)), counts[kinds & np.uint64(0xFFFF)], samples)
         rows, start = np.unique(places >> np.uint64(48), return_index=True)
         ends = np.append(start[1:], len(places))
         at = 0

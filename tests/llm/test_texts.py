@@ -118,6 +118,13 @@ def test_fingerprints_estimate_weighted_likeness():
     assert (alone[0] == prints[0]).all() and not alone[1:].any()
 
 
+def test_fingerprints_of_large_counts():
+    for n in (60_000, 70_000):
+        a, b, c = fingerprints.fingerprints([b"a " * n, b"a " * 2 * n, b"a " * n], 512)
+        assert abs(fingerprints.likeness(a, b) - 0.5) < 0.1
+        assert fingerprints.likeness(a, c) == 1
+
+
 def test_compare_with_next(spark):
     rows = ODD + [(100 + i, f"text number {i} with some words " * (i % 5 + 1)) for i in range(30)]
     got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_chars, r.edited_sha256) for r in fingerprints.compare_with_next(table(spark, rows)).collect()))
