@@ -134,7 +134,7 @@ def _occurrences(rows: DataFrame, block: _Block) -> DataFrame:
                 "spans": pa.array([_merged(s) for s in spans], _SPANS), "items": pa.array([sorted(p) for p in pairs], pa.list_(pa.int64())),
             })
 
-    return rows.mapInArrow(find, "key long, salt int, n_words long, spans array<struct<start:long,end:long>>, items array<long>")
+    return rows.mapInArrow(find, "key long, salt long, n_words long, spans array<struct<start:long,end:long>>, items array<long>")
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -18,8 +18,21 @@ _SCHEMA = pa.schema([("part", pa.int32()), ("data", pa.binary())])
 BUFFER_BYTES = 16 << 20
 
 
+#: Input that one partition takes, and the most partitions of a shuffle.
+PARTITION_BYTES, MOST_PARTITIONS = 512 << 20, 100_000
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files and tables that the rows come from, as far as Spark knows it before it runs."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
 def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Partitions of a shuffle of the rows: spark.sql.shuffle.partitions, and more for large inputs."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(-(-input_bytes(df) // PARTITION_BYTES), MOST_PARTITIONS))
 
 
 class Packer:
@@ -57,7 +70,7 @@ def unpack(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     return out
 
 
-def exchange(packed: DataFrame, kinds: tuple[str, ...], receive: Callable[..., Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def exchange(packed: DataFrame, kinds: tuple[str, ...], receive: Callable[..., Iterator[pa.RecordBatch]], schema: str, parts: int) -> DataFrame:
     """Deals packed rows out to their partitions; ``receive`` gets the number and all records of one, as columns."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +83,7 @@ def exchange(packed: DataFrame, kinds: tuple[str, ...], receive: Callable[..., I
             del held
             yield from receive(part, *columns)
 
-    return packed.repartitionById(partitions(packed), "part").mapInArrow(gather, schema)
+    return packed.repartitionById(parts, "part").mapInArrow(gather, schema)
 
 
 def uniform_part(hashes: np.ndarray, parts: int) -> np.ndarray:

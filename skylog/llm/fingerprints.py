@@ -89,11 +89,11 @@ def edited(text: str, following: str) -> str:
 
 
 _ROWS = pa.schema([
-    ("key", pa.int64()), ("salt", pa.int32()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()),
+    ("key", pa.int64()), ("salt", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()),
     ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()),
     ("task", pa.int32()), ("end", pa.int32()), ("text", pa.string()),
 ])
-_SPARK_ROWS = "key long, salt int, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, task int, end int, text string"
+_SPARK_ROWS = "key long, salt long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, task int, end int, text string"
 _FIRST, _LAST = 0, 1
 
 
@@ -106,7 +106,7 @@ def _compared(rows: list[tuple], following: str, samples: int) -> Iterator[pa.Re
     own, other = prints[: len(texts)], prints[len(texts) :]
     n = len(rows)
     yield pa.record_batch([
-        pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([len(t) for t in texts[:-1]], pa.int64()),
+        pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()),
         pa.array([hashlib.sha256(t).hexdigest() for t in raw]), pa.array([p.tobytes() for p in own[:-1]], pa.binary()), pa.array([p.tobytes() for p in other], pa.binary()),
         pa.array(likeness(own[:-1], other)), pa.array(likeness(own[:-1], own[1:])), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()),
     ], schema=_ROWS)

@@ -159,5 +159,5 @@ def score(documents: DataFrame, models: Models) -> DataFrame:
                 "loss_target": pa.array(target, mask=none), "loss_background": pa.array(background, mask=none), "score": pa.array(background - target, mask=none),
             })
 
-    out = keyed(documents).mapInArrow(run, "key long, salt int, n_tokens long, loss_target double, loss_background double, score double")
+    out = keyed(documents).mapInArrow(run, "key long, salt long, n_tokens long, loss_target double, loss_background double, score double")
     return out.select("key", "salt", doc_id(), "n_tokens", "loss_target", "loss_background", "score")

@@ -4,7 +4,8 @@ Two equal windows start at word positions i and j of their documents. A differen
 period p has, for any i and j, a shift below p that takes both positions into D modulo p. So anchors
 (short windows) hashed at cover positions alone are enough to notice every equal pair of windows at
 least p - 1 words longer than an anchor; with p = 21 that is 5 of 21 positions. Shared anchors are
-then extended: every full window around one is hashed and compared, which decides exactly.
+then extended: every full window around one is compared by 128 bits of BLAKE2 over its words, which
+no two different windows are known to share.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .words import PLAIN, Chunk, chunks, mix
 #: Perfect difference sets: each non-zero residue modulo the period is a difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
 _KNOWN = np.uint32(1 << 31)
-_PLACES = ("u8", "i8", "i4", "u4")
-_OF_ROW = ("i8", "i4", "u4")
+#: A place: its row's key and salt, and the word position; names go before it, one column for 64 bits.
+_PLACE = ("i8", "i8", "u4")
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -31,44 +32,49 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
     return max((p, d) for p, d in COVERS.items() if window - p + 1 >= 0.4 * window)
 
 
-def _repeated(select) -> tuple:
-    """Sender and receiver of an exchange that finds the hashes occurring at two places or more.
+def _in_order(names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the names, and which of them in that order equal the one before."""
+    order = np.lexsort(names[::-1]) if len(names) > 1 else np.argsort(names[0], kind="stable")
+    same = np.zeros(len(order), bool)
+    same[1:] = np.logical_and.reduce([n[order[1:]] == n[order[:-1]] for n in names])
+    return order, same
 
-    ``select(chunk)`` gives hash, row of the chunk and word position. Places that share their hash
-    inside one chunk are known to repeat; only one of them is compared with other chunks, so a very
-    common hash costs one record a chunk, and the others pass through, dealt out by document.
+
+def _repeated(select, width: int) -> tuple:
+    """Sender and receiver of an exchange that finds the names occurring at two places or more.
+
+    ``select(chunk)`` gives names (``width`` columns of 64 bits), row of the chunk and word position.
+    Places that share their name inside one chunk are known to repeat; only one of them is compared with
+    other chunks, so a very common name costs one record a chunk, and the others pass through, dealt out by document.
     """
 
     def sender(parts: int):
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            packer = Packer(parts, *_PLACES)
+            packer = Packer(parts, *["u8"] * width, *_PLACE)
             for chunk in chunks(batches):
-                hashes, row, place = select(chunk)
+                names, row, place = select(chunk)
                 key, salt, place = chunk.column("key")[row], chunk.column("salt")[row], place.astype(np.uint32)
-                order = np.argsort(hashes, kind="stable")
-                sorted_ = hashes[order]
-                new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])[: len(order)]
-                many = ~new
-                many[:-1] |= ~new[1:]
-                one, known = np.sort(order[new]), np.sort(order[many])
-                yield from packer.add(uniform_part(hashes[one], parts), hashes[one], key[one], salt[one], place[one])
-                yield from packer.add(_home(key[known], parts), hashes[known], key[known], salt[known], place[known] | _KNOWN)
+                order, same = _in_order(names)
+                many = same.copy()
+                many[:-1] |= same[1:]
+                one, known = np.sort(order[~same]), np.sort(order[many])
+                yield from packer.add(uniform_part(names[0][one], parts), *(n[one] for n in names), key[one], salt[one], place[one])
+                yield from packer.add(_home(key[known], salt[known], parts), *(n[known] for n in names), key[known], salt[known], place[known] | _KNOWN)
             yield from packer.flush()
 
         return send
 
     def receiver(parts: int):
-        def receive(_: int, hashes: np.ndarray, key: np.ndarray, salt: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def receive(_: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+            *names, key, salt, place = columns
             known = place >= _KNOWN
             asked = np.flatnonzero(~known)
-            order = asked[np.argsort(hashes[asked], kind="stable")]
-            same = hashes[order[1:]] == hashes[order[:-1]]
-            several = np.zeros(len(order), bool)
-            several[1:] |= same
-            several[:-1] |= same
-            found = np.sort(np.concatenate([np.flatnonzero(known), order[several]]))
-            packer = Packer(parts, *_OF_ROW)
-            yield from packer.add(_home(key[found], parts), key[found], salt[found], place[found] & ~_KNOWN)
+            order, same = _in_order([n[asked] for n in names])
+            several = same.copy()
+            several[:-1] |= same[1:]
+            found = np.sort(np.concatenate([np.flatnonzero(known), asked[order[several]]]))
+            packer = Packer(parts, *_PLACE)
+            yield from packer.add(_home(key[found], salt[found], parts), key[found], salt[found], place[found] & ~_KNOWN)
             yield from packer.flush()
 
         return receive
@@ -76,12 +82,12 @@ def _repeated(select) -> tuple:
     return sender, receiver
 
 
-def _home(key: np.ndarray, parts: int) -> np.ndarray:
-    return uniform_part(mix(key.view(np.uint64)), parts)
+def _home(key: np.ndarray, salt: np.ndarray, parts: int) -> np.ndarray:
+    return uniform_part(mix(key.view(np.uint64) + mix(salt.view(np.uint64))), parts)
 
 
-def _found(df: DataFrame, select, before: int, after: int) -> DataFrame:
-    """One row for each key and salt: the places of all its hashes that occur more than once.
+def _found(df: DataFrame, parts: int, select, width: int, before: int, after: int) -> DataFrame:
+    """One row for each key and salt: the places of all its names that occur more than once.
 
     ``spans`` holds them as disjoint ranges of word positions (packed starts and ends), each place
     reaching from ``before`` words before it to ``after`` words after it.
@@ -104,10 +110,9 @@ def _found(df: DataFrame, select, before: int, after: int) -> DataFrame:
                 "spans": pa.array([np.stack([start[x:y], end[x:y]]).astype(np.uint32).tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
             })
 
-    parts = partitions(df)
-    sender, receiver = _repeated(select)
-    found = exchange(df.mapInArrow(sender(parts), PACKED), _PLACES, receiver(parts), PACKED)
-    return exchange(found, _OF_ROW, join_up, "key long, salt int, spans binary")
+    sender, receiver = _repeated(select, width)
+    found = exchange(df.mapInArrow(sender(parts), PACKED), (*["u8"] * width, *_PLACE), receiver(parts), PACKED, parts)
+    return exchange(found, _PLACE, join_up, "key long, salt long, spans binary", parts)
 
 
 def _spread(chunk: Chunk, first: np.ndarray) -> np.ndarray:
@@ -140,14 +145,14 @@ def remove_repeats(documents: DataFrame, window: int = 35) -> DataFrame:
         row = words.text_of[at]
         place = at - words.first[row]
         keep = wanted[place % period]
-        return hashes[keep], row[keep], place[keep]
+        return [hashes[keep]], row[keep], place[keep]
 
     def full_windows(chunk: Chunk):
         words = chunk.words(PLAIN)
-        at, hashes = words.windows(window)
-        keep = _spread(chunk, words.first)[at]
-        row = words.text_of[at[keep]]
-        return hashes[keep], row, at[keep] - words.first[row]
+        at = words.starts(window)
+        at = at[_spread(chunk, words.first)[at]]
+        row = words.text_of[at]
+        return list(words.digests(at, window).T), row, at - words.first[row]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
@@ -165,9 +170,10 @@ def remove_repeats(documents: DataFrame, window: int = 35) -> DataFrame:
             })
 
     rows = keyed(documents)
-    candidates = rows.join(_found(rows, anchors, period - 1, 0), ["key", "salt"])
-    repeats = _found(candidates, full_windows, 0, window - 1)
-    out = rows.join(repeats, ["key", "salt"], "left").mapInArrow(cut, "key long, salt int, n_words long, n_removed long, text string")
+    parts = partitions(documents)
+    candidates = rows.join(_found(rows, parts, anchors, 1, period - 1, 0), ["key", "salt"])
+    repeats = _found(candidates, parts, full_windows, 2, 0, window - 1)
+    out = rows.join(repeats, ["key", "salt"], "left").mapInArrow(cut, "key long, salt long, n_words long, n_removed long, text string")
     return out.select("key", "salt", doc_id(), "n_words", "n_removed", "text")
 
 

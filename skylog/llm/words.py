@@ -2,13 +2,17 @@
 
 Texts stay UTF-8 bytes: every pattern the operators use is defined on ASCII bytes, so a byte
 table tells words from separators, and bytes of longer characters always belong to words.
-A word's hash depends on its (folded) bytes only, a window's on the hashes of its words.
+A word's 64-bit hash depends on its (folded) bytes only: words of up to 8 bytes have one each that no
+other of them has, those of up to 64 bytes are mixed block by block, and longer ones go through BLAKE2.
+A window's hash comes from those of its words, mixed at each step, so that neither repeats nor symmetric
+sequences cancel out. Different words or windows share a hash by chance only, at about 2**-64 a pair.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +22,9 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 2 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD6E8FEB86659FD95 | 5
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_ORDER = np.uint64(0xD6E8FEB86659FD95)
+#: Longer words (bytes) are hashed one by one.
+_BLOCKS = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,21 +34,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of an odd number modulo 2**64, made longer on demand."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.table = np.uint64(base), np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> np.ndarray:
-        if len(self.table) < n:
-            steps = np.full(max(n, 1 << 16), self.base, np.uint64)
-            steps[0] = 1
-            self.table = np.multiply.accumulate(steps)
-        return self.table[:n]
-
-
-_POWERS, _INVERSES = _Powers(_BASE), _Powers(_INVERSE)
+def join(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """The hash of two sequences, one after the other, from theirs."""
+    return mix(before * _ORDER + after)
 
 
 @dataclass(frozen=True)
@@ -53,17 +46,12 @@ class WordStyle:
     separator: np.ndarray
     fold: np.ndarray
 
-    @property
-    def values(self) -> np.ndarray:
-        random = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _ODD)
-        return np.where(self.separator, np.uint64(0), random[self.fold])
-
 
 def _style(is_separator, lower: bool) -> WordStyle:
     fold = np.arange(256)
     if lower:
         fold[0x41:0x5B] += 0x20
-    return WordStyle(np.array([is_separator(int(b)) for b in fold]), fold)
+    return WordStyle(np.array([is_separator(int(b)) for b in fold]), fold.astype(np.uint8))
 
 
 _SPACES = (0x20, *range(0x09, 0x0E))
@@ -82,26 +70,74 @@ class Words:
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    folded: np.ndarray
+    _runs: dict[int, np.ndarray] = field(default_factory=dict)
 
     @property
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def starts(self, n: int) -> np.ndarray:
+        """Word index of every window of n consecutive words of one text."""
+        last = max(0, len(self.hash) - n + 1)
+        after = np.repeat(self.first[1:], np.diff(self.first))[:last]
+        return np.flatnonzero(np.arange(n, last + n) <= after)
+
     def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Word index and hash of every window of n consecutive words of one text."""
-        size = len(self.hash)
-        if size < n:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        after = np.repeat(self.first[1:], np.diff(self.first))[: size - n + 1]
-        at = np.flatnonzero(np.arange(n, size + 1) <= after)
-        return at, self.spans(at, np.full(len(at), n))
+        at = self.starts(n)
+        return at, self.runs(n)[at]
+
+    def runs(self, n: int) -> np.ndarray:
+        """Hash of the n words from each word on, whether or not they are in one text."""
+        if n == 1:
+            return self.hash
+        if n not in self._runs:
+            half, last = 1 << ((n - 1).bit_length() - 1), max(0, len(self.hash) - n + 1)
+            self._runs[n] = join(self.runs(half)[:last], self.runs(n - half)[half : half + last])
+        return self._runs[n]
 
     def spans(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Hash of the n words from word index at, for each element."""
-        if not hasattr(self, "_sums"):
-            self._sums = np.concatenate([[np.uint64(0)], np.cumsum(self.hash * _POWERS.upto(len(self.hash)))])
-        total = (self._sums[at + n] - self._sums[at]) * _INVERSES.upto(len(self.hash) + 1)[at]
-        return mix(total ^ (n.astype(np.uint64) * _ODD))
+        out = np.empty(len(at), np.uint64)
+        for size in np.unique(n):
+            chosen = n == size
+            out[chosen] = self.runs(int(size))[at[chosen]]
+        return out
+
+    def digests(self, at: np.ndarray, n: int) -> np.ndarray:
+        """128 bits of BLAKE2 over the n words (with one space between) from each word index: two columns."""
+        size = self.end - self.start + 1
+        stop = np.cumsum(size)
+        source = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - size - self.start, size)
+        text = self.folded[source]
+        text[stop - 1] = 0x20
+        view, blake = memoryview(text), hashlib.blake2b
+        begin = stop - size
+        pairs = zip(begin[at].tolist(), (stop[at + n - 1] - 1).tolist(), strict=True)
+        return np.frombuffer(b"".join(blake(view[a:b], digest_size=16).digest() for a, b in pairs), np.uint64).reshape(-1, 2)
+
+
+def _hashes(folded: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words; ``folded`` has 8 bytes more than the texts."""
+    block = np.ndarray((len(folded) - 7,), "<u8", folded.data, strides=(1,))
+    size = end - start
+    value = block[start] & _MASKS[np.minimum(size, 8)]
+    # a shorter word's unused top byte holds its length; words of 8 bytes whose top byte looks like one count as long
+    hashes = mix(value | (np.where(size < 8, size, 0).astype(np.uint64) << np.uint64(56)))
+    long = np.flatnonzero((size > 8) | ((size == 8) & (value >> np.uint64(56) < np.uint64(8))))
+    hashes[long] = mix(hashes[long] + size[long].astype(np.uint64) * _ODD)
+    for k in range(8, _BLOCKS, 8):
+        long = long[size[long] > k]
+        if not len(long):
+            return hashes
+        hashes[long] = join(hashes[long], mix(block[start[long] + k] & _MASKS[np.minimum(size[long] - k, 8)]))
+    for i in long[size[long] > _BLOCKS]:
+        hashes[i] = int.from_bytes(hashlib.blake2b(folded[start[i] : end[i]], digest_size=8).digest(), "little")
+    return hashes
+
+
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray, style: WordStyle) -> Words:
@@ -115,9 +151,9 @@ def split_words(data: np.ndarray, offsets: np.ndarray, style: WordStyle) -> Word
     after[offsets[1:][full] - 1] = False
     start = np.flatnonzero(word & ~before)
     end = np.flatnonzero(word & ~after) + 1
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(style.values[data] * _POWERS.upto(len(data)))])
-    value = (sums[end] - sums[start]) * _INVERSES.upto(len(data) + 1)[start]
-    return Words(mix(value ^ ((end - start).astype(np.uint64) * _ODD)), start, end, np.searchsorted(start, offsets))
+    folded = np.zeros(len(data) + 8, np.uint8)
+    folded[: len(data)] = style.fold[data]
+    return Words(_hashes(folded, start, end), start, end, np.searchsorted(start, offsets), folded)
 
 
 @dataclass
