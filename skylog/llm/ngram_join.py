@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +29,10 @@ from .exchange import PACKED, Packer, exchange, partitions, uniform_part
 from .tables import doc_id, keyed, saved
 from .words import LOWER, Chunk, chunks, mix
 
-#: Up to so many ids of documents are broadcast (8 bytes each) to select texts; beyond, they are joined.
-BROADCAST_IDS = 1_000_000
+#: Up to so many row keys (24 bytes each) are broadcast to select texts; beyond, they are joined by a shuffle.
+BROADCAST_IDS = 200_000
+#: Sets that are compared at once; a larger bucket is dealt out in blocks and pairs of blocks.
+BLOCK = 4096
 
 
 def _parts(k: int) -> int:
@@ -178,7 +180,7 @@ def _describe(rows: DataFrame, shingle: int) -> DataFrame:
                 sketches.append(_sketch(elements) if len(elements) else None)
             yield pa.record_batch({"key": pa.array(chunk.column("key")), "salt": pa.array(chunk.column("salt")), "node": pa.array(nodes, pa.int64()), "n": pa.array(ns, pa.int64()), "sketch": pa.array(sketches, pa.binary())})
 
-    return rows.mapInArrow(run, "key long, salt int, node long, n long, sketch binary")
+    return rows.mapInArrow(run, "key long, salt long, node long, n long, sketch binary")
 
 
 def _groups(sign: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,8 +202,8 @@ def _groups(sign: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order[count > 1], count[count > 1]
 
 
-def _members(rows: DataFrame, scheme: PartEnum, shingle: int) -> DataFrame:
-    """(bucket, node): the sets to compare in each bucket of a signature.
+def _members(rows: DataFrame, parts: int, scheme: PartEnum, shingle: int) -> DataFrame:
+    """(bucket, block, blocks, node): the sets to compare in each bucket of a signature, in blocks of ``BLOCK``.
 
     Records of signatures are dealt by signature, those that several sets share then by set: a linked
     pair shares at least ``sure`` signatures of its instance, so each set may leave out its first
@@ -209,7 +211,6 @@ def _members(rows: DataFrame, scheme: PartEnum, shingle: int) -> DataFrame:
     are never sent, and then the most common ones. The others are dealt by
     signature again. Common passages thus cost their records, not pairs of the documents that hold them.
     """
-    parts = partitions(rows)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = Packer(parts, *_SIGNED), set()
@@ -258,21 +259,25 @@ def _members(rows: DataFrame, scheme: PartEnum, shingle: int) -> DataFrame:
         lengths = count[few]
         inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         member = node[np.repeat(start[few], lengths) + inside]
-        columns = [np.repeat(name, lengths), member]
+        columns = [np.repeat(name, lengths), inside // BLOCK, np.repeat(-(-lengths // BLOCK), lengths), member]
         for a in range(0, len(member), 1 << 16):
-            yield pa.record_batch([pa.array(c[a : a + (1 << 16)]) for c in columns], ["bucket", "node"])
+            yield pa.record_batch([pa.array(c[a : a + (1 << 16)]) for c in columns], ["bucket", "block", "blocks", "node"])
 
-    shared = exchange(rows.mapInArrow(send, PACKED), _SIGNED, share, PACKED)
-    kept = exchange(shared, _SHARED, leave_out, PACKED)
-    return exchange(kept, _KEPT, meet, "bucket long, node long").distinct()
+    shared = exchange(rows.mapInArrow(send, PACKED), _SIGNED, share, PACKED, parts)
+    kept = exchange(shared, _SHARED, leave_out, PACKED, parts)
+    return exchange(kept, _KEPT, meet, "bucket long, block long, blocks long, node long", parts).distinct()
 
 
 class _Bucket:
-    """The sets of a bucket, compared by their sizes and sketches, which excludes no linked pair."""
+    """Sets of a bucket, compared by their sizes and sketches, which excludes no linked pair.
 
-    def __init__(self, nodes: list, sizes: list, sketches: list, classes: list, percent: int) -> None:
+    Of two blocks only pairs across them are looked for.
+    """
+
+    def __init__(self, nodes: list, sizes: list, sketches: list, classes: list, blocks: list, percent: int) -> None:
         self.nodes, self.n, self.classes = nodes, np.array(sizes), np.unique(classes, return_inverse=True)[1]
-        self.sketches, self.percent = _same_length(sketches), percent
+        self.sketches, self.percent, self.blocks = _same_length(sketches), percent, np.array(blocks)
+        self.across = self.blocks.min() != self.blocks.max()
 
     def near(self, i: int, others: np.ndarray) -> np.ndarray:
         """Those of the others that may be linked with i."""
@@ -282,10 +287,14 @@ class _Bucket:
         return others[near & (np.maximum(n, m) * self.percent <= np.minimum(n, m) * 100)]
 
     def all_pairs(self) -> Iterator[tuple[int, int]]:
-        """Every near pair of different classes."""
-        for i in range(len(self.nodes) - 1):
-            later = np.arange(i + 1, len(self.nodes))
-            for j in self.near(i, later[self.classes[later] != self.classes[i]]):
+        """Every near pair of different classes; one of the two is outside the largest class."""
+        left = np.ones(len(self.nodes), bool)
+        for i in np.flatnonzero(self.classes != np.bincount(self.classes).argmax()):
+            left[i] = False
+            others = left & (self.classes != self.classes[i])
+            if self.across:
+                others &= self.blocks != self.blocks[i]
+            for j in self.near(i, np.flatnonzero(others)):
                 yield self.nodes[i], self.nodes[j]
 
     def forest(self) -> Iterator[tuple[int, int]]:
@@ -307,47 +316,59 @@ class _Bucket:
                     open_ += list(joined)
 
 
-def _near_pairs(members: DataFrame, classes: DataFrame | None, sketches: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs (a, b), a > b, to verify: of sets in one bucket that are in different classes so far and near by their sketches.
+def _near_pairs(members: DataFrame, parts: int, classes: DataFrame | None, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a > b, to verify: of sets in one bucket that are near by their sketches.
 
-    Pairs are looked for inside the task that holds a bucket; a row is made only for near ones.
+    Without classes, enough pairs to join what the near pairs within a block do; with them, every near
+    pair of sets in different classes. Pairs are looked for inside the task that holds a block, or two
+    blocks of a bucket; a row is made only for near ones.
     """
+    every = classes is not None
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in _and_end(batches):
             if batch is not None:
                 held.append(batch)
-                buckets = batch.column(0).to_numpy()
-                if buckets[-1] == held[0].column(0)[0].as_py():
+                if _place(batch, -1) == _place(held[0], 0):
                     continue
             if not held:
                 continue
             table = pa.Table.from_batches(held)
-            buckets = table.column(0).to_numpy()
-            end = len(buckets) if batch is None else int(np.searchsorted(buckets, buckets[-1]))
-            columns = [table.column(c).slice(0, end).to_pylist() for c in range(1, 5)]
-            cuts = np.flatnonzero(np.diff(buckets[:end], prepend=buckets[0] - 1, append=buckets[end - 1] + 1))
-            pairs = set()
+            places = np.stack([table.column(i).to_numpy() for i in range(3)])
+            changed = np.flatnonzero((places[:, 1:] != places[:, :-1]).any(0)) + 1
+            end = len(table) if batch is None else int(changed[-1])
+            cuts = [0, *(int(c) for c in changed if c < end), end]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                part = [c[a:b] for c in columns]
+                part = [table.column(c).slice(a, b - a).to_pylist() for c in range(3, 8)]
                 if b - a > 1 and len(set(part[3])) > 1:
                     bucket = _Bucket(*part, percent)
-                    pairs.update((max(p), min(p)) for p in (bucket.all_pairs() if every else bucket.forest()))
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in (zip(*pairs, strict=True) if pairs else ([], []))], ["a", "b"])
-            held = [pa.record_batch(c, names=table.column_names) for c in [[table.column(i).slice(end).combine_chunks() for i in range(5)]] if len(c[0])]
-
-    rows = members.select("bucket", "node")
-    if classes is not None:
-        placed = rows.join(classes, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+                    found = bucket.all_pairs() if every else bucket.forest()
+                    while pairs := list(islice(found, _PAIRS)):
+                        yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*((max(p), min(p)) for p in pairs), strict=True)], ["a", "b"])
+            held = table.slice(end).combine_chunks().to_batches()
+
+    rows = members
+    if every:
+        placed = rows.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-        rows = placed.join(several, "bucket")
+        rows = placed.join(several, "bucket", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     else:
-        rows = rows.withColumn("component", F.col("node"))
-    dealt = rows.join(sketches, "node").select("bucket", "node", "n", "sketch", "component").repartition(partitions(members), "bucket").sortWithinPartitions("bucket", "node")
+        rows = rows.withColumns({"component": F.col("node"), "other": F.col("block")})
+    rows = rows.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "component", "block")
+    dealt = rows.join(sketches, "node").select("bucket", "low", "high", "node", "n", "sketch", "component", "block")
+    dealt = dealt.repartition(parts, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
 
+#: Pairs of one row batch.
+_PAIRS = 1 << 16
+
+
+def _place(batch: pa.RecordBatch, i: int) -> tuple:
+    return tuple(batch.column(c)[i].as_py() for c in range(3))
+
+
 def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from (b for b in batches if b.num_rows)
     yield None
@@ -373,7 +394,8 @@ def _linked(pairs: DataFrame, places: DataFrame, rows: DataFrame, percent: int,
     chosen = saved(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(places, "node"))
     if chosen.count() <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
-    content = rows.join(chosen, ["key", "salt"]).select("node", "text").mapInArrow(elements, "node long, elements binary").dropDuplicates(["node"])
+    # written once: a set that is in many pairs can then be dealt out to several tasks
+    content = saved(rows.join(chosen, ["key", "salt"]).select("node", "text").mapInArrow(elements, "node long, elements binary").dropDuplicates(["node"]))
     full = pairs.join(content.toDF("a", "x"), "a").join(content.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return saved(full.mapInArrow(compare, "a long, b long"))
 
@@ -383,24 +405,30 @@ def link_classes(documents: DataFrame, percent: int = 75, shingle: int = 5) -> D
 
     A set holds the distinct ``shingle``-word sequences of a text, its ASCII letters lower-cased; a text
     of fewer words has one, one without words (or null) has none and no links. Two sets are linked when
-    100 * intersection >= ``percent`` * union. Returns key columns, ``doc_id``, ``n_shingles`` and
+    100 * intersection >= ``percent`` * union. Returns key columns, ``doc_id``, ``n_shingles``,
     ``component_id``, the least doc_id reachable by links (its own at least; null doc_ids stay null
-    and never are the least). Equal texts are one set, whatever their number; rows are never paired
-    within a group: a bucket's sets are searched for near pairs that join its classes so far, inside one task.
+    and never are the least), and ``class``, which rows share if and only if they are connected (null
+    without words). Equal texts are one set, whatever their number; rows are never paired within a
+    group. Sets hold 64-bit hashes of their shingles and are told apart by 64 bits of these: what
+    differs is taken for equal by chance only (one pair of 10**9 different sets with a probability of 3 %).
     """
-    scheme, rows = PartEnum(percent), keyed(documents)
+    scheme, rows, parts = PartEnum(percent), keyed(documents), partitions(documents)
     described = saved(_describe(rows, shingle))
-    members = saved(_members(rows, scheme, shingle))
+    members = saved(_members(rows, parts, scheme, shingle))
     nodes = described.where("node is not null").groupBy("node")
     sketches, places = nodes.agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), nodes.agg(F.min(F.struct("key", "salt")).alias("at")).select("node", "at.*")
-    tested = saved(_near_pairs(members, None, sketches, percent, every=False))
+    tested = saved(_near_pairs(members, parts, None, sketches, percent))
     links = _linked(tested, places, rows, percent, shingle)
     classes = saved(components(links))
-    # where a near pair was no link after all, its classes may be linked by another pair
-    rest = saved(_near_pairs(members, classes, sketches, percent, every=True).join(tested, ["a", "b"], "left_anti"))
+    # where a near pair was no link after all, or its sets are in two blocks, the classes may be linked by another pair
+    rest = saved(_near_pairs(members, parts, classes, sketches, percent).join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = _linked(rest, places, rows, percent, shingle)
         classes = saved(components(links.unionByName(more)))
-    named = described.select("key", "salt", "node", "n").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    least = named.where("class is not null").groupBy("class").agg(F.min(doc_id()).alias("least"))
-    return named.join(least, "class", "left").select("key", "salt", doc_id(), F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), doc_id()).otherwise(F.col("least")).alias("component_id"))
+    # tables with one row a key are written before they are joined, so that Spark can split a large class's rows
+    owners = saved(nodes.agg(F.min(doc_id()).alias("own")))
+    least = saved(classes.join(owners, "node").groupBy("component").agg(F.min("own").alias("least")))
+    of_node = saved(owners.join(classes.join(least, "component"), "node", "left").select("node", F.coalesce("component", "node").alias("class"), F.when(F.col("component").isNull(), F.col("own")).otherwise(F.col("least")).alias("component_id")))
+    columns = ["key", "salt", doc_id(), F.col("n").alias("n_shingles")]
+    linked = described.where("node is not null").join(of_node, "node").select(*columns, "component_id", "class")
+    return linked.unionByName(described.where("node is null").select(*columns, doc_id().alias("component_id"), F.lit(None).cast("long").alias("class")))

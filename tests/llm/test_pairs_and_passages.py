@@ -118,6 +118,37 @@ def test_signatures_left_out_once():
             assert met
 
 
+def thue_morse(k):
+    """Two complementary words of 2**k letters, whose polynomial hashes modulo 2**64 are equal from 2**10 on."""
+    word = "a"
+    for _ in range(k):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("k", [10, 11])
+def test_words_that_fool_polynomial_hashes(spark, k):
+    x, y = thue_morse(k)
+    rest = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, x), (2, y), (3, f"{x} {rest}"), (4, f"{y} {rest}"), (5, " ".join(x)), (6, " ".join(y))]
+    assert {r.doc_id: r.component_id for r in ngram_join.link_classes(table(spark, rows[:2])).collect()} == {1: 1, 2: 2}
+    kept = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(table(spark, rows[2:4])).collect()}
+    assert kept == {3: 0, 4: 0}
+    words = [t.split() for _, t in rows[4:]]
+    count = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    for r in substring_dedup.remove_repeats(table(spark, rows[4:])).collect():
+        w = words[r.doc_id - 5]
+        hit = {p for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for p in range(i, i + 35)}
+        assert r.n_removed == len(hit)
+
+
+def test_buckets_in_blocks(spark, monkeypatch):
+    """A bucket of near copies that is dealt out in small blocks gives the same classes."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    test_large_groups_of_copies(spark)
+    test_link_classes(spark, 2)
+
+
 def test_link_classes_of_nothing(spark):
     assert ngram_join.link_classes(table(spark, [])).count() == 0
     assert [r.component_id for r in ngram_join.link_classes(table(spark, [(3, None)])).collect()] == [3]
