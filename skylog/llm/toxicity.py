@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .tables import doc_id, keyed
 from .words import ALNUM, Chunk, chunks
@@ -115,6 +116,24 @@ def fit(documents: DataFrame, labels: DataFrame, limit: int = 6000, rounds: int
     return Model(known, w, float(b))
 
 
+def _scored(model: Model, chunk: Chunk, from_score: float) -> tuple[pa.Array, pa.Array]:
+    """Score and offending sentences of each text of a chunk."""
+    words, sentence = _sentences(chunk)
+    start = np.flatnonzero(np.diff(sentence, prepend=-1))
+    z = np.clip(model.bias + (np.add.reduceat(model.weigh(words.hash), start) if len(start) else np.empty(0)), -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    row = words.text_of[start]
+    safe = np.zeros(len(chunk.rows))
+    np.add.at(safe, row, np.log1p(-p))
+    safe[np.bincount(row, minlength=len(safe)) == 0] = np.log1p(-1 / (1 + np.exp(-model.bias)))
+    spans: list[list[dict]] = [[] for _ in range(len(chunk.rows))]
+    last = np.append(start[1:], len(words.hash)) - 1
+    for i in np.flatnonzero(p >= from_score):
+        base = chunk.offsets[row[i]]
+        spans[row[i]].append({"start": int(words.start[start[i]] - base), "end": int(words.end[last[i]] - base), "score": float(p[i])})
+    return pa.array(1 - np.exp(safe)), pa.array(spans, _SPANS)
+
+
 def score(documents: DataFrame, model: Model, from_score: float = 0.5) -> DataFrame:
     """Scores whole texts. Returns key columns, ``doc_id``, ``score`` (0 to 1) and ``offending``.
 
@@ -125,25 +144,24 @@ def score(documents: DataFrame, model: Model, from_score: float = 0.5) -> DataFr
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
         for chunk in chunks(batches):
-            words, sentence = _sentences(chunk)
-            start = np.flatnonzero(np.diff(sentence, prepend=-1))
-            z = np.clip(model.bias + (np.add.reduceat(model.weigh(words.hash), start) if len(start) else np.empty(0)), -30, 30)
-            p = 1 / (1 + np.exp(-z))
-            row = words.text_of[start]
-            safe = np.zeros(len(chunk.rows))
-            np.add.at(safe, row, np.log1p(-p))
-            safe[np.bincount(row, minlength=len(safe)) == 0] = np.log1p(-1 / (1 + np.exp(-model.bias)))
-            spans: list[list[dict]] = [[] for _ in range(len(chunk.rows))]
-            last = np.append(start[1:], len(words.hash)) - 1
-            for i in np.flatnonzero(p >= from_score):
-                base = chunk.offsets[row[i]]
-                spans[row[i]].append({"start": int(words.start[start[i]] - base), "end": int(words.end[last[i]] - base), "score": float(p[i])})
-            yield pa.record_batch({"key": pa.array(chunk.column("key")), "salt": pa.array(chunk.column("salt")), "score": pa.array(1 - np.exp(safe)), "offending": pa.array(spans, _SPANS)})
-
-    out = keyed(documents).mapInArrow(run, "key long, salt int, score double, offending array<struct<start:long,end:long,score:double>>")
+            scores, spans = _scored(held.value, chunk, from_score)
+            yield pa.record_batch({"key": pa.array(chunk.column("key")), "salt": pa.array(chunk.column("salt")), "score": scores, "offending": spans})
+
+    out = keyed(documents).mapInArrow(run, "key long, salt long, score double, offending array<struct<start:long,end:long,score:double>>")
     return out.select("key", "salt", doc_id(), "score", "offending")
 
 
+def score_rows(documents: DataFrame, model: Model) -> DataFrame:
+    """``row``, each row of the documents as a struct of all its columns, and its ``score``: no shuffle to bring them together."""
+    held = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            yield pa.record_batch([chunk.rows.column(0), _scored(held.value, chunk, 2.0)[0]], ["row", "score"])
+
+    rows = documents.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], StructField("score", DoubleType())]))
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
