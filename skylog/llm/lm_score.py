@@ -1,11 +1,15 @@
 """Cross-entropy difference of documents under a target and a background language model.
 
-Both models are interpolated bigram models of the same form over one shared vocabulary: the words
-that make up at least ``rarest_word`` of all words of the background. By its definition it has no more
-than 1 / ``rarest_word`` members, so it may be broadcast whatever the corpus; all others are one
-unknown word. Bigrams with a share of at least ``rarest_pair`` keep their own counts, the others fall
-back on their second word. Counts come from all texts. A document's score is the mean over its words
-of background loss minus target loss: the higher, the more it is like the target.
+Both models are interpolated bigram models of the same form over one shared vocabulary, the words of all
+counted texts: p(w | v) = weight * c(v, w) / c(v) + (1 - weight) * p(w) and p(w) = (c(w) + 1) / (n + kinds + 1),
+where one place is kept for unknown words. After a word that a model has not seen, p(w) is all there
+is. The start of a text is a context like a word, its end the rest of its last word's probability, so
+each context's probabilities add up to 1. Every word and every pair keeps its own count.
+
+Counts are never brought together whole: documents are gathered in groups of bounded size, each group
+asks for the counts of the words and pairs it holds, and partitions by name add up and answer. A
+document's score is the mean over its words of background loss minus target loss: the higher, the more
+it is like the target.
 """
 
 from __future__ import annotations
@@ -18,146 +22,216 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import doc_id, keyed
-from .words import LOWER, Chunk, chunks, mix
+from .exchange import input_bytes, partitions, uniform_part
+from .tables import doc_id, keyed, saved
+from .words import LOWER, Words, chunks, join
 
-_UNKNOWN = np.uint64(1)
-#: Marks the start of a text as the first word's predecessor.
-_START = np.uint64(2)
-#: Counts are added up inside a task until so many different ones are held.
-_HELD = 1 << 20
+#: Input of one group of documents; a document is never split.
+GROUP_BYTES = 4 << 20
+#: Names of words are even, those of pairs odd; this one is the start of a text.
+_START = np.uint64(0)
+_PAIR = np.uint64(1)
+#: Names one after the other and, where they are counted, their counts in target and background.
+_ROWS = "part int, chunk long, counted boolean, data binary"
+#: Names that one row of a written model holds.
+_ROW_NAMES = 1 << 19
 
 
 @dataclass
 class Models:
-    """Sorted names (hashes) of words and pairs with their counts in the target and in the background."""
+    """Counts of words and pairs in target and background, written by partition of their names."""
 
-    words: np.ndarray
-    word_counts: np.ndarray
-    pairs: np.ndarray
-    pair_counts: np.ndarray
-    totals: np.ndarray
-    weight: float = 0.6
+    counts: DataFrame
+    parts: int
 
-    def losses(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """-ln p of each word after the one before it, under target and background (2 x words)."""
-        single = (self._counts(self.words, self.word_counts, word) + 1) / (self.totals + len(self.words) + 1)[:, None]
-        context = self._counts(self.words, self.word_counts, before)
-        pair = self._counts(self.pairs, self.pair_counts, _pair(before, word))
-        known = np.where(context > 0, pair / np.maximum(context, 1), single)
-        return -np.log(self.weight * known + (1 - self.weight) * single)
 
-    @staticmethod
-    def _counts(names: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        if not len(names):
-            return np.zeros((2, len(asked)))
-        at = np.minimum(np.searchsorted(names, asked), len(names) - 1)
-        return counts[:, at] * (names[at] == asked)
+def _named(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of each word, of its predecessor, and of the pair."""
+    word = words.hash & ~_PAIR
+    before = np.concatenate([[_START], word[:-1]])[: len(word)]
+    before[words.first[:-1][np.diff(words.first) > 0]] = _START
+    return word, before, join(before, word) | _PAIR
+
 
+def _gathered(group: pa.Table):
+    """All texts of a group as one chunk."""
+    return next(chunks(group.combine_chunks().to_batches(), limit=1 << 62))
 
-def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(before * np.uint64(3) ^ word)
 
+def _rows(parts: int, chunk: int | None, names: np.ndarray, *counts: np.ndarray) -> pa.Table:
+    """One row for each partition of the sorted names, those without a name too."""
+    cuts = np.searchsorted(uniform_part(names, parts), np.arange(parts + 1, dtype=np.uint64))
+    data = [b"".join(x[a:b].tobytes() for x in (names, *counts)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.table({"part": pa.array(range(parts), pa.int32()), "chunk": pa.array([chunk] * parts, pa.int64()), "counted": pa.array([bool(counts)] * parts), "data": pa.array(data, pa.binary())})
 
-def _in_vocabulary(chunk: Chunk, vocabulary: np.ndarray):
-    """Words of the chunk with unknown ones replaced, and each one's predecessor."""
+
+def _counted(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted names of a group with their counts in texts of the target and in all."""
+    chunk = _gathered(group)
     words = chunk.words(LOWER)
-    at = np.minimum(np.searchsorted(vocabulary, words.hash), max(len(vocabulary) - 1, 0))
-    named = np.where(vocabulary[at] == words.hash, words.hash, _UNKNOWN) if len(vocabulary) else np.full(len(words.hash), _UNKNOWN)
-    before = np.concatenate([[_START], named[:-1]])[: len(named)]
-    before[words.first[:-1][np.diff(words.first) > 0]] = _START
-    return words, before, named
+    word, _, pair = _named(words)
+    full = np.flatnonzero(np.diff(words.first))
+    names, at = np.unique(np.concatenate([word, pair, np.full(len(full), _START)]), return_inverse=True)
+    of, row = chunk.column("target").astype(bool), words.text_of
+    target = np.bincount(at, of[np.concatenate([row, row, full])], len(names))
+    return names, target.astype(np.uint64), np.bincount(at, minlength=len(names)).astype(np.uint64)
+
+
+def _added(held: list) -> list[np.ndarray]:
+    """Sorted names and their sums in the counted rows."""
+    columns = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.empty(0, np.uint64)] * 3
+    if not len(columns[0]):
+        return columns
+    names, target, total = columns
+    order = np.argsort(names, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], np.diff(names[order]) != 0]))
+    return [names[order][start], np.add.reduceat(target[order], start), np.add.reduceat(total[order], start)]
+
+
+def _unpacked(data, columns: int) -> np.ndarray:
+    return np.frombuffer(data.as_buffer(), np.uint64).reshape(columns, -1)
+
+
+def _answers(asked: DataFrame, parts: int) -> DataFrame:
+    """(chunk, part, data) for each asking row: the partition's totals, then the counts of the names in their order."""
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, asking, part = [], [], None
+        for batch in batches:
+            for chunk, counted, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                values = _unpacked(data, 3 if counted else 1)
+                if counted:
+                    held.append(values)
+                if chunk is not None:
+                    asking.append((chunk, values[0]))
+            part = batch.column(0)[0].as_py()
+        names, *counts = _added(held)
+        word = (names & _PAIR == 0) & (names != _START)
+        totals = np.array([counts[0][word].sum(), counts[1][word].sum(), word.sum()], np.uint64).tobytes()
+        for chunk, wanted in asking:
+            found = np.zeros((2, len(wanted)), np.uint64)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+                known = names[at] == wanted
+                found[:, known] = [c[at[known]] for c in counts]
+            yield pa.record_batch([pa.array([chunk]), pa.array([part], pa.int32()), pa.array([totals + found.tobytes()], pa.binary())], ["chunk", "part", "data"])
+
+    return asked.repartitionById(parts, "part").mapInArrow(answer, "chunk long, part int, data binary")
+
+
+def _of(doc: np.ndarray, name: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often each (document, name) occurs, at each of its places; these sorted, and their numbers."""
+    pairs, at, n = np.unique(doc * kinds + name, return_inverse=True, return_counts=True)
+    return n[at], pairs, n
+
+
+def _losses(group: pa.Table, answers: pa.Table, weight: float, within: bool) -> pa.Table:
+    """Losses of a group's documents from the answers of all partitions."""
+    chunk = _gathered(group)
+    words = chunk.words(LOWER)
+    word, before, pair = _named(words)
+    names, at = np.unique(np.concatenate([word, pair, [_START]]), return_inverse=True)
+    w, p = at[: len(word)], at[len(word) : -1]
+    data = [np.frombuffer(x.as_buffer(), np.uint64) for x in answers.sort_by("part").column("data")]
+    totals = np.sum([d[:3] for d in data], axis=0).astype(np.float64)
+    counts = np.concatenate([d[3:].reshape(2, -1) for d in data], axis=1).astype(np.float64)
+    doc, n = words.text_of, np.diff(words.first)
+    new = before == _START
+    v = np.concatenate([[0], w[:-1]])[: len(w)]
+    v[new] = 0  # the start's name is the least of all
+    own_pair = own_word = own_before = own_n = np.zeros(len(w))
+    if within and len(w):
+        own_pair = _of(doc, p, len(names))[0]
+        own_word, kinds, times = _of(doc, w, len(names))
+        own_before = np.where(new, 1, times[np.minimum(np.searchsorted(kinds, doc * len(names) + v), len(kinds) - 1)])
+        own_n = n[doc]
+    out = []
+    for i, mine in enumerate((chunk.column("target").astype(bool)[doc], np.ones(len(doc)))):
+        single = (counts[i, w] - own_word * mine + 1) / (totals[i] - own_n * mine + totals[2] + 1)
+        context = counts[i, v] - own_before * mine
+        likely = np.where(context > 0, weight * (counts[i, p] - own_pair * mine) / np.maximum(context, 1) + (1 - weight) * single, single)
+        out.append(np.bincount(doc, -np.log(likely), len(n)) / np.maximum(n, 1))
+    none = n == 0
+    return pa.table({
+        "key": pa.array(chunk.column("key")), "salt": pa.array(chunk.column("salt")), "n_tokens": pa.array(n, pa.int64()),
+        "loss_target": pa.array(out[0], mask=none), "loss_background": pa.array(out[1], mask=none), "score": pa.array(out[1] - out[0], mask=none),
+    })
+
+
+def _grouped(documents: DataFrame, target: DataFrame | None, broadcast_ids: int = 0) -> tuple[DataFrame, int]:
+    """Rows (chunk, key, salt, text, target) dealt out by the number of their group, and the partitions."""
+    rows, parts = keyed(documents), partitions(documents)
+    if target is None:
+        rows = rows.withColumn("target", F.lit(False))
+    else:
+        ids = target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key")).distinct().withColumn("target", F.lit(True))
+        if ids.count() <= broadcast_ids:
+            ids = F.broadcast(ids)
+        rows = rows.join(ids, "key", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    groups = max(parts, -(-input_bytes(documents) // GROUP_BYTES))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("key", "salt"), F.lit(groups).cast("long")))
+    return rows.select("chunk", "key", "salt", "text", "target").repartition(parts, "chunk"), parts
+
+
+def fit(documents: DataFrame, target: DataFrame, broadcast_ids: int = 1_000_000) -> Models:
+    """Counts both models over all documents; those whose doc_id is in ``target`` make the target model.
 
+    Null texts have no words. Ids of the target are broadcast up to ``broadcast_ids`` of them and joined
+    by a shuffle beyond. Without a target, or without words, the models still give finite losses. The
+    counts are written to the shared folder, for any number of tables to be scored.
+    """
+    rows, parts = _grouped(documents, target, broadcast_ids)
+    count = lambda group: _rows(parts, None, *_counted(group))
 
-def _counted(texts: DataFrame, names) -> DataFrame:
-    """name, target and background: how often ``names(chunk)`` gives each name in rows of the target, and in all."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, part = [], None
+        for batch in batches:
+            part = batch.column(0)[0].as_py()
+            held += [_unpacked(x, 3) for x in batch.column(3)]
+        sums = _added(held)
+        for a in range(0, len(sums[0]), _ROW_NAMES):
+            data = b"".join(x[a : a + _ROW_NAMES].tobytes() for x in sums)
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.array([True]), pa.array([data], pa.binary())], ["part", "chunk", "counted", "data"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    return Models(saved(rows.groupBy("chunk").applyInArrow(count, _ROWS).repartitionById(parts, "part").mapInArrow(add, _ROWS)), parts)
 
-        def added() -> pa.RecordBatch:
-            name, target, total = (np.concatenate(c) for c in zip(*held, strict=True))
-            kinds, at = np.unique(name, return_inverse=True)
-            return pa.record_batch({"name": pa.array(kinds.view(np.int64)), "target": pa.array(np.bincount(at, target).astype(np.int64)), "background": pa.array(np.bincount(at, total).astype(np.int64))})
 
-        for chunk in chunks(batches):
-            name, row = names(chunk)
-            kinds, at, n = np.unique(name, return_inverse=True, return_counts=True)
-            held.append((kinds, np.bincount(at, chunk.column("target").astype(bool)[row], len(kinds)), n))
-            size += len(kinds)
-            if size > _HELD:
-                yield added()
-                held, size = [], 0
-        if held:
-            yield added()
+def score(documents: DataFrame, models: Models, weight: float = 0.6) -> DataFrame:
+    """Scores documents by models of other texts.
 
-    return texts.mapInArrow(count, "name long, target long, background long").groupBy("name").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    Returns key columns, ``doc_id``, ``n_tokens``, mean ``loss_target`` and ``loss_background``, and
+    ``score``, their difference. Texts without words (null ones too) have no losses and score null;
+    repeated rows score alike.
+    """
+    rows, parts = _grouped(documents, None)
+    names = models.parts
 
+    def ask(group: pa.Table) -> pa.Table:
+        return _rows(names, group.column("chunk")[0].as_py(), _counted(group)[0])
 
-def _frequent(counted: DataFrame, total: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """Names that are at least ``share`` of the background (at most 1 / share of them), and their counts."""
-    rows = counted.where(F.col("background") >= max(1.0, share * total)).toPandas()
-    names = rows["name"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(names)
-    return names[order], rows[["target", "background"]].to_numpy(np.float64).T[:, order]
+    asked = rows.groupBy("chunk").applyInArrow(ask, _ROWS).unionByName(models.counts)
+    return _finished(rows, parts, _answers(asked, names), weight, within=False)
 
 
-def fit(documents: DataFrame, target: DataFrame, rarest_word: float = 1e-5, rarest_pair: float = 2e-6, broadcast_ids: int = 1_000_000) -> Models:
-    """Counts both models over all documents; those whose doc_id is in ``target`` make the target model.
+def score_within(documents: DataFrame, target: DataFrame, weight: float = 0.6, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """Scores each document by models of all the others; those whose doc_id is in ``target`` make the target model.
 
-    Both counts hold every word of every text; null texts have none. Ids of the target are broadcast
-    up to ``broadcast_ids`` of them and joined by a shuffle beyond. Without a target, or without
-    words, the models still give finite losses.
-    """
-    ids = target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key")).distinct().withColumn("target", F.lit(True))
-    if ids.count() <= broadcast_ids:
-        ids = F.broadcast(ids)
-    texts = keyed(documents).join(ids, "key", "left").select(F.coalesce("target", F.lit(False)).alias("target"), "text")
-
-    def words(chunk: Chunk):
-        found = chunk.words(LOWER)
-        return found.hash, found.text_of
-
-    singles = _counted(texts, words).cache()
-    totals = singles.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("background"), F.lit(0))).first()
-    names, counts = _frequent(singles, totals[1], rarest_word)
-    singles.unpersist()
-    held = documents.sparkSession.sparkContext.broadcast(names)
-
-    def pairs(chunk: Chunk):
-        found, before, named = _in_vocabulary(chunk, held.value)
-        known = (before != _UNKNOWN) & (named != _UNKNOWN)
-        return _pair(before[known], named[known]), found.text_of[known]
-
-    pair_names, pair_counts = _frequent(_counted(texts, pairs), totals[1], rarest_pair)
-    total = np.array(totals, np.float64)
-    extra = np.stack([total - counts.sum(1), total]).T  # the unknown word; the start, before at most as many words
-    every = np.concatenate([names, [_UNKNOWN]])
-    every_counts = np.concatenate([counts, extra[:, :1]], 1)
-    order = np.argsort(every)
-    return Models(every[order], every_counts[:, order], pair_names, pair_counts, total)
-
-
-def score(documents: DataFrame, models: Models) -> DataFrame:
-    """Key columns, ``doc_id``, ``n_tokens``, mean ``loss_target`` and ``loss_background``, and ``score``, their difference.
-
-    Texts without words (null ones too) have no losses and score null; repeated rows score alike.
+    A document's own counts are taken out of both models before it is scored, so that it isn't known by
+    itself; one that occurs twice is known by its copy. Counting and scoring take one exchange. For the
+    rest it is as ``fit`` and ``score``.
     """
-    held = documents.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = held.value
-        vocabulary = models.words[models.words != _UNKNOWN]
-        for chunk in chunks(batches):
-            words, before, named = _in_vocabulary(chunk, vocabulary)
-            losses = models.losses(before, named)
-            n = np.diff(words.first)
-            target, background = (np.bincount(words.text_of, x, len(n)) / np.maximum(n, 1) for x in losses)
-            none = n == 0
-            yield pa.record_batch({
-                "key": pa.array(chunk.column("key")), "salt": pa.array(chunk.column("salt")), "n_tokens": pa.array(n, pa.int64()),
-                "loss_target": pa.array(target, mask=none), "loss_background": pa.array(background, mask=none), "score": pa.array(background - target, mask=none),
-            })
-
-    out = keyed(documents).mapInArrow(run, "key long, salt long, n_tokens long, loss_target double, loss_background double, score double")
+    rows, parts = _grouped(documents, target, broadcast_ids)
+
+    def ask(group: pa.Table) -> pa.Table:
+        return _rows(parts, group.column("chunk")[0].as_py(), *_counted(group))
+
+    return _finished(rows, parts, _answers(rows.groupBy("chunk").applyInArrow(ask, _ROWS), parts), weight, within=True)
+
+
+_SCORES = "key long, salt long, n_tokens long, loss_target double, loss_background double, score double"
+
+
+def _finished(rows: DataFrame, parts: int, answers: DataFrame, weight: float, within: bool) -> DataFrame:
+    losses = lambda group, found: _losses(group, found, weight, within)
+    out = rows.groupBy("chunk").cogroup(answers.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(losses, _SCORES)
     return out.select("key", "salt", doc_id(), "n_tokens", "loss_target", "loss_background", "score")

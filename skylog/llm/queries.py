@@ -78,7 +78,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     good = read(spark, sf_dir, "labels").where("quality = 1")
-    return lm_score.score(documents, lm_score.fit(documents, good)).drop("key", "salt")
+    return lm_score.score_within(documents, good).drop("key", "salt")
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

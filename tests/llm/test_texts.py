@@ -234,27 +234,67 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(table(spark, []), model).count() == 0
 
 
-def test_lm_scores(spark):
+def brute_losses(counted, scored, target, within, weight=0.6):
+    """Mean losses of each scored row under target and background, from plain counts of the counted rows."""
+    split = lambda t: ["", *(t or "").encode().lower().split()]
+    out = []
+    kinds = {w for _, t in counted for w in split(t)[1:]}
+    for d, t in scored:
+        words, losses = split(t), []
+        for target_only in (True, False):
+            texts = [split(x) for i, x in counted if not target_only or i in target]
+            c, pairs = Counter(), Counter()
+            for x in texts:
+                c.update(x if len(x) > 1 else [])
+                pairs.update(zip(x, x[1:]))
+            if within and (not target_only or d in target) and len(words) > 1:
+                c.subtract(words)
+                pairs.subtract(zip(words, words[1:]))
+            n = sum(k for w, k in c.items() if w)
+            total = 0.0
+            for v, w in zip(words, words[1:]):
+                single = (c[w] + 1) / (n + len(kinds) + 1)
+                total -= np.log(weight * pairs[v, w] / c[v] + (1 - weight) * single if c[v] > 0 else single)
+            losses.append(total / (len(words) - 1) if len(words) > 1 else None)
+        out.append((d, len(words) - 1, *losses))
+    return out
+
+
+def rounded(rows):
+    return Counter(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows)
+
+
+def test_lm_losses_are_those_of_plain_counts(spark):
+    random.seed(8)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(40).collect()]
+    odd = [(i, "w x " * 300 if i == 6 else t) for i, t in ODD]
+    rows, target = docs + odd + [(5000, docs[3][1]), (5001, "Start only")], {d for d, _ in docs[::3]} | {4, 5000}
+    ids = spark.createDataFrame([(i,) for i in target] + [(None,)], "doc_id long")
+    columns = ("doc_id", "n_tokens", "loss_target", "loss_background")
+    got = lm_score.score_within(table(spark, rows), ids)
+    assert rounded(got.select(*columns).collect()) == rounded(brute_losses(rows, rows, target, True))
+    assert got.where("n_tokens > 0 and abs(loss_background - loss_target - score) > 1e-9 or n_tokens = 0 and score is not null").count() == 0
+    models = lm_score.fit(table(spark, rows[:30]), ids)
+    assert rounded(lm_score.score(table(spark, rows), models).select(*columns).collect()) == rounded(brute_losses(rows[:30], rows, target, False))
+
+
+def test_lm_scores_of_nothing(spark):
+    target = spark.createDataFrame([(1,)], "doc_id long")
+    empty = lm_score.fit(table(spark, []), target)
+    got = lm_score.score(table(spark, ODD), empty).collect()
+    assert len(got) == len(ODD) and all(np.isfinite(r.score) if r.n_tokens else r.score is None for r in got)
+    assert lm_score.score_within(table(spark, []), target).count() == 0
+    assert lm_score.score(table(spark, []), lm_score.fit(table(spark, ODD), target)).count() == 0
+
+
+def test_lm_scores_tell_the_target(spark):
     random.seed(8)
     good = [f"alpha beta g{i % 7} delta" for i in range(30)]
     bad = [f"zeta eta b{i % 7} iota" for i in range(30)]
     rows = [(i, " ".join(random.choices(good if i % 2 else bad, k=20))) for i in range(200)]
-    target = spark.createDataFrame([(i,) for i in range(1, 120, 2)] + [(None,)], "doc_id long")
-    models = lm_score.fit(table(spark, rows + ODD), target)
-    scores = {r.doc_id: r.score for r in lm_score.score(table(spark, rows), models).collect()}
+    target = spark.createDataFrame([(i,) for i in range(1, 120, 2)], "doc_id long")
+    scores = {r.doc_id: r.score for r in lm_score.score_within(table(spark, rows), target).collect()}
     assert min(scores[i] for i in range(1, 200, 2)) > max(scores[i] for i in range(0, 200, 2))
-    odd = lm_score.score(table(spark, ODD), models).collect()
-    assert len(odd) == len(ODD) and sum(r.score is None for r in odd) == 3 and sum(r.n_tokens for r in odd) == 40_000 + 3 * 2 + 2 + 2 + 3
-    empty = lm_score.fit(table(spark, []), target)
-    assert all(np.isfinite(r.score) for r in lm_score.score(table(spark, ODD), empty).collect() if r.n_tokens)
-    assert lm_score.score(table(spark, []), models).count() == 0
-
-
-def test_lm_counts_are_those_of_all_texts(spark):
-    rows = [(1, "a b a b c"), (2, "a b"), (3, "b a")]
-    models = lm_score.fit(table(spark, rows), spark.createDataFrame([(1,)], "doc_id long"), rarest_word=0, rarest_pair=0)
-    assert models.totals.tolist() == [5, 9] and sorted(models.word_counts[1].tolist()) == [0, 1, 4, 4]
-    assert models.pair_counts[1].sum() == 9 and models.pair_counts[0].sum() == 5
 
 
 def test_near_copies_keep_every_row_without_words(spark):
