@@ -16,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,21 +26,38 @@ from pyspark.sql import functions as F
 RAW = "script|style|noscript|template|iframe|object|svg|math|textarea|select|title"
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements and class or id words of what is not article text.
+#: Elements, and class, id or role words, of what is not article text; those of headers count outside of articles only.
 SECTIONS = frozenset("article aside body dialog div footer form head header main nav section".split())
 OTHER = frozenset("nav aside footer form button dialog menu".split())
-OTHER_CLASSES = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer menu nav navbar newsletter notice popup promo related share sharing sidebar social sponsor sponsored subscribe".split())
+OTHER_CLASSES = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies footer gdpr menu modal nav navbar navigation newsletter notice popup promo related share sharing sidebar social sponsor sponsored subscribe".split())
+HEADERS = frozenset("header masthead".split())
+#: Elements that are the article or hold it; their class doesn't make them other.
+WHOLE = frozenset("html body main article".split())
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-_MARK = re.compile(r"\b(?:class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+# A tag's quotes are such after "=" only, and an unclosed tag, comment or raw element reaches to the end:
+# every "<" that begins a token also ends one, so that a page is read in one pass.
+_ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))*+(?:>|\Z)"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]|\Z){_ATTRIBUTES}.*?(?:</\1(?=[\s/>]|\Z)[^>]*+(?:>|\Z)|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})|<[!?/][^>]*+(?:>|\Z)", re.S | re.I)
+_MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 #: A token: start and end in the page, tag name ("" for text, "!" for what is skipped), 1 if it closes, marked as other, number of words, container.
 Token = tuple[int, int, str, int, bool, int, str]
 
 
+def _is_other(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element holds no article text, by its name and its class, id or role."""
+    if name in OTHER or name in HEADERS and not in_article:
+        return True
+    if name in WHOLE or "=" not in attributes:
+        return False
+    words = {w for a in _MARK.findall(attributes) for w in re.split(r"[^a-z]+", a.lower())}
+    return not words.isdisjoint(OTHER_CLASSES) or not in_article and not words.isdisjoint(HEADERS)
+
+
 def tokens(page: str) -> list[Token]:
+    """The page's tokens, in one pass over it."""
     out: list[Token] = []
-    inside, last = ["body"], 0
+    inside, open_, last = ["body"], {}, 0
 
     def text(start: int, end: int) -> None:
         if end > start:
@@ -48,11 +66,15 @@ def tokens(page: str) -> list[Token]:
     for m in _TOKEN.finditer(page):
         text(last, m.start())
         name = (m[3] or "!").lower()
-        marked = name in OTHER or bool(m[4]) and any(w in OTHER_CLASSES for a in _MARK.findall(m[4]) for w in re.split(r"[^a-z]+", a.lower()))
+        marked = name != "!" and not m[2] and _is_other(name, m[4], bool(open_.get("article") or open_.get("main")))
         if name in SECTIONS and not m[2]:
+            open_.setdefault(name, []).append(len(inside))
             inside.append(name + "*" * marked)
-        elif m[2] and (open_ := [k for k, x in enumerate(inside) if k and x.rstrip("*") == name]):
-            del inside[open_[-1] :]
+        elif m[2] and open_.get(name):
+            depth = open_[name][-1]
+            for closed in inside[depth:]:
+                open_[closed.rstrip("*")].pop()
+            del inside[depth:]
         out.append((m.start(), m.end(), name, int(bool(m[2])), marked, 0, ""))
         last = m.end()
     text(last, len(page))
@@ -110,43 +132,62 @@ def learn(pages: list[str], rounds: int = 12, step: float = 0.5) -> Weights:
     return weights
 
 
+def _skipped(found: list[Token], a: int, b: int) -> dict[int, int]:
+    """Begin and end of what marked elements hold of the region from a to b, but for those with more than half of its words."""
+    words = [0, *accumulate(t[5] for t in found)]
+    open_: dict[str, list[int]] = {}
+    out: dict[int, int] = {}
+    for i, (_, _, name, closes, *_) in enumerate(found):
+        if not closes and name not in VOID:
+            open_.setdefault(name, []).append(i)
+        elif closes and open_.get(name):
+            begin = open_[name].pop()
+            marked, begin, end = found[begin][4], max(begin, a), min(i, b - 1)
+            if marked and begin <= end and 2 * (words[end + 1] - words[begin]) <= words[b] - words[a]:
+                out[begin] = max(end, out.get(begin, end))
+    return out
+
+
 def main_text(page: str, weights: Weights) -> str:
-    """The text of the page's best region: blocks joined by line feeds, white space within one as a space."""
+    """The text of the page's best region: blocks joined by line feeds, white space within one as a space.
+
+    Elements marked as other are left out, but for one with more than half of the region's words.
+    """
     found = tokens(page)
     a, b = region([weights.of(t) for t in found])
-    blocks, now, i = [], [], a
+    skipped, blocks, now, i = _skipped(found, a, b), [], [], a
     while i < b:
-        start, end, name, closes, marked = found[i][:5]
+        start, end, name = found[i][:3]
         if name == "":
-            now.append(page[start:end])
+            if i not in skipped:
+                now.append(page[start:end])
         elif name != "!":
             if name == "br" or name in BLOCKS:
                 now.append(" ")
             if name in BLOCKS:
                 blocks.append("".join(now))
                 now = []
-            if marked and not closes and name not in VOID:
-                depth = 0
-                for j in range(i, b):
-                    if found[j][2] == name:
-                        depth += -1 if found[j][3] else 1
-                        if not depth:
-                            i = j
-                            break
-        i += 1
+        i = skipped.get(i, i) + 1
     blocks.append("".join(now))
     return "\n".join(t for t in (" ".join(html.unescape(x).split()) for x in blocks) if t)
 
 
-def fit(pages: DataFrame, limit: int = 1000, longest: int = 200_000) -> Weights:
+def fit(pages: DataFrame, limit: int = 1000, longest: int = 200_000, budget: int = 20_000_000) -> Weights:
     """Learns from ``limit`` self-labelled pages of at most ``longest`` characters, those with the least hashes (the documented bound).
 
-    Hashes alone are ranked; pages are brought to the driver once they are chosen.
+    Of these it takes as many as have ``budget`` characters together: all, but for pages that are long on
+    average. Hashes alone are ranked; pages are brought to the driver once they are chosen.
     """
     labelled = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").contains("<article") & (F.length("html") <= longest))
     hashed = labelled.select("html", F.xxhash64("html").alias("h"))
     last = hashed.select("h").distinct().orderBy("h").limit(limit).agg(F.max("h")).first()[0]
-    return learn([r.html for r in hashed.where(F.col("h") <= last).select("html").distinct().orderBy("html").toLocalIterator()] if last is not None else [])
+    chosen: list[str] = []
+    for r in hashed.where(F.col("h") <= last).distinct().orderBy("h", "html").toLocalIterator() if last is not None else ():
+        budget -= len(r.html)
+        if budget < 0:
+            break
+        chosen.append(r.html)
+    return learn(chosen)
 
 
 def extract(pages: DataFrame, weights: Weights) -> DataFrame:

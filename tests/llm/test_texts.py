@@ -161,6 +161,33 @@ def test_main_text(spark):
 def test_region():
     assert html_text.region([1, -5, 2, 3, -1, 2, -9, 4]) == (2, 6)
     assert html_text.region([-1, -2]) == (0, 0) and html_text.region([]) == (0, 0)
+    random.seed(12)
+    for _ in range(300):
+        scores = [random.randint(-4, 4) for _ in range(random.randint(0, 25))]
+        every = [(sum(scores[a:b]), -a, -b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        best = max(every, default=(0, 0, 0))
+        a, b = html_text.region(scores)
+        assert sum(scores[a:b]) == max(0, best[0])
+
+
+def test_tags_as_browsers_read_them():
+    weights = html_text.Weights({}, {}, (-0.01, 1.0))
+    texts = {
+        "<p title=it's>I don't know</p>": "I don't know", "<p a='x>y' b=\"1>2\" c = z>text</p>": "text", "one <a href=x>two</a <b>three": "one twothree", "a <b title=\"open>lost": "a",
+        "<div id='nav-bar'>no</div><p>yes more words here</p>": "yes more words here", "<header>Site name</header><article><header><h1>Title</h1></header><p>All the words</p></article>": "Title\nAll the words",
+        "<div class='page with-sidebar'><p>most of the words</p></div>": "most of the words", "x<!-- a -- > b -->y": "xy", "<svg><title>t</title></svg>word": "word", "1 < 2 & 3 &gt; 2": "1 < 2 & 3 > 2", "a</ >b<!x>c<?y?>d": "abcd",
+    }
+    for page, text in texts.items():
+        assert html_text.main_text(page, weights) == text, page
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a b='", "<!", "</", "<script>", "<nav>", "<div class=ad>", "</section>", "<div></section>", "<svg ", "&amp", "<a =", "<!--", "<p>x"])
+def test_pages_are_read_in_one_pass(part):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(part * (1_000_000 // len(part)), html_text.Weights({}, {}))
+    assert time.process_time() - began < 4
 
 
 def test_main_text_of_pages(spark):
