@@ -103,6 +103,44 @@ def test_count_edited(spark):
     assert long.n_encoded < 3000
 
 
+def test_written_trees_are_edited_by_a_later_job(spark, tmp_path):
+    rows = [*ODD, (8, "some words and more " * 2000)]
+    token_counts.build_trees(table(spark, rows)).write.parquet(str(tmp_path / "trees"))
+    texts = {d: t or "" for d, t in rows}
+    for job, edits in enumerate(([(8, 1, 100, 105, "other"), (8, 2, 20_000, 20_000, " new text" * 500), (4, 1, 0, 3, "Three")], [(8, 1, 21_000, 21_010, ""), (1, 1, 0, 0, "no longer empty")])):
+        frame = spark.createDataFrame(edits, "doc_id long, n int, start long, end long, new_text string")
+        before = {d: t for d, t in texts.items()}
+        for d, _, a, b, new in edits:
+            texts[d] = texts[d][:a] + new + texts[d][b:]
+        source = str(tmp_path / "trees") if not job else str(tmp_path / "edited")
+        done = token_counts.edit_trees(spark.read.parquet(source).select("key", "salt", "leaves", "tokens", "chars"), frame)
+        done.write.parquet(str(tmp_path / ("edited" if not job else "again")))
+        encode = tokens.encoder(tokens.default_path())
+        for r in done.collect():
+            d = r.key if r.key != -(1 << 63) else None
+            assert "".join(r.leaves) == texts[d] and r.n_chars == len(texts[d])
+            assert (r.n_tokens_before, r.n_tokens) == (len(encode(before[d])), len(encode(texts[d])))
+            assert r.n_encoded == 0 if texts[d] == before[d] else 0 < r.n_encoded < 8000
+            assert all(len(x) < 3 * token_counts.LEAF for x in r.leaves) or d in (5, 6)
+    assert token_counts.build_trees(table(spark, [])).count() == 0
+
+
+def test_other_tokenizer_files(spark, tmp_path):
+    """A file with another splitter or normaliser goes to the library itself."""
+    import json
+
+    path = tokens.default_path()
+    other = str(Path(path).parent / "word_bpe_49k.json")
+    assert tokens.encoder(path).parts_at_spaces and not tokens.encoder(other).parts_at_spaces
+    spec = json.load(open(path))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "changed.json").write_text(json.dumps(spec))
+    for file in (other, str(tmp_path / "changed.json")):
+        full = Tokenizer.from_file(file)
+        want = Counter((d, len(full.encode(t or "", add_special_tokens=False).ids)) for d, t in ODD[:6])
+        assert Counter((r.doc_id, r.n_tokens) for r in token_counts.count_edited(table(spark, ODD[:6]), spark.createDataFrame([], "doc_id long, n int, start long, end long, new_text string"), file).collect()) == want
+
+
 def test_fingerprints_estimate_weighted_likeness():
     random.seed(3)
     words = [f"w{i}" for i in range(60)]
