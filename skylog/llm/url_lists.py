@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import saved
+
 #: Days of one period of the join.
 PERIOD = 30
 
@@ -55,7 +57,10 @@ def judge(captures: DataFrame, entries: DataFrame, allow: str = "allow") -> Data
     # equal captures are judged once, which also gathers the copies of a hot URL before the join
     asked = rows.where("fetched is not null and url is not null").select("url", "fetched").distinct()
     keys = asked.select("url", "fetched", F.explode(url_keys()).alias("pattern"), period(F.col("fetched")).alias("period"))
-    met = keys.join(dealt, ["pattern", "period"]).where("from_day <= fetched and (until_day is null or fetched < until_day)")
+    # suffixes that no list names (a top-level domain has most of the captures) go before anything is dealt out by
+    # them; the names are written first, so that Spark can broadcast a small table or split a frequent suffix
+    listed = saved(dealt.select("pattern").distinct())
+    met = keys.join(listed, "pattern", "left_semi").join(dealt, ["pattern", "period"]).where("from_day <= fetched and (until_day is null or fetched < until_day)")
     verdict = met.groupBy("url", "fetched").agg(F.count("*").alias("n_active"), F.array_sort(F.collect_set("list_name")).alias("lists"))
     out = rows.join(verdict, ["url", "fetched"], "left")
     lists = F.coalesce("lists", F.array().cast("array<string>"))
