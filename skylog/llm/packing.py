@@ -148,7 +148,7 @@ def pack(documents: DataFrame, capacity: int = 2048, tokenizer: str | None = Non
     ``PIECES`` and ``sequence_id`` and ``offset``; sequences are filled without gaps from 0. A null or
     empty text has its end id alone; repeated rows are packed each; an empty table gives no rows.
     """
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(partitions(documents))).cast("int").alias("salt")
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(partitions(documents))).cast("int").alias("salt")
     pieces = saved(tokenized(documents, capacity, tokenizer or default_path())).select("*", salt)
     counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).toLocalIterator()}
