@@ -19,53 +19,51 @@ from .tables import keyed, doc_id, saved
 from .words import ALNUM, chunks
 
 SHINGLE = 3
-#: Benchmark text that one pass over the documents holds in memory and broadcasts; more takes more passes.
+#: Benchmark text that one pass over the documents holds in memory and broadcasts (with its windows about
+#: seven times as many bytes); more takes more passes.
 BLOCK_BYTES = 16 << 20
 _TOKENS = bytes(b if not ALNUM.separator[b] else 0x20 for b in ALNUM.fold)
 
 
-def normal_words(text: str | None) -> list[bytes]:
-    """Lower-cased runs of ASCII letters, digits and all other characters beyond ASCII."""
-    return (text or "").encode().translate(_TOKENS).split()
-
-
 class _Block:
     """Windows of a bounded part of the benchmark, as arrays sorted by the hash of their prefix token."""
 
     def __init__(self, items: list[tuple], window: int) -> None:
         texts = pa.record_batch({"text": pa.array([t for _, t in items], pa.string())})
-        self.windows, size, hashes, tokens, offsets, owner, ids = {}, [], [], [], [], [], []
-        base = 0
-        for chunk in chunks([texts], limit=1 << 62):
+        self.ids, self.widths, self.parts = [i for i, _ in items], [], []
+        self.text, self.start, self.end, self.vocabulary = b"", np.empty(0, np.uint32), np.empty(0, np.uint32), np.empty(0, np.uint64)
+        for chunk in chunks([texts], limit=1 << 62):  # one chunk: all of the block
             words = chunk.words(ALNUM)
-            counts = np.diff(words.first)
-            for i, n in enumerate(counts):
-                span = min(n, window)
-                for a in range(words.first[i], words.first[i + 1] - span + 1) if n else ():
-                    size.append(span)
-                    owner.append(base + i)
-                    hashes.append(words.spans(np.array([a]), np.array([span]))[0])
-                    width = min(SHINGLE, span)
-                    inner = np.arange(a, a + span - width + 1)
-                    tokens.append(words.spans(inner, np.full(len(inner), width)))
-            base += len(counts)
-        self.ids = [i for i, _ in items]
-        self.item, self.size = np.array(owner, np.int64), np.array(size, np.int64)
-        self.hash, self.tokens = np.array(hashes, np.uint64), tokens
-        self.words = [normal_words(t) for _, t in items]
-        self.at = np.array([a for w in self.words for a in range(len(w) - min(len(w), window) + 1) if w], np.int64)
-        #: Every shingle of every window; those of fewer words (in short items) by their own width.
-        self.vocabulary = np.unique(np.concatenate(tokens)) if tokens else np.empty(0, np.uint64)
-        self.widths = sorted({int(min(SHINGLE, s)) for s in size})
-
-    def order(self, counts: dict[int, int]) -> None:
-        """Chooses each window's prefix token: its rarest shingle, the first of equals."""
-        best = [int(np.argmin([counts.get(int(t), 0) for t in tokens])) for tokens in self.tokens]
-        token = np.array([t[b] for t, b in zip(self.tokens, best, strict=True)], np.uint64)
-        by = np.argsort(token, kind="stable")
-        self.prefix, self.offset = token[by], np.array(best, np.int64)[by]
-        self.hash, self.size, self.item, self.at = (x[by] for x in (self.hash, self.size, self.item, self.at))
-        del self.tokens
+            self.text, self.start, self.end = chunk.data.tobytes(), words.start.astype(np.uint32), words.end.astype(np.uint32)
+            counts, of = np.diff(words.first), words.text_of
+            for size in np.unique(np.minimum(counts, window)):
+                at = words.starts(int(size)) if size else words.starts(1)[:0]
+                at = at[np.minimum(counts[of[at]], window) == size]
+                if len(at):
+                    width = min(SHINGLE, int(size))
+                    tokens = words.runs(width)[at[:, None] + np.arange(size - width + 1)]
+                    self.parts.append((at, words.runs(int(size))[at], of[at], np.full(len(at), size), tokens))
+                    self.widths = sorted({*self.widths, width})
+            if self.parts:
+                self.vocabulary = np.unique(np.concatenate([p[4].ravel() for p in self.parts]))
+
+    def order(self, counts: np.ndarray) -> None:
+        """Chooses each window's prefix token: its rarest shingle, the first of equals. ``counts`` are those of the vocabulary."""
+        columns = []
+        for at, hashes, item, size, tokens in self.parts:
+            best = np.argmin(counts[np.searchsorted(self.vocabulary, tokens)], axis=1)
+            columns.append((tokens[np.arange(len(at)), best], best, hashes, size, item, at))
+        del self.parts, self.vocabulary
+        empty = (np.empty(0, np.uint64),) * 6
+        prefix, offset, hashes, size, item, at = (np.concatenate(c) for c in zip(*(columns or [empty]), strict=True))
+        by = np.argsort(prefix, kind="stable")
+        self.prefix, self.hash = prefix[by], hashes[by]
+        self.offset, self.size = offset[by].astype(np.int16), size[by].astype(np.int16)
+        self.item, self.at = item[by].astype(np.int32), at[by].astype(np.int32)
+
+    def words(self, window: int) -> list[bytes]:
+        a = self.at[window]
+        return self.text[self.start[a] : self.end[a + self.size[window] - 1]].translate(_TOKENS).split()
 
 
 class _Lookup:
@@ -81,8 +79,8 @@ class _Lookup:
         return maybe[self.sorted[np.minimum(at, len(self.sorted) - 1)] == hashes[maybe]] if len(self.sorted) else maybe[:0]
 
 
-def _token_counts(rows: DataFrame, block: _Block) -> dict[int, int]:
-    """How often each shingle of the block occurs in all documents (bounded by the block)."""
+def _token_counts(rows: DataFrame, block: _Block) -> np.ndarray:
+    """How often each shingle of the block's vocabulary occurs in all documents."""
     held = rows.sparkSession.sparkContext.broadcast((block.vocabulary, block.widths))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,10 +92,12 @@ def _token_counts(rows: DataFrame, block: _Block) -> dict[int, int]:
                 _, hashes = words.windows(width)
                 total += np.bincount(np.searchsorted(vocabulary, hashes[found(hashes)]), minlength=len(vocabulary))
         at = np.flatnonzero(total)
-        yield pa.record_batch({"token": pa.array(vocabulary[at].view(np.int64)), "times": pa.array(total[at])})
+        yield pa.record_batch({"token": pa.array(at), "times": pa.array(total[at])})
 
-    counted = rows.select("text").mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
-    return {r.token % (1 << 64): r.times for r in counted.toLocalIterator()}
+    out = np.zeros(len(block.vocabulary), np.int64)
+    for r in rows.select("text").mapInArrow(count, "token long, times long").groupBy("token").agg(F.sum("times").alias("times")).toLocalIterator():
+        out[r.token] = r.times
+    return out
 
 
 def _occurrences(rows: DataFrame, block: _Block) -> DataFrame:
@@ -125,16 +125,15 @@ def _occurrences(rows: DataFrame, block: _Block) -> DataFrame:
                 same = words.spans(start, size) == block.hash[window]
                 for w, s, k, r in zip(window[same], start[same], size[same], row[same], strict=True):
                     text = chunk.data[words.start[s] : words.end[s + k - 1]].tobytes().translate(_TOKENS).split()
-                    item, a = block.item[w], block.at[w]
-                    if text == block.words[item][a : a + k]:
-                        pairs[r].add(block.ids[item])
+                    if text == block.words(w):
+                        pairs[r].add(block.ids[block.item[w]])
                         spans[r].append((s - words.first[r], s - words.first[r] + k))
             yield pa.record_batch({
                 "key": pa.array(chunk.column("key")), "salt": pa.array(chunk.column("salt")), "n_words": pa.array(np.diff(words.first), pa.int64()),
-                "spans": pa.array([_merged(s) for s in spans], _SPANS), "items": pa.array([sorted(p) for p in pairs], pa.list_(pa.int64())),
+                "spans": pa.array([_merged(s) for s in spans], _SPANS), "items": pa.array([sorted(p) for p in pairs], pa.list_(pa.string())),
             })
 
-    return rows.mapInArrow(find, "key long, salt long, n_words long, spans array<struct<start:long,end:long>>, items array<long>")
+    return rows.mapInArrow(find, "key long, salt long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -152,7 +151,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
 
 def _blocks(benchmark: DataFrame, window: int) -> Iterator[_Block]:
     """The benchmark in parts of bounded text, each brought to the driver on its own."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // BLOCK_BYTES) * 2 if total > BLOCK_BYTES else 1
     for i in range(parts):
@@ -163,8 +162,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
     """Words of documents inside any occurrence of a ``window``-word sequence of a benchmark item.
 
     An item of fewer words, but not none, is one window. Returns key columns, ``doc_id``, ``n_words``,
-    ``spans`` (disjoint ranges of hit word positions, in order), ``n_hit`` and ``items`` (sorted ids of
-    items with occurring windows). Null texts have no words; items without an id or words find nothing;
+    ``spans`` (disjoint ranges of hit word positions, in order), ``n_hit`` and ``items`` (ids of items with
+    occurring windows, of whatever type, as strings and sorted as such). Null texts have no words; items without an id or words find nothing;
     several texts under one item_id all count for it; repeated rows get equal results. Every row comes
     back, hit or not. A benchmark of more than ``BLOCK_BYTES`` is joined in blocks.
     """
@@ -186,5 +185,5 @@ def _both(a: DataFrame, b: DataFrame) -> DataFrame:
         F.expr("cast(array() as array<struct<start:long,end:long>>)"),
         lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s))),
     )
-    items = F.array_sort(F.array_union("items", F.coalesce("i", F.expr("cast(array() as array<long>)"))))
+    items = F.array_sort(F.array_union("items", F.coalesce("i", F.expr("cast(array() as array<string>)"))))
     return a.join(more, ["key", "salt"], "left").select("key", "salt", "n_words", merge.alias("spans"), items.alias("items"))

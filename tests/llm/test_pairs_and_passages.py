@@ -199,7 +199,7 @@ def test_contamination(spark, monkeypatch, block):
     rows = corpus(5)
     items = [(i, " ".join(t.split()[k : k + n])) for i, (_, t) in enumerate(rows[:20]) for k, n in [(2, 14 + i % 9)]] + [(50, "one"), (51, "A, b; C d!"), (52, ""), (53, None), (None, "a b"), (7, rows[9][1][:120])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = Counter((r.doc_id, r.n_words, r.n_hit, ",".join(map(str, r["items"]))) for r in decontaminate.contamination(table(spark, rows), bench).collect())
+    got = Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in decontaminate.contamination(table(spark, rows), bench).collect())
     split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
     windows = defaultdict(set)
     for i, t in items:
@@ -216,10 +216,17 @@ def test_contamination(spark, monkeypatch, block):
                 if tuple(w[a : a + k]) in windows:
                     found |= windows[tuple(w[a : a + k])]
                     hit[a : a + k] = [True] * k
-        want[d, len(w), sum(hit), ",".join(map(str, sorted(found)))] += 1
+        want[d, len(w), sum(hit), ",".join(sorted(map(str, found)))] += 1
     assert got == want
 
 
+def test_items_named_by_strings(spark):
+    words = [f"w{i}" for i in range(30)]
+    bench = spark.createDataFrame([("b-10", " ".join(words[3:20])), ("b-9", "w1 w2"), ("a", "w1 w2")], "item_id string, text string")
+    rows = decontaminate.contamination(table(spark, [(1, " ".join(words)), (2, "w2 w1")]), bench).collect()
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in rows} == {1: (19, ["a", "b-10", "b-9"]), 2: (0, [])}
+
+
 def test_contamination_without_benchmark(spark):
     rows = decontaminate.contamination(table(spark, corpus(5)), spark.createDataFrame([], "item_id long, text string"))
     assert rows.where("n_hit > 0").count() == 0 and rows.count() == 72
