@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -58,9 +58,14 @@ def held_out(doc: F.Column) -> F.Column:
     return F.crc32(doc.cast("string").cast("binary")) % 5 == 0
 
 
-def _examples(documents: DataFrame, labels: DataFrame, limit: int) -> list:
-    """Word hashes of at most ``limit`` labelled documents, chosen by a hash of their id."""
+def _examples(documents: DataFrame, labels: DataFrame, limit: int, budget: int) -> list:
+    """Word hashes of labelled documents, chosen by a hash of their id: at most ``limit`` rows and ``budget`` characters."""
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("key"), "key").limit(limit)
+    order = (F.xxhash64("key"), "key", "salt")
+    # at most ``limit`` small rows: broadcast
+    rows = keyed(documents).join(F.broadcast(chosen), "key").orderBy(*order).limit(limit)
+    size = F.coalesce(F.length("text"), F.lit(0))
+    rows = rows.withColumn("sum", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("sum") <= budget)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
@@ -72,17 +77,18 @@ def _examples(documents: DataFrame, labels: DataFrame, limit: int) -> list:
                 "sentences": pa.array([(sentence[a:b] - sentence[a] if b > a else sentence[:0]).astype(np.int32).tobytes() for a, b in cut], pa.binary()),
             })
 
-    # at most ``limit`` small rows: broadcast
-    return keyed(documents).join(F.broadcast(chosen), "key").orderBy(F.xxhash64("key"), "key", "salt").limit(limit).select("toxic", "text").mapInArrow(run, "toxic int, features binary, sentences binary").collect()
+    return rows.select("toxic", "text").mapInArrow(run, "toxic int, features binary, sentences binary").collect()
+
 
+def fit(documents: DataFrame, labels: DataFrame, limit: int = 8000, budget: int = 60_000_000, rounds: int = 500, shrink: float = 2e-5) -> Model:
+    """Learns from at most ``limit`` labelled documents with ``budget`` characters together (the documented bound; nothing else is capped).
 
-def fit(documents: DataFrame, labels: DataFrame, limit: int = 6000, rounds: int = 500, shrink: float = 2e-5) -> Model:
-    """Learns from at most ``limit`` labelled documents (the documented bound; nothing else is capped).
+    The sample is learnt on the driver, whatever the size of the corpus.
 
     Words seen in fewer than 4 of them get no weight. Without labelled documents, or with one kind of
     label only, the model scores every sentence alike, at the rate of toxic labels seen (0.5 if none).
     """
-    rows = _examples(documents, labels, limit)
+    rows = _examples(documents, labels, limit, budget)
     y = np.array([r.toxic for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         rate = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5

@@ -278,6 +278,30 @@ def test_toxicity_learns_and_locates(spark):
     assert sum(len(r.offending) for r in scored.values()) > 90
 
 
+def test_toxicity_is_the_noisy_or_of_sentences(spark):
+    import re
+
+    rows, labels = toxic_table(spark)
+    rows += [r for r in ODD if r[0] != 6] + [(900, "Vile. NASTY!\nword1 word2? ... vile\u00e9 x")]
+    model = toxicity.fit(table(spark, rows), labels)
+    word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def weight(w):
+        h = split_words(np.frombuffer(w, np.uint8), np.array([0, len(w)]), ALNUM).hash[0]
+        at = np.flatnonzero(model.words == h)
+        return float(model.weights[at[0]]) if len(at) else 0.0
+
+    want = {}
+    for d, t in rows:
+        clean = 1.0
+        parts = [word.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), s)) for s in re.split(rb"[.!?\n]", (t or "").encode())]
+        for p in [p for p in parts if p] or [[]]:
+            clean *= 1 - 1 / (1 + np.exp(-(model.bias + sum(map(weight, p)))))
+        want[d, t] = 1 - clean
+    got = {(r.row.doc_id, r.row.text): r.score for r in toxicity.score_rows(table(spark, rows), model).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_toxicity_of_unknown_words(spark):
     """A word that training has not seen weighs nothing, however near its hash is to that of an insult."""
     rows, labels = toxic_table(spark)
