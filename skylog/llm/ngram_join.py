@@ -156,8 +156,11 @@ def _name(elements: np.ndarray) -> int:
 
 
 def _sketch(elements: np.ndarray) -> bytes:
-    """Parities of the elements by their low bits; differs in no more bits than the sets in elements."""
-    bits = 1 << max(6, int(4 * len(elements) - 1).bit_length())
+    """Parities of the elements by their low bits; differs in no more bits than the sets in elements.
+
+    With two to four bits an element, sets of a similarity up to 0.7 are told from those of 0.75 and more.
+    """
+    bits = 1 << max(6, int(2 * len(elements) - 1).bit_length())
     odd = np.bincount((mix(elements) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -317,7 +320,7 @@ class _Bucket:
 
 
 def _near_pairs(members: DataFrame, parts: int, classes: DataFrame | None, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a > b, to verify: of sets in one bucket that are near by their sketches.
+    """Pairs (bucket, a, b), a > b, to verify: of sets in one bucket that are near by their sketches.
 
     Without classes, enough pairs to join what the near pairs within a block do; with them, every near
     pair of sets in different classes. Pairs are looked for inside the task that holds a block, or two
@@ -345,20 +348,20 @@ def _near_pairs(members: DataFrame, parts: int, classes: DataFrame | None, sketc
                     bucket = _Bucket(*part, percent)
                     found = bucket.all_pairs() if every else bucket.forest()
                     while pairs := list(islice(found, _PAIRS)):
-                        yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*((max(p), min(p)) for p in pairs), strict=True)], ["a", "b"])
+                        yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*((places[0, a], max(p), min(p)) for p in pairs), strict=True)], ["bucket", "a", "b"])
             held = table.slice(end).combine_chunks().to_batches()
 
     rows = members
     if every:
         placed = rows.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
+        several = saved(placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket"))
         rows = placed.join(several, "bucket", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     else:
         rows = rows.withColumns({"component": F.col("node"), "other": F.col("block")})
     rows = rows.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "component", "block")
     dealt = rows.join(sketches, "node").select("bucket", "low", "high", "node", "n", "sketch", "component", "block")
     dealt = dealt.repartition(parts, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
-    return dealt.mapInArrow(search, "a long, b long").distinct()
+    return dealt.mapInArrow(search, "bucket long, a long, b long")
 
 
 #: Pairs of one row batch.
@@ -417,11 +420,15 @@ def link_classes(documents: DataFrame, percent: int = 75, shingle: int = 5) -> D
     members = saved(_members(rows, parts, scheme, shingle))
     nodes = described.where("node is not null").groupBy("node")
     sketches, places = nodes.agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), nodes.agg(F.min(F.struct("key", "salt")).alias("at")).select("node", "at.*")
-    tested = saved(_near_pairs(members, parts, None, sketches, percent))
+    found = saved(_near_pairs(members, parts, None, sketches, percent))
+    tested = saved(found.select("a", "b").distinct())
     links = _linked(tested, places, rows, percent, shingle)
     classes = saved(components(links))
-    # where a near pair was no link after all, or its sets are in two blocks, the classes may be linked by another pair
-    rest = saved(_near_pairs(members, parts, classes, sketches, percent).join(tested, ["a", "b"], "left_anti"))
+    # where a near pair was no link after all, or its bucket has several blocks, classes may be linked by another pair
+    failed = tested.join(links, ["a", "b"], "left_anti")
+    again = saved(found.join(failed, ["a", "b"], "left_semi").select("bucket").union(members.where("blocks > 1").select("bucket")).distinct())
+    rest = _near_pairs(members.join(again, "bucket", "left_semi"), parts, classes, sketches, percent)
+    rest = saved(rest.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = _linked(rest, places, rows, percent, shingle)
         classes = saved(components(links.unionByName(more)))
