@@ -40,17 +40,18 @@ def _in_order(names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, same
 
 
-def _repeated(select, width: int) -> tuple:
+def _repeated(select, kinds: tuple[str, ...]) -> tuple:
     """Sender and receiver of an exchange that finds the names occurring at two places or more.
 
-    ``select(chunk)`` gives names (``width`` columns of 64 bits), row of the chunk and word position.
+    ``select(chunk)`` gives names (columns of 64 bits), row of the chunk and word position. Names are sent
+    as ``kinds`` says, beside the partition that their upper half has chosen.
     Places that share their name inside one chunk are known to repeat; only one of them is compared with
     other chunks, so a very common name costs one record a chunk, and the others pass through, dealt out by document.
     """
 
     def sender(parts: int):
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            packer = Packer(parts, *["u8"] * width, *_PLACE)
+            packer = Packer(parts, *kinds, *_PLACE)
             for chunk in chunks(batches):
                 names, row, place = select(chunk)
                 key, salt, place = chunk.column("key")[row], chunk.column("salt")[row], place.astype(np.uint32)
@@ -86,7 +87,7 @@ def _home(key: np.ndarray, salt: np.ndarray, parts: int) -> np.ndarray:
     return uniform_part(mix(key.view(np.uint64) + mix(salt.view(np.uint64))), parts)
 
 
-def _found(df: DataFrame, parts: int, select, width: int, before: int, after: int) -> DataFrame:
+def _found(df: DataFrame, parts: int, select, kinds: tuple[str, ...], before: int, after: int) -> DataFrame:
     """One row for each key and salt: the places of all its names that occur more than once.
 
     ``spans`` holds them as disjoint ranges of word positions (packed starts and ends), each place
@@ -110,8 +111,8 @@ def _found(df: DataFrame, parts: int, select, width: int, before: int, after: in
                 "spans": pa.array([np.stack([start[x:y], end[x:y]]).astype(np.uint32).tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
             })
 
-    sender, receiver = _repeated(select, width)
-    found = exchange(df.mapInArrow(sender(parts), PACKED), (*["u8"] * width, *_PLACE), receiver(parts), PACKED, parts)
+    sender, receiver = _repeated(select, kinds)
+    found = exchange(df.mapInArrow(sender(parts), PACKED), (*kinds, *_PLACE), receiver(parts), PACKED, parts)
     return exchange(found, _PLACE, join_up, "key long, salt long, spans binary", parts)
 
 
@@ -171,8 +172,8 @@ def remove_repeats(documents: DataFrame, window: int = 35) -> DataFrame:
 
     rows = keyed(documents)
     parts = partitions(documents)
-    candidates = rows.join(_found(rows, parts, anchors, 1, period - 1, 0), ["key", "salt"])
-    repeats = _found(candidates, parts, full_windows, 2, 0, window - 1)
+    candidates = rows.join(_found(rows, parts, anchors, ("u4",), period - 1, 0), ["key", "salt"])
+    repeats = _found(candidates, parts, full_windows, ("u8", "u8"), 0, window - 1)
     out = rows.join(repeats, ["key", "salt"], "left").mapInArrow(cut, "key long, salt long, n_words long, n_removed long, text string")
     return out.select("key", "salt", doc_id(), "n_words", "n_removed", "text")
 
