@@ -53,10 +53,36 @@ def should_have_frame(i: Column, interval: Column, num: Column, denom: Column) -
     return F.pmod(F.pmod(i, interval) + num - 1, denom) < num
 
 
+def _logged_places(y: Column, num: Column, denom: Column) -> Column:
+    """How many of the places 0 to y - 1 have a remainder below num modulo denom."""
+    return int_div(y, denom) * F.least(num, denom) + F.least(F.pmod(y, denom), num)
+
+
+def scheduled_before(i: Column, interval: Column, num: Column, denom: Column) -> Column:
+    """How many of the iterations 0 to i - 1 the schedule logs: by whole intervals and a rest, however many they are.
+
+    Null where interval, num or denom isn't positive.
+    """
+    interval, num, denom = (F.when(c > 0, c.cast("long")) for c in (interval, num, denom))
+    one = lambda m: _logged_places(num - 1 + m, num, denom) - _logged_places(num - 1, num, denom)
+    rest = F.pmod(i.cast("long"), interval)
+    return int_div(i.cast("long") - rest, interval) * one(interval) + one(rest)
+
+
+def nth_scheduled(n: Column, interval: Column, num: Column, denom: Column) -> Column:
+    """The n-th iteration (from 1) that the schedule logs; null where it logs none."""
+    interval, num, denom = (F.when(c > 0, c.cast("long")) for c in (interval, num, denom))
+    before = _logged_places(num - 1, num, denom)
+    each = F.nullif(_logged_places(num - 1 + interval, num, denom) - before, F.lit(0))
+    whole = int_div(n - 1 - F.pmod(n - 1, each), each)
+    place = F.pmod(n - 1, each) + before
+    few = F.least(num, denom)
+    return whole * interval + int_div(place, few) * denom + F.pmod(place, few) - (num - 1)
+
+
 def int_div(a: Column, b: Column) -> Column:
     """Integer division that truncates toward zero; null if b is 0."""
-    a, b = a.cast("long"), b.cast("long")
-    return F.when(b != 0, (a - a % F.when(b != 0, b)) / F.when(b != 0, b)).cast("long")
+    return F.call_function("div", a.cast("long"), F.nullif(b.cast("long"), F.lit(0).cast("long")))
 
 
 def adc_to_milliamps(adc: Column, offset: Column, scale: Column) -> Column:

@@ -1,4 +1,4 @@
-"""As-of joins in stream order, by a union and one window."""
+"""As-of joins in stream order, by a union and one window over narrow columns."""
 
 from __future__ import annotations
 
@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 from skylog.schema import GPS_COLUMNS, SLOW_COLUMNS, present
 
-from .units import stream
+from .units import by_place, stream
 
 
 def _asof(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
-    """Left rows with the columns of the latest right row before them in their log; null before the first."""
-    none = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in ("log_id", "seq")]
+    """Left rows with the columns of the latest right row before them in their log; null before the first.
+
+    The window sorts places and the right columns only; what it finds is joined to the left rows by place.
+    """
     value = F.struct(*columns)
-    both = left.withColumn("_of", F.lit(None).cast(right.select(value.alias("x")).schema["x"].dataType)).withColumn("_left", F.lit(True)).unionByName(
-        right.select("log_id", "seq", *none, value.alias("_of"), F.lit(False).alias("_left"))
-    )
+    none = F.lit(None).cast(right.select(value.alias("x")).schema["x"].dataType)
+    both = left.select("log_id", "seq", none.alias("_of"), F.lit(True).alias("_left")).unionByName(right.select("log_id", "seq", value.alias("_of"), F.lit(False).alias("_left")))
     seen = F.last("_of", ignorenulls=True).over(Window.partitionBy("log_id").orderBy("seq", "_left").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return both.withColumn("_of", seen).where("_left").select(*left.columns, *(F.col(f"_of.{c}").alias(c) for c in columns))
+    found = both.withColumn("_of", seen).where("_left").drop("_left")
+    return by_place(left, found).select(*left.columns, *(F.col(f"_of.{c}").alias(c) for c in columns))
 
 
 def merge_slow(frames: DataFrame, slow: DataFrame) -> DataFrame:
@@ -33,14 +35,15 @@ def merge_gps(frames: DataFrame, gps: DataFrame) -> DataFrame:
     GPS frames before the first main frame give no row.
     """
     columns, fields = present(gps, GPS_COLUMNS), [c for c in frames.columns if c not in ("log_id", "seq")]
-    main = frames.select("log_id", "seq", F.struct(*fields).alias("_main"), F.lit(None).cast(gps.select(F.struct("time", *columns).alias("x")).schema["x"].dataType).alias("_gps"))
-    both = main.unionByName(gps.select("log_id", "seq", F.lit(None).cast(main.schema["_main"].dataType).alias("_main"), F.struct("time", *columns).alias("_gps")))
+    data = F.struct("time", *columns)
+    none = F.lit(None).cast(gps.select(data.alias("x")).schema["x"].dataType)
+    both = frames.select("log_id", "seq", F.col("seq").alias("_main"), "time", none.alias("_gps")).unionByName(gps.select("log_id", "seq", F.lit(None).cast("long").alias("_main"), "time", data.alias("_gps")))
     w = stream()
     main_before = F.last("_main", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = both.withColumns({"_before": main_before, "_after": F.lead("_gps").over(w), "_previous": F.lag("_main").over(w)})
+    rows = both.withColumns({"_before": main_before, "_after": F.lead("_gps").over(w), "_previous": F.when(F.lag("_main").over(w).isNotNull(), F.lag("time").over(w))})
     is_main = F.col("_main").isNotNull()
-    attached = F.when(is_main & (F.col("_after.time") == F.col("_main.time")), F.col("_after"))
-    own = ~is_main & F.col("_before").isNotNull() & ~F.coalesce(F.col("_previous.time") == F.col("_gps.time"), F.lit(False))
-    rows = rows.where(is_main | own).withColumn("_data", F.when(is_main, attached).otherwise(F.col("_gps")))
-    time = F.when(is_main, F.col("_before.time")).otherwise(F.col("_gps.time"))
-    return rows.select("log_id", "seq", *(time.alias(c) if c == "time" else F.col(f"_before.{c}").alias(c) for c in fields), *(F.col(f"_data.{c}").alias(c) for c in columns))
+    attached = F.when(is_main & (F.col("_after.time") == F.col("time")), F.col("_after"))
+    own = ~is_main & F.col("_before").isNotNull() & ~F.coalesce(F.col("_previous") == F.col("time"), F.lit(False))
+    rows = rows.where(is_main | own).select("log_id", F.col("seq").alias("_seq"), F.col("_before").alias("seq"), F.col("time").alias("_time"), F.when(is_main, attached).otherwise(F.col("_gps")).alias("_data"))
+    out = rows.join(frames, ["log_id", "seq"])
+    return out.select("log_id", F.col("_seq").alias("seq"), *(F.col("_time").alias(c) if c == "time" else F.col(c) for c in fields), *(F.col(f"_data.{c}").alias(c) for c in columns))

@@ -1,7 +1,7 @@
 """Values rebuilt from recorded deltas, clocks unwrapped, and frames checked.
 
-A segment is one I frame and the P frames after it. Segments are short, so all but the checks work on
-(log_id, segment) and no long log sits in one task.
+A segment is one I frame and the P frames after it. Segments are short, so all but the checks and clocks
+work on (log_id, segment); these take a few narrow columns of a log in order.
 """
 
 from __future__ import annotations
@@ -9,15 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylog.functions import should_have_frame
+from skylog.functions import nth_scheduled, scheduled_before
 
 from .joins import _asof
-from .units import stream
+from .units import by_place, stream
 
 ROLLOVER = 1 << 32
 #: Limits between consecutive frames.
@@ -26,7 +25,8 @@ MAX_ITERATIONS, MAX_MICROSECONDS = 5000, 10_000_000
 
 def with_segments(raw: DataFrame) -> DataFrame:
     """Adds segment: how many I frames the log has had so far; rows before the first are in segment 0."""
-    return raw.withColumn("segment", F.sum(F.when(F.col("frame_type") == "I", 1).otherwise(0)).over(stream().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    number = F.sum(F.when(F.col("frame_type") == "I", 1).otherwise(0)).over(stream().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return by_place(raw, raw.select("log_id", "seq", "frame_type").select("log_id", "seq", number.alias("segment")))
 
 
 def _segment() -> Window:
@@ -81,10 +81,10 @@ def undo_inc(raw: DataFrame, config: DataFrame, column: str = "loopIteration") -
     place = F.row_number().over(Window.partitionBy("log_id", "segment").orderBy("seq")) - 1
     first = F.first(F.when(F.col("frame_type") == "I", F.col(column)), ignorenulls=True).over(_segment())
     rows = rows.withColumns({"_place": place, "_first": first})
-    # places of scheduled iterations repeat every lcm of interval and denominator; two intervals hold those of a segment
-    scheduled = F.filter(F.sequence(F.col("_first") + 1, F.col("_first") + 2 * F.col("_i") * F.greatest(F.col("_denom"), F.lit(1))), lambda i: should_have_frame(i, F.col("_i"), F.col("_num"), F.col("_denom")))
-    value = F.when(F.col("frame_type") == "I", F.col(column)).otherwise(F.try_element_at(scheduled, F.col("_place").cast("int")))
-    return rows.withColumn(column, value).drop("_i", "_num", "_denom", "_place", "_first")
+    schedule = (F.col("_i"), F.col("_num"), F.col("_denom"))
+    rows = rows.withColumn("_n", scheduled_before(F.col("_first") + 1, *schedule) + F.col("_place"))
+    value = F.when(F.col("frame_type") == "I", F.col(column)).otherwise(nth_scheduled(F.col("_n"), *schedule))
+    return rows.withColumn(column, value).drop("_i", "_num", "_denom", "_place", "_first", "_n")
 
 
 #: Fields recorded against a constant of the log's settings, and its column (or a number).
@@ -116,34 +116,52 @@ def undo_gps_time(gps: DataFrame, frames: DataFrame) -> DataFrame:
 def unwrap_time(frames: DataFrame, column: str = "time") -> DataFrame:
     """32-bit clocks become 64-bit ones: a step back that is one forward of less than 10 s modulo 2**32 is a rollover."""
     now, before = F.col(column), F.lag(column).over(stream())
-    rows = frames.withColumn("_over", F.when((now < before) & (F.pmod(now - before, F.lit(ROLLOVER)) < MAX_MICROSECONDS), 1).otherwise(0))
-    return rows.withColumn(column, now + ROLLOVER * F.sum("_over").over(stream().rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_over")
-
-
-def _fold(log: pd.DataFrame) -> pd.DataFrame:
-    """Validity of one log's frames in order; kinds are 0 for I, 1 for P, 2 for a resume event."""
-    log = log.sort_values("seq", kind="stable")
-    kind, iteration, time = (log[c].to_numpy() for c in ("kind", "iteration", "time"))
-    time = time.copy()
-    ok = np.ones(len(log), bool)
-    step_i, step_t = np.diff(iteration), np.diff(time)
-    if len(log) and not (kind == 2).any() and kind[0] == 0 and ((step_i >= 0) & (step_i < MAX_ITERATIONS) & (step_t >= 0) & (step_t < MAX_MICROSECONDS)).all():
-        return log.assign(valid=ok, time=time)
-    last_i = last_t = None
-    stream_ok, rolled = False, 0
-    for i in range(len(log)):
+    rows = frames.select("log_id", "seq", column).withColumn("_over", F.when((now < before) & (F.pmod(now - before, F.lit(ROLLOVER)) < MAX_MICROSECONDS), 1).otherwise(0))
+    times = rows.select("log_id", "seq", F.sum("_over").over(stream().rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_rolled"))
+    return by_place(frames, times).withColumn(column, now + ROLLOVER * F.col("_rolled")).drop("_rolled")
+
+
+class _Reference:
+    """What a log's next frame is compared with: the last valid frame or resume event, and the rollovers so far."""
+
+    def __init__(self) -> None:
+        self.iteration = self.time = None
+        self.sound, self.rolled = False, 0
+
+
+def _validity(kind: np.ndarray, iteration: np.ndarray, time: np.ndarray, ref: _Reference) -> tuple[np.ndarray, np.ndarray]:
+    """Validity and unwrapped times of a log's next rows in order; kinds are 0 for I, 1 for P, 2 for a resume event.
+
+    As long as frames are valid, each is compared with the one before it, all at once; only from a frame that
+    isn't to the next I frame that is, they are taken one by one.
+    """
+    n = len(kind)
+    valid, out, i = np.zeros(n, bool), time.copy(), 0
+    while i < n:
+        if ref.sound:
+            before = np.concatenate([[ref.time % ROLLOVER], time[i:-1]])
+            over = np.cumsum((time[i:] < before) & ((time[i:] - before) % ROLLOVER < MAX_MICROSECONDS))
+            times = time[i:] + ref.rolled + ROLLOVER * over
+            step_i, step_t = np.diff(iteration[i:], prepend=ref.iteration), np.diff(times, prepend=ref.time)
+            bad = (kind[i:] == 2) | (step_i < 0) | (step_i >= MAX_ITERATIONS) | (step_t < 0) | (step_t >= MAX_MICROSECONDS)
+            good = int(np.argmax(bad)) if bad.any() else n - i
+            if good:
+                valid[i : i + good], out[i : i + good] = True, times[:good]
+                ref.iteration, ref.time, ref.rolled = int(iteration[i + good - 1]), int(times[good - 1]), ref.rolled + ROLLOVER * int(over[good - 1])
+                i += good
+                continue
         if kind[i] == 2:
-            last_i, last_t = iteration[i], time[i]
-            continue
-        if last_t is not None and time[i] < last_t % ROLLOVER and (time[i] - last_t) % ROLLOVER < MAX_MICROSECONDS:
-            rolled += ROLLOVER
-        time[i] += rolled
-        passes = last_i is None or (last_i <= iteration[i] < last_i + MAX_ITERATIONS and last_t <= time[i] < last_t + MAX_MICROSECONDS)
-        stream_ok = passes if kind[i] == 0 else stream_ok and passes
-        ok[i] = stream_ok
-        if stream_ok:
-            last_i, last_t = iteration[i], time[i]
-    return log.assign(valid=ok, time=time)
+            ref.iteration, ref.time = int(iteration[i]), int(time[i])
+        else:
+            if ref.time is not None and time[i] < ref.time % ROLLOVER and (time[i] - ref.time) % ROLLOVER < MAX_MICROSECONDS:
+                ref.rolled += ROLLOVER
+            out[i] += ref.rolled
+            passes = ref.iteration is None or (ref.iteration <= iteration[i] < ref.iteration + MAX_ITERATIONS and ref.time <= out[i] < ref.time + MAX_MICROSECONDS)
+            ref.sound = valid[i] = bool(passes if kind[i] == 0 else ref.sound and passes)
+            if ref.sound:
+                ref.iteration, ref.time = int(iteration[i]), int(out[i])
+        i += 1
+    return valid, out
 
 
 def validate_frames(frames: DataFrame, events: DataFrame | None = None) -> DataFrame:
@@ -151,15 +169,33 @@ def validate_frames(frames: DataFrame, events: DataFrame | None = None) -> DataF
 
     Iteration and time must not go back, nor jump 5000 iterations or 10 s; a bad frame makes P frames
     invalid until an I frame passes. A logging-resume event (type 14) moves the reference. Times are
-    unwrapped along the way, since only valid frames tell of a rollover. Four narrow columns of a log meet in one task.
+    unwrapped along the way, since only valid frames tell of a rollover. A log's rows pass one task in
+    order, a batch at a time: what is held of it is its reference alone, however long it is.
     """
     kind = F.when(F.col("frame_type") == "I", 0).otherwise(1)
-    rows = frames.select("log_id", "seq", "frame_type", kind.alias("kind"), F.col("loopIteration").alias("iteration"), "time")
+    rows = frames.select("log_id", "seq", "frame_type", kind.alias("kind"), F.col("loopIteration").cast("long").alias("iteration"), F.col("time").cast("long").alias("time"))
     if events is not None:
-        rows = rows.unionByName(events.where("event_type = 14").select("log_id", "seq", F.lit("E").alias("frame_type"), F.lit(2).alias("kind"), F.col("log_iteration").alias("iteration"), "time"))
-    schema = "log_id string, seq long, frame_type string, time long, valid boolean"
-    out = rows.groupBy("log_id").applyInPandas(lambda log: _fold(log)[["log_id", "seq", "frame_type", "time", "valid"]], schema)
-    return out.where("frame_type != 'E'")
+        rows = rows.unionByName(events.where("event_type = 14").select("log_id", "seq", F.lit("E").alias("frame_type"), F.lit(2).alias("kind"), F.col("log_iteration").cast("long").alias("iteration"), F.col("time").cast("long").alias("time")))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log, ref = None, _Reference()
+        for batch in batches:
+            logs = batch.column(0).to_pylist()
+            kinds, iterations, times = (batch.column(i).fill_null(0).to_numpy() for i in (3, 4, 5))
+            cuts = [0, *(i for i in range(1, len(logs)) if logs[i] != logs[i - 1]), len(logs)]
+            parts = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    if logs[a] != log:
+                        log, ref = logs[a], _Reference()
+                    parts.append(_validity(kinds[a:b], iterations[a:b], times[a:b], ref))
+            if parts:
+                valid, time = (np.concatenate(c) for c in zip(*parts, strict=True))
+                yield pa.record_batch([*batch.columns[:3], pa.array(time), pa.array(valid)], ["log_id", "seq", "frame_type", "time", "valid"])
+
+    # null counters and times count as 0, as a decoder's do
+    dealt = rows.repartition("log_id").sortWithinPartitions("log_id", "seq")
+    return dealt.mapInArrow(check, "log_id string, seq long, frame_type string, time long, valid boolean").where("frame_type != 'E'")
 
 
 def accepted_frames(validated: DataFrame) -> DataFrame:

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import error_vs_throttle, estimate_sample_rate, motor_frequency, pid_rms
-from .units import missing_channels, pid_error, to_channels, to_display_units, with_t_sec
+from .stats import error_profile, estimate_sample_rate, motor_frequency
+from .units import pid_error, to_channels, to_display_units, with_t_sec
 
 PROPWASH_BAND, NOISE_BAND = (30.0, 90.0), (10.0, 150.0)
 
@@ -161,15 +161,11 @@ def error_psd(display: DataFrame, rates: DataFrame, max_freq: float = 200, npers
 
 
 def pid_error_analysis(frames: DataFrame, config: DataFrame, max_freq: float = 200, nperseg: int = 1024) -> DataFrame:
-    """One row per log and axis: rms, propwash energy (30-90 Hz), noise energy (10-150 Hz), their ratio, and the mean error by throttle bin."""
+    """One row per log and axis: rms, propwash energy (30-90 Hz), noise energy (10-150 Hz), their ratio, the strongest frequency of the propwash band, and the mean error by throttle bin."""
     _check(max_freq=(max_freq, 10, 1000), nperseg=(nperseg, 64, 8192))
     display = to_display_units(with_t_sec(frames), config)
-    psd = error_psd(display, estimate_sample_rate(frames), max_freq, nperseg).withColumnRenamed("channel", "axis").withColumnRenamed("axis", "channel")
-    bands = band_energy(psd, *PROPWASH_BAND, "propwash_energy").join(band_energy(psd, *NOISE_BAND, "noise_energy"), ["log_id", "channel"], "full").withColumnRenamed("channel", "axis")
-    by_throttle = error_vs_throttle(display).groupBy("log_id", "axis").agg(F.array_sort(F.collect_list(F.struct("bin", "mean_abs_error"))).alias("b")).select("log_id", "axis", F.col("b.mean_abs_error").alias("error_by_throttle"))
-    out = pid_rms(display).join(bands, ["log_id", "axis"], "left").fillna(0.0, ["propwash_energy", "noise_energy"])
+    bands = {"propwash_energy": PROPWASH_BAND, "noise_energy": NOISE_BAND}
+    energies = band_energies(error_psd(display, estimate_sample_rate(frames), max_freq, nperseg), bands, PROPWASH_BAND).withColumnRenamed("channel", "axis")
+    out = error_profile(display).join(energies, ["log_id", "axis"], "left").fillna(0.0, list(bands))
     ratio = F.when(F.col("noise_energy") > 0, F.col("propwash_energy") / F.col("noise_energy")).otherwise(0.0)
-    return out.withColumn("propwash_ratio", ratio).join(by_throttle, ["log_id", "axis"], "left")
-
-
-__all__ = ["NOISE_BAND", "PROPWASH_BAND", "band_energies", "band_energy", "channel_series", "downsample_minmax", "error_psd", "missing_channels", "pid_error_analysis", "power_spectrum", "segment_psd", "segments", "spectrogram", "spectrum_info", "welch"]
+    return out.select("log_id", "axis", "rms", "propwash_energy", "noise_energy", ratio.alias("propwash_ratio"), "peak_hz", "error_by_throttle")

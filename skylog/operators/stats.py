@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylog.functions import adc_to_milliamps, int_div, should_have_frame
+from skylog.functions import adc_to_milliamps, int_div, scheduled_before
 from skylog.schema import CHANNEL, MAIN_COLUMNS, present
 
-from .units import norm_throttle, pid_error, stream
+from .units import by_place, pid_error, stream
 
 
 def field_limits(frames: DataFrame) -> DataFrame:
@@ -55,13 +55,17 @@ def data_rate(frame_index: DataFrame, frames: DataFrame) -> DataFrame:
 def absent_iterations(frames: DataFrame, config: DataFrame) -> DataFrame:
     """Adds ``absent``: iterations since the frame before that the sampling schedule left out on purpose.
 
-    They are counted by whole periods of the schedule's pattern and a rest, so that a long gap costs no more.
+    They are counted by whole intervals of the schedule and a rest, so that a long gap, or a counter that is
+    corrupt, costs no more. Settings that name no schedule leave nothing out.
     """
-    rows = frames.join(config.select("log_id", F.col("frame_interval_i").alias("_i"), F.col("p_num").alias("_num"), F.col("p_denom").alias("_denom")), "log_id", "left")
-    before, now = F.lag("loopIteration").over(stream()), F.col("loopIteration")
-    rows = rows.withColumn("_before", before)
-    missing = F.filter(F.sequence(F.col("_before") + 1, now - 1), lambda i: ~should_have_frame(i, F.col("_i"), F.col("_num"), F.col("_denom")))
-    return rows.withColumn("absent", F.when(now - F.col("_before") > 1, F.size(missing)).otherwise(0).cast("long")).drop("_i", "_num", "_denom", "_before")
+    narrow = frames.select("log_id", "seq", "loopIteration")
+    rows = narrow.join(config.select("log_id", F.col("frame_interval_i").alias("_i"), F.col("p_num").alias("_num"), F.col("p_denom").alias("_denom")), "log_id", "left")
+    rows = rows.withColumn("_before", F.lag("loopIteration").over(stream()))
+    before, now = F.col("_before"), F.col("loopIteration")
+    count = lambda i: scheduled_before(i, F.col("_i"), F.col("_num"), F.col("_denom"))
+    absent = F.when(now - before > 1, now - before - 1 - (count(now) - count(before + 1)))
+    counted = rows.select("log_id", "seq", F.coalesce(absent, F.lit(0)).cast("long").alias("absent"))
+    return by_place(frames, counted)
 
 
 def missing_frames(frames: DataFrame, frame_index: DataFrame, config: DataFrame) -> DataFrame:
@@ -89,22 +93,48 @@ def decode_report(frames: DataFrame, frame_index: DataFrame, config: DataFrame)
     return looptime_stats(frames).join(data_rate(frame_index, frames), "log_id").join(missing_frames(frames, frame_index, config), "log_id").join(by_type, "log_id")
 
 
+def throttle_bin(throttle):
+    """Bin 0..19 of a throttle from 0 to 1: how many of the 19 inner edges it reaches, compared as doubles."""
+    return F.aggregate(F.array(*[F.lit(k * 0.05) for k in range(1, 20)]), F.lit(0), lambda n, edge: n + (edge <= throttle).cast("int"))
+
+
+def error_sums(display: DataFrame) -> DataFrame:
+    """(log_id, axis, bin, n, squares, absolute) of the tracking error: one pass serves rms and throttle bins.
+
+    bin is null for rows whose throttle is outside of 0 to 1, or absent.
+    """
+    throttle = (F.col("rcCommand_3") - 1000.0) / 1000.0
+    errors = pid_error(display)
+    place = F.when(throttle.between(0, 1), throttle_bin(throttle)) if "rcCommand_3" in errors.columns else F.lit(None).cast("int")
+    rows = errors.select("log_id", "axis", place.alias("bin"), "error")
+    return rows.groupBy("log_id", "axis", "bin").agg(F.count("*").alias("n"), F.sum(F.col("error") * F.col("error")).alias("squares"), F.sum(F.abs("error")).alias("absolute"))
+
+
+def _rms(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("log_id", "axis").agg(F.sqrt(F.sum("squares") / F.sum("n")).alias("rms"))
+
+
 def pid_rms(display: DataFrame) -> DataFrame:
     """Root mean square of the tracking error by axis."""
-    return pid_error(display).groupBy("log_id", "axis").agg(F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rms"))
+    return _rms(error_sums(display))
 
 
-def throttle_bin(throttle):
-    """Bin 0..19 of a throttle from 0 to 1: how many of the 19 inner edges it reaches, compared as doubles."""
-    return F.aggregate(F.array(*[F.lit(k * 0.05) for k in range(1, 20)]), F.lit(0), lambda n, edge: n + (edge <= throttle).cast("int"))
+def _by_throttle(sums: DataFrame) -> DataFrame:
+    means = sums.where("bin is not null").select("log_id", "axis", "bin", (F.col("absolute") / F.col("n")).alias("mean_abs_error"))
+    bins = sums.select("log_id", "axis").distinct().select("log_id", "axis", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("bin"))
+    return bins.join(means, ["log_id", "axis", "bin"], "left").select("log_id", "axis", "bin", ((F.col("bin") * 0.05 + (F.col("bin") + 1) * 0.05) / 2).alias("throttle"), "mean_abs_error")
 
 
 def error_vs_throttle(display: DataFrame) -> DataFrame:
     """Mean absolute tracking error in 20 throttle bins by log and axis; bins without rows are null, none is left out."""
-    rows = norm_throttle(pid_error(display)).select("log_id", "axis", throttle_bin(F.col("throttle")).alias("bin"), F.abs("error").alias("e"))
-    means = rows.groupBy("log_id", "axis", "bin").agg(F.avg("e").alias("mean_abs_error"))
-    bins = pid_error(display).select("log_id", "axis").distinct().select("log_id", "axis", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("bin"))
-    return bins.join(means, ["log_id", "axis", "bin"], "left").select("log_id", "axis", "bin", ((F.col("bin") * 0.05 + (F.col("bin") + 1) * 0.05) / 2).alias("throttle"), "mean_abs_error")
+    return _by_throttle(error_sums(display))
+
+
+def error_profile(display: DataFrame) -> DataFrame:
+    """(log_id, axis, rms, error_by_throttle): both, from one pass over the frames."""
+    sums = error_sums(display)
+    bins = _by_throttle(sums).groupBy("log_id", "axis").agg(F.array_sort(F.collect_list(F.struct("bin", "mean_abs_error"))).alias("_b"))
+    return _rms(sums).join(bins, ["log_id", "axis"]).select("log_id", "axis", "rms", F.col("_b.mean_abs_error").alias("error_by_throttle"))
 
 
 def throttle_slope(evt: DataFrame) -> DataFrame:
@@ -139,8 +169,9 @@ def motor_peak(frames: DataFrame, config: DataFrame) -> DataFrame:
 
 def energy_cumulative(frames: DataFrame, config: DataFrame) -> DataFrame:
     """Adds energy_mah: the running integral of the current, each sample counted from the frame before it on."""
-    rows = frames.join(config.select("log_id", F.col("current_meter_offset").alias("_offset"), F.col("current_meter_scale").alias("_scale")), "log_id", "left")
+    narrow = frames.select("log_id", "seq", "time", "amperageLatest")
+    rows = narrow.join(config.select("log_id", F.col("current_meter_offset").alias("_offset"), F.col("current_meter_scale").alias("_scale")), "log_id", "left")
     current = adc_to_milliamps(F.col("amperageLatest"), F.col("_offset"), F.col("_scale"))
     rows = rows.withColumn("_step", F.coalesce(current * (F.col("time") - F.lag("time").over(stream())) / 3.6e9, F.lit(0.0)))
     total = F.sum("_step").over(stream().rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("energy_mah", F.rint(total).cast("long")).drop("_offset", "_scale", "_step")
+    return by_place(frames, rows.select("log_id", "seq", F.rint(total).cast("long").alias("energy_mah")))

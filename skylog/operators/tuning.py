@@ -74,10 +74,9 @@ def _dterm_hf() -> Column:
     return F.when(F.col("ratio") > 0.30, found)
 
 
-def rule_propwash(analysis: DataFrame, psd: DataFrame, config: DataFrame) -> DataFrame:
+def rule_propwash(analysis: DataFrame, config: DataFrame) -> DataFrame:
     """Oscillation in the propwash band: a fifth of the noise energy or more, on axes that move at all."""
-    peaks = band_energies(psd, {}, PROPWASH_BAND).withColumnRenamed("channel", "axis")
-    return _found(analysis.join(peaks, ["log_id", "axis"], "left").join(config, "log_id"), _propwash())
+    return _found(analysis.join(config, "log_id"), _propwash())
 
 
 def rule_noise_throttle(slopes: DataFrame, config: DataFrame) -> DataFrame:

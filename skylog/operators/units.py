@@ -25,9 +25,17 @@ def list_fields(field_defs: DataFrame) -> DataFrame:
 
 
 def with_t_sec(frames: DataFrame) -> DataFrame:
-    """Adds t_s, seconds since the first frame of the log in stream order."""
-    first = F.first("time").over(stream().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return frames.withColumn("t_s", (F.col("time") - first) * 1e-6)
+    """Adds t_s, seconds since the first frame of the log in stream order (one row a log is joined)."""
+    first = frames.groupBy("log_id").agg(F.min_by("time", "seq").alias("_first"))
+    return frames.join(first, "log_id").withColumn("t_s", (F.col("time") - F.col("_first")) * 1e-6).drop("_first")
+
+
+def by_place(frames: DataFrame, narrow: DataFrame) -> DataFrame:
+    """Frames with further columns that were computed on a narrow table of the same rows; seq is unique in a log.
+
+    Windows over a whole log thus sort a few columns only, and the wide rows stay dealt out by place.
+    """
+    return frames.join(narrow, ["log_id", "seq"], "left")
 
 
 def _joined(frames: DataFrame, config: DataFrame, columns=_CONFIG) -> DataFrame:
@@ -161,5 +169,3 @@ def missing_channels(field_defs: DataFrame, names: list[str]) -> DataFrame:
     """(log_id, channel) of the asked names that a log doesn't record."""
     asked = field_defs.select("log_id").distinct().select("log_id", F.explode(F.array(*map(F.lit, names))).alias("channel"))
     return asked.join(field_defs.where("frame_type = 'I'").select("log_id", F.col("name").alias("channel")), ["log_id", "channel"], "left_anti")
-
-

@@ -92,16 +92,22 @@ _NUMBERS = {
 _LISTS = {"rollPID": "pid_roll", "pitchPID": "pid_pitch", "yawPID": "pid_yaw", "d_min": "d_min", "ff_weight": "ff_weight"}
 
 
-def sys_config(headers: DataFrame, unscaled_firmware: str | None = None, versioned_firmware: str | None = None, scale_fix: bool = False) -> DataFrame:
+#: The firmware type, as headers write it, whose gyro scales are converted, and the name before a version that counts.
+CONVERTED_FIRMWARE, VERSIONED_FIRMWARE = "Cleanflight", "Betaflight"
+
+
+def sys_config(headers: DataFrame, converted_firmware: str = CONVERTED_FIRMWARE, versioned_firmware: str | None = VERSIONED_FIRMWARE, scale_fix: bool = False) -> DataFrame:
     """One row of typed settings per log; defaults where the header has none, the last line where it repeats.
 
-    Gyro scales are in rad/s a millionth only for the firmware type named by ``unscaled_firmware``, as the
-    header writes it; for all others they are taken as they are, unless ``scale_fix`` converts all. A
+    A gyro scale is converted to radians and microseconds if no firmware type stands before it, or
+    ``converted_firmware`` does; after any other type it is taken as it is, unless ``scale_fix`` converts
+    all. firmware_type is 0 without such a line, 2 for ``converted_firmware`` and 1 for any other. A
     version counts if the revision begins with ``versioned_firmware`` (any name if that is None).
     """
+    line = lambda *names: F.max(F.when(F.col("field_name").isin(*names), F.col("line_no")))
     value = lambda name: F.max_by(F.when(F.col("field_name") == name, F.col("field_value")), F.when(F.col("field_name") == name, F.col("line_no")))
     names = [*_NUMBERS, *_LISTS, "P interval", "Firmware type", "Firmware revision", "vbatcellvoltage", "currentMeter", "gyro_scale", "gyro.scale", "motorOutput", "Log start datetime"]
-    wide = headers.groupBy("log_id").agg(*(value(n).alias(n.replace(".", "_dot_")) for n in names))
+    wide = headers.groupBy("log_id").agg(*(value(n).alias(n.replace(".", "_dot_")) for n in names), line("Firmware type").alias("_type_line"), line("gyro_scale", "gyro.scale").alias("_scale_line"))
     c = lambda n: F.col(f"`{n}`")
     number = {column: F.coalesce(F.when(c(name).isNotNull(), _int(c(name))), F.lit(default)) for name, (column, default) in _NUMBERS.items()}
     number["frame_interval_i"] = F.greatest(number["frame_interval_i"], F.lit(1))
@@ -111,11 +117,14 @@ def sys_config(headers: DataFrame, unscaled_firmware: str | None = None, version
     slash = F.contains(c("P interval"), F.lit("/"))
     raw_scale = F.coalesce(c("gyro_scale"), c("gyro_dot_scale"))
     scale = F.when(raw_scale.isNull(), 1.0).otherwise(_float32(raw_scale))
-    converts = F.lit(True) if scale_fix else F.coalesce(c("Firmware type") == F.lit(unscaled_firmware), F.lit(False))
+    typed = F.coalesce(F.col("_type_line") < F.col("_scale_line"), F.lit(False))
+    named = F.coalesce(c("Firmware type") == converted_firmware, F.lit(False))
+    converts = (F.lit(scale_fix) | ~typed | named) & raw_scale.isNotNull()
     revision = F.split(c("Firmware revision"), " ")
     known = F.lit(True) if versioned_firmware is None else revision[0] == versioned_firmware
     return wide.select(
         "log_id", F.coalesce(F.when(known, F.try_element_at(revision, F.lit(2))), F.lit("")).alias("fc_version"), *(v.alias(k) for k, v in number.items()),
+        F.when(c("Firmware type").isNull(), 0).when(named, 2).otherwise(1).alias("firmware_type"),
         F.when(slash, _int(ratio[0])).otherwise(1).alias("p_num"), F.when(slash, _int(F.try_element_at(ratio, F.lit(2)))).otherwise(1).alias("p_denom"),
         *(at("vbatcellvoltage", i + 1, 3, d).alias(n) for i, (n, d) in enumerate((("vbatmincellvoltage", 33), ("vbatwarningcellvoltage", 35), ("vbatmaxcellvoltage", 43)))),
         at("currentMeter", 1, 2, 0).alias("current_meter_offset"), at("currentMeter", 2, 2, 400).alias("current_meter_scale"),

@@ -106,6 +106,71 @@ def test_validity(spark):
     assert rebuild.accepted_frames(rebuild.validate_frames(f.limit(0))).count() == 0
 
 
+def scheduled(i, interval, num, denom):
+    return (i % interval + num - 1) % denom < num
+
+
+@pytest.mark.parametrize("interval,num,denom", [(32, 1, 1), (32, 1, 2), (7, 2, 3), (10, 3, 4), (5, 1, 8), (12, 4, 3)])
+def test_schedules_in_closed_form(spark, interval, num, denom):
+    c = config(spark, frame_interval_i=interval, p_num=num, p_denom=denom)
+    counters = [3, 4, 9, 50, 51, 200, 150, 900]
+    f = frames(spark, [("a", 10 * i, x) for i, x in enumerate(counters)], "loopIteration long")
+    got = [r.absent for r in stats.absent_iterations(f, c).orderBy("seq").collect()]
+    assert got == [0] + [sum(not scheduled(i, interval, num, denom) for i in range(a + 1, b)) for a, b in zip(counters, counters[1:])]
+    first, n = 11, 60
+    raw = rebuild.with_segments(frames(spark, [("a", i, "P" if i else "I", first) for i in range(n)], "frame_type string, loopIteration long"))
+    after = [i for i in range(first + 1, first + 2000) if scheduled(i, interval, num, denom)]
+    assert [r.loopIteration for r in rebuild.undo_inc(raw, c).orderBy("seq").collect()] == [first, *after[: n - 1]]
+
+
+def test_corrupt_counters_and_settings(spark):
+    f = frames(spark, [("a", 0, 5), ("a", 10, 3_000_000_005), ("b", 0, 1), ("b", 10, 9)], "loopIteration long")
+    both = config(spark, p_denom=2).union(config(spark, log_id="b", p_denom=0))
+    assert {(r.log_id, r.seq): r.absent for r in stats.absent_iterations(f, both).collect()} == {("a", 0): 0, ("a", 10): 1_499_999_999, ("b", 0): 0, ("b", 10): 0}
+
+
+def fold(rows):
+    """Validity by the rule itself, row by row: (kind, iteration, time); kind 2 is a resume event."""
+    last, sound, rolled, out = None, False, 0, []
+    for kind, i, t in rows:
+        if kind == 2:
+            last = (i, t)
+            continue
+        if last and t < last[1] % 2**32 and (t - last[1]) % 2**32 < 10_000_000:
+            rolled += 2**32
+        t += rolled
+        passes = last is None or (0 <= i - last[0] < 5000 and 0 <= t - last[1] < 10_000_000)
+        sound = passes if kind == 0 else sound and passes
+        if sound:
+            last = (i, t)
+        out.append((sound, t))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_validity_is_that_of_the_rule(spark, seed):
+    random.seed(seed)
+    rows, i, t = [], 0, 2**32 - 20_000_000
+    for k in range(3000):
+        i, t = i + random.randint(1, 3), t + random.randint(900, 20_000)
+        kind = 0 if k % 8 == 0 else 1
+        odd = random.random()
+        now = (kind, i + 7000 if odd < 0.004 else i - 50 if odd < 0.006 else i, (t + 20_000_000 if 0.006 < odd < 0.01 else t) % 2**32)
+        if odd > 0.998:
+            i, t = i + 20_000, t + 30_000_000
+            now = (2, i, t % 2**32)
+        rows.append(now)
+    f = frames(spark, [("a", 10 * k, "IP"[kind], i, t) for k, (kind, i, t) in enumerate(rows) if kind < 2], "frame_type string, loopIteration long, time long")
+    e = frames(spark, [("a", 10 * k, 14, t, i) for k, (kind, i, t) in enumerate(rows) if kind == 2], "event_type int, time long, log_iteration long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 700)
+    try:
+        got = [(r.valid, r.time) for r in rebuild.validate_frames(f, e).orderBy("seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = fold(rows)
+    assert got == want and 0 < sum(v for v, _ in want) < len(want)
+
+
 def step_log(overshoot=0.0, n=3000, sign=1):
     sp = [0.0] * n
     for i in range(n):

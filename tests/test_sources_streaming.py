@@ -49,12 +49,12 @@ def test_sections_headers_and_settings(spark, tmp_path):
     assert sources.section_listing(sections).count() == 2 and sources.pick_section(sections, 1).count() == 1
     headers = sources.parse_headers(sections)
     assert headers.where("field_name = 'Field I name'").count() == 2
-    s = {r.log_id[-1]: r for r in sources.sys_config(headers, unscaled_firmware="Alpha", versioned_firmware="Alpha").collect()}
+    s = {r.log_id[-1]: r for r in sources.sys_config(headers, converted_firmware="Alpha", versioned_firmware="Alpha").collect()}
     assert (s["0"].fc_version, s["1"].fc_version) == ("4.3.1", "")
     assert (s["0"].p_num, s["0"].p_denom, s["0"].frame_interval_i, s["0"].pid_roll, s["0"].pid_yaw) == (1, 2, 32, [45, 80, 30], [0, 0, 0])
     assert abs(s["0"].gyro_scale / 1.7453292519943295e-8 - 1) < 1e-9 and s["0"].vbatmaxcellvoltage == 430
     assert str(s["0"].date_time) == "2024-05-06 07:08:09"
-    assert sources.sys_config(headers).first().gyro_scale == 1.0
+    assert sources.sys_config(headers).first().gyro_scale == 1.0 and sources.sys_config(headers).first().firmware_type == 1
     defs = sources.field_defs(headers).where("log_id like '%#0'")
     p = [(r.name, r.signed, r.predictor) for r in defs.where("frame_type = 'P'").orderBy("field_index").collect()]
     assert p == [("loopIteration", 0, 6), ("time", 0, 2), ("gyroADC[0]", 1, 1)]
