@@ -6,6 +6,7 @@ Both are made from the same expressions, so that a query and its SQL start from
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _P, _N = "(n % 2600)", "n"
 _STEPS = ((15, 300), (12, 240), (6, 120))
@@ -56,18 +57,28 @@ _CONFIG = """select *, radians(1) * 1e-6 as gyro_scale from (values
   ff_roll, dmin_roll, vbatscale, vbatref, vbatmaxcellvoltage)"""
 
 
-def with_sql(query: str) -> str:
+#: Gyro noise that grows with throttle, on top of the frames' own: pseudo-random, from -20 to 20 times 0 to 20.
+_NOISY = {f"gyroADC_{k}": f"gyroADC_{k} + ((e * e * 31 + e * {17 + k}) % 4099 % 41 - 20) * ((rcCommand_3 - 1000) {{div}} 50)" for k in range(3)}
+
+
+def with_sql(query: str, noisy: bool = False) -> str:
     """A DuckDB query over f (frames), slow, gps, ev (events), idx (frame index) and cfg (settings)."""
+    frames = f"f as ({frames_sql('//', 'events')})"
+    if noisy:
+        frames = f"f0{frames[1:]}, f as (select * replace ({', '.join(f'{x} as {c}' for c, x in _NOISY.items())}) from f0)".replace("{div}", "//")
     div = lambda s: s.replace("{div}", "//")
-    return f"with f as ({frames_sql('//', 'events')}), slow as ({_SLOW}), gps as ({_GPS}), ev as ({div(_EVENTS)}), idx as ({_INDEX}), cfg as (select *, 400 as current_meter_scale from ({_CONFIG})) {query}"
+    return f"with recursive {frames}, slow as ({_SLOW}), gps as ({_GPS}), ev as ({div(_EVENTS)}), idx as ({_INDEX}), cfg as (select *, 400 as current_meter_scale from ({_CONFIG})) {query}"
 
 
 class Tables:
     """The same tables as DataFrames."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, noisy: bool = False) -> None:
         events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        self.spark = spark
         self._all = spark.sql(frames_sql("div", "{events}"), events=events)
+        if noisy:
+            self._all = self._all.withColumns({c: F.expr(x.replace("{div}", "div")) for c, x in _NOISY.items()})
         self.frames = self._all.drop("e", "u", "n")
 
         def derived(sql: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,15 +17,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 _GYRO, _AXIS_D = [f"gyroADC[{i}]" for i in range(3)], [f"axisD[{i}]" for i in range(2)]
-#: A short segment, so that the SQL may sum its Fourier transforms out.
-_NPERSEG = 64
+# Names by bit or number, as the SQL below has to give them.
+_MODE_NAMES = ["ANGLE_MODE", "HORIZON_MODE", "MAG_MODE", "BARO_MODE", "GPS_HOME_MODE", "GPS_HOLD_MODE", "HEADFREE_MODE", "UNUSED_MODE", "PASSTHRU_MODE", "RANGEFINDER_MODE"]
+_STATE_NAMES = ["GPS_FIX_HOME", "GPS_FIX", "CALIBRATE_MAG", "SMALL_ANGLE", "FIXED_WING"]
+_PHASE_NAMES = ["IDLE", "RX_LOSS_DETECTED", "LANDING", "LANDED"]
+_ADJUSTMENT_NAMES = [
+    "NONE", "RC_RATE", "RC_EXPO", "THROTTLE_EXPO", "PITCH_ROLL_RATE", "YAW_RATE", "PITCH_ROLL_P", "PITCH_ROLL_I", "PITCH_ROLL_D", "YAW_P", "YAW_I", "YAW_D",
+    "RATE_PROFILE", "PITCH_RATE", "ROLL_RATE", "PITCH_P", "PITCH_I", "PITCH_D", "ROLL_P", "ROLL_I", "ROLL_D",
+]
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, noisy: bool = False):
+    """Registers a query over the derived tables, and its SQL. Noisy frames have gyro noise that grows with throttle."""
+
     def add(make: Callable[[Tables], DataFrame]):
-        QUERIES[make.__name__] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
+        QUERIES[make.__name__] = lambda spark, sf_dir: make(Tables(spark, sf_dir, noisy))
         if sql is not None:
-            SQL[make.__name__] = with_sql(sql)
+            SQL[make.__name__] = with_sql(sql, noisy)
         return make
 
     return add
@@ -96,16 +105,16 @@ def _names_sql(column: str, names) -> str:
     return f"coalesce(nullif(concat_ws('|', {parts}), ''), '0')"
 
 
-_PHASE = f"case when failsafePhase < {fn.NAMED_PHASES} then {list(fn.FAILSAFE_PHASES)}[failsafePhase + 1] else cast(failsafePhase as varchar) end"
+_PHASE = f"case when failsafePhase < 4 then {_PHASE_NAMES}[failsafePhase + 1] else cast(failsafePhase as varchar) end"
 
 
-@query(f"select log_id, seq, {_names_sql('flightModeFlags', fn.FLIGHT_MODES[: fn.NAMED_MODES])} as flightModeFlags, {_names_sql('stateFlags', fn.FLIGHT_STATES)} as stateFlags, {_PHASE} as failsafePhase from slow")
+@query(f"select log_id, seq, {_names_sql('flightModeFlags', _MODE_NAMES)} as flightModeFlags, {_names_sql('stateFlags', _STATE_NAMES)} as stateFlags, {_PHASE} as failsafePhase from slow")
 def name_slow_flags(t: Tables) -> DataFrame:
     return units.name_slow_flags(t.slow)
 
 
 @query(f"""select log_id, seq, time, case event_type when 0 then 'Sync beep' when 13 then 'Inflight adjustment' when 14 then 'Logging resume' else 'Log clean end' end as name,
-  case when event_type = 13 then case when adjustment_function & 127 < {len(fn.ADJUSTMENTS)} then {list(fn.ADJUSTMENTS)}[(adjustment_function & 127) + 1] else cast(adjustment_function & 127 as varchar) end end as adjustment,
+  case when event_type = 13 then case when adjustment_function & 127 < 21 then {_ADJUSTMENT_NAMES}[(adjustment_function & 127) + 1] else cast(adjustment_function & 127 as varchar) end end as adjustment,
   case when event_type = 13 then case when adjustment_function > 127 then float_value else cast(int_value as double) end end as value,
   case when event_type = 14 then log_iteration end as log_iteration from ev""")
 def decode_events(t: Tables) -> DataFrame:
@@ -273,7 +282,7 @@ def merge_gps(t: Tables) -> DataFrame:
     return joins.merge_gps(t.frames, t.gps).select("log_id", "seq", "time", "motor_0", "GPS_numSat", "GPS_speed")
 
 
-@query(f""", {_DISPLAY}, {_MERGED}, {_ENERGY}, {_WITH_GPS} select w.log_id, w.seq, round(w.time / 1e6, 6) as time, round(d.volts, 6) as vbatLatest, e.energy_mah, {_names_sql('m.flightModeFlags', fn.FLIGHT_MODES[: fn.NAMED_MODES])} as flightModeFlags,
+@query(f""", {_DISPLAY}, {_MERGED}, {_ENERGY}, {_WITH_GPS} select w.log_id, w.seq, round(w.time / 1e6, 6) as time, round(d.volts, 6) as vbatLatest, e.energy_mah, {_names_sql('m.flightModeFlags', _MODE_NAMES)} as flightModeFlags,
   {_PHASE.replace('failsafePhase', 'm.failsafePhase')} as failsafePhase, w.GPS_numSat, w.GPS_speed / 100.0::double as GPS_speed
   from with_gps w join merged m on m.log_id = w.log_id and m.seq = w.seq // 10 * 10 join display d on d.log_id = m.log_id and d.seq = m.seq join energy e on e.log_id = m.log_id and e.seq = m.seq""")
 def export_log(t: Tables) -> DataFrame:
@@ -363,7 +372,7 @@ def unwrap_time(t: Tables) -> DataFrame:
 @query("""select log_id, frame_type, count(*) filter (ok) as accepted, count(*) filter (not ok) as rejected from (
   select log_id, seq, frame_type, n % 1600 <> 700 and not (n % 1600 between 701 and 703) as ok from f) group by all""")
 def accepted_frames(t: Tables) -> DataFrame:
-    # one I-aligned... a P frame that jumps far ahead spoils the stream up to the next I frame
+    # a P frame that jumps far ahead spoils the stream up to the next I frame
     bad = t._all.withColumn("loopIteration", F.when(F.col("n") % 1600 == 700, F.col("loopIteration") + 6000).otherwise(F.col("loopIteration")))
     return rebuild.accepted_frames(rebuild.validate_frames(bad.select("log_id", "seq", "frame_type", "loopIteration", "time")))
 
@@ -371,22 +380,25 @@ def accepted_frames(t: Tables) -> DataFrame:
 # -- series and spectra ---------------------------------------------------------------------------
 
 _DEC = """idx0 as (select log_id, seq, t_s, g0 as v, row_number() over (partition by log_id order by seq) - 1 as i, count(*) over (partition by log_id) as n from display),
-bins as (select *, cast(len(list_filter(range(1, 50), lambda k: floor(k * (n / 50.0::double)) <= i)) as bigint) as bin from idx0),
-dec as (select log_id, bin, arg_min(t_s, i) as t0, arg_max(t_s, i) as t1, min(v) as low, max(v) as high from bins group by all)"""
+bins as (select *, cast(len(list_filter(range(1, 500), lambda k: floor(k * (n / 500.0::double)) <= i)) as bigint) as bin from idx0),
+dec as (select log_id, bin, any_value(n) as n, arg_min(t_s, i) as t0, arg_max(t_s, i) as t1, min(v) as low, max(v) as high from bins group by all)"""
 
 
-@query(f", {_DISPLAY}, {_DEC} select log_id, 'gyroADC[0]' as channel, 2 * bin as point, round(t0, 6) as t_s, round(low, 6) as v from dec union all select log_id, 'gyroADC[0]', 2 * bin + 1, round(t1, 6), round(high, 6) from dec")
+@query(f", {_DISPLAY}, {_DEC} select log_id, 'gyroADC[0]' as channel, 2 * bin as point, round(t0, 6) as t_s, round(low, 6) as v from dec where n > 1000 union all select log_id, 'gyroADC[0]', 2 * bin + 1, round(t1, 6), round(high, 6) from dec where n > 1000 union all select log_id, 'gyroADC[0]', i, round(t_s, 6), round(v, 6) from idx0 where n <= 1000")
 def channel_series(t: Tables) -> DataFrame:
-    return _rounded(series.channel_series(t.frames, t.config, ["gyroADC[0]"], 100))
+    return _rounded(series.channel_series(t.frames, t.config, ["gyroADC[0]"], 1000))
 
 
 def _dft(source: str) -> str:
-    """Spectra of the rows (log_id, channel, seq, v) of a query, summed out; 64 samples a segment."""
-    return f"""{_RATE}, series as ({source}), numbered as (select *, row_number() over (partition by log_id, channel order by seq) - 1 as i, count(*) over (partition by log_id, channel) as n from series),
-  cut as (select log_id, channel, s, i - s * 32 as k, v - avg(v) over (partition by log_id, channel, s) as x from (select *, unnest([i // 32 - 1, i // 32]) as s from numbered) where s >= 0 and s < (n - 32) // 32),
-  bin as (select cast(range as int) as b from range(33)), win as (select range as k, 0.5 - 0.5 * cos(2 * pi() * range / 64) as w from range(64)),
-  fourier as (select log_id, channel, s, b, (sum(x * w * cos(2 * pi() * b * k / 64)) ** 2 + sum(x * w * sin(2 * pi() * b * k / 64)) ** 2) as p from cut join win using (k), bin group by all),
-  seg as (select log_id, channel, s, b, b * fs / 64 as freq, p / (fs * (select sum(w * w) from win)) * case when b in (0, 32) then 1 else 2 end as p, fs from fourier join rates using (log_id)),
+    """Spectra of the rows (log_id, channel, seq, v) of a query, summed out; segments of 1024 samples, or all of a shorter channel."""
+    return f"""{_RATE}, series as ({source}), numbered as (select *, row_number() over (partition by log_id, channel order by seq) - 1 as i, count(*) over (partition by log_id, channel) as total from series),
+  sized as (select *, least(total, 1024) as n, least(total, 1024) - least(total, 1024) // 2 as hop from numbered where total >= 8),
+  placed as (select *, unnest(range(cast(greatest(0, ceil((i - n + 1) / hop)) as bigint), least(i // hop, (total - n // 2) // hop - 1) + 1)) as s from sized),
+  cut as (select log_id, channel, s, n, hop, i - s * hop as k, v - avg(v) over (partition by log_id, channel, s) as x from placed),
+  tapered as (select c.log_id, channel, s, n, hop, fs, k, x * (0.5 - 0.5 * cos(2 * pi() * k / n)) as y, 0.5 - 0.5 * cos(2 * pi() * k / n) as w from cut c join rates using (log_id)),
+  bins as (select *, unnest(range(least(n // 2, cast(floor(200 * n / fs) as bigint)) + 1)) as b from tapered),
+  seg as (select log_id, channel, s, b, b * any_value(fs) / any_value(n) as freq, any_value(n) as n, any_value(hop) as hop, any_value(fs) as fs,
+    (sum(y * cos(2 * pi() * b * k / n)) ** 2 + sum(y * sin(2 * pi() * b * k / n)) ** 2) / (any_value(fs) * sum(w * w)) * case when b = 0 or 2 * b = any_value(n) then 1 else 2 end as p from bins group by log_id, channel, s, b),
   psd as (select log_id, channel, b as bin, any_value(freq) as freq, avg(p) as psd from seg where freq <= 200 group by all)"""
 
 
@@ -399,28 +411,41 @@ _GYRO_ROWS = "select log_id, unnest(['gyroADC[0]', 'gyroADC[1]', 'gyroADC[2]'])
 _ERROR_ROWS = "select log_id, axis as channel, seq, error as v from err"
 
 
-@query(f", {_DISPLAY}, {_dft(_GYRO_ROWS)} select log_id, channel, bin, round(freq, 6) as freq, round(psd, 5) as psd from psd")
+@query(f", {_DISPLAY}, {_dft(_GYRO_ROWS)} select log_id, channel, bin, round(freq, 6) as freq, round(psd, 3) as psd from psd")
 def power_spectrum(t: Tables) -> DataFrame:
-    return series.power_spectrum(t.frames, t.config, _GYRO, nperseg=_NPERSEG).select("log_id", "channel", F.col("bin").cast("int").alias("bin"), F.round("freq", 6).alias("freq"), F.round("psd", 5).alias("psd"))
+    return series.power_spectrum(t.frames, t.config, _GYRO).select("log_id", "channel", F.col("bin").cast("int").alias("bin"), F.round("freq", 6).alias("freq"), F.round("psd", 3).alias("psd"))
 
 
-@query(f", {_DISPLAY}, {_dft(_GYRO_ROWS)}, {_band(30, 90, 'a')} select log_id, channel, round(e, 4) as energy from a")
+@query(f", {_DISPLAY}, {_dft(_GYRO_ROWS)}, {_band(30, 90, 'a')} select log_id, channel, round(e, 3) as energy from a")
 def band_energy(t: Tables) -> DataFrame:
-    return _rounded(series.band_energy(series.power_spectrum(t.frames, t.config, _GYRO, nperseg=_NPERSEG), 30, 90), 4)
+    return _rounded(series.band_energy(series.power_spectrum(t.frames, t.config, _GYRO), 30, 90), 3)
+
+
+_MOTOR_ROWS = "select log_id, 'motor[0]' as channel, seq, cast(motor_0 as double) as v from f"
 
 
-@query(f", {_DISPLAY}, {_dft('select log_id, $$motor[0]$$ as channel, seq, cast(motor_0 as double) as v from f')}, n as (select log_id, max(s) + 1 as total from cut group by log_id), chosen as (select log_id, c as col, case when total <= 16 then c when c = 15 then total - 1 else cast(floor(c * ((total - 1) / 15.0::double)) as bigint) end as s from (select *, unnest(range(least(total, 16))) as c from n)) select log_id, cast(col as int) as col, round((s * 32 + 32) / fs, 6) as time_s, cast(b as int) as bin, round(greatest(10 * log10(p + 1e-30), -80), 4) as power_db from chosen join seg using (log_id, s) where freq <= 200")
+@query(f""", {_dft(_MOTOR_ROWS)}, n as (select log_id, max(s) + 1 as total from cut group by log_id),
+  chosen as (select log_id, c as col, case when total <= 256 then c when c = 255 then total - 1 else cast(floor(c * ((total - 1) / 255.0::double)) as bigint) end as s from (select *, unnest(range(least(total, 256))) as c from n))
+  select log_id, cast(col as int) as col, round((s * hop + n / 2) / fs, 6) as time_s, cast(b as int) as bin, round(greatest(10 * log10(p + 1e-30), -80), 4) as power_db from chosen join seg using (log_id, s) where freq <= 200""")
 def spectrogram(t: Tables) -> DataFrame:
-    out = series.spectrogram(t.frames, t.config, "motor[0]", nperseg=_NPERSEG, max_time_bins=16)
+    out = series.spectrogram(t.frames, t.config, "motor[0]")
     return out.select("log_id", F.col("column").cast("int").alias("col"), F.round("time_s", 6).alias("time_s"), F.col("bin").cast("int").alias("bin"), F.round("power_db", 4).alias("power_db"))
 
 
 _ANALYSIS = f"{_ERROR}, {_dft(_ERROR_ROWS)}, {_band(30, 90, 'wash')}, {_band(10, 150, 'noise')}, rms as (select log_id, axis, sqrt(avg(error * error)) as rms from err group by all)"
 
 
-@query(f", {_ANALYSIS} select log_id, axis, round(rms, 4) as rms, round(coalesce(wash.e, 0), 4) as propwash_energy, round(coalesce(noise.e, 0), 4) as noise_energy, round(case when noise.e > 0 then wash.e / noise.e else 0 end, 4) as propwash_ratio from rms left join wash on wash.log_id = rms.log_id and wash.channel = axis left join noise on noise.log_id = rms.log_id and noise.channel = axis".replace("select log_id, axis, round(rms, 4)", "select rms.log_id, axis, round(rms, 4)"))
+_PEAK = "peaks as (select log_id, channel, arg_min(freq, (-psd, bin)) as peak_hz from psd where freq between 30 and 90 group by all)"
+_JOINED = f"""{_ANALYSIS}, {_PEAK}, joined as (select rms.log_id, axis, rms, coalesce(wash.e, 0) as propwash_energy, coalesce(noise.e, 0) as noise_energy, case when noise.e > 0 then wash.e / noise.e else 0 end as propwash_ratio, peak_hz
+  from rms left join wash on wash.log_id = rms.log_id and wash.channel = axis left join noise on noise.log_id = rms.log_id and noise.channel = axis left join peaks on peaks.log_id = rms.log_id and peaks.channel = axis)"""
+
+
+@query(f""", {_BINNED.replace(_ERROR, _JOINED)}, texts as (select log_id, axis, string_agg(coalesce(cast(round(mean_abs_error * 1000) as bigint)::varchar, '-'), ',' order by bin) as error_by_throttle from evt group by all)
+  select log_id, axis, round(rms, 4) as rms, round(propwash_energy, 3) as propwash_energy, round(noise_energy, 3) as noise_energy, round(propwash_ratio, 4) as propwash_ratio, round(peak_hz, 4) as peak_hz, error_by_throttle from joined join texts using (log_id, axis)""")
 def pid_error_analysis(t: Tables) -> DataFrame:
-    return _rounded(series.pid_error_analysis(t.frames, t.config, nperseg=_NPERSEG).drop("error_by_throttle"), 4)
+    out = series.pid_error_analysis(t.frames, t.config)
+    by_throttle = F.array_join(F.transform("error_by_throttle", lambda e: F.round(e * 1000).cast("long").cast("string")), ",", "-")
+    return out.select("log_id", "axis", *((F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("rms", 4), ("propwash_energy", 3), ("noise_energy", 3), ("propwash_ratio", 4), ("peak_hz", 4))), by_throttle.alias("error_by_throttle"))
 
 
 # -- steps and tuning -----------------------------------------------------------------------------
@@ -450,65 +475,138 @@ def step_levels(t: Tables) -> DataFrame:
     return out.select("log_id", "axis", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"), F.col("edge").cast("long").alias("edge"), "baseline", "target")
 
 
-@query()
+_STEPS = f"""{_RUNS}, large as (select log_id, axis, r.edge, r.n, r.fs, baseline, target, greatest(0, edge - cast(floor(0.2 * fs) as bigint)) as lo, least(n, edge + 1 + cast(floor(0.8 * fs) as bigint)) as hi,
+    row_number() over (partition by log_id, axis order by s) as k from runs r join levels using (log_id, axis, run)
+    where abs(target - baseline) >= case axis when 'yaw' then 50 else 100 end and least(n, edge + 1 + floor(0.8 * fs)) - greatest(0, edge - floor(0.2 * fs)) >= 8 and least(n, edge + 1 + floor(0.8 * fs)) > edge + 1),
+  follow as (select a.log_id, a.axis, a.k, min(b.k) as next from large a left join large b on b.log_id = a.log_id and b.axis = a.axis and b.k > a.k and b.edge >= a.hi group by all),
+  taken as (select log_id, axis, k, 0 as step_no from large where k = 1 union all select t.log_id, t.axis, f.next, t.step_no + 1 from taken t join follow f on f.log_id = t.log_id and f.axis = t.axis and f.k = t.k where f.next is not null and t.step_no < 49),
+  steps as (select * from taken join large using (log_id, axis, k)),
+  win as (select c.log_id, c.axis, c.step_no, c.edge, c.hi, c.fs, baseline, target, x.idx, x.t_s, x.sp, x.gy, max(case when x.idx = c.edge then x.t_s end) over (partition by c.log_id, c.axis, c.step_no) as t0
+    from steps c join samples x on x.log_id = c.log_id and x.axis = c.axis and x.idx >= c.lo and x.idx < c.hi)"""
+_METRICS = f"""{_STEPS}, judged as (select *, target - baseline as mag, (gy - baseline) / (target - baseline) as reached, idx > edge and abs(sp - target) <= abs(target - baseline) * 0.25 + 5 as near,
+    idx > edge and abs(gy - target) > greatest(abs(target - baseline) * 0.10, 5) as outside from win),
+  one as (select log_id, axis, step_no, any_value(fs) as fs, any_value(edge) as edge, any_value(hi) as hi, any_value(t0) as t0, any_value(mag) as mag, any_value(baseline) as baseline, any_value(target) as target,
+    min(idx) filter (case when mag > 0 then gy >= baseline + 0.1::double * mag else gy <= baseline + 0.1::double * mag end) as i10, min(idx) filter (case when mag > 0 then gy >= baseline + 0.9::double * mag else gy <= baseline + 0.9::double * mag end) as i90,
+    min(idx) filter (idx >= edge and case when mag > 0 then gy >= baseline + 0.1::double * mag else gy <= baseline + 0.1::double * mag end) as ilat, max(idx) filter (outside) as iout,
+    max(gy) filter (near and mag > 0) as high, min(gy) filter (near and mag < 0) as low from judged group by all),
+  peaks as (select o.*, coalesce(high, low, target) as peak, (select min(j.idx) from judged j where j.log_id = o.log_id and j.axis = o.axis and j.step_no = o.step_no and j.near and j.gy = coalesce(high, low)) as ipeak from one o),
+  metrics as (select log_id, axis, step_no, t0, mag as step_mag, baseline, target, case when mag > 0 then peak - target else target - peak end / abs(mag) * 100 as overshoot_pct, (peak - baseline) / mag as peak_normalized,
+    coalesce((i90 - i10) / fs * 1000, 0) as rise_time_ms, coalesce((ilat - edge) / fs * 1000, 0) as latency_ms, coalesce((ipeak - edge) / fs * 1000, 0) as peak_time_ms,
+    case when iout is null then 0 when iout < hi - 1 then (iout - edge) / fs end as settle_time_s from peaks)"""
+_TRACES = f"""{_STEPS}, times as (select *, t_s - t0 as dt from win), pairs as (select *, lead(dt) over w as dt1, lead(sp) over w as sp1, lead(gy) over w as gy1 from times window w as (partition by log_id, axis, step_no order by idx)),
+  traces as (select log_id, axis, step_no, g.range as t_ms, baseline, target, case when g.range / 1000.0::double = dt then sp else sp + (sp1 - sp) / (dt1 - dt) * (g.range / 1000.0::double - dt) end as setpoint,
+    case when g.range / 1000.0::double = dt then gy else gy + (gy1 - gy) / (dt1 - dt) * (g.range / 1000.0::double - dt) end as gyro
+    from pairs join range(-50, 501) g on g.range / 1000.0::double >= dt and (g.range / 1000.0::double < dt1 or dt1 is null and g.range / 1000.0::double = dt))"""
+_METRIC_NAMES = ("t0", "step_mag", "baseline", "target", "overshoot_pct", "peak_normalized", "rise_time_ms", "latency_ms", "peak_time_ms", "settle_time_s")
+
+
+@query(f", {_METRICS} select log_id, axis, step_no, {', '.join(f'round({c}, 6) as {c}' for c in _METRIC_NAMES)} from metrics")
 def detect_steps(t: Tables) -> DataFrame:
     return _rounded(steps.detect_steps(t.frames, t.config)[0])
 
 
-@query()
+@query(f", {_TRACES} select log_id, axis, step_no, t_ms, round(setpoint, 5) as setpoint, round(gyro, 5) as gyro from traces")
 def step_traces(t: Tables) -> DataFrame:
-    return _rounded(steps.step_traces(steps.detect_steps(t.frames, t.config)[1]))
+    return _rounded(steps.step_traces(steps.detect_steps(t.frames, t.config)[1]), 5)
 
 
-@query()
+@query(f", {_TRACES} select log_id, axis, t_ms, round(avg((gyro - baseline) / (target - baseline)), 6) as response, any_value(n) as n_traces from traces join (select log_id, axis, count(*) as n from steps group by all) using (log_id, axis) group by log_id, axis, t_ms")
 def average_step_response(t: Tables) -> DataFrame:
     return _rounded(steps.average_step_response(steps.detect_steps(t.frames, t.config)[1]))
 
 
-@query()
+_GAINS = "gains as (select log_id, unnest(['roll', 'pitch', 'yaw']) as axis, unnest([p_roll, p_pitch, p_yaw]) as p, unnest([i_roll, i_pitch, i_yaw]) as i, unnest([d_roll, d_pitch, d_yaw]) as d, unnest([dmin_roll, 0, 0]) as d_min, unnest([ff_roll, 0, 0]) as f from cfg)"
+
+
+@query(f", {_METRICS}, {_GAINS} select m.*, p, i, d, d_min, g.f from (select log_id, axis, count(*) as count, {', '.join(f'round(median({c}), 6) as median_{c}' for c in ('peak_normalized', 'latency_ms', 'rise_time_ms', 'overshoot_pct'))} from metrics group by all) m left join gains g using (log_id, axis)")
 def step_summary(t: Tables) -> DataFrame:
     return _rounded(steps.step_summary(steps.detect_steps(t.frames, t.config)[0], t.config))
 
 
-@query()
-def diagnose(t: Tables) -> DataFrame:
-    return tuning.diagnose(t.frames, t.config, nperseg=_NPERSEG).drop("rule_no")
+# -- findings: each rule's rows in full; those of the derived frames are too quiet for some, so noisy frames are judged
+
+
+def _set_sql(name: str, value: str, percent: int) -> str:
+    factor = 1 + percent / 100
+    return f"case when {value} > 0 then 'set ' || {name} || ' = ' || cast(round_even({value} * {factor!r}::double, 0) as int) end"
+
+
+def _cli(*commands: str) -> str:
+    return f"concat_ws(';', {', '.join(commands)})"
 
 
-_COMMANDS = "[c for c in [case when p_roll > 0 then 'set p_roll = ' || cast(round_even(p_roll * 0.9, 0) as int) end, case when p_pitch > 0 then 'set p_pitch = ' || cast(round_even(p_pitch * 0.9, 0) as int) end] if c is not null]"
+def _filter(kind: str) -> str:
+    """The command for the second low-pass, or the first if there is none."""
+    second, first = f"{kind}_lpf2_static_hz", f"{kind}_lpf1_static_hz"
+    return f"case when {second} > 0 then {_set_sql(repr(second), second, -20)} else {_set_sql(repr(first), first, -20)} end"
 
 
-@query(f"select log_id, 'high' as severity, array_to_string({_COMMANDS}, ';') as cli from (select log_id, max(greatest(motor_0, motor_1, motor_2, motor_3)) as m from f group by log_id) join cfg using (log_id) where motor_output_high > 0 and m >= motor_output_high * 0.98")
+_P_GAIN, _D_GAIN = ("case axis when 'roll' then {0}_roll when 'pitch' then {0}_pitch else {0}_yaw end".format(x) for x in "pd")
+_PERCENT = "cast(cast(round_even({} * 100, 0) as bigint) as varchar)"
+_SHARES = "{0}s as (select log_id, channel, a.e / nullif(b.e, 0) as ratio from {1} a join {2} b using (log_id, channel) where b.e > 0)"
+_D_ROWS = "select log_id, unnest(['axisD[0]', 'axisD[1]']) as channel, seq, unnest([cast(axisD_0 as double), cast(axisD_1 as double)]) as v from f"
+_AXIS_OF = "['roll', 'pitch', 'yaw'][cast(regexp_extract(channel, '\\[(\\d)\\]', 1) as int) + 1]"
+
+_WASH_FOUND = f"""select log_id, axis, 'propwash' as category, case when propwash_ratio > 0.35 then 'high' else 'medium' end as severity, axis || ': propwash oscillation' as title,
+  'tracking error between 30 and 90 Hz: ' || {_PERCENT.format('propwash_ratio')} || ' % of its energy, peak near ' || cast(cast(round(coalesce(peak_hz, 0)) as bigint) as varchar) || ' Hz' as detail,
+  'Raise D by about 12 %, or lower P a little.' as action, {_cli(_set_sql("'d_' || axis", _D_GAIN, 12), _set_sql("'p_' || axis", _P_GAIN, -8))} as cli, 1 as rule_no from joined join cfg using (log_id) where propwash_ratio >= 0.20 and rms >= 10"""
+_THROTTLE_FOUND = f"""select log_id, axis, 'noise_throttle' as category, 'medium' as severity, axis || ': noise rises with throttle' as title,
+  'mean error rises by ' || cast(cast(round(slope) as bigint) as varchar) || ' deg/s over full throttle' as detail, 'Check propeller balance and motor bearings; filter the gyro more, or lower D.' as action,
+  {_cli(_set_sql("'d_' || axis", _D_GAIN, -10), _filter('gyro'))} as cli, 2 as rule_no
+  from (select log_id, axis, regr_slope(mean_abs_error, throttle) as slope, count(*) as n from evt where mean_abs_error is not null group by all) join cfg using (log_id) where n >= 4 and slope > 25"""
+_GYRO_FOUND = f"""select log_id, axis, 'gyro_hf_noise' as category, 'medium' as severity, axis || ': gyro noise' as title, {_PERCENT.format('ratio')} || ' % of the gyro''s energy lies above 100 Hz' as detail,
+  'Filter the gyro more (cut-off down by about 20 %), or lower D.' as action, {_cli(_filter('gyro'))} as cli, 3 as rule_no from (select *, {_AXIS_OF} as axis from gyros) join cfg using (log_id) where ratio > 0.25"""
+_DTERM_FOUND = f"""select log_id, axis, 'dterm_hf' as category, 'medium' as severity, axis || ': D-term noise' as title, {_PERCENT.format('ratio')} || ' % of the D-term''s energy lies above 100 Hz; d_' || axis || ' is ' || ({_D_GAIN}) as detail,
+  'Lower D by about 15 %, or filter the D-term more.' as action, {_cli(_set_sql("'d_' || axis", _D_GAIN, -15), _filter('dterm'))} as cli, 4 as rule_no from (select *, {_AXIS_OF} as axis from dterms) join cfg using (log_id) where ratio > 0.30"""
+_MOTOR_FOUND = f"""select log_id, cast(null as varchar) as axis, 'motor_saturation' as category, 'high' as severity, 'motor output near its limit' as title, 'motor output peaks at ' || m || ', its limit is ' || motor_output_high as detail,
+  'Lower P of roll and pitch by about 10 %; check that motors and propellers match.' as action, {_cli(_set_sql("'p_roll'", 'p_roll', -10), _set_sql("'p_pitch'", 'p_pitch', -10))} as cli, 5 as rule_no
+  from (select log_id, max(greatest(motor_0, motor_1, motor_2, motor_3)) as m from f group by log_id) join cfg using (log_id) where motor_output_high > 0 and m >= motor_output_high * 0.98"""
+_GYRO_SHARES = f"{_dft(_GYRO_ROWS)}, {_band(100, 150, 'high')}, {_band(10, 150, 'total')}, {_SHARES.format('gyro', 'high', 'total')}"
+_DTERM_SHARES = f"{_dft(_D_ROWS)}, {_band(100, 200, 'high')}, {_band(10, 200, 'total')}, {_SHARES.format('dterm', 'high', 'total')}"
+
+
+def _found_rows(found: DataFrame) -> DataFrame:
+    return found.withColumn("cli", F.array_join("cli", ";"))
+
+
+@query(f", {_MOTOR_FOUND[:0]}x as (select 1) {_MOTOR_FOUND}")
 def rule_motor_saturation(t: Tables) -> DataFrame:
-    return tuning.rule_motor_saturation(stats.motor_peak(t.frames, t.config), t.config).select("log_id", "severity", F.array_join("cli", ";").alias("cli"))
+    return _found_rows(tuning.rule_motor_saturation(stats.motor_peak(t.frames, t.config), t.config))
 
 
-@query(f", {_BINNED} select log_id, axis, 'medium' as severity from (select log_id, axis, regr_slope(mean_abs_error, throttle) as slope, count(*) as n from evt where mean_abs_error is not null group by all) where n >= 4 and slope > 25")
+@query(f", {_BINNED} {_THROTTLE_FOUND}", noisy=True)
 def rule_noise_throttle(t: Tables) -> DataFrame:
     slopes = stats.throttle_slope(stats.error_vs_throttle(units.to_display_units(t.frames, t.config)))
-    return tuning.rule_noise_throttle(slopes, t.config).select("log_id", "axis", "severity")
+    return _found_rows(tuning.rule_noise_throttle(slopes, t.config))
 
 
-@query(f", {_DISPLAY}, {_dft(_GYRO_ROWS)}, {_band(100, 150, 'high')}, {_band(10, 150, 'total')} select log_id, case channel when 'gyroADC[0]' then 'roll' when 'gyroADC[1]' then 'pitch' else 'yaw' end as axis, case when gyro_lpf2_static_hz > 0 then 'set gyro_lpf2_static_hz = ' || cast(round_even(gyro_lpf2_static_hz * 0.8, 0) as int) when gyro_lpf1_static_hz > 0 then 'set gyro_lpf1_static_hz = ' || cast(round_even(gyro_lpf1_static_hz * 0.8, 0) as int) else '' end as cli from high join (select log_id, channel, e as total from total) t using (log_id, channel) join cfg using (log_id) where total > 0 and e / total > 0.25")
+@query(f", {_DISPLAY}, {_GYRO_SHARES} {_GYRO_FOUND}", noisy=True)
 def rule_gyro_hf(t: Tables) -> DataFrame:
-    psd = series.power_spectrum(t.frames, t.config, _GYRO, nperseg=_NPERSEG)
-    return tuning.rule_gyro_hf(psd, t.config).select("log_id", "axis", F.array_join("cli", ";").alias("cli"))
-
-
-_D_ROWS = "select log_id, unnest(['axisD[0]', 'axisD[1]']) as channel, seq, unnest([cast(axisD_0 as double), cast(axisD_1 as double)]) as v from f"
+    return _found_rows(tuning.rule_gyro_hf(series.power_spectrum(t.frames, t.config, _GYRO), t.config))
 
 
-@query(f", {_dft(_D_ROWS)}, {_band(100, 200, 'high')}, {_band(10, 200, 'total')} select log_id, case channel when 'axisD[0]' then 'roll' else 'pitch' end as axis, 'medium' as severity from high join (select log_id, channel, e as total from total) t using (log_id, channel) where total > 0 and e / total > 0.30")
+@query(f", {_DTERM_SHARES} {_DTERM_FOUND}")
 def rule_dterm_hf(t: Tables) -> DataFrame:
-    psd = series.power_spectrum(t.frames, t.config, _AXIS_D, nperseg=_NPERSEG)
-    return tuning.rule_dterm_hf(psd, t.config).select("log_id", "axis", "severity")
+    return _found_rows(tuning.rule_dterm_hf(series.power_spectrum(t.frames, t.config, _AXIS_D), t.config))
 
 
-@query(f", {_ANALYSIS}, joined as (select rms.log_id, axis, rms, wash.e / noise.e as ratio from rms join wash on wash.log_id = rms.log_id and wash.channel = axis join noise on noise.log_id = rms.log_id and noise.channel = axis where noise.e > 0) select log_id, axis, case when ratio > 0.35 then 'high' else 'medium' end as severity from joined where ratio >= 0.20 and rms >= 10")
+@query(f", {_JOINED} {_WASH_FOUND}")
 def rule_propwash(t: Tables) -> DataFrame:
-    display, rates = units.to_display_units(units.with_t_sec(t.frames), t.config), stats.estimate_sample_rate(t.frames)
-    analysis = series.pid_error_analysis(t.frames, t.config, nperseg=_NPERSEG)
-    return tuning.rule_propwash(analysis, series.error_psd(display, rates, nperseg=_NPERSEG), t.config).select("log_id", "axis", "severity")
+    return _found_rows(tuning.rule_propwash(series.pid_error_analysis(t.frames, t.config), t.config))
+
+
+def _scoped(ctes: str, found: str) -> str:
+    """A rule's SQL with its own named steps, as a subquery."""
+    return f"select * from (with {ctes} {found})"
+
+
+_ALL_FOUND = " union all ".join([_scoped(_JOINED, _WASH_FOUND), _scoped(_BINNED, _THROTTLE_FOUND), _scoped(f"{_DISPLAY}, {_GYRO_SHARES}", _GYRO_FOUND), _scoped(_DTERM_SHARES, _DTERM_FOUND), _scoped("x as (select 1)", _MOTOR_FOUND)])
+
+
+@query(f""", found as ({_ALL_FOUND}) select * exclude (rule_no), row_number() over (partition by log_id order by case severity when 'high' then 0 when 'medium' then 1 else 2 end,
+  case when rule_no <= 2 then list_position(['roll', 'pitch', 'yaw'], axis) else 9 end, rule_no, list_position(['roll', 'pitch', 'yaw'], axis)) as rank from found""", noisy=True)
+def diagnose(t: Tables) -> DataFrame:
+    return _found_rows(tuning.diagnose(t.frames, t.config)).drop("rule_no")
 
 
 # -- reconciliation -------------------------------------------------------------------------------
@@ -535,8 +633,8 @@ def reconcile_summary(t: Tables) -> DataFrame:
 
 @query(f", {_DIFF} select d.log_id, d.col as \"column\", d.scaling, d.row, case when loopIteration % frame_interval_i = 0 then 'I' else 'P' end as kind, round(d.ours, 6) as ours, round(d.golden, 6) as golden, d.bad from best b join diff d on d.log_id = b.log_id and d.col = b.col and d.scaling = b.scaling and d.row between first_row - 3 and first_row + 3 join f on f.log_id = d.log_id and f.seq = d.row * 10 join cfg on cfg.log_id = d.log_id")
 def mismatch_context(t: Tables) -> DataFrame:
-    diff = _diff(t)
-    out = reconcile.mismatch_context(diff, reconcile.reconcile_summary(diff), t.frames, t.config)
+    pairs = _diff(t)
+    out = reconcile.mismatch_context(pairs, reconcile.reconcile_summary(pairs), t.frames, t.config)
     return _rounded(out.drop("first_row"))
 
 
@@ -546,9 +644,9 @@ _MARKER = "H Product:"
 _SECTION_TEXT = "'{m} recorder' || chr(10) || 'H I interval:' || {c} || chr(10) || 'H P interval:1/' || ({s} + 2) || chr(10) || 'H rollPID:' || ({c} % 90) || ',40,' || {s} || chr(10) || repeat('x', {c} % 61)"
 
 
-def _log_files(t: Tables) -> DataFrame:
+def _log_files(t: Tables, text: str = _SECTION_TEXT) -> DataFrame:
     """One file per log, with a section for each 500 frames."""
-    text = _SECTION_TEXT.format(m=_MARKER, c="cast(c as string)", s="s")
+    text = text.format(m=_MARKER, c="cast(c as string)", s="s")
     sections = t._all.groupBy("log_id", F.expr("n div 500").alias("s")).agg(F.count("*").alias("c")).withColumn("text", F.expr(text))
     parts = F.array_sort(F.collect_list(F.struct("s", "text")))
     return sections.groupBy(F.col("log_id").alias("path")).agg(F.encode(F.array_join(F.transform(parts, lambda p: p["text"]), ""), "UTF-8").alias("content"))
@@ -572,20 +670,77 @@ def parse_headers(t: Tables) -> DataFrame:
     return sources.parse_headers(sources.split_sections(_log_files(t), _MARKER)).drop("line_no")
 
 
-@query(f", {_SECTIONS} select path || '#' || s as log_id, c as frame_interval_i, 1 as p_num, s + 2 as p_denom, (c % 90) || ',40,' || s as pid_roll, '0,0,0' as pid_yaw, 110 as vbatscale, 1.0::double as gyro_scale from placed")
+@query(f", {_SECTIONS} select path || '#' || s as log_id, c as frame_interval_i, 1 as p_num, s + 2 as p_denom, (c % 90) || ',40,' || s as pid_roll, '0,0,0' as pid_yaw, 110 as vbatscale, 1.0::double as gyro_scale, 1150 as motor_output_low, 1850 as motor_output_high, 33 as vbatmincellvoltage, 43 as vbatmaxcellvoltage, 0 as current_meter_offset, 400 as current_meter_scale, 0 as gyro_lpf1_static_hz, 1 as acc_1g, 4095 as vbatref, 0 as firmware_type, '' as fc_version from placed")
 def sys_config(t: Tables) -> DataFrame:
     from skylog import sources
 
     out = sources.sys_config(sources.parse_headers(sources.split_sections(_log_files(t), _MARKER)))
-    return out.select("log_id", "frame_interval_i", "p_num", "p_denom", F.array_join("pid_roll", ",").alias("pid_roll"), F.array_join("pid_yaw", ",").alias("pid_yaw"), "vbatscale", "gyro_scale")
+    return out.select("log_id", "frame_interval_i", "p_num", "p_denom", F.array_join("pid_roll", ",").alias("pid_roll"), F.array_join("pid_yaw", ",").alias("pid_yaw"), "vbatscale", "gyro_scale", "motor_output_low", "motor_output_high", "vbatmincellvoltage", "vbatmaxcellvoltage", "current_meter_offset", "current_meter_scale", "gyro_lpf1_static_hz", "acc_1g", "vbatref", "firmware_type", "fc_version")
+
+
+_TYPES = ["", "Cleanflight", "Betaflight", "Baseflight"]
+_FIELD_LINES = "H Field I name:loopIteration,time,axisP[0]' || chr(10) || 'H Field I signed:0,0,1' || chr(10) || 'H Field I predictor:0,0,' || ({s} % 3) || chr(10) || 'H Field I encoding:1,1,0' || chr(10) || 'H Field P predictor:6,2,1' || chr(10) || 'H Field P encoding:9,0,0' || chr(10) || 'H Field G name:time,GPS_coord[0],GPS_coord[1]' || chr(10) || 'H Field G signed:0,1,1' || chr(10) || 'H Field G predictor:10,7,7' || chr(10) || 'H Field G encoding:1,0,0"
+#: Sections whose firmware type, its place, revision and gyro scale vary with their number.
+_TYPED_TEXT = (
+    "'{m} recorder' || chr(10) || case {s} % 4 when 1 then 'H Firmware type:Cleanflight' || chr(10) when 2 then 'H Firmware type:Betaflight' || chr(10) else '' end || 'H gyro_scale:0x3f800000' || chr(10)"
+    " || case {s} % 4 when 3 then 'H Firmware type:Baseflight' || chr(10) else '' end || 'H Firmware revision:' || case {s} % 2 when 0 then 'Betaflight' else 'Other' end || ' 4.' || {s} || '.1 (x)' || chr(10) || '" + _FIELD_LINES + "' || chr(10) || repeat('x', {c} % 61)"
+)
+
+
+def _typed_headers(t: Tables) -> DataFrame:
+    from skylog import sources
+
+    return sources.parse_headers(sources.split_sections(_log_files(t, _TYPED_TEXT), _MARKER))
+
+
+@query("""select log_id || '#' || s as log_id, case s % 4 when 0 then 0 when 1 then 2 else 1 end as firmware_type, round(case when s % 4 = 2 then 1 else radians(1) * 1e-6 end, 12) as gyro_scale,
+  case when s % 2 = 0 then '4.' || s || '.1' else '' end as fc_version, 32 as frame_interval_i from (select distinct log_id, n // 500 as s from f)""")
+def sys_config_of_types(t: Tables) -> DataFrame:
+    from skylog import sources
+
+    return sources.sys_config(_typed_headers(t)).select("log_id", "firmware_type", F.round("gyro_scale", 12).alias("gyro_scale"), "fc_version", "frame_interval_i")
+
+
+@query("""select log_id || '#' || s as log_id, x.* replace (case when frame_type = 'I' and field_index = 2 then s % 3 else predictor end as predictor) from (select distinct log_id, n // 500 as s from f), (values
+  ('I', 0, 'loopIteration', 0, 0, 1), ('I', 1, 'time', 0, 0, 1), ('I', 2, 'axisP[0]', 1, 0, 0), ('P', 0, 'loopIteration', 0, 6, 9), ('P', 1, 'time', 0, 2, 0), ('P', 2, 'axisP[0]', 1, 1, 0),
+  ('G', 0, 'time', 0, 10, 1), ('G', 1, 'GPS_coord[0]', 1, 7, 0), ('G', 2, 'GPS_coord[1]', 1, 256, 0)) as x(frame_type, field_index, name, signed, predictor, encoding)""")
+def field_defs(t: Tables) -> DataFrame:
+    from skylog import sources
+
+    return sources.field_defs(_typed_headers(t))
+
+
+@query(f", {_SECTIONS} select log_id, path, section_no, size from (select path || '#' || s as log_id, path, s as section_no, length(text) as size from placed) where section_no = 0")
+def pick_section(t: Tables) -> DataFrame:
+    from skylog import sources
+
+    picked = sources.pick_section(sources.split_sections(_log_files(t), _MARKER), 0)
+    return picked.select("log_id", "path", F.col("section_no").cast("long").alias("section_no"), F.length("body").cast("long").alias("size"))
+
+
+@query("select log_id, seq, cast(loopIteration as double) as loopIteration, cast(time as double) as time, vbatLatest / 100.0::double as vbatLatest, cast(motor_1 as double) as motor_1, frame_type from f")
+def frames_csv(t: Tables) -> DataFrame:
+    """The frames written as CSV with units in their names, and read again."""
+    from skylog import sources
+
+    path = f"{_shared_folder(t.spark)}/frames-{uuid.uuid4().hex}"
+    rows = t.frames.select("log_id", "seq", "loopIteration", "time", (F.col("vbatLatest") / 100.0).alias("vbatLatest"), "motor_1", "frame_type")
+    sources.write_frames(rows, path, "csv", {"time": "us", "vbatLatest": "V"})
+    return sources.read_frames_csv(t.spark, path)
 
 
-def _stream_folder(spark: SparkSession) -> str:
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a local session makes one of its own where it names none."""
+    import re
     import tempfile
-    import uuid
 
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if shared is None:
+        shared = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(shared)
+    return shared
 
 
 def live_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -595,7 +750,7 @@ def live_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     feed = spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet").selectExpr("event_type as log_id", "event_id as seq", "event_id * 1000 as time", "value", "user_id")
-    folder = _stream_folder(spark)
+    folder = f"{_shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     done = follow(feed, ["value", "user_id"]).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     done.awaitTermination()
     rows = spark.read.parquet(f"{folder}/out")
