@@ -31,7 +31,7 @@ GROUP_BYTES = 4 << 20
 #: Names of words are even, those of pairs odd; this one is the start of a text.
 _START = np.uint64(0)
 _PAIR = np.uint64(1)
-#: Names one after the other and, where they are counted, their counts in target and background.
+#: ``data`` holds sorted names and, where they are counted, their counts in target and background, see ``_packed``.
 _ROWS = "part int, chunk long, counted boolean, data binary"
 #: Names that one row of a written model holds.
 _ROW_NAMES = 1 << 19
@@ -53,30 +53,46 @@ def _named(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, before, join(before, word) | _PAIR
 
 
-def _gathered(group: pa.Table):
-    """All texts of a group as one chunk."""
-    return next(chunks(group.combine_chunks().to_batches(), limit=1 << 62))
+class _Group:
+    """The words of a group's documents: names, sorted, with their counts in texts of the target and in all."""
+
+    def __init__(self, group: pa.Table) -> None:
+        self.chunk = next(chunks(group.combine_chunks().to_batches(), limit=1 << 62))
+        self.words = self.chunk.words(LOWER)
+        word, self.before, pair = _named(self.words)
+        full, row = np.flatnonzero(np.diff(self.words.first)), self.words.text_of
+        self.names, at = np.unique(np.concatenate([word, pair, np.full(len(full), _START)]), return_inverse=True)
+        #: Places of each word's and each pair's name.
+        self.word, self.pair = at[: len(word)], at[len(word) : 2 * len(word)]
+        self.target = self.chunk.column("target").astype(bool)
+        target = np.bincount(at, self.target[np.concatenate([row, row, full])], len(self.names))
+        self.counts = np.stack([target, np.bincount(at, minlength=len(self.names))]).astype(np.uint64)
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first: those that are nearly always 0 cost next to nothing in a shuffle."""
+    return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+
+
+def _unpacked(data, columns: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(columns, 8, -1)
+    return planes.transpose(0, 2, 1).copy(order="C").view(np.uint64).reshape(columns, -1)
+
+
+def _unpacked_names(data, counted: bool) -> np.ndarray:
+    """Names, which are packed as differences, and their counts."""
+    columns = _unpacked(data, 3 if counted else 1)
+    columns[0] = np.cumsum(columns[0])
+    return columns
 
 
 def _rows(parts: int, chunk: int | None, names: np.ndarray, *counts: np.ndarray) -> pa.Table:
     """One row for each partition of the sorted names, those without a name too."""
     cuts = np.searchsorted(uniform_part(names, parts), np.arange(parts + 1, dtype=np.uint64))
-    data = [b"".join(x[a:b].tobytes() for x in (names, *counts)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    data = [_packed(np.diff(names[a:b], prepend=np.uint64(0)), *(c[a:b] for c in counts)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return pa.table({"part": pa.array(range(parts), pa.int32()), "chunk": pa.array([chunk] * parts, pa.int64()), "counted": pa.array([bool(counts)] * parts), "data": pa.array(data, pa.binary())})
 
 
-def _counted(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted names of a group with their counts in texts of the target and in all."""
-    chunk = _gathered(group)
-    words = chunk.words(LOWER)
-    word, _, pair = _named(words)
-    full = np.flatnonzero(np.diff(words.first))
-    names, at = np.unique(np.concatenate([word, pair, np.full(len(full), _START)]), return_inverse=True)
-    of, row = chunk.column("target").astype(bool), words.text_of
-    target = np.bincount(at, of[np.concatenate([row, row, full])], len(names))
-    return names, target.astype(np.uint64), np.bincount(at, minlength=len(names)).astype(np.uint64)
-
-
 def _added(held: list) -> list[np.ndarray]:
     """Sorted names and their sums in the counted rows."""
     columns = [np.concatenate(c) for c in zip(*held, strict=True)] if held else [np.empty(0, np.uint64)] * 3
@@ -88,33 +104,31 @@ def _added(held: list) -> list[np.ndarray]:
     return [names[order][start], np.add.reduceat(target[order], start), np.add.reduceat(total[order], start)]
 
 
-def _unpacked(data, columns: int) -> np.ndarray:
-    return np.frombuffer(data.as_buffer(), np.uint64).reshape(columns, -1)
-
-
 def _answers(asked: DataFrame, parts: int) -> DataFrame:
-    """(chunk, part, data) for each asking row: the partition's totals, then the counts of the names in their order."""
+    """(chunk, part, data) for each asking row: the partition's totals, then what others have counted of its names, in their order."""
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, asking, part = [], [], None
         for batch in batches:
             for chunk, counted, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                values = _unpacked(data, 3 if counted else 1)
+                values = _unpacked_names(data.as_buffer(), counted)
                 if counted:
                     held.append(values)
                 if chunk is not None:
-                    asking.append((chunk, values[0]))
+                    asking.append((chunk, values))
             part = batch.column(0)[0].as_py()
         names, *counts = _added(held)
         word = (names & _PAIR == 0) & (names != _START)
         totals = np.array([counts[0][word].sum(), counts[1][word].sum(), word.sum()], np.uint64).tobytes()
-        for chunk, wanted in asking:
+        for chunk, (wanted, *own) in asking:
             found = np.zeros((2, len(wanted)), np.uint64)
             if len(names):
                 at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
                 known = names[at] == wanted
                 found[:, known] = [c[at[known]] for c in counts]
-            yield pa.record_batch([pa.array([chunk]), pa.array([part], pa.int32()), pa.array([totals + found.tobytes()], pa.binary())], ["chunk", "part", "data"])
+            if own:
+                found -= own
+            yield pa.record_batch([pa.array([chunk]), pa.array([part], pa.int32()), pa.array([totals + _packed(*found)], pa.binary())], ["chunk", "part", "data"])
 
     return asked.repartitionById(parts, "part").mapInArrow(answer, "chunk long, part int, data binary")
 
@@ -127,16 +141,14 @@ def _of(doc: np.ndarray, name: np.ndarray, kinds: int) -> tuple[np.ndarray, np.n
 
 def _losses(group: pa.Table, answers: pa.Table, weight: float, within: bool) -> pa.Table:
     """Losses of a group's documents from the answers of all partitions."""
-    chunk = _gathered(group)
-    words = chunk.words(LOWER)
-    word, before, pair = _named(words)
-    names, at = np.unique(np.concatenate([word, pair, [_START]]), return_inverse=True)
-    w, p = at[: len(word)], at[len(word) : -1]
-    data = [np.frombuffer(x.as_buffer(), np.uint64) for x in answers.sort_by("part").column("data")]
-    totals = np.sum([d[:3] for d in data], axis=0).astype(np.float64)
-    counts = np.concatenate([d[3:].reshape(2, -1) for d in data], axis=1).astype(np.float64)
+    own = _Group(group)
+    chunk, words, names, w, p = own.chunk, own.words, own.names, own.word, own.pair
+    data = [x.as_buffer() for x in answers.sort_by("part").column("data")]
+    totals = np.sum([np.frombuffer(d, np.uint64, 3) for d in data], axis=0).astype(np.float64)
+    counts = np.concatenate([_unpacked(d.slice(24), 2) for d in data], axis=1)
+    counts = (counts + own.counts if within else counts).astype(np.float64)
     doc, n = words.text_of, np.diff(words.first)
-    new = before == _START
+    new = own.before == _START
     v = np.concatenate([[0], w[:-1]])[: len(w)]
     v[new] = 0  # the start's name is the least of all
     own_pair = own_word = own_before = own_n = np.zeros(len(w))
@@ -146,7 +158,7 @@ def _losses(group: pa.Table, answers: pa.Table, weight: float, within: bool) ->
         own_before = np.where(new, 1, times[np.minimum(np.searchsorted(kinds, doc * len(names) + v), len(kinds) - 1)])
         own_n = n[doc]
     out = []
-    for i, mine in enumerate((chunk.column("target").astype(bool)[doc], np.ones(len(doc)))):
+    for i, mine in enumerate((own.target[doc], np.ones(len(doc)))):
         single = (counts[i, w] - own_word * mine + 1) / (totals[i] - own_n * mine + totals[2] + 1)
         context = counts[i, v] - own_before * mine
         likely = np.where(context > 0, weight * (counts[i, p] - own_pair * mine) / np.maximum(context, 1) + (1 - weight) * single, single)
@@ -181,16 +193,20 @@ def fit(documents: DataFrame, target: DataFrame, broadcast_ids: int = 1_000_000)
     counts are written to the shared folder, for any number of tables to be scored.
     """
     rows, parts = _grouped(documents, target, broadcast_ids)
-    count = lambda group: _rows(parts, None, *_counted(group))
+
+    def count(group: pa.Table) -> pa.Table:
+        own = _Group(group)
+        return _rows(parts, None, own.names, *own.counts)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, part = [], None
         for batch in batches:
             part = batch.column(0)[0].as_py()
-            held += [_unpacked(x, 3) for x in batch.column(3)]
+            held += [_unpacked_names(x.as_buffer(), True) for x in batch.column(3)]
         sums = _added(held)
         for a in range(0, len(sums[0]), _ROW_NAMES):
-            data = b"".join(x[a : a + _ROW_NAMES].tobytes() for x in sums)
+            names, *counts = (x[a : a + _ROW_NAMES] for x in sums)
+            data = _packed(np.diff(names, prepend=np.uint64(0)), *counts)
             yield pa.record_batch([pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.array([True]), pa.array([data], pa.binary())], ["part", "chunk", "counted", "data"])
 
     return Models(saved(rows.groupBy("chunk").applyInArrow(count, _ROWS).repartitionById(parts, "part").mapInArrow(add, _ROWS)), parts)
@@ -207,7 +223,7 @@ def score(documents: DataFrame, models: Models, weight: float = 0.6) -> DataFram
     names = models.parts
 
     def ask(group: pa.Table) -> pa.Table:
-        return _rows(names, group.column("chunk")[0].as_py(), _counted(group)[0])
+        return _rows(names, group.column("chunk")[0].as_py(), _Group(group).names)
 
     asked = rows.groupBy("chunk").applyInArrow(ask, _ROWS).unionByName(models.counts)
     return _finished(rows, parts, _answers(asked, names), weight, within=False)
@@ -223,7 +239,8 @@ def score_within(documents: DataFrame, target: DataFrame, weight: float = 0.6, b
     rows, parts = _grouped(documents, target, broadcast_ids)
 
     def ask(group: pa.Table) -> pa.Table:
-        return _rows(parts, group.column("chunk")[0].as_py(), *_counted(group))
+        own = _Group(group)
+        return _rows(parts, group.column("chunk")[0].as_py(), own.names, *own.counts)
 
     return _finished(rows, parts, _answers(rows.groupBy("chunk").applyInArrow(ask, _ROWS), parts), weight, within=True)
 
