@@ -569,7 +569,7 @@ def _found_rows(found: DataFrame) -> DataFrame:
     return found.withColumn("cli", F.array_join("cli", ";"))
 
 
-@query(f", {_MOTOR_FOUND[:0]}x as (select 1) {_MOTOR_FOUND}")
+@query(_MOTOR_FOUND)
 def rule_motor_saturation(t: Tables) -> DataFrame:
     return _found_rows(tuning.rule_motor_saturation(stats.motor_peak(t.frames, t.config), t.config))
 
@@ -600,7 +600,7 @@ def _scoped(ctes: str, found: str) -> str:
     return f"select * from (with {ctes} {found})"
 
 
-_ALL_FOUND = " union all ".join([_scoped(_JOINED, _WASH_FOUND), _scoped(_BINNED, _THROTTLE_FOUND), _scoped(f"{_DISPLAY}, {_GYRO_SHARES}", _GYRO_FOUND), _scoped(_DTERM_SHARES, _DTERM_FOUND), _scoped("x as (select 1)", _MOTOR_FOUND)])
+_ALL_FOUND = " union all ".join([_scoped(_JOINED, _WASH_FOUND), _scoped(_BINNED, _THROTTLE_FOUND), _scoped(f"{_DISPLAY}, {_GYRO_SHARES}", _GYRO_FOUND), _scoped(_DTERM_SHARES, _DTERM_FOUND), f"select * from ({_MOTOR_FOUND})"])
 
 
 @query(f""", found as ({_ALL_FOUND}) select * exclude (rule_no), row_number() over (partition by log_id order by case severity when 'high' then 0 when 'medium' then 1 else 2 end,
