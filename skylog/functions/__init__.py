@@ -8,16 +8,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Names of flags, phases and adjustments, by bit or number.
-FLIGHT_MODES = ("ANGLE_MODE", "HORIZON_MODE", "MAG_MODE", "BARO_MODE", "GPS_HOME_MODE", "GPS_HOLD_MODE", "HEADFREE_MODE", "UNUSED_MODE", "PASSTHRU_MODE", "RANGEFINDER_MODE", "FAILSAFE_MODE")
+FLIGHT_MODES = (
+    "ANGLE_MODE", "HORIZON_MODE", "MAG_MODE", "BARO_MODE", "GPS_HOME_MODE", "GPS_HOLD_MODE", "HEADFREE_MODE", "UNUSED_MODE",
+    "PASSTHRU_MODE", "RANGEFINDER_MODE", "FAILSAFE_MODE"
+)
 FLIGHT_STATES = ("GPS_FIX_HOME", "GPS_FIX", "CALIBRATE_MAG", "SMALL_ANGLE", "FIXED_WING")
 FAILSAFE_PHASES = ("IDLE", "RX_LOSS_DETECTED", "LANDING", "LANDED", "RX_LOSS_MONITORING", "RX_LOSS_RECOVERED")
-ADJUSTMENTS = ("NONE", "RC_RATE", "RC_EXPO", "THROTTLE_EXPO", "PITCH_ROLL_RATE", "YAW_RATE", "PITCH_ROLL_P", "PITCH_ROLL_I", "PITCH_ROLL_D", "YAW_P", "YAW_I", "YAW_D", "RATE_PROFILE", "PITCH_RATE", "ROLL_RATE", "PITCH_P", "PITCH_I", "PITCH_D", "ROLL_P", "ROLL_I", "ROLL_D")
+ADJUSTMENTS = (
+    "NONE", "RC_RATE", "RC_EXPO", "THROTTLE_EXPO", "PITCH_ROLL_RATE", "YAW_RATE", "PITCH_ROLL_P", "PITCH_ROLL_I",
+    "PITCH_ROLL_D", "YAW_P", "YAW_I", "YAW_D", "RATE_PROFILE", "PITCH_RATE", "ROLL_RATE", "PITCH_P", "PITCH_I", "PITCH_D",
+    "ROLL_P", "ROLL_I", "ROLL_D"
+)
 #: Flags and phases that log exports name; higher bits stay unnamed, higher phases numbers.
 NAMED_MODES, NAMED_PHASES = 10, 4
 
 #: Unit by name of a single field, and by prefix of an indexed one.
 _UNITS = {"time": "s", "loopIteration": "", "vbatLatest": "V", "amperageLatest": "A"}
-_INDEXED_UNITS = {"gyroADC": "deg/s", "gyroUnfilt": "deg/s", "setpoint": "deg/s", "axisP": "deg/s", "axisD": "deg/s", "axisF": "deg/s", "axisI": "raw", "rcCommand": "us", "motor": "us", "accSmooth": "g", "eRPM": "rpm"}
+_INDEXED_UNITS = {
+    "gyroADC": "deg/s", "gyroUnfilt": "deg/s", "setpoint": "deg/s", "axisP": "deg/s", "axisD": "deg/s", "axisF": "deg/s",
+    "axisI": "raw", "rcCommand": "us", "motor": "us", "accSmooth": "g", "eRPM": "rpm"
+}
 
 
 def field_unit(name: Column) -> Column:

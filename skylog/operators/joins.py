@@ -17,8 +17,12 @@ def _asof(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
     """
     value = F.struct(*columns)
     none = F.lit(None).cast(right.select(value.alias("x")).schema["x"].dataType)
-    both = left.select("log_id", "seq", none.alias("_of"), F.lit(True).alias("_left")).unionByName(right.select("log_id", "seq", value.alias("_of"), F.lit(False).alias("_left")))
-    seen = F.last("_of", ignorenulls=True).over(Window.partitionBy("log_id").orderBy("seq", "_left").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = left.select("log_id", "seq", none.alias("_of"), F.lit(True).alias("_left")).unionByName(
+        right.select("log_id", "seq", value.alias("_of"), F.lit(False).alias("_left"))
+    )
+    seen = F.last("_of", ignorenulls=True).over(
+        Window.partitionBy("log_id").orderBy("seq", "_left").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     found = both.withColumn("_of", seen).where("_left").drop("_left")
     return by_place(left, found).select(*left.columns, *(F.col(f"_of.{c}").alias(c) for c in columns))
 
@@ -37,13 +41,26 @@ def merge_gps(frames: DataFrame, gps: DataFrame) -> DataFrame:
     columns, fields = present(gps, GPS_COLUMNS), [c for c in frames.columns if c not in ("log_id", "seq")]
     data = F.struct("time", *columns)
     none = F.lit(None).cast(gps.select(data.alias("x")).schema["x"].dataType)
-    both = frames.select("log_id", "seq", F.col("seq").alias("_main"), "time", none.alias("_gps")).unionByName(gps.select("log_id", "seq", F.lit(None).cast("long").alias("_main"), "time", data.alias("_gps")))
+    both = frames.select("log_id", "seq", F.col("seq").alias("_main"), "time", none.alias("_gps")).unionByName(
+        gps.select("log_id", "seq", F.lit(None).cast("long").alias("_main"), "time", data.alias("_gps"))
+    )
     w = stream()
     main_before = F.last("_main", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = both.withColumns({"_before": main_before, "_after": F.lead("_gps").over(w), "_previous": F.when(F.lag("_main").over(w).isNotNull(), F.lag("time").over(w))})
+    rows = both.withColumns(
+        {
+            "_before": main_before, "_after": F.lead("_gps").over(w),
+            "_previous": F.when(F.lag("_main").over(w).isNotNull(), F.lag("time").over(w))
+        }
+    )
     is_main = F.col("_main").isNotNull()
     attached = F.when(is_main & (F.col("_after.time") == F.col("time")), F.col("_after"))
     own = ~is_main & F.col("_before").isNotNull() & ~F.coalesce(F.col("_previous") == F.col("time"), F.lit(False))
-    rows = rows.where(is_main | own).select("log_id", F.col("seq").alias("_seq"), F.col("_before").alias("seq"), F.col("time").alias("_time"), F.when(is_main, attached).otherwise(F.col("_gps")).alias("_data"))
+    rows = rows.where(is_main | own).select(
+        "log_id", F.col("seq").alias("_seq"), F.col("_before").alias("seq"), F.col("time").alias("_time"),
+        F.when(is_main, attached).otherwise(F.col("_gps")).alias("_data")
+    )
     out = rows.join(frames, ["log_id", "seq"])
-    return out.select("log_id", F.col("_seq").alias("seq"), *(F.col("_time").alias(c) if c == "time" else F.col(c) for c in fields), *(F.col(f"_data.{c}").alias(c) for c in columns))
+    return out.select(
+        "log_id", F.col("_seq").alias("seq"), *(F.col("_time").alias(c) if c == "time" else F.col(c) for c in fields),
+        *(F.col(f"_data.{c}").alias(c) for c in columns)
+    )

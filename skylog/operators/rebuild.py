@@ -25,7 +25,9 @@ MAX_ITERATIONS, MAX_MICROSECONDS = 5000, 10_000_000
 
 def with_segments(raw: DataFrame) -> DataFrame:
     """Adds segment: how many I frames the log has had so far; rows before the first are in segment 0."""
-    number = F.sum(F.when(F.col("frame_type") == "I", 1).otherwise(0)).over(stream().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    number = F.sum(F.when(F.col("frame_type") == "I", 1).otherwise(0)).over(
+        stream().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     return by_place(raw, raw.select("log_id", "seq", "frame_type").select("log_id", "seq", number.alias("segment")))
 
 
@@ -52,7 +54,9 @@ def undo_average2(raw: DataFrame, columns: list[str]) -> DataFrame:
     That isn't linear: each segment is one row of arrays, and numpy steps through many segments at once.
     """
     names = [f for f in raw.columns if f not in columns]
-    packed = raw.groupBy("log_id", "segment").agg(F.array_sort(F.collect_list(F.struct("seq", *(c for c in names if c not in ("log_id", "segment", "seq")), *columns))).alias("rows"))
+    packed = raw.groupBy("log_id", "segment").agg(
+        F.array_sort(F.collect_list(F.struct("seq", *(c for c in names if c not in ("log_id", "segment", "seq")), *columns))).alias("rows")
+    )
     packed = packed.select("log_id", "segment", "rows", *(F.col(f"rows.{c}").alias(f"_{c}") for c in columns))
     kept = len(packed.columns) - len(columns)
 
@@ -68,16 +72,27 @@ def undo_average2(raw: DataFrame, columns: list[str]) -> DataFrame:
                 for i in range(1, values.shape[1]):
                     total = values[:, i - 1] + values[:, max(i - 2, 0)]
                     values[:, i] += np.sign(total) * (np.abs(total) // 2)
-                done.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values[inside])))
+                done.append(
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values[inside]))
+                )
             yield pa.record_batch([*batch.columns[:kept], *done], batch.schema.names)
 
-    out = packed.mapInArrow(scan, packed.schema).select("log_id", "segment", F.posexplode("rows").alias("_i", "_r"), *(f"_{c}" for c in columns))
-    return out.select(*(F.col(c) if c in ("log_id", "segment") else F.element_at(f"_{c}", F.col("_i") + 1).alias(c) if c in columns else F.col(f"_r.{c}").alias(c) for c in raw.columns))
+    out = packed.mapInArrow(scan, packed.schema).select(
+        "log_id", "segment", F.posexplode("rows").alias("_i", "_r"), *(f"_{c}" for c in columns)
+    )
+    return out.select(
+        *(
+            F.col(c) if c in ("log_id", "segment") else F.element_at(f"_{c}", F.col("_i") + 1).alias(c) if c in columns else F.col(f"_r.{c}").alias(c) for c in raw.columns
+        )
+    )
 
 
 def undo_inc(raw: DataFrame, config: DataFrame, column: str = "loopIteration") -> DataFrame:
     """Loop counters: the n-th P frame of a segment has the n-th scheduled iteration after its I frame's."""
-    rows = raw.join(config.select("log_id", F.col("frame_interval_i").alias("_i"), F.col("p_num").alias("_num"), F.col("p_denom").alias("_denom")), "log_id", "left")
+    rows = raw.join(
+        config.select("log_id", F.col("frame_interval_i").alias("_i"), F.col("p_num").alias("_num"), F.col("p_denom").alias("_denom")),
+        "log_id", "left"
+    )
     place = F.row_number().over(Window.partitionBy("log_id", "segment").orderBy("seq")) - 1
     first = F.first(F.when(F.col("frame_type") == "I", F.col(column)), ignorenulls=True).over(_segment())
     rows = rows.withColumns({"_place": place, "_first": first})
@@ -91,12 +106,18 @@ def undo_inc(raw: DataFrame, config: DataFrame, column: str = "loopIteration") -
 BASES = {"rcCommand_3": "minthrottle", "vbatLatest": "vbatref", "motor_0": "motor_output_low"}
 
 
-def undo_base(raw: DataFrame, config: DataFrame, bases: dict[str, str | int] = BASES, motors: tuple[str, ...] = ("motor_1", "motor_2", "motor_3")) -> DataFrame:
+def undo_base(
+    raw: DataFrame, config: DataFrame, bases: dict[str, str | int] = BASES,
+    motors: tuple[str, ...] = ("motor_1", "motor_2", "motor_3")
+) -> DataFrame:
     """I-frame values recorded against a setting, a number, or the first motor become values; P frames stay."""
     key = F.col("frame_type") == "I"
     used = sorted({v for v in bases.values() if isinstance(v, str)})
     rows = raw.join(config.select("log_id", *(F.col(c).alias(f"_{c}") for c in used)), "log_id", "left")
-    add = {c: F.when(key, F.col(c) + (F.col(f"_{v}") if isinstance(v, str) else F.lit(v))).otherwise(F.col(c)) for c, v in bases.items() if c in raw.columns}
+    add = {
+        c: F.when(key, F.col(c) + (F.col(f"_{v}") if isinstance(v, str) else F.lit(v))).otherwise(F.col(c)) for c,
+        v in bases.items() if c in raw.columns
+    }
     rows = rows.withColumns(add).drop(*(f"_{c}" for c in used))
     return rows.withColumns({m: F.when(key, F.col(m) + F.col("motor_0")).otherwise(F.col(m)) for m in motors if m in raw.columns})
 
@@ -104,7 +125,9 @@ def undo_base(raw: DataFrame, config: DataFrame, bases: dict[str, str | int] = B
 def undo_home(gps: DataFrame, home: DataFrame) -> DataFrame:
     """Coordinates recorded against the home position become absolute; frames before the first home are dropped."""
     rows = _asof(gps, home, ["GPS_home_0", "GPS_home_1"]).where("GPS_home_0 is not null")
-    return rows.withColumns({f"GPS_coord_{i}": F.col(f"GPS_coord_{i}") + F.col(f"GPS_home_{i}") for i in (0, 1)}).drop("GPS_home_0", "GPS_home_1")
+    return rows.withColumns(
+        {f"GPS_coord_{i}": F.col(f"GPS_coord_{i}") + F.col(f"GPS_home_{i}") for i in (0, 1)}
+    ).drop("GPS_home_0", "GPS_home_1")
 
 
 def undo_gps_time(gps: DataFrame, frames: DataFrame) -> DataFrame:
@@ -116,8 +139,13 @@ def undo_gps_time(gps: DataFrame, frames: DataFrame) -> DataFrame:
 def unwrap_time(frames: DataFrame, column: str = "time") -> DataFrame:
     """32-bit clocks become 64-bit ones: a step back that is one forward of less than 10 s modulo 2**32 is a rollover."""
     now, before = F.col(column), F.lag(column).over(stream())
-    rows = frames.select("log_id", "seq", column).withColumn("_over", F.when((now < before) & (F.pmod(now - before, F.lit(ROLLOVER)) < MAX_MICROSECONDS), 1).otherwise(0))
-    times = rows.select("log_id", "seq", F.sum("_over").over(stream().rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_rolled"))
+    rows = frames.select("log_id", "seq", column).withColumn(
+        "_over", F.when((now < before) & (F.pmod(now - before, F.lit(ROLLOVER)) < MAX_MICROSECONDS), 1).otherwise(0)
+    )
+    times = rows.select(
+        "log_id", "seq",
+        F.sum("_over").over(stream().rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_rolled")
+    )
     return by_place(frames, times).withColumn(column, now + ROLLOVER * F.col("_rolled")).drop("_rolled")
 
 
@@ -156,7 +184,9 @@ def _validity(kind: np.ndarray, iteration: np.ndarray, time: np.ndarray, ref: _R
             if ref.time is not None and time[i] < ref.time % ROLLOVER and (time[i] - ref.time) % ROLLOVER < MAX_MICROSECONDS:
                 ref.rolled += ROLLOVER
             out[i] += ref.rolled
-            passes = ref.iteration is None or (ref.iteration <= iteration[i] < ref.iteration + MAX_ITERATIONS and ref.time <= out[i] < ref.time + MAX_MICROSECONDS)
+            passes = ref.iteration is None or (
+                ref.iteration <= iteration[i] < ref.iteration + MAX_ITERATIONS and ref.time <= out[i] < ref.time + MAX_MICROSECONDS
+            )
             ref.sound = valid[i] = bool(passes if kind[i] == 0 else ref.sound and passes)
             if ref.sound:
                 ref.iteration, ref.time = int(iteration[i]), int(out[i])
@@ -173,9 +203,17 @@ def validate_frames(frames: DataFrame, events: DataFrame | None = None) -> DataF
     order, a batch at a time: what is held of it is its reference alone, however long it is.
     """
     kind = F.when(F.col("frame_type") == "I", 0).otherwise(1)
-    rows = frames.select("log_id", "seq", "frame_type", kind.alias("kind"), F.col("loopIteration").cast("long").alias("iteration"), F.col("time").cast("long").alias("time"))
+    rows = frames.select(
+        "log_id", "seq", "frame_type", kind.alias("kind"), F.col("loopIteration").cast("long").alias("iteration"),
+        F.col("time").cast("long").alias("time")
+    )
     if events is not None:
-        rows = rows.unionByName(events.where("event_type = 14").select("log_id", "seq", F.lit("E").alias("frame_type"), F.lit(2).alias("kind"), F.col("log_iteration").cast("long").alias("iteration"), F.col("time").cast("long").alias("time")))
+        rows = rows.unionByName(
+            events.where("event_type = 14").select(
+                "log_id", "seq", F.lit("E").alias("frame_type"), F.lit(2).alias("kind"),
+                F.col("log_iteration").cast("long").alias("iteration"), F.col("time").cast("long").alias("time")
+            )
+        )
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log, ref = None, _Reference()
@@ -191,7 +229,9 @@ def validate_frames(frames: DataFrame, events: DataFrame | None = None) -> DataF
                     parts.append(_validity(kinds[a:b], iterations[a:b], times[a:b], ref))
             if parts:
                 valid, time = (np.concatenate(c) for c in zip(*parts, strict=True))
-                yield pa.record_batch([*batch.columns[:3], pa.array(time), pa.array(valid)], ["log_id", "seq", "frame_type", "time", "valid"])
+                yield pa.record_batch(
+                    [*batch.columns[:3], pa.array(time), pa.array(valid)], ["log_id", "seq", "frame_type", "time", "valid"]
+                )
 
     # null counters and times count as 0, as a decoder's do
     dealt = rows.repartition("log_id").sortWithinPartitions("log_id", "seq")
@@ -200,4 +240,6 @@ def validate_frames(frames: DataFrame, events: DataFrame | None = None) -> DataF
 
 def accepted_frames(validated: DataFrame) -> DataFrame:
     """Accepted and rejected frames by log and frame type."""
-    return validated.groupBy("log_id", "frame_type").agg(F.count_if("valid").alias("accepted"), F.count_if(~F.col("valid")).alias("rejected"))
+    return validated.groupBy("log_id", "frame_type").agg(
+        F.count_if("valid").alias("accepted"), F.count_if(~F.col("valid")).alias("rejected")
+    )

@@ -39,10 +39,15 @@ def downsample_minmax(channels: DataFrame, max_points: int) -> DataFrame:
     width = F.col("n") / F.lit(float(bins))
     guess = F.floor(((F.col("idx") + 1) * bins - 1) / F.col("n"))
     edge = lambda k: F.floor(k * width)
-    bin_ = F.when(edge(guess) > F.col("idx"), guess - 1).when((guess + 1 < bins) & (edge(guess + 1) <= F.col("idx")), guess + 1).otherwise(guess)
+    bin_ = F.when(edge(guess) > F.col("idx"), guess - 1).when(
+        (guess + 1 < bins) & (edge(guess + 1) <= F.col("idx")), guess + 1
+    ).otherwise(guess)
     long = rows.where(F.col("n") > max_points) if max_points >= 2 else rows.limit(0)
     short = rows.where(F.col("n") <= max_points) if max_points >= 2 else rows
-    binned = long.groupBy("log_id", "channel", bin_.alias("bin")).agg(F.min_by("t_s", "idx").alias("t0"), F.max_by("t_s", "idx").alias("t1"), F.min("v").alias("low"), F.max("v").alias("high"))
+    binned = long.groupBy("log_id", "channel", bin_.alias("bin")).agg(
+        F.min_by("t_s", "idx").alias("t0"), F.max_by("t_s", "idx").alias("t1"), F.min("v").alias("low"),
+        F.max("v").alias("high")
+    )
     points = binned.select("log_id", "channel", F.expr("stack(2, 2 * bin, t0, low, 2 * bin + 1, t1, high) as (point, t_s, v)"))
     return points.unionByName(short.select("log_id", "channel", F.col("idx").cast("long").alias("point"), "t_s", "v"))
 
@@ -66,7 +71,9 @@ def segments(channels: DataFrame, nperseg: int) -> DataFrame:
     first = F.greatest(F.lit(0), F.floor((F.col("idx") - F.col("n")) / hop) + 1)
     within = rows.withColumns({"_first": first, "_last": F.least(F.floor(F.col("idx") / hop), last)}).where("_first <= _last")
     dealt = within.select("log_id", "channel", "n", "idx", "v", F.explode(F.sequence("_first", "_last")).alias("segment"))
-    out = dealt.groupBy("log_id", "channel", "segment").agg(F.first("n").alias("n"), F.min("idx").alias("at"), F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("rows"))
+    out = dealt.groupBy("log_id", "channel", "segment").agg(
+        F.first("n").alias("n"), F.min("idx").alias("at"), F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("rows")
+    )
     return out.select("log_id", "channel", "segment", "n", "at", F.col("rows.v").alias("values"))
 
 
@@ -86,9 +93,13 @@ def segment_psd(cut: DataFrame, rates: DataFrame) -> DataFrame:
                 power[:, 1 : -1 if n % 2 == 0 else None] *= 2
                 for i, p in zip(at, power, strict=True):
                     psd[i] = p
-            yield pa.record_batch([*batch.columns[:5], pa.array(psd, pa.list_(pa.float64()))], ["log_id", "channel", "segment", "n", "fs", "psd"])
+            yield pa.record_batch(
+                [*batch.columns[:5], pa.array(psd, pa.list_(pa.float64()))], ["log_id", "channel", "segment", "n", "fs", "psd"]
+            )
 
-    rows = cut.join(rates.where("sample_rate > 0").select("log_id", F.col("sample_rate").alias("fs")), "log_id").select("log_id", "channel", F.col("segment").cast("long"), F.col("n").cast("long"), "fs", "values")
+    rows = cut.join(
+        rates.where("sample_rate > 0").select("log_id", F.col("sample_rate").alias("fs")), "log_id"
+    ).select("log_id", "channel", F.col("segment").cast("long"), F.col("n").cast("long"), "fs", "values")
     return rows.mapInArrow(transform, "log_id string, channel string, segment long, n long, fs double, psd array<double>")
 
 
@@ -108,7 +119,10 @@ def welch(channels: DataFrame, rates: DataFrame, max_freq: float, nperseg: int,
 def power_spectrum(frames: DataFrame, config: DataFrame, names: list[str], max_freq: float = 200, nperseg: int = 1024) -> DataFrame:
     """Welch spectrum of named channels in display units; logs of fewer than 32 rows give none."""
     _check(max_freq=(max_freq, 10, 1000), nperseg=(nperseg, 64, 8192))
-    return welch(to_channels(to_display_units(with_t_sec(frames), config), names), estimate_sample_rate(frames), max_freq, nperseg, least=32)
+    return welch(
+        to_channels(to_display_units(with_t_sec(frames), config), names), estimate_sample_rate(frames), max_freq, nperseg,
+        least=32
+    )
 
 
 def spectrum_info(frames: DataFrame, pole_pairs: int = 7, harmonics: int = 3) -> DataFrame:
@@ -129,12 +143,17 @@ def band_energies(psd: DataFrame, bands: dict[str, tuple[float, float]], peak: t
     w = Window.partitionBy("log_id", "channel").orderBy("bin")
     rows = psd.withColumns({"_f": F.lead("freq").over(w), "_p": F.lead("psd").over(w)})
     area = (F.col("psd") + F.col("_p")) / 2 * (F.col("_f") - F.col("freq"))
-    sums = [F.coalesce(F.sum(F.when((F.col("freq") >= low) & (F.col("_f") <= high), area)), F.lit(0.0)).alias(name) for name, (low, high) in bands.items()]
+    sums = [
+        F.coalesce(F.sum(F.when((F.col("freq") >= low) & (F.col("_f") <= high), area)), F.lit(0.0)).alias(name) for name,
+        (low, high) in bands.items()
+    ]
     strongest = F.max_by("freq", F.when(F.col("freq").between(*peak), F.struct("psd", -F.col("bin"))))
     return rows.groupBy("log_id", "channel").agg(*sums, strongest.alias("peak_hz"))
 
 
-def spectrogram(frames: DataFrame, config: DataFrame, name: str, max_freq: float = 200, nperseg: int = 1024, max_time_bins: int = 256) -> DataFrame:
+def spectrogram(
+    frames: DataFrame, config: DataFrame, name: str, max_freq: float = 200, nperseg: int = 1024, max_time_bins: int = 256
+) -> DataFrame:
     """(log_id, channel, column, time_s, bin, freq, power_db), floor -80 dB; evenly chosen segments if there are too many.
 
     Segments are chosen before they are transformed.
@@ -145,13 +164,20 @@ def spectrogram(frames: DataFrame, config: DataFrame, name: str, max_freq: float
     cut = segments(channels, nperseg)
     counts = cut.groupBy("log_id", "channel").agg((F.max("segment") + 1).alias("_s"))
     k = F.explode(F.sequence(F.lit(0), F.least(F.col("_s"), F.lit(max_time_bins)).cast("int") - 1))
-    target = F.when(F.col("_s") <= max_time_bins, F.col("column")).when(F.col("column") == max_time_bins - 1, F.col("_s") - 1).otherwise(F.floor(F.col("column") * ((F.col("_s") - 1) / F.lit(float(max_time_bins - 1)))))
-    chosen = counts.select("log_id", "channel", "_s", k.alias("column")).select("log_id", "channel", "column", target.cast("long").alias("segment"))
+    target = F.when(F.col("_s") <= max_time_bins, F.col("column")).when(
+        F.col("column") == max_time_bins - 1, F.col("_s") - 1
+    ).otherwise(F.floor(F.col("column") * ((F.col("_s") - 1) / F.lit(float(max_time_bins - 1)))))
+    chosen = counts.select("log_id", "channel", "_s", k.alias("column")).select(
+        "log_id", "channel", "column", target.cast("long").alias("segment")
+    )
     kept = chosen.select("log_id", "channel", "segment").distinct()
     psd = segment_psd(cut.join(kept, ["log_id", "channel", "segment"]), estimate_sample_rate(frames))
     rows = _bins(psd, max_freq).join(chosen, ["log_id", "channel", "segment"])
     start = F.col("segment") * F.expr("n - n div 2")
-    return rows.select("log_id", "channel", "column", ((start + F.col("n") / 2) / F.col("fs")).alias("time_s"), "bin", "freq", F.greatest(10 * F.log10(F.col("p") + 1e-30), F.lit(-80.0)).alias("power_db"))
+    return rows.select(
+        "log_id", "channel", "column", ((start + F.col("n") / 2) / F.col("fs")).alias("time_s"), "bin", "freq",
+        F.greatest(10 * F.log10(F.col("p") + 1e-30), F.lit(-80.0)).alias("power_db")
+    )
 
 
 def error_psd(display: DataFrame, rates: DataFrame, max_freq: float = 200, nperseg: int = 1024) -> DataFrame:
@@ -165,7 +191,12 @@ def pid_error_analysis(frames: DataFrame, config: DataFrame, max_freq: float = 2
     _check(max_freq=(max_freq, 10, 1000), nperseg=(nperseg, 64, 8192))
     display = to_display_units(with_t_sec(frames), config)
     bands = {"propwash_energy": PROPWASH_BAND, "noise_energy": NOISE_BAND}
-    energies = band_energies(error_psd(display, estimate_sample_rate(frames), max_freq, nperseg), bands, PROPWASH_BAND).withColumnRenamed("channel", "axis")
+    energies = band_energies(
+        error_psd(display, estimate_sample_rate(frames), max_freq, nperseg), bands, PROPWASH_BAND
+    ).withColumnRenamed("channel", "axis")
     out = error_profile(display).join(energies, ["log_id", "axis"], "left").fillna(0.0, list(bands))
     ratio = F.when(F.col("noise_energy") > 0, F.col("propwash_energy") / F.col("noise_energy")).otherwise(0.0)
-    return out.select("log_id", "axis", "rms", "propwash_energy", "noise_energy", ratio.alias("propwash_ratio"), "peak_hz", "error_by_throttle")
+    return out.select(
+        "log_id", "axis", "rms", "propwash_energy", "noise_energy", ratio.alias("propwash_ratio"), "peak_hz",
+        "error_by_throttle"
+    )

@@ -16,7 +16,9 @@ def field_limits(frames: DataFrame) -> DataFrame:
     fields = present(frames, MAIN_COLUMNS)
     wide = frames.groupBy("log_id").agg(*(f(c).alias(f"{p}{c}") for c in fields for p, f in (("lo_", F.min), ("hi_", F.max))))
     parts = ", ".join(f"'{CHANNEL[c]}', cast(`lo_{c}` as long), cast(`hi_{c}` as long)" for c in fields)
-    return wide.select("log_id", F.expr(f"stack({len(fields)}, {parts}) as (channel, min, max)")).where("min is not null").withColumn("range", F.col("max") - F.col("min"))
+    return wide.select(
+        "log_id", F.expr(f"stack({len(fields)}, {parts}) as (channel, min, max)")
+    ).where("min is not null").withColumn("range", F.col("max") - F.col("min"))
 
 
 def frame_stats(frame_index: DataFrame) -> DataFrame:
@@ -33,13 +35,21 @@ def looptime_stats(frames: DataFrame) -> DataFrame:
     """Mean, sample standard deviation and their percentage of the time per iteration, where the iteration advanced."""
     w = stream()
     step, gone = F.col("loopIteration") - F.lag("loopIteration").over(w), F.col("time") - F.lag("time").over(w)
-    loops = frames.select("log_id", "seq", "loopIteration", "time").select("log_id", step.alias("step"), gone.alias("gone")).where("step > 0")
-    out = loops.groupBy("log_id").agg(F.avg(int_div(F.col("gone"), F.col("step"))).alias("mean_us"), F.stddev_samp(int_div(F.col("gone"), F.col("step"))).alias("stddev_us"))
+    loops = frames.select("log_id", "seq", "loopIteration", "time").select(
+        "log_id", step.alias("step"), gone.alias("gone")
+    ).where("step > 0")
+    out = loops.groupBy("log_id").agg(
+        F.avg(int_div(F.col("gone"), F.col("step"))).alias("mean_us"),
+        F.stddev_samp(int_div(F.col("gone"), F.col("step"))).alias("stddev_us")
+    )
     return out.withColumn("stddev_pct", F.when(F.col("mean_us") != 0, F.col("stddev_us") / F.col("mean_us") * 100))
 
 
 def _main(frame_index: DataFrame, frames: DataFrame) -> DataFrame:
-    span = frames.groupBy("log_id").agg(F.min("time").alias("start_us"), F.max("time").alias("end_us"), F.min("loopIteration").alias("first"), F.max("loopIteration").alias("last"))
+    span = frames.groupBy("log_id").agg(
+        F.min("time").alias("start_us"), F.max("time").alias("end_us"), F.min("loopIteration").alias("first"),
+        F.max("loopIteration").alias("last")
+    )
     good = (F.col("status") == "valid") & F.col("frame_type").isin("I", "P")
     sizes = frame_index.groupBy("log_id").agg(F.count_if(good).alias("good"), F.sum("size_bytes").alias("total_bytes"))
     return span.join(sizes, "log_id").withColumn("interval_ms", int_div(F.col("end_us") - F.col("start_us"), F.lit(1000)))
@@ -49,7 +59,10 @@ def data_rate(frame_index: DataFrame, frames: DataFrame) -> DataFrame:
     """Frames per second, bytes per second, and baud rounded up to 100; null without a duration."""
     ms, total = F.col("interval_ms"), F.col("total_bytes")
     baud = int_div(int_div(total * 10000, ms) + 99, F.lit(100)) * 100
-    return _main(frame_index, frames).select("log_id", int_div(F.col("good") * 1000, ms).alias("rate_hz"), int_div(total * 1000, ms).alias("bytes_per_s"), baud.alias("baud"))
+    return _main(frame_index, frames).select(
+        "log_id", int_div(F.col("good") * 1000, ms).alias("rate_hz"), int_div(total * 1000, ms).alias("bytes_per_s"),
+        baud.alias("baud")
+    )
 
 
 def absent_iterations(frames: DataFrame, config: DataFrame) -> DataFrame:
@@ -59,7 +72,10 @@ def absent_iterations(frames: DataFrame, config: DataFrame) -> DataFrame:
     corrupt, costs no more. Settings that name no schedule leave nothing out.
     """
     narrow = frames.select("log_id", "seq", "loopIteration")
-    rows = narrow.join(config.select("log_id", F.col("frame_interval_i").alias("_i"), F.col("p_num").alias("_num"), F.col("p_denom").alias("_denom")), "log_id", "left")
+    rows = narrow.join(
+        config.select("log_id", F.col("frame_interval_i").alias("_i"), F.col("p_num").alias("_num"), F.col("p_denom").alias("_denom")),
+        "log_id", "left"
+    )
     rows = rows.withColumn("_before", F.lag("loopIteration").over(stream()))
     before, now = F.col("_before"), F.col("loopIteration")
     count = lambda i: scheduled_before(i, F.col("_i"), F.col("_num"), F.col("_denom"))
@@ -70,11 +86,16 @@ def absent_iterations(frames: DataFrame, config: DataFrame) -> DataFrame:
 
 def missing_frames(frames: DataFrame, frame_index: DataFrame, config: DataFrame) -> DataFrame:
     """Iterations that are neither recorded nor left out on purpose, as a number, in ms and in percent."""
-    absent = absent_iterations(frames.select("log_id", "seq", "loopIteration"), config).groupBy("log_id").agg(F.sum("absent").alias("absent"))
+    absent = absent_iterations(
+        frames.select("log_id", "seq", "loopIteration"), config
+    ).groupBy("log_id").agg(F.sum("absent").alias("absent"))
     out = _main(frame_index, frames).join(absent, "log_id").withColumn("total", F.col("last") - F.col("first") + 1)
     out = out.withColumn("missing", F.greatest(F.col("total") - F.col("good") - F.col("absent"), F.lit(0)))
     ms = lambda c: int_div(F.col(c) * F.col("interval_ms"), F.col("total"))
-    return out.select("log_id", "total", "missing", ms("missing").alias("missing_ms"), (F.col("missing") / F.col("total") * 100).alias("missing_pct"), "absent", ms("absent").alias("absent_ms"))
+    return out.select(
+        "log_id", "total", "missing", ms("missing").alias("missing_ms"),
+        (F.col("missing") / F.col("total") * 100).alias("missing_pct"), "absent", ms("absent").alias("absent_ms")
+    )
 
 
 def log_summary(frames: DataFrame, events: DataFrame, gps: DataFrame, slow: DataFrame, config: DataFrame) -> DataFrame:
@@ -84,13 +105,20 @@ def log_summary(frames: DataFrame, events: DataFrame, gps: DataFrame, slow: Data
     for df, name in ((events, "n_events"), (gps, "n_gps"), (slow, "n_slow")):
         out = out.join(count(df, name), "log_id", "left")
     settings = config.select("log_id", "fc_version", "frame_interval_i", "p_num", "p_denom")
-    return out.join(settings, "log_id", "left").withColumn("duration_us", F.col("end_us") - F.col("start_us")).fillna(0, ["n_events", "n_gps", "n_slow"])
+    return out.join(settings, "log_id", "left").withColumn(
+        "duration_us", F.col("end_us") - F.col("start_us")
+    ).fillna(0, ["n_events", "n_gps", "n_slow"])
 
 
 def decode_report(frames: DataFrame, frame_index: DataFrame, config: DataFrame) -> DataFrame:
     """Looptime, data rate and missing iterations of each log in one row, with the valid frames of each type."""
-    by_type = frame_stats(frame_index).groupBy("log_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("frame_type", "valid")))).alias("valid"), F.sum("corrupt").alias("corrupt"))
-    return looptime_stats(frames).join(data_rate(frame_index, frames), "log_id").join(missing_frames(frames, frame_index, config), "log_id").join(by_type, "log_id")
+    by_type = frame_stats(frame_index).groupBy("log_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("frame_type", "valid")))).alias("valid"),
+        F.sum("corrupt").alias("corrupt")
+    )
+    return looptime_stats(frames).join(data_rate(frame_index, frames), "log_id").join(
+        missing_frames(frames, frame_index, config), "log_id"
+    ).join(by_type, "log_id")
 
 
 def throttle_bin(throttle):
@@ -107,7 +135,10 @@ def error_sums(display: DataFrame) -> DataFrame:
     errors = pid_error(display)
     place = F.when(throttle.between(0, 1), throttle_bin(throttle)) if "rcCommand_3" in errors.columns else F.lit(None).cast("int")
     rows = errors.select("log_id", "axis", place.alias("bin"), "error")
-    return rows.groupBy("log_id", "axis", "bin").agg(F.count("*").alias("n"), F.sum(F.col("error") * F.col("error")).alias("squares"), F.sum(F.abs("error")).alias("absolute"))
+    return rows.groupBy("log_id", "axis", "bin").agg(
+        F.count("*").alias("n"), F.sum(F.col("error") * F.col("error")).alias("squares"),
+        F.sum(F.abs("error")).alias("absolute")
+    )
 
 
 def _rms(sums: DataFrame) -> DataFrame:
@@ -122,7 +153,9 @@ def pid_rms(display: DataFrame) -> DataFrame:
 def _by_throttle(sums: DataFrame) -> DataFrame:
     means = sums.where("bin is not null").select("log_id", "axis", "bin", (F.col("absolute") / F.col("n")).alias("mean_abs_error"))
     bins = sums.select("log_id", "axis").distinct().select("log_id", "axis", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("bin"))
-    return bins.join(means, ["log_id", "axis", "bin"], "left").select("log_id", "axis", "bin", ((F.col("bin") * 0.05 + (F.col("bin") + 1) * 0.05) / 2).alias("throttle"), "mean_abs_error")
+    return bins.join(means, ["log_id", "axis", "bin"], "left").select(
+        "log_id", "axis", "bin", ((F.col("bin") * 0.05 + (F.col("bin") + 1) * 0.05) / 2).alias("throttle"), "mean_abs_error"
+    )
 
 
 def error_vs_throttle(display: DataFrame) -> DataFrame:
@@ -139,7 +172,9 @@ def error_profile(display: DataFrame) -> DataFrame:
 
 def throttle_slope(evt: DataFrame) -> DataFrame:
     """Slope of a line through the bin means; axes with fewer than 4 filled bins give no row."""
-    filled = evt.where("mean_abs_error is not null").groupBy("log_id", "axis").agg(F.regr_slope("mean_abs_error", "throttle").alias("slope"), F.count("*").alias("n"))
+    filled = evt.where("mean_abs_error is not null").groupBy("log_id", "axis").agg(
+        F.regr_slope("mean_abs_error", "throttle").alias("slope"), F.count("*").alias("n")
+    )
     return filled.where("n >= 4").select("log_id", "axis", "slope")
 
 
@@ -157,20 +192,30 @@ def motor_frequency(frames: DataFrame, pole_pairs: int = 7, harmonics: int = 3)
     each = frames.groupBy("log_id").agg(*(F.median(F.when(F.col(c) > 0, F.col(c))).alias(c) for c in motors))
     pairs = ", ".join(f"{c} * 100.0 / {pole_pairs} / 60.0" for c in motors)
     one = each.select("log_id", F.explode(F.expr(f"array({pairs})")).alias("hz")).groupBy("log_id").agg(F.median("hz").alias("motor_hz"))
-    return one.withColumn("harmonics", F.when(F.col("motor_hz").isNotNull(), F.transform(F.sequence(F.lit(1), F.lit(harmonics)), lambda k: k * F.col("motor_hz"))))
+    return one.withColumn(
+        "harmonics",
+        F.when(F.col("motor_hz").isNotNull(), F.transform(F.sequence(F.lit(1), F.lit(harmonics)), lambda k: k * F.col("motor_hz")))
+    )
 
 
 def motor_peak(frames: DataFrame, config: DataFrame) -> DataFrame:
     """Highest output of the first four motors (0 at least) and its share of the log's limit."""
-    peak = frames.groupBy("log_id").agg(F.greatest(F.lit(0), *(F.max(c) for c in present(frames, [f"motor_{i}" for i in range(4)]))).cast("double").alias("motor_max"))
+    peak = frames.groupBy("log_id").agg(
+        F.greatest(F.lit(0), *(F.max(c) for c in present(frames, [f"motor_{i}" for i in range(4)]))).cast("double").alias("motor_max")
+    )
     limit = F.col("motor_output_high")
-    return peak.join(config.select("log_id", "motor_output_high"), "log_id").withColumn("share", F.when(limit > 0, F.col("motor_max") / limit))
+    return peak.join(
+        config.select("log_id", "motor_output_high"), "log_id"
+    ).withColumn("share", F.when(limit > 0, F.col("motor_max") / limit))
 
 
 def energy_cumulative(frames: DataFrame, config: DataFrame) -> DataFrame:
     """Adds energy_mah: the running integral of the current, each sample counted from the frame before it on."""
     narrow = frames.select("log_id", "seq", "time", "amperageLatest")
-    rows = narrow.join(config.select("log_id", F.col("current_meter_offset").alias("_offset"), F.col("current_meter_scale").alias("_scale")), "log_id", "left")
+    rows = narrow.join(
+        config.select("log_id", F.col("current_meter_offset").alias("_offset"), F.col("current_meter_scale").alias("_scale")),
+        "log_id", "left"
+    )
     current = adc_to_milliamps(F.col("amperageLatest"), F.col("_offset"), F.col("_scale"))
     rows = rows.withColumn("_step", F.coalesce(current * (F.col("time") - F.lag("time").over(stream())) / 3.6e9, F.lit(0.0)))
     total = F.sum("_step").over(stream().rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -82,7 +82,9 @@ def convert_units(frames: DataFrame, config: DataFrame, units: dict[str, str] |
     turn = F.coalesce(F.col("_gyro_scale"), F.lit(1.0)) * 1e6
     make = {
         "time": lambda c: F.col(c) / {"us": 1.0, "ms": 1e3, "s": 1e6}[chosen["time"]] if chosen["time"] != "us" else F.col(c),
-        "height": lambda c: F.col(c) / {"cm": 1.0, "m": 100.0, "ft": 100.0}[chosen["height"]] * (FEET_PER_METER if chosen["height"] == "ft" else 1.0),
+        "height": lambda c: F.col(c) / {"cm": 1.0, "m": 100.0, "ft": 100.0}[chosen["height"]] * (
+            FEET_PER_METER if chosen["height"] == "ft" else 1.0
+        ),
         "rotation": lambda c: {"raw": F.col(c), "deg/s": F.col(c) * turn * (180.0 / math.pi), "rad/s": F.col(c) * turn}[chosen["rotation"]],
         "acceleration": lambda c: {"raw": F.col(c), "g": _gravities(c), "m/s2": _gravities(c) * GRAVITY}[chosen["acceleration"]],
         "vbat": lambda c: {"raw": F.col(c), "mV": F.col(c) * 100, "V": _volts(c)}[chosen["vbat"]],
@@ -95,7 +97,9 @@ def convert_units(frames: DataFrame, config: DataFrame, units: dict[str, str] |
             return "rotation"
         if c.startswith("accSmooth_"):
             return "acceleration"
-        return {"time": "time", "baroalt": "height", "vbatlatest": "vbat", "amperagelatest": "amperage", "gps_speed": "speed"}.get(c.lower())
+        return {
+            "time": "time", "baroalt": "height", "vbatlatest": "vbat", "amperagelatest": "amperage", "gps_speed": "speed"
+        }.get(c.lower())
 
     return _joined(frames, config).select(*(make[kind(c)](c).alias(c) if kind(c) else F.col(c) for c in frames.columns))
 
@@ -120,15 +124,24 @@ def gps_quality(gps: DataFrame, min_sats: int = 5) -> DataFrame:
 def gps_track(gps: DataFrame, config: DataFrame, offset: float = 0.0, min_sats: int = 5) -> DataFrame:
     """Track points: log_id, seq, lat, lon, altitude_m and the absolute time, if the log has a start time."""
     points = gps_altitude_m(gps_quality(gps, min_sats), config, offset)
-    start = config.select("log_id", F.col("date_time").alias("_start")) if "date_time" in config.columns else config.select("log_id", F.lit(None).cast("timestamp").alias("_start"))
+    start = config.select("log_id", F.col("date_time").alias("_start")) if "date_time" in config.columns else config.select(
+        "log_id", F.lit(None).cast("timestamp").alias("_start")
+    )
     at = F.timestamp_micros(F.unix_micros("_start") + F.col("time"))
-    return points.join(start, "log_id", "left").select("log_id", "seq", (F.col("GPS_coord_0") / 1e7).alias("lat"), (F.col("GPS_coord_1") / 1e7).alias("lon"), "altitude_m", at.alias("at"))
+    return points.join(start, "log_id", "left").select(
+        "log_id", "seq", (F.col("GPS_coord_0") / 1e7).alias("lat"), (F.col("GPS_coord_1") / 1e7).alias("lon"), "altitude_m",
+        at.alias("at")
+    )
 
 
 def name_slow_flags(rows: DataFrame, all_names: bool = False) -> DataFrame:
     """Flight mode, state and failsafe phase as names."""
     modes, phases = (FLIGHT_MODES, FAILSAFE_PHASES) if all_names else (FLIGHT_MODES[:NAMED_MODES], FAILSAFE_PHASES[:NAMED_PHASES])
-    named = {"flightModeFlags": flags_to_string(F.col("flightModeFlags"), modes), "stateFlags": flags_to_string(F.col("stateFlags"), FLIGHT_STATES), "failsafePhase": enum_to_string(F.col("failsafePhase"), phases)}
+    named = {
+        "flightModeFlags": flags_to_string(F.col("flightModeFlags"), modes),
+        "stateFlags": flags_to_string(F.col("stateFlags"), FLIGHT_STATES),
+        "failsafePhase": enum_to_string(F.col("failsafePhase"), phases)
+    }
     return rows.withColumns({k: v for k, v in named.items() if k in rows.columns})
 
 
@@ -136,10 +149,16 @@ def decode_events(events: DataFrame) -> DataFrame:
     """Events with names: 0 sync beep, 13 in-flight adjustment, 14 logging resume, 255 log end; others are dropped."""
     kind, number = F.col("event_type"), F.col("adjustment_function").bitwiseAND(F.lit(127))
     name = F.when(kind == 0, "Sync beep").when(kind == 13, "Inflight adjustment").when(kind == 14, "Logging resume").when(kind == 255, "Log clean end")
-    function = F.when(number < len(ADJUSTMENTS), F.element_at(F.array(*map(F.lit, ADJUSTMENTS)), F.least(number + 1, F.lit(len(ADJUSTMENTS))).cast("int"))).otherwise(number.cast("string"))
+    function = F.when(
+        number < len(ADJUSTMENTS),
+        F.element_at(F.array(*map(F.lit, ADJUSTMENTS)), F.least(number + 1, F.lit(len(ADJUSTMENTS))).cast("int"))
+    ).otherwise(number.cast("string"))
     value = F.when(F.col("adjustment_function") > 127, F.col("float_value")).otherwise(F.col("int_value").cast("double"))
     data = F.when(kind == 13, F.struct(function.alias("adjustment_function"), value.alias("value"), F.lit(None).cast("long").alias("log_iteration"))).when(
-        kind == 14, F.struct(F.lit(None).cast("string").alias("adjustment_function"), F.lit(None).cast("double").alias("value"), F.col("log_iteration").cast("long").alias("log_iteration"))
+        kind == 14, F.struct(
+            F.lit(None).cast("string").alias("adjustment_function"), F.lit(None).cast("double").alias("value"),
+            F.col("log_iteration").cast("long").alias("log_iteration")
+        )
     )
     return events.select("log_id", "seq", "event_type", name.alias("name"), "time", data.alias("data")).where("name is not null")
 
@@ -160,12 +179,20 @@ def to_channels(display: DataFrame, names: list[str], time: str = "t_s") -> Data
     """Long table (log_id, channel, seq, t_s, v) of the named channels that the frames have."""
     found = [n for n in names if COLUMN.get(n, n) in display.columns]
     if not found:
-        return display.select("log_id", F.lit(None).cast("string").alias("channel"), "seq", F.col(time).alias("t_s"), F.lit(None).cast("double").alias("v")).limit(0)
+        return display.select(
+            "log_id", F.lit(None).cast("string").alias("channel"), "seq", F.col(time).alias("t_s"),
+            F.lit(None).cast("double").alias("v")
+        ).limit(0)
     pairs = ", ".join(f"'{n}', cast(`{COLUMN.get(n, n)}` as double)" for n in found)
-    return display.select("log_id", "seq", F.col(time).alias("t_s"), F.expr(f"stack({len(found)}, {pairs}) as (channel, v)")).where("v is not null").select("log_id", "channel", "seq", "t_s", "v")
+    return display.select(
+        "log_id", "seq", F.col(time).alias("t_s"), F.expr(f"stack({len(found)}, {pairs}) as (channel, v)")
+    ).where("v is not null").select("log_id", "channel", "seq", "t_s", "v")
 
 
 def missing_channels(field_defs: DataFrame, names: list[str]) -> DataFrame:
     """(log_id, channel) of the asked names that a log doesn't record."""
     asked = field_defs.select("log_id").distinct().select("log_id", F.explode(F.array(*map(F.lit, names))).alias("channel"))
-    return asked.join(field_defs.where("frame_type = 'I'").select("log_id", F.col("name").alias("channel")), ["log_id", "channel"], "left_anti")
+    return asked.join(
+        field_defs.where("frame_type = 'I'").select("log_id", F.col("name").alias("channel")), ["log_id", "channel"],
+        "left_anti"
+    )

@@ -28,7 +28,10 @@ _FIELDS = {
     "vbatLatest": "1680 - n {div} 100", "amperageLatest": "500 + e % 300",
     **{f"accSmooth_{k}": f"(e * 13 + {7 * k}) % 4097 - 2048" for k in range(3)},
 }
-_GYRO = {f"gyroADC_{k}": f"coalesce(lag(setpoint_{k}, 5) over (partition by log_id order by seq), 0) + cast(floor(value) as bigint) % 21 - 10" for k in range(3)}
+_GYRO = {
+    f"gyroADC_{k}": f"""coalesce(lag(setpoint_{k}, 5) over (partition by log_id order by seq), 0) + cast(floor(value) as bigint)
+  % 21 - 10""" for k in range(3)
+}
 
 
 def frames_sql(div: str, events: str) -> str:
@@ -37,15 +40,21 @@ def frames_sql(div: str, events: str) -> str:
       select log_id, seq, e, u, n, loopIteration, time, {", ".join([*_FIELDS, *_FIRST])}, {long(_GYRO)} from (
         select *, 1000000 + 1000 * loopIteration + e % 7 as time, {long(_FIELDS)}, {long(_FIRST)} from (
           select event_type as log_id, 10 * n as seq, e, u, n, value, n + 3 * (n {div} 500) as loopIteration from (
-            select event_type, event_id as e, user_id as u, value, cast(row_number() over (partition by event_type order by event_id) - 1 as bigint) as n from {events}) a) b) c"""
+            select event_type, event_id as e, user_id as u, value, cast(row_number() over (partition by event_type order by
+  event_id) - 1 as bigint) as n from {events}) a) b) c"""
 
 
 _SLOW = "select log_id, seq + 5 as seq, u % 2048 as flightModeFlags, u % 32 as stateFlags, u % 6 as failsafePhase from f where e % 97 = 0"
-_GPS = """select log_id, seq + 2 as seq, time + case when e % 2 = 1 then 400 else 0 end as time, u % 12 as GPS_numSat, 473000000 + 10 * e as GPS_coord_0,
-  -(85000000 + 7 * e) as GPS_coord_1, e % 3000 as GPS_altitude, e % 2500 as GPS_speed, e % 3600 as GPS_ground_course from f where e % 53 = 0"""
-_EVENTS = """select log_id, seq + 7 as seq, case (e {div} 211) % 4 when 0 then 0 when 1 then 13 when 2 then 14 else 255 end as event_type, time,
-  cast(u % 160 as int) as adjustment_function, e % 77 as int_value, cast(e % 13 as double) / 2 as float_value, loopIteration as log_iteration from f where e % 211 = 0"""
-_INDEX = "select log_id, seq, frame_type, 20 + e % 30 as size_bytes, case when e % 499 = 0 then 'corrupt' when e % 251 = 0 then 'desync' else 'valid' end as status from f"
+_GPS = """select log_id, seq + 2 as seq, time + case when e % 2 = 1 then 400 else 0 end as time, u % 12 as GPS_numSat, 473000000
+  + 10 * e as GPS_coord_0,
+  -(85000000 + 7 * e) as GPS_coord_1, e % 3000 as GPS_altitude, e % 2500 as GPS_speed, e % 3600 as GPS_ground_course from f
+  where e % 53 = 0"""
+_EVENTS = """select log_id, seq + 7 as seq, case (e {div} 211) % 4 when 0 then 0 when 1 then 13 when 2 then 14 else 255 end as
+  event_type, time,
+  cast(u % 160 as int) as adjustment_function, e % 77 as int_value, cast(e % 13 as double) / 2 as float_value, loopIteration as
+  log_iteration from f where e % 211 = 0"""
+_INDEX = """select log_id, seq, frame_type, 20 + e % 30 as size_bytes, case when e % 499 = 0 then 'corrupt' when e % 251 = 0
+  then 'desync' else 'valid' end as status from f"""
 _CONFIG = """select *, radians(1) * 1e-6 as gyro_scale from (values
   ('click', '4.1.0', 32, 1, 1, 1070, 2000, 2048, 250, 400, 55, 42, 85, 35, 46, 90, 38, 45, 80, 0, 100, 150, 0, 0, 110, 161, 43),
   ('error', '4.2.9', 32, 1, 2, 1070, 0, 0, 0, 250, 60, 40, 80, 30, 50, 80, 40, 40, 70, 2, 0, 0, 0, 0, 110, 161, 43),
@@ -58,7 +67,9 @@ _CONFIG = """select *, radians(1) * 1e-6 as gyro_scale from (values
 
 
 #: Gyro noise that grows with throttle, on top of the frames' own: pseudo-random, from -20 to 20 times 0 to 20.
-_NOISY = {f"gyroADC_{k}": f"gyroADC_{k} + ((e * e * 31 + e * {17 + k}) % 4099 % 41 - 20) * ((rcCommand_3 - 1000) {{div}} 50)" for k in range(3)}
+_NOISY = {
+    f"gyroADC_{k}": f"gyroADC_{k} + ((e * e * 31 + e * {17 + k}) % 4099 % 41 - 20) * ((rcCommand_3 - 1000) {{div}} 50)" for k in range(3)
+}
 
 
 def with_sql(query: str, noisy: bool = False) -> str:
@@ -67,7 +78,8 @@ def with_sql(query: str, noisy: bool = False) -> str:
     if noisy:
         frames = f"f0{frames[1:]}, f as (select * replace ({', '.join(f'{x} as {c}' for c, x in _NOISY.items())}) from f0)".replace("{div}", "//")
     div = lambda s: s.replace("{div}", "//")
-    return f"with recursive {frames}, slow as ({_SLOW}), gps as ({_GPS}), ev as ({div(_EVENTS)}), idx as ({_INDEX}), cfg as (select *, 400 as current_meter_scale from ({_CONFIG})) {query}"
+    return f"""with recursive {frames}, slow as ({_SLOW}), gps as ({_GPS}), ev as ({div(_EVENTS)}), idx as ({_INDEX}), cfg as
+  (select *, 400 as current_meter_scale from ({_CONFIG})) {query}"""
 
 
 class Tables:
@@ -82,11 +94,18 @@ class Tables:
         self.frames = self._all.drop("e", "u", "n")
 
         def derived(sql: str) -> DataFrame:
-            return spark.sql(sql.replace("{div}", "div").replace("from f ", "from {f} ").replace("from f\n", "from {f} ") if not sql.endswith("from f") else sql[:-6] + "from {f}", f=self._all)
+            return spark.sql(
+                sql.replace("{div}", "div").replace("from f ", "from {f} ").replace("from f\n", "from {f} ") if not sql.endswith("from f") else sql[:-6] + "from {f}",
+                f=self._all
+            )
 
         self.slow, self.gps, self.events, self.frame_index = map(derived, (_SLOW, _GPS, _EVENTS, _INDEX))
         gains = ", ".join(f"array(p_{a}, i_{a}, d_{a}) as pid_{a}" for a in ("roll", "pitch", "yaw"))
-        self.config = spark.sql(_CONFIG).selectExpr("*", gains.split(", array")[0], *(f"array{x}" for x in gains.split(", array")[1:]), "array(dmin_roll, 0, 0) as d_min", "array(ff_roll, 0, 0) as ff_weight", "400 as current_meter_scale", "minthrottle as motor_output_low")
+        self.config = spark.sql(_CONFIG).selectExpr(
+            "*", gains.split(", array")[0], *(f"array{x}" for x in gains.split(", array")[1:]),
+            "array(dmin_roll, 0, 0) as d_min", "array(ff_roll, 0, 0) as ff_weight", "400 as current_meter_scale",
+            "minthrottle as motor_output_low"
+        )
 
     def field_defs(self) -> DataFrame:
         """One row per log and main field of the derived frames."""
@@ -94,4 +113,6 @@ class Tables:
 
         names = [CHANNEL[c] for c in present(self.frames, CHANNEL)]
         fields = ", ".join(f"'{n}'" for n in names)
-        return self.frames.select("log_id").distinct().selectExpr("log_id", "'I' as frame_type", f"posexplode(array({fields})) as (field_index, name)")
+        return self.frames.select("log_id").distinct().selectExpr(
+            "log_id", "'I' as frame_type", f"posexplode(array({fields})) as (field_index, name)"
+        )

@@ -10,7 +10,9 @@ from skylog.operators.stats import energy_cumulative
 from skylog.operators.units import convert_units, gps_display, name_slow_flags
 
 
-def export_log(frames: DataFrame, slow: DataFrame | None, gps: DataFrame | None, config: DataFrame, units: dict[str, str] | None = None) -> DataFrame:
+def export_log(
+    frames: DataFrame, slow: DataFrame | None, gps: DataFrame | None, config: DataFrame, units: dict[str, str] | None = None
+) -> DataFrame:
     """The merged export of a log: chosen units, consumed charge, named slow flags and GPS data."""
     rows = energy_cumulative(frames, config)
     if slow is not None:
@@ -18,4 +20,8 @@ def export_log(frames: DataFrame, slow: DataFrame | None, gps: DataFrame | None,
     if gps is not None:
         rows = merge_gps(rows, gps)
         rows = gps_display(rows.withColumn("GPS_speed", F.col("GPS_speed").cast("double")))
-    return name_slow_flags(convert_units(rows, config, units) if gps is None else convert_units(rows.withColumnRenamed("GPS_speed", "_speed"), config, units).withColumnRenamed("_speed", "GPS_speed"))
+    return name_slow_flags(
+        convert_units(rows, config, units) if gps is None else convert_units(
+            rows.withColumnRenamed("GPS_speed", "_speed"), config, units
+        ).withColumnRenamed("_speed", "GPS_speed")
+    )

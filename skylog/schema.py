@@ -17,7 +17,9 @@ def columns(field: str, n: int) -> list[str]:
 
 MAIN_COLUMNS = ("loopIteration", "time", *(c for f, n in MAIN_FIELDS for c in columns(f, n)))
 #: Names as recorded: gyroADC_0 is gyroADC[0].
-CHANNEL = {c: f"{f}[{i}]" if n else f for f, n in MAIN_FIELDS for i, c in enumerate(columns(f, n))} | {"loopIteration": "loopIteration", "time": "time"}
+CHANNEL = {
+    c: f"{f}[{i}]" if n else f for f, n in MAIN_FIELDS for i, c in enumerate(columns(f, n))
+} | {"loopIteration": "loopIteration", "time": "time"}
 COLUMN = {v: k for k, v in CHANNEL.items()}
 SLOW_COLUMNS = ("flightModeFlags", "stateFlags", "failsafePhase", "rxSignalReceived", "rxFlightChannelsValid")
 GPS_COLUMNS = ("GPS_numSat", "GPS_coord_0", "GPS_coord_1", "GPS_altitude", "GPS_speed", "GPS_ground_course")

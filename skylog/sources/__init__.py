@@ -28,13 +28,28 @@ def split_sections(files: DataFrame, marker: str = MARKER) -> DataFrame:
     parts = F.split(text, re.escape(marker).replace("\\ ", " "))
     rows = files.select("path", F.length(text).alias("_n"), parts.alias("_parts"))
     sizes = F.transform("_parts", lambda p: F.length(p))
-    before = F.transform(F.sequence(F.lit(1), F.size("_parts") - 1), lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, b: a + b) + (i - 1) * len(marker))
-    marked = rows.where(F.size("_parts") > 1).select("path", F.posexplode(F.arrays_zip(F.slice("_parts", F.lit(2), F.size("_parts")).alias("rest"), before.alias("start"))).alias("section_no", "s"))
+    before = F.transform(
+        F.sequence(F.lit(1), F.size("_parts") - 1),
+        lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, b: a + b) + (i - 1) * len(marker)
+    )
+    marked = rows.where(F.size("_parts") > 1).select(
+        "path",
+        F.posexplode(
+            F.arrays_zip(F.slice("_parts", F.lit(2), F.size("_parts")).alias("rest"), before.alias("start"))
+        ).alias("section_no", "s")
+    )
     found = marked.select(
-        F.concat_ws("#", "path", F.col("section_no").cast("string")).alias("log_id"), "path", "section_no", F.col("s.start").cast("long").alias("start_offset"),
-        (F.col("s.start") + len(marker) + F.length("s.rest")).cast("long").alias("end_offset"), F.concat(F.lit(marker), F.col("s.rest")).alias("body"),
+        F.concat_ws(
+            "#", "path", F.col("section_no").cast("string")
+        ).alias("log_id"), "path", "section_no", F.col("s.start").cast("long").alias("start_offset"),
+        (
+            F.col("s.start") + len(marker) + F.length("s.rest")
+        ).cast("long").alias("end_offset"), F.concat(F.lit(marker), F.col("s.rest")).alias("body"),
+    )
+    without = rows.where(F.size("_parts") == 1).select(
+        F.lit(None).cast("string"), "path", F.lit(None).cast("int"), F.lit(0).cast("long"), F.col("_n").cast("long"),
+        F.lit(None).cast("string")
     )
-    without = rows.where(F.size("_parts") == 1).select(F.lit(None).cast("string"), "path", F.lit(None).cast("int"), F.lit(0).cast("long"), F.col("_n").cast("long"), F.lit(None).cast("string"))
     return found.union(without)
 
 
@@ -45,7 +60,9 @@ def read_log_sections(spark: SparkSession, path: str, marker: str = MARKER) -> D
 
 def section_listing(sections: DataFrame) -> DataFrame:
     """Number, start and size of each section of each file."""
-    return sections.where("section_no is not null").select("path", "section_no", "start_offset", (F.col("end_offset") - F.col("start_offset")).alias("size"))
+    return sections.where("section_no is not null").select(
+        "path", "section_no", "start_offset", (F.col("end_offset") - F.col("start_offset")).alias("size")
+    )
 
 
 def pick_section(sections: DataFrame, number: int) -> DataFrame:
@@ -61,7 +78,10 @@ def parse_headers(sections: DataFrame) -> DataFrame:
     block = F.regexp_extract("body", r"^((?:H[^\n]*\n)+)", 1)
     lines = sections.where("section_no is not null").select("log_id", F.posexplode(F.split(block, "\n")).alias("line_no", "line"))
     cut = F.regexp_extract(F.substring("line", 1, LONGEST_LINE), r"^([^\x00]*)", 1)
-    named = lines.select("log_id", "line_no", F.regexp_extract(cut, r"^H ([^:]*):(.*)$", 1).alias("field_name"), F.regexp_extract(cut, r"^H ([^:]*):(.*)$", 2).alias("field_value"))
+    named = lines.select(
+        "log_id", "line_no", F.regexp_extract(cut, r"^H ([^:]*):(.*)$", 1).alias("field_name"),
+        F.regexp_extract(cut, r"^H ([^:]*):(.*)$", 2).alias("field_value")
+    )
     return named.where("field_name != ''")
 
 
@@ -96,7 +116,10 @@ _LISTS = {"rollPID": "pid_roll", "pitchPID": "pid_pitch", "yawPID": "pid_yaw", "
 CONVERTED_FIRMWARE, VERSIONED_FIRMWARE = "Cleanflight", "Betaflight"
 
 
-def sys_config(headers: DataFrame, converted_firmware: str = CONVERTED_FIRMWARE, versioned_firmware: str | None = VERSIONED_FIRMWARE, scale_fix: bool = False) -> DataFrame:
+def sys_config(
+    headers: DataFrame, converted_firmware: str = CONVERTED_FIRMWARE, versioned_firmware: str | None = VERSIONED_FIRMWARE,
+    scale_fix: bool = False
+) -> DataFrame:
     """One row of typed settings per log; defaults where the header has none, the last line where it repeats.
 
     A gyro scale is converted to radians and microseconds if no firmware type stands before it, or
@@ -106,10 +129,19 @@ def sys_config(headers: DataFrame, converted_firmware: str = CONVERTED_FIRMWARE,
     """
     line = lambda *names: F.max(F.when(F.col("field_name").isin(*names), F.col("line_no")))
     value = lambda name: F.max_by(F.when(F.col("field_name") == name, F.col("field_value")), F.when(F.col("field_name") == name, F.col("line_no")))
-    names = [*_NUMBERS, *_LISTS, "P interval", "Firmware type", "Firmware revision", "vbatcellvoltage", "currentMeter", "gyro_scale", "gyro.scale", "motorOutput", "Log start datetime"]
-    wide = headers.groupBy("log_id").agg(*(value(n).alias(n.replace(".", "_dot_")) for n in names), line("Firmware type").alias("_type_line"), line("gyro_scale", "gyro.scale").alias("_scale_line"))
+    names = [
+        *_NUMBERS, *_LISTS, "P interval", "Firmware type", "Firmware revision", "vbatcellvoltage", "currentMeter", "gyro_scale",
+        "gyro.scale", "motorOutput", "Log start datetime"
+    ]
+    wide = headers.groupBy("log_id").agg(
+        *(value(n).alias(n.replace(".", "_dot_")) for n in names), line("Firmware type").alias("_type_line"),
+        line("gyro_scale", "gyro.scale").alias("_scale_line")
+    )
     c = lambda n: F.col(f"`{n}`")
-    number = {column: F.coalesce(F.when(c(name).isNotNull(), _int(c(name))), F.lit(default)) for name, (column, default) in _NUMBERS.items()}
+    number = {
+        column: F.coalesce(F.when(c(name).isNotNull(), _int(c(name))), F.lit(default)) for name,
+        (column, default) in _NUMBERS.items()
+    }
     number["frame_interval_i"] = F.greatest(number["frame_interval_i"], F.lit(1))
     triple = lambda n: F.when(F.size(_ints(c(n))) >= 3, F.slice(_ints(c(n)), 1, 3)).otherwise(F.array(F.lit(0), F.lit(0), F.lit(0)))
     at = lambda n, i, least, default: F.coalesce(F.when(F.size(_ints(c(n))) >= least, F.try_element_at(_ints(c(n)), F.lit(i))), default if isinstance(default, Column) else F.lit(default))
@@ -123,14 +155,25 @@ def sys_config(headers: DataFrame, converted_firmware: str = CONVERTED_FIRMWARE,
     revision = F.split(c("Firmware revision"), " ")
     known = F.lit(True) if versioned_firmware is None else revision[0] == versioned_firmware
     return wide.select(
-        "log_id", F.coalesce(F.when(known, F.try_element_at(revision, F.lit(2))), F.lit("")).alias("fc_version"), *(v.alias(k) for k, v in number.items()),
+        "log_id", F.coalesce(
+            F.when(known, F.try_element_at(revision, F.lit(2))), F.lit("")
+        ).alias("fc_version"), *(v.alias(k) for k, v in number.items()),
         F.when(c("Firmware type").isNull(), 0).when(named, 2).otherwise(1).alias("firmware_type"),
-        F.when(slash, _int(ratio[0])).otherwise(1).alias("p_num"), F.when(slash, _int(F.try_element_at(ratio, F.lit(2)))).otherwise(1).alias("p_denom"),
-        *(at("vbatcellvoltage", i + 1, 3, d).alias(n) for i, (n, d) in enumerate((("vbatmincellvoltage", 33), ("vbatwarningcellvoltage", 35), ("vbatmaxcellvoltage", 43)))),
+        F.when(slash, _int(ratio[0])).otherwise(1).alias("p_num"), F.when(
+            slash, _int(F.try_element_at(ratio, F.lit(2)))
+        ).otherwise(1).alias("p_denom"),
+        *(
+            at("vbatcellvoltage", i + 1, 3, d).alias(n) for i,
+            (n, d) in enumerate((("vbatmincellvoltage", 33), ("vbatwarningcellvoltage", 35), ("vbatmaxcellvoltage", 43)))
+        ),
         at("currentMeter", 1, 2, 0).alias("current_meter_offset"), at("currentMeter", 2, 2, 400).alias("current_meter_scale"),
-        at("motorOutput", 1, 2, number["minthrottle"]).alias("motor_output_low"), at("motorOutput", 2, 2, number["maxthrottle"]).alias("motor_output_high"),
+        at(
+            "motorOutput", 1, 2, number["minthrottle"]
+        ).alias("motor_output_low"), at("motorOutput", 2, 2, number["maxthrottle"]).alias("motor_output_high"),
         *(triple(n).alias(k) for n, k in _LISTS.items()), F.when(converts, F.radians(scale) * 1e-6).otherwise(scale).alias("gyro_scale"),
-        F.try_to_timestamp(F.regexp_extract(c("Log start datetime"), r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)", 1), F.lit("yyyy-MM-dd'T'HH:mm:ss")).alias("date_time"),
+        F.try_to_timestamp(
+            F.regexp_extract(c("Log start datetime"), r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)", 1), F.lit("yyyy-MM-dd'T'HH:mm:ss")
+        ).alias("date_time"),
     )
 
 
@@ -139,15 +182,27 @@ def field_defs(headers: DataFrame) -> DataFrame:
 
     In G frames the second of two neighbouring home-coordinate predictors (7) becomes 256.
     """
-    parts = headers.select("log_id", F.regexp_extract("field_name", r"^Field (.) (name|signed|predictor|encoding)$", 1).alias("frame_type"), F.regexp_extract("field_name", r"^Field (.) (\w+)$", 2).alias("part"), "field_value").where("frame_type != ''")
+    parts = headers.select(
+        "log_id", F.regexp_extract("field_name", r"^Field (.) (name|signed|predictor|encoding)$", 1).alias("frame_type"),
+        F.regexp_extract("field_name", r"^Field (.) (\w+)$", 2).alias("part"), "field_value"
+    ).where("frame_type != ''")
     items = parts.select("log_id", "frame_type", "part", F.posexplode(F.split("field_value", ",")).alias("field_index", "item"))
     of = lambda p: F.max(F.when(F.col("part") == p, F.col("item")))
-    rows = items.groupBy("log_id", "frame_type", "field_index").agg(of("name").alias("name"), of("signed").cast("int").alias("signed"), of("predictor").cast("int").alias("predictor"), of("encoding").cast("int").alias("encoding"))
-    i = rows.where("frame_type = 'I'").select("log_id", "field_index", F.col("name").alias("_name"), F.col("signed").alias("_signed"), F.lit("P").alias("frame_type"))
-    rows = rows.join(i, ["log_id", "field_index", "frame_type"], "left").withColumns({"name": F.coalesce("name", "_name"), "signed": F.coalesce("signed", "_signed")})
+    rows = items.groupBy("log_id", "frame_type", "field_index").agg(
+        of("name").alias("name"), of("signed").cast("int").alias("signed"), of("predictor").cast("int").alias("predictor"),
+        of("encoding").cast("int").alias("encoding")
+    )
+    i = rows.where("frame_type = 'I'").select(
+        "log_id", "field_index", F.col("name").alias("_name"), F.col("signed").alias("_signed"), F.lit("P").alias("frame_type")
+    )
+    rows = rows.join(i, ["log_id", "field_index", "frame_type"], "left").withColumns(
+        {"name": F.coalesce("name", "_name"), "signed": F.coalesce("signed", "_signed")}
+    )
     before = F.lag("predictor").over(Window.partitionBy("log_id", "frame_type").orderBy("field_index"))
     second = (F.col("frame_type") == "G") & (F.col("predictor") == 7) & (before == 7)
-    return rows.withColumn("predictor", F.when(second, 256).otherwise(F.col("predictor"))).where("name is not null").select("log_id", "frame_type", "field_index", "name", "signed", "predictor", "encoding")
+    return rows.withColumn("predictor", F.when(second, 256).otherwise(F.col("predictor"))).where("name is not null").select(
+        "log_id", "frame_type", "field_index", "name", "signed", "predictor", "encoding"
+    )
 
 
 def write_headers_csv(headers: DataFrame, path: str) -> None:
@@ -157,7 +212,9 @@ def write_headers_csv(headers: DataFrame, path: str) -> None:
 
 
 def read_headers_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, escape='"', schema="fieldname string, fieldvalue string, log_id string").select("log_id", F.col("fieldname").alias("field_name"), F.col("fieldvalue").alias("field_value"))
+    return spark.read.csv(
+        path, header=True, escape='"', schema="fieldname string, fieldvalue string, log_id string"
+    ).select("log_id", F.col("fieldname").alias("field_name"), F.col("fieldvalue").alias("field_value"))
 
 
 def read_frames_csv(spark: SparkSession, path: str, log_id: str | None = None) -> DataFrame:
@@ -165,7 +222,10 @@ def read_frames_csv(spark: SparkSession, path: str, log_id: str | None = None) -
     raw = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     plain = {c: re.sub(r"\s*\([^)]*\)$", "", c.strip()) for c in raw.columns}
     texts = {"frame_type", "log_id", "flightModeFlags", "stateFlags", "failsafePhase"}
-    cast = [F.col(f"`{c}`").alias(n) if n in texts else F.col(f"`{c}`").try_cast("double").alias(COLUMN.get(n, n)) if n != "seq" else F.col(f"`{c}`").cast("long").alias(n) for c, n in plain.items()]
+    cast = [
+        F.col(f"`{c}`").alias(n) if n in texts else F.col(f"`{c}`").try_cast("double").alias(COLUMN.get(n, n)) if n != "seq" else F.col(f"`{c}`").cast("long").alias(n) for c,
+        n in plain.items()
+    ]
     out = raw.select(*cast)
     return out if log_id is None else out.withColumn("log_id", F.lit(log_id))
 
@@ -189,7 +249,9 @@ def write_frames(df: DataFrame, path: str, fmt: str = "parquet", units: dict[str
 def write_gps_csv(gps: DataFrame, path: str, units: dict[str, str] | None = None) -> None:
     """GPS rows, their own time first."""
     rest = [c for c in gps.columns if c not in ("log_id", "seq", "time")]
-    _suffixed(gps.repartition("log_id").sortWithinPartitions("log_id", "seq").select("log_id", "time", *rest), units or {"time": "us"}).write.partitionBy("log_id").csv(path, header=True)
+    _suffixed(
+        gps.repartition("log_id").sortWithinPartitions("log_id", "seq").select("log_id", "time", *rest), units or {"time": "us"}
+    ).write.partitionBy("log_id").csv(path, header=True)
 
 
 def write_events_json(events: DataFrame, path: str) -> None:

@@ -14,7 +14,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from skylog.operators.rebuild import MAX_MICROSECONDS, ROLLOVER
 
 
-def ingest(stream: DataFrame, job: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+def ingest(
+    stream: DataFrame, job: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, available_now: bool = True
+) -> StreamingQuery:
     """Runs a batch job on every micro-batch and writes its rows under the batch's number, so that a batch run again replaces itself.
 
     Every log lies in one file, so batches need nothing of each other.

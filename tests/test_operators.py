@@ -12,7 +12,12 @@ CONFIG = "log_id string, fc_version string, gyro_scale double, acc_1g int, frame
 
 
 def config(spark, **changes):
-    row = dict(log_id="a", fc_version="4.3.0", gyro_scale=math.radians(1) * 1e-6, acc_1g=0, frame_interval_i=32, p_num=1, p_denom=1, minthrottle=1000, motor_output_low=1000, motor_output_high=2000, vbatref=0, current_meter_offset=0, current_meter_scale=400, pid_roll=[50, 40, 30], pid_pitch=[60, 40, 0], pid_yaw=[45, 40, 0], d_min=[1, 2, 3], ff_weight=[4, 5, 6], gyro_lpf1_static_hz=100, gyro_lpf2_static_hz=0, dterm_lpf1_static_hz=0, dterm_lpf2_static_hz=0) | changes
+    row = dict(
+        log_id="a", fc_version="4.3.0", gyro_scale=math.radians(1) * 1e-6, acc_1g=0, frame_interval_i=32, p_num=1, p_denom=1,
+        minthrottle=1000, motor_output_low=1000, motor_output_high=2000, vbatref=0, current_meter_offset=0,
+        current_meter_scale=400, pid_roll=[50, 40, 30], pid_pitch=[60, 40, 0], pid_yaw=[45, 40, 0], d_min=[1, 2, 3],
+        ff_weight=[4, 5, 6], gyro_lpf1_static_hz=100, gyro_lpf2_static_hz=0, dterm_lpf1_static_hz=0, dterm_lpf2_static_hz=0
+    ) | changes
     names = [x.split()[0] for x in CONFIG.split(", ")]
     return spark.createDataFrame([tuple(row[n] for n in names)], CONFIG)
 
@@ -22,7 +27,9 @@ def value(spark, column):
 
 
 def test_functions(spark):
-    assert [value(spark, fn.version_gte(F.lit(v), "4.3.0")) for v in ("4.3.0", "4.10.1", "4.2.9", "", None, "5")] == [True, True, False, False, False, True]
+    assert [
+        value(spark, fn.version_gte(F.lit(v), "4.3.0")) for v in ("4.3.0", "4.10.1", "4.2.9", "", None, "5")
+    ] == [True, True, False, False, False, True]
     assert [value(spark, fn.flags_to_string(F.lit(x))) for x in (0, 1, 5, 1 << 10)] == ["0", "ANGLE_MODE", "ANGLE_MODE|MAG_MODE", "0"]
     assert [value(spark, fn.enum_to_string(F.lit(x))) for x in (0, 3, 4)] == ["IDLE", "LANDED", "4"]
     assert [value(spark, fn.adjust(F.lit(x), 12)) for x in (0, 25, 30, -1)] == [None, 28, 34, None]
@@ -30,7 +37,9 @@ def test_functions(spark):
     assert value(spark, fn.adc_to_milliamps(F.lit(-1), F.lit(0), F.lit(400))) == (65535 * 33 * 100 // 4095) * 10000 // 400
     assert value(spark, fn.adc_to_milliamps(F.lit(0), F.lit(7), F.lit(400))) == -175
     assert value(spark, fn.estimate_cells(F.lit(4095), F.lit(110), F.lit(43))) == 8
-    assert [value(spark, fn.field_unit(F.lit(x))) for x in ("gyroADC[0]", "axisI[1]", "rssi", "vbatLatest", "motor[3]")] == ["deg/s", "raw", "raw", "V", "us"]
+    assert [
+        value(spark, fn.field_unit(F.lit(x))) for x in ("gyroADC[0]", "axisI[1]", "rssi", "vbatLatest", "motor[3]")
+    ] == ["deg/s", "raw", "raw", "V", "us"]
 
 
 def test_throttle_bins_at_every_microsecond(spark):
@@ -66,7 +75,9 @@ def test_decimation_edges(spark):
     random.seed(3)
     for n, points in [(random.randint(2, 900), random.randint(2, 120)) for _ in range(4)]:
         v = [random.random() for _ in range(n)]
-        ch = spark.createDataFrame([("a", "x", i, float(i), v[i]) for i in range(n)], "log_id string, channel string, seq long, t_s double, v double")
+        ch = spark.createDataFrame(
+            [("a", "x", i, float(i), v[i]) for i in range(n)], "log_id string, channel string, seq long, t_s double, v double"
+        )
         got = [(r.t_s, r.v) for r in series.downsample_minmax(ch, points).orderBy("point").collect()]
         if n <= points:
             want = list(zip(map(float, range(n)), v, strict=True))
@@ -85,7 +96,9 @@ def test_round_trips(spark):
     a = [v if k == "I" else v - prev(i, 1) for i, (v, k) in enumerate(zip(values, kinds, strict=True))]
     b = [v if k == "I" else v - 2 * prev(i, 1) + prev(i, 2) for i, (v, k) in enumerate(zip(values, kinds, strict=True))]
     c = [v if k == "I" else v - half(prev(i, 1) + prev(i, 2)) for i, (v, k) in enumerate(zip(values, kinds, strict=True))]
-    raw = rebuild.with_segments(frames(spark, [("a", i, kinds[i], a[i], b[i], c[i]) for i in range(200)], "frame_type string, a long, b long, c long"))
+    raw = rebuild.with_segments(
+        frames(spark, [("a", i, kinds[i], a[i], b[i], c[i]) for i in range(200)], "frame_type string, a long, b long, c long")
+    )
     out = rebuild.undo_average2(rebuild.undo_straight_line(rebuild.undo_previous(raw, ["a"]), ["b"]), ["c"])
     assert [(r.a, r.b, r.c) for r in out.orderBy("seq").collect()] == [(v, v, v) for v in values]
 
@@ -94,14 +107,23 @@ def test_rollover(spark):
     times = [2**32 - 500, 400, 2**32 - 100, 300, 200_000_000, 199_999_999]
     f = frames(spark, [("a", i, t) for i, t in enumerate(times)], "time long")
     over = 2**32
-    assert [r.time for r in rebuild.unwrap_time(f).orderBy("seq").collect()] == [over - 500, over + 400, 2 * over - 100, 2 * over + 300, 2 * over + 200_000_000, 2 * over + 199_999_999]
+    assert [r.time for r in rebuild.unwrap_time(f).orderBy("seq").collect()] == [
+        over - 500, over + 400, 2 * over - 100, 2 * over + 300, 2 * over + 200_000_000, 2 * over + 199_999_999
+    ]
 
 
 def test_validity(spark):
-    rows = [("I", 0, 0), ("P", 1, 1000), ("P", 7000, 2000), ("P", 2, 2000), ("I", 32, 32000), ("P", 33, 33000), ("I", 34, 99_000_000), ("P", 34, 34000), ("I", 64, 64000)]
+    rows = [
+        ("I", 0, 0), ("P", 1, 1000), ("P", 7000, 2000), ("P", 2, 2000), ("I", 32, 32000), ("P", 33, 33000),
+        ("I", 34, 99_000_000), ("P", 34, 34000), ("I", 64, 64000)
+    ]
     f = frames(spark, [("a", 10 * i, *r) for i, r in enumerate(rows)], "frame_type string, loopIteration long, time long")
-    assert [r.valid for r in rebuild.validate_frames(f).orderBy("seq").collect()] == [True, True, False, False, True, True, False, False, True]
-    resume = spark.createDataFrame([("a", 55, 14, 98_000_000, 33)], "log_id string, seq long, event_type int, time long, log_iteration long")
+    assert [
+        r.valid for r in rebuild.validate_frames(f).orderBy("seq").collect()
+    ] == [True, True, False, False, True, True, False, False, True]
+    resume = spark.createDataFrame(
+        [("a", 55, 14, 98_000_000, 33)], "log_id string, seq long, event_type int, time long, log_iteration long"
+    )
     assert [r.valid for r in rebuild.validate_frames(f, resume).orderBy("seq").collect()][6] is True
     assert rebuild.accepted_frames(rebuild.validate_frames(f.limit(0))).count() == 0
 
@@ -118,7 +140,9 @@ def test_schedules_in_closed_form(spark, interval, num, denom):
     got = [r.absent for r in stats.absent_iterations(f, c).orderBy("seq").collect()]
     assert got == [0] + [sum(not scheduled(i, interval, num, denom) for i in range(a + 1, b)) for a, b in zip(counters, counters[1:])]
     first, n = 11, 60
-    raw = rebuild.with_segments(frames(spark, [("a", i, "P" if i else "I", first) for i in range(n)], "frame_type string, loopIteration long"))
+    raw = rebuild.with_segments(
+        frames(spark, [("a", i, "P" if i else "I", first) for i in range(n)], "frame_type string, loopIteration long")
+    )
     after = [i for i in range(first + 1, first + 2000) if scheduled(i, interval, num, denom)]
     assert [r.loopIteration for r in rebuild.undo_inc(raw, c).orderBy("seq").collect()] == [first, *after[: n - 1]]
 
@@ -126,7 +150,9 @@ def test_schedules_in_closed_form(spark, interval, num, denom):
 def test_corrupt_counters_and_settings(spark):
     f = frames(spark, [("a", 0, 5), ("a", 10, 3_000_000_005), ("b", 0, 1), ("b", 10, 9)], "loopIteration long")
     both = config(spark, p_denom=2).union(config(spark, log_id="b", p_denom=0))
-    assert {(r.log_id, r.seq): r.absent for r in stats.absent_iterations(f, both).collect()} == {("a", 0): 0, ("a", 10): 1_499_999_999, ("b", 0): 0, ("b", 10): 0}
+    assert {
+        (r.log_id, r.seq): r.absent for r in stats.absent_iterations(f, both).collect()
+    } == {("a", 0): 0, ("a", 10): 1_499_999_999, ("b", 0): 0, ("b", 10): 0}
 
 
 def fold(rows):
@@ -160,8 +186,14 @@ def test_validity_is_that_of_the_rule(spark, seed):
             i, t = i + 20_000, t + 30_000_000
             now = (2, i, t % 2**32)
         rows.append(now)
-    f = frames(spark, [("a", 10 * k, "IP"[kind], i, t) for k, (kind, i, t) in enumerate(rows) if kind < 2], "frame_type string, loopIteration long, time long")
-    e = frames(spark, [("a", 10 * k, 14, t, i) for k, (kind, i, t) in enumerate(rows) if kind == 2], "event_type int, time long, log_iteration long")
+    f = frames(
+        spark, [("a", 10 * k, "IP"[kind], i, t) for k, (kind, i, t) in enumerate(rows) if kind < 2],
+        "frame_type string, loopIteration long, time long"
+    )
+    e = frames(
+        spark, [("a", 10 * k, 14, t, i) for k, (kind, i, t) in enumerate(rows) if kind == 2],
+        "event_type int, time long, log_iteration long"
+    )
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 700)
     try:
         got = [(r.valid, r.time) for r in rebuild.validate_frames(f, e).orderBy("seq").collect()]
@@ -186,7 +218,10 @@ def step_log(overshoot=0.0, n=3000, sign=1):
 
 @pytest.mark.parametrize("sign", [1, -1])
 def test_steps(spark, sign):
-    f = frames(spark, [(*r, 0, 0, 0, 0) for r in step_log(0.2, sign=sign)], "time long, setpoint_0 long, gyroADC_0 long, setpoint_1 long, gyroADC_1 long, setpoint_2 long, gyroADC_2 long")
+    f = frames(
+        spark, [(*r, 0, 0, 0, 0) for r in step_log(0.2, sign=sign)],
+        "time long, setpoint_0 long, gyroADC_0 long, setpoint_1 long, gyroADC_1 long, setpoint_2 long, gyroADC_2 long"
+    )
     found, windows = steps.detect_steps(f, config(spark))
     one = found.collect()
     assert len(one) == 1
@@ -209,9 +244,13 @@ def test_motion_near_the_ends_is_lost(spark):
 def test_merge_before_at_and_after(spark):
     f = frames(spark, [("a", 0, 100), ("a", 10, 200), ("b", 0, 100)], "time long")
     slow = frames(spark, [("a", 5, 3, 1, 2)], "flightModeFlags long, stateFlags long, failsafePhase long")
-    assert [(r.log_id, r.seq, r.flightModeFlags) for r in joins.merge_slow(f, slow).orderBy("log_id", "seq").collect()] == [("a", 0, 0), ("a", 10, 3), ("b", 0, 0)]
+    assert [
+        (r.log_id, r.seq, r.flightModeFlags) for r in joins.merge_slow(f, slow).orderBy("log_id", "seq").collect()
+    ] == [("a", 0, 0), ("a", 10, 3), ("b", 0, 0)]
     gps = frames(spark, [("a", 2, 100, 7), ("a", 12, 250, 9), ("c", 1, 5, 1)], "time long, GPS_numSat long")
-    assert [(r.log_id, r.seq, r.time, r.GPS_numSat) for r in joins.merge_gps(f, gps).orderBy("log_id", "seq").collect()] == [("a", 0, 100, 7), ("a", 10, 200, None), ("a", 12, 250, 9), ("b", 0, 100, None)]
+    assert [
+        (r.log_id, r.seq, r.time, r.GPS_numSat) for r in joins.merge_gps(f, gps).orderBy("log_id", "seq").collect()
+    ] == [("a", 0, 100, 7), ("a", 10, 200, None), ("a", 12, 250, 9), ("b", 0, 100, None)]
 
 
 def test_reconcile_finds_the_scaling_and_the_row(spark):
@@ -224,14 +263,22 @@ def test_reconcile_finds_the_scaling_and_the_row(spark):
 
 
 def test_motor_rule_and_ranking(spark):
-    f = frames(spark, [("a", i, 1000 * i, 1990, 0, 0, 0) for i in range(40)], "time long, motor_0 long, motor_1 long, motor_2 long, motor_3 long")
+    f = frames(
+        spark, [("a", i, 1000 * i, 1990, 0, 0, 0) for i in range(40)],
+        "time long, motor_0 long, motor_1 long, motor_2 long, motor_3 long"
+    )
     r = tuning.rule_motor_saturation(stats.motor_peak(f, config(spark)), config(spark)).first()
     assert r.cli == ["set p_roll = 45", "set p_pitch = 54"] and r.axis is None
-    assert tuning.rule_motor_saturation(stats.motor_peak(f, config(spark, motor_output_high=0)), config(spark, motor_output_high=0)).count() == 0
+    assert tuning.rule_motor_saturation(
+        stats.motor_peak(f, config(spark, motor_output_high=0)), config(spark, motor_output_high=0)
+    ).count() == 0
 
 
 def test_absent_axis_gives_no_rows(spark):
-    f = frames(spark, [("a", i, 1000 * i, 1500, 10, 5, None, None, None, None) for i in range(50)], "time long, rcCommand_3 long, setpoint_0 long, gyroADC_0 long, setpoint_1 long, gyroADC_1 long, setpoint_2 long, gyroADC_2 long")
+    f = frames(
+        spark, [("a", i, 1000 * i, 1500, 10, 5, None, None, None, None) for i in range(50)],
+        "time long, rcCommand_3 long, setpoint_0 long, gyroADC_0 long, setpoint_1 long, gyroADC_1 long, setpoint_2 long, gyroADC_2 long"
+    )
     shown = units.to_display_units(f, config(spark))
     assert [r.axis for r in stats.pid_rms(shown).collect()] == ["roll"]
     assert stats.error_vs_throttle(shown).count() == 20

@@ -66,11 +66,17 @@ def test_sections_headers_and_settings(spark, tmp_path):
 
 
 def test_tables_out_and_in(spark, tmp_path):
-    f = spark.createDataFrame([("a", 10 * i, i, 1000 * i, 1600 - i) for i in range(5)], "log_id string, seq long, loopIteration long, time long, vbatLatest long")
+    f = spark.createDataFrame(
+        [("a", 10 * i, i, 1000 * i, 1600 - i) for i in range(5)],
+        "log_id string, seq long, loopIteration long, time long, vbatLatest long"
+    )
     sources.write_frames(f, str(tmp_path / "csv"), "csv", {"time": "us", "vbatLatest": "V"})
     back = sources.read_frames_csv(spark, str(tmp_path / "csv" / "log_id=a"), "a")
     assert [(r.time, r.vbatLatest) for r in back.orderBy("time").collect()] == [(1000.0 * i, 1600.0 - i) for i in range(5)]
-    write(tmp_path / "golden.csv", "loopIteration, time (us), vbatLatest (V), flightModeFlags (flags)\n1, 10, 16.5, ANGLE_MODE\n2, x, 16.4, 0\n")
+    write(
+        tmp_path / "golden.csv",
+        "loopIteration, time (us), vbatLatest (V), flightModeFlags (flags)\n1, 10, 16.5, ANGLE_MODE\n2, x, 16.4, 0\n"
+    )
     golden = sources.read_frames_csv(spark, str(tmp_path / "golden.csv"))
     assert [(r.time, r.vbatLatest, r.flightModeFlags) for r in golden.collect()] == [(10.0, 16.5, "ANGLE_MODE"), (None, 16.4, "0")]
     sources.write_frames(f, str(tmp_path / "parquet"))
@@ -78,7 +84,10 @@ def test_tables_out_and_in(spark, tmp_path):
     gps = spark.createDataFrame([("a", 2, 100, 7)], "log_id string, seq long, time long, GPS_numSat long")
     sources.write_gps_csv(gps, str(tmp_path / "gps"))
     assert spark.read.csv(str(tmp_path / "gps"), header=True).columns[0] == "time (us)"
-    events = spark.createDataFrame([("a", 7, 13, 5, 1, 3, 0.0, None), ("a", 8, 30, 6, None, None, None, None)], "log_id string, seq long, event_type int, time long, adjustment_function int, int_value long, float_value double, log_iteration long")
+    events = spark.createDataFrame(
+        [("a", 7, 13, 5, 1, 3, 0.0, None), ("a", 8, 30, 6, None, None, None, None)],
+        "log_id string, seq long, event_type int, time long, adjustment_function int, int_value long, float_value double, log_iteration long"
+    )
     sources.write_events_json(units.decode_events(events), str(tmp_path / "ev"))
     lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "ev")).select("value").collect()]
     assert lines == [{"name": "Inflight adjustment", "time": 5, "data": {"adjustment_function": "RC_RATE", "value": 3.0}}]
@@ -90,10 +99,14 @@ def test_ingest_and_live_feed(spark, tmp_path):
     spark.createDataFrame(rows[:3], schema).coalesce(1).write.parquet(src)
     spark.createDataFrame(rows[3:] + [("b", 0, 5, None)], schema).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    streaming.ingest(stream, lambda b: b.groupBy("log_id").agg(F.count("*").alias("n")), str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination(120)
+    streaming.ingest(
+        stream, lambda b: b.groupBy("log_id").agg(F.count("*").alias("n")), str(tmp_path / "out"), str(tmp_path / "c1")
+    ).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0] == 7
     limits = streaming.live_limits(stream, ["motor_0"])
-    q = limits.writeStream.format("parquet").option("path", str(tmp_path / "live")).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    q = limits.writeStream.format("parquet").option("path", str(tmp_path / "live")).option(
+        "checkpointLocation", str(tmp_path / "c2")
+    ).trigger(availableNow=True).start()
     q.awaitTermination(120)
     last = {r.log_id: r for r in spark.read.parquet(str(tmp_path / "live")).orderBy("n").collect()}
     assert last["a"].n == 6 and last["a"].time == 2**32 - 2500 + 5000 and (last["a"].min, last["a"].max) == (0, 50)
