@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .tables import doc_id, keyed
+from .tables import doc_id, keyed, saved
 from .words import ALNUM, Chunk, chunks
 
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])
@@ -58,53 +58,85 @@ def held_out(doc: F.Column) -> F.Column:
     return F.crc32(doc.cast("string").cast("binary")) % 5 == 0
 
 
-def _examples(documents: DataFrame, labels: DataFrame, limit: int, budget: int) -> list:
-    """Word hashes of labelled documents, chosen by a hash of their id: at most ``limit`` rows and ``budget`` characters."""
-    chosen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("key"), "key").limit(limit)
+def _sample(documents: DataFrame, labels: DataFrame, limit: int, budget: int) -> DataFrame:
+    """Label and text of documents, chosen by a hash of their id: at most ``limit`` rows and ``budget`` characters."""
+    chosen = labels.where(
+        "doc_id is not null and toxic is not null"
+    ).groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("key"), "key").limit(limit)
     order = (F.xxhash64("key"), "key", "salt")
     # at most ``limit`` small rows: broadcast
     rows = keyed(documents).join(F.broadcast(chosen), "key").orderBy(*order).limit(limit)
     size = F.coalesce(F.length("text"), F.lit(0))
-    rows = rows.withColumn("sum", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("sum") <= budget)
+    rows = rows.withColumn(
+        "sum", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ).where(F.col("sum") <= budget)
+    return rows.select(F.col("toxic").cast("int").alias("toxic"), "text")
+
+
+def _known(sample: DataFrame, least: int) -> np.ndarray:
+    """Sorted hashes of the words that ``least`` documents of the sample hold."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            words = chunk.words(ALNUM)
+            order = np.lexsort((words.text_of, words.hash))
+            word, text = words.hash[order], words.text_of[order]
+            new = np.ones(len(word), bool)
+            new[1:] = (word[1:] != word[:-1]) | (text[1:] != text[:-1])
+            kinds, n = np.unique(word[new], return_counts=True)
+            yield pa.record_batch({"word": pa.array(kinds.view(np.int64)), "n": pa.array(n, pa.int64())})
+
+    counted = sample.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(counted.select("word").toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _examples(sample: DataFrame, known: np.ndarray) -> list:
+    """Of each document its label, the places of its known words, and how many of them each sentence has."""
+    held = sample.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held.value
         for chunk in chunks(batches):
             words, sentence = _sentences(chunk)
-            cut = list(zip(words.first[:-1], words.first[1:], strict=True))
+            at, is_known = _find(known, words.hash)
+            n = np.bincount(sentence[is_known], minlength=sentence[-1] + 1 if len(sentence) else 0).astype(np.int32)
+            kept = np.concatenate([[0], np.cumsum(is_known)])[words.first]
+            first = np.searchsorted(sentence, np.arange(len(n)))  # each sentence's first word
+            cut = np.searchsorted(first, words.first)
+            places = at[is_known].astype(np.int32)
             yield pa.record_batch({
                 "toxic": pa.array(chunk.column("toxic").astype(np.int32)),
-                "features": pa.array([words.hash[a:b].tobytes() for a, b in cut], pa.binary()),
-                "sentences": pa.array([(sentence[a:b] - sentence[a] if b > a else sentence[:0]).astype(np.int32).tobytes() for a, b in cut], pa.binary()),
+                "words": pa.array([places[a:b].tobytes() for a, b in zip(kept[:-1], kept[1:], strict=True)], pa.binary()),
+                "sentences": pa.array([n[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
             })
 
-    return rows.select("toxic", "text").mapInArrow(run, "toxic int, features binary, sentences binary").collect()
+    return sample.mapInArrow(run, "toxic int, words binary, sentences binary").collect()
 
 
-def fit(documents: DataFrame, labels: DataFrame, limit: int = 8000, budget: int = 60_000_000, rounds: int = 500, shrink: float = 2e-5) -> Model:
+def fit(
+    documents: DataFrame, labels: DataFrame, limit: int = 8000, budget: int = 60_000_000, rounds: int = 500,
+    shrink: float = 2e-5
+) -> Model:
     """Learns from at most ``limit`` labelled documents with ``budget`` characters together (the documented bound; nothing else is capped).
 
-    The sample is learnt on the driver, whatever the size of the corpus.
-
-    Words seen in fewer than 4 of them get no weight. Without labelled documents, or with one kind of
+    The sample is learnt on the driver, whatever the size of the corpus; what reaches it are four bytes a word.
+    Words seen in fewer than 4 of the documents get no weight. Without labelled documents, or with one kind of
     label only, the model scores every sentence alike, at the rate of toxic labels seen (0.5 if none).
     """
-    rows = _examples(documents, labels, limit, budget)
+    sample = saved(_sample(documents, labels, limit, budget))
+    known = _known(sample, 4)
+    rows = _examples(sample, known)
     y = np.array([r.toxic for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         rate = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(rate / (1 - rate))))
-    x = [np.frombuffer(r.features, np.uint64) for r in rows]
-    inside = [np.frombuffer(r.sentences, np.int32) for r in rows]
-    n_sentences = np.array([s[-1] + 1 if len(s) else 1 for s in inside])
-    first = np.cumsum(n_sentences) - n_sentences
-    known, seen = np.unique(np.concatenate([np.unique(f) for f in x]), return_counts=True)
-    known = known[seen >= 4]
-    places = [_find(known, f) for f in x]
-    kept = [k for _, k in places]
-    word = np.concatenate([at[k].astype(np.int32) for at, k in places])
-    at = np.concatenate([(a + s[k]).astype(np.int32) for a, s, k in zip(first, inside, kept, strict=True)])
-    del rows, x, inside, places, kept
-    total, owner = int(n_sentences.sum()), np.repeat(np.arange(len(y), dtype=np.int32), n_sentences)
+    n_sentences = np.array([max(1, len(r.sentences) // 4) for r in rows])
+    first, total = np.cumsum(n_sentences) - n_sentences, int(n_sentences.sum())
+    word = np.frombuffer(b"".join(r.words for r in rows), np.int32)
+    # a document without words is one sentence without any
+    each = np.frombuffer(b"".join(r.sentences or bytes(4) for r in rows), np.int32)
+    del rows
+    at, owner = np.repeat(np.arange(total, dtype=np.int32), each), np.repeat(np.arange(len(y), dtype=np.int32), n_sentences)
     # one label is one observation, however long its document is
     w, b = np.zeros(len(known)), -np.log(n_sentences.mean() * 10 + 1)
     step_w, step_b = np.full(len(known), 1e-12), 1e-12
@@ -152,7 +184,9 @@ def score(documents: DataFrame, model: Model, from_score: float = 0.5) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             scores, spans = _scored(held.value, chunk, from_score)
-            yield pa.record_batch({"key": pa.array(chunk.column("key")), "salt": pa.array(chunk.column("salt")), "score": scores, "offending": spans})
+            yield pa.record_batch(
+                {"key": pa.array(chunk.column("key")), "salt": pa.array(chunk.column("salt")), "score": scores, "offending": spans}
+            )
 
     out = keyed(documents).mapInArrow(run, "key long, salt long, score double, offending array<struct<start:long,end:long,score:double>>")
     return out.select("key", "salt", doc_id(), "score", "offending")
