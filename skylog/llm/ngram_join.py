@@ -81,13 +81,6 @@ class PartEnum:
         first, second, kept = (1, k + 2, k) if k <= 3 else (_parts(k), 1, 0)
         return Scheme(first, second, tuple(combinations(range(second), second - kept)), kept)
 
-    @lru_cache(maxsize=256)
-    def edges(self, band: int) -> np.ndarray:
-        """Ends of the second-level parts in the range of hashes."""
-        scheme = self.scheme(band)
-        cuts = scheme.first * scheme.second
-        return np.array([(i << 64) // cuts for i in range(cuts)] + [(1 << 64) - 1], np.uint64)
-
     @lru_cache(maxsize=65536)
     def tasks(self, n: int) -> list[tuple[int, int]]:
         """(instance, most differences) for a set of n: partners from its own band up, and from the bands above."""
@@ -114,22 +107,85 @@ class PartEnum:
         return ((band, signs) for band, signs, _ in self.signed(elements))
 
     def signed(self, elements: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
-        """Instance, signatures (uint64) of a sorted set of hashes, and how many of the ``spare`` ones are left out already.
+        """Instance, signatures (uint64) of a sorted set of hashes, and how many of the ``spare`` ones are left out already."""
+        for band, _, signs, left in self.signed_sets(Sets(elements, np.array([0, len(elements)]))):
+            yield band, signs, int(left[0]) if len(left) else 0
+
+    def signed_sets(self, sets: Sets) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Instance, then for each signature its set, itself, and how many of the ``spare`` ones the set has left out already.
 
-        Empty parts, by their place, come first in the order of those to leave out.
+        A set's elements are parted by their upper bits. Empty parts, by their place, come first in the
+        order of those to leave out.
         """
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(elements))])
-        for band, k in self.tasks(len(elements)):
-            scheme = self.scheme(band)
-            cuts = np.searchsorted(elements, self.edges(band)[: scheme.needed(k) * scheme.second + 1])
-            content = np.diff(sums[cuts]).reshape(-1, scheme.second)
-            counts = np.diff(cuts).reshape(-1, scheme.second)
-            value = np.stack([content[:, s].sum(1, dtype=np.uint64) for s in map(list, scheme.subsets)], 1)
-            full = np.stack([counts[:, s].sum(1) for s in map(list, scheme.subsets)], 1).ravel() > 0
-            place = (np.arange(value.size, dtype=np.uint64) | np.uint64(band << 40)) + np.uint64(1)
-            signs = mix(value.ravel() ^ mix(place * np.uint64(0x9E3779B97F4A7C15)))
-            empty = np.flatnonzero(~full)[: self.spare(band)]
-            yield band, np.delete(signs, empty), len(empty)
+        sizes, mixed = np.diff(sets.cuts), mix(sets.elements)
+        members: dict[int, list[tuple[np.ndarray, int]]] = {}
+        for n in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == n)
+            for band, k in self.tasks(int(n)):
+                members.setdefault(band, []).append((at, self.scheme(band).needed(k)))
+        for band, asked in members.items():
+            scheme, spare = self.scheme(band), self.spare(band)
+            owner = np.concatenate([at for at, _ in asked])
+            needed = np.concatenate([np.full(len(at), k) for at, k in asked]) * len(scheme.subsets)
+            cuts = scheme.first * scheme.second
+            for a in range(0, len(owner), max(1, _CELLS // cuts)):
+                own, need = owner[a : a + max(1, _CELLS // cuts)], needed[a : a + max(1, _CELLS // cuts)]
+                length = sizes[own]
+                at = np.arange(length.sum()) + np.repeat(sets.cuts[own] - np.cumsum(length) + length, length)
+                part = (((sets.elements[at] >> np.uint64(32)) * np.uint64(cuts)) >> np.uint64(32)).astype(np.int64)
+                cell = np.repeat(np.arange(len(own)) * cuts, length) + part
+                start = np.flatnonzero(np.diff(cell, prepend=-1))
+                content, counts = np.zeros(len(own) * cuts, np.uint64), np.zeros(len(own) * cuts, np.int64)
+                content[cell[start]] = np.add.reduceat(mixed[at], start)
+                counts[cell[start]] = np.diff(np.append(start, len(cell)))
+                content, counts = (x.reshape(len(own), scheme.first, scheme.second) for x in (content, counts))
+                value = np.stack([content[:, :, s].sum(2, dtype=np.uint64) for s in map(list, scheme.subsets)], 2).reshape(len(own), -1)
+                full = np.stack([counts[:, :, s].sum(2) for s in map(list, scheme.subsets)], 2).reshape(len(own), -1) > 0
+                place = (np.arange(value.shape[1], dtype=np.uint64) | np.uint64(band << 40)) + np.uint64(1)
+                signs = mix(value ^ mix(place * np.uint64(0x9E3779B97F4A7C15)))
+                wanted = np.arange(value.shape[1]) < need[:, None]
+                empty = wanted & ~full
+                left = np.minimum(empty.sum(1), spare)
+                kept = wanted & ~(empty & (np.cumsum(empty, 1) <= spare))
+                of = np.nonzero(kept)[0]
+                yield band, own[of], signs[kept], left[of]
+
+
+#: Parts of sets that are worked on at once.
+_CELLS = 1 << 21
+
+
+@dataclass
+class Sets:
+    """Sorted sets of hashes, end to end; ``cuts`` are their bounds."""
+
+    elements: np.ndarray
+    cuts: np.ndarray
+
+    def names(self) -> np.ndarray:
+        """64-bit ids: equal sets have the same one."""
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.elements))])
+        return mix(np.diff(sums[self.cuts]) + np.diff(self.cuts).astype(np.uint64)).view(np.int64)
+
+    def sketches(self) -> list[bytes]:
+        """Parities of each set's elements by their low bits; differ in no more bits than the sets in elements.
+
+        With two to four bits an element, sets of a similarity up to 0.7 are told from those of 0.75 and more.
+        """
+        sizes, out = np.diff(self.cuts), [b""] * (len(self.cuts) - 1)
+        bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64))
+        low = mix(self.elements)
+        for width in np.unique(bits):
+            chosen = np.flatnonzero(bits == width)
+            for a in range(0, len(chosen), max(1, _CELLS // int(width))):
+                own = chosen[a : a + max(1, _CELLS // int(width))]
+                length = sizes[own]
+                at = np.arange(length.sum()) + np.repeat(self.cuts[own] - np.cumsum(length) + length, length)
+                bit = np.repeat(np.arange(len(own)) * width, length) + (low[at] & np.uint64(width - 1)).astype(np.int64)
+                odd = (np.bincount(bit, minlength=len(own) * int(width)) & 1).astype(np.uint8)
+                for i, row in zip(own, np.packbits(odd.reshape(len(own), -1), axis=1, bitorder="little"), strict=True):
+                    out[i] = row.tobytes()
+        return out
 
 
 _SIGNED = ("u4", "u1", "u8", "u1", "u2")
@@ -137,32 +193,24 @@ _SHARED = ("u8", "u8", "u1", "u4", "u2")
 _KEPT = ("u8", "u8")
 
 
-def _sets(chunk: Chunk, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Sorted shingle hashes of each text; a text of fewer words is one shingle, one without words none."""
+def _sets(chunk: Chunk, shingle: int) -> Sets:
+    """Shingle hashes of each text; a text of fewer words is one shingle, one without words none."""
     words = chunk.words(LOWER)
     at, hashes = words.windows(shingle)
-    cuts = np.searchsorted(at, words.first)
-    counts = np.diff(words.first)
+    counts, first = np.diff(words.first), np.searchsorted(at, words.first)
     short = np.flatnonzero((counts > 0) & (counts < shingle))
-    whole = dict(zip(short, words.spans(words.first[short], counts[short]), strict=True))
-    for i in range(len(counts)):
-        yield i, np.unique(hashes[cuts[i] : cuts[i + 1]]) if i not in whole else np.array([whole[i]], np.uint64)
-
-
-def _name(elements: np.ndarray) -> int:
-    """A set's id: equal sets have the same one."""
-    total = np.array([mix(elements).sum(dtype=np.uint64) + np.uint64(len(elements))])
-    return int(mix(total).view(np.int64)[0])
-
-
-def _sketch(elements: np.ndarray) -> bytes:
-    """Parities of the elements by their low bits; differs in no more bits than the sets in elements.
-
-    With two to four bits an element, sets of a similarity up to 0.7 are told from those of 0.75 and more.
-    """
-    bits = 1 << max(6, int(2 * len(elements) - 1).bit_length())
-    odd = np.bincount((mix(elements) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    sizes = np.diff(first)
+    sizes[short] = 1
+    ends = np.cumsum(sizes)
+    elements, own = np.empty(ends[-1] if len(ends) else 0, np.uint64), np.repeat(np.arange(len(sizes)), sizes)
+    whole = np.zeros(len(sizes), bool)
+    whole[short] = True
+    elements[~whole[own]], elements[whole[own]] = hashes, words.spans(words.first[short], counts[short])
+    for i in np.flatnonzero(sizes > 1):
+        elements[ends[i] - sizes[i] : ends[i]].sort()
+    new = np.ones(len(elements), bool)
+    new[1:] = (elements[1:] != elements[:-1]) | (own[1:] != own[:-1])
+    return Sets(elements[new], np.concatenate([[0], np.cumsum(np.bincount(own[new], minlength=len(sizes)))]))
 
 
 def _same_length(sketches: list[bytes]) -> np.ndarray:
@@ -176,12 +224,12 @@ def _describe(rows: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            nodes, ns, sketches = [], [], []
-            for _, elements in _sets(chunk, shingle):
-                nodes.append(_name(elements) if len(elements) else None)
-                ns.append(len(elements))
-                sketches.append(_sketch(elements) if len(elements) else None)
-            yield pa.record_batch({"key": pa.array(chunk.column("key")), "salt": pa.array(chunk.column("salt")), "node": pa.array(nodes, pa.int64()), "n": pa.array(ns, pa.int64()), "sketch": pa.array(sketches, pa.binary())})
+            sets = _sets(chunk, shingle)
+            n = np.diff(sets.cuts)
+            yield pa.record_batch({
+                "key": pa.array(chunk.column("key")), "salt": pa.array(chunk.column("salt")), "node": pa.array(sets.names(), mask=n == 0),
+                "n": pa.array(n, pa.int64()), "sketch": pa.array(sets.sketches(), pa.binary(), mask=n == 0),
+            })
 
     return rows.mapInArrow(run, "key long, salt long, node long, n long, sketch binary")
 
@@ -218,17 +266,26 @@ def _members(rows: DataFrame, parts: int, scheme: PartEnum, shingle: int) -> Dat
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = Packer(parts, *_SIGNED), set()
         for chunk in chunks(batches):
-            for _, elements in _sets(chunk, shingle):
-                if not len(elements) or (node := _name(elements)) in seen:
-                    continue
-                seen.add(node)
-                for band, signs, left in scheme.signed(elements):
-                    part = ((signs >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
-                    id_ = np.full(len(signs), node, np.int64).view(np.uint64)
-                    yield from packer.add(part, signs & np.uint64(0xFFFFFFFF), (signs >> np.uint64(32)) & np.uint64(0xFF), id_, np.full(len(signs), band), np.full(len(signs), left))
+            sets = _sets(chunk, shingle)
+            names = sets.names()
+            new = np.zeros(len(names), bool)
+            for i, name in enumerate(names.tolist()):
+                if name not in seen:
+                    new[i] = True
+                    seen.add(name)
+            kept = Sets(sets.elements[np.repeat(new, np.diff(sets.cuts))], np.concatenate([[0], np.cumsum(np.diff(sets.cuts)[new])]))
+            nodes = names[new].view(np.uint64)
+            for band, of, signs, left in scheme.signed_sets(kept):
+                part = ((signs >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
+                yield from packer.add(
+                    part, signs & np.uint64(0xFFFFFFFF), (signs >> np.uint64(32)) & np.uint64(0xFF), nodes[of],
+                    np.full(len(signs), band), left
+                )
         yield from packer.flush()
 
-    def share(part: int, low: np.ndarray, high: np.ndarray, node: np.ndarray, band: np.ndarray, left: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def share(
+        part: int, low: np.ndarray, high: np.ndarray, node: np.ndarray, band: np.ndarray, left: np.ndarray
+    ) -> Iterator[pa.RecordBatch]:
         # 40 bits of a signature and its partition: chance meetings are rare, and every pair is verified
         sign = (high.astype(np.uint64) << np.uint64(32)) | low
         at, times = _groups(sign, node)
@@ -237,7 +294,9 @@ def _members(rows: DataFrame, parts: int, scheme: PartEnum, shingle: int) -> Dat
         yield from packer.add(uniform_part(mix(node[at]), parts), sign, node[at], band[at], times, left[at])
         yield from packer.flush()
 
-    def leave_out(_: int, sign: np.ndarray, node: np.ndarray, band: np.ndarray, times: np.ndarray, left: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def leave_out(
+        _: int, sign: np.ndarray, node: np.ndarray, band: np.ndarray, times: np.ndarray, left: np.ndarray
+    ) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((sign, ~times, band, node))
         new = np.ones(len(order), bool)
         new[1:] = (np.diff(node[order]) != 0) | (np.diff(band[order]) != 0)
@@ -341,24 +400,40 @@ def _near_pairs(members: DataFrame, parts: int, classes: DataFrame | None, sketc
             places = np.stack([table.column(i).to_numpy() for i in range(3)])
             changed = np.flatnonzero((places[:, 1:] != places[:, :-1]).any(0)) + 1
             end = len(table) if batch is None else int(changed[-1])
-            cuts = [0, *(int(c) for c in changed if c < end), end]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            cuts = np.array([0, *(int(c) for c in changed if c < end), end])
+            pairs, rest = _twos(table, cuts, percent)
+            if len(pairs):
+                yield pa.record_batch(
+                    [pa.array(places[0, pairs[:, 0]]), *(pa.array(x) for x in _larger_first(table.column(3).to_numpy()[pairs]))],
+                    ["bucket", "a", "b"]
+                )
+            for a, b in zip(cuts[:-1][rest].tolist(), cuts[1:][rest].tolist(), strict=True):
                 part = [table.column(c).slice(a, b - a).to_pylist() for c in range(3, 8)]
                 if b - a > 1 and len(set(part[3])) > 1:
                     bucket = _Bucket(*part, percent)
                     found = bucket.all_pairs() if every else bucket.forest()
                     while pairs := list(islice(found, _PAIRS)):
-                        yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*((places[0, a], max(p), min(p)) for p in pairs), strict=True)], ["bucket", "a", "b"])
+                        yield pa.record_batch(
+                            [pa.array(x, pa.int64()) for x in zip(*((places[0, a], max(p), min(p)) for p in pairs), strict=True)],
+                            ["bucket", "a", "b"]
+                        )
             held = table.slice(end).combine_chunks().to_batches()
 
     rows = members
     if every:
         placed = rows.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = saved(placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket"))
-        rows = placed.join(several, "bucket", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        several = saved(
+            placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
+        )
+        rows = placed.join(several, "bucket", "left_semi").withColumn(
+            "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        )
     else:
         rows = rows.withColumns({"component": F.col("node"), "other": F.col("block")})
-    rows = rows.select("bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "component", "block")
+    rows = rows.select(
+        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "component",
+        "block"
+    )
     dealt = rows.join(sketches, "node").select("bucket", "low", "high", "node", "n", "sketch", "component", "block")
     dealt = dealt.repartition(parts, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
     return dealt.mapInArrow(search, "bucket long, a long, b long")
@@ -368,6 +443,33 @@ def _near_pairs(members: DataFrame, parts: int, classes: DataFrame | None, sketc
 _PAIRS = 1 << 16
 
 
+def _twos(table: pa.Table, cuts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Near pairs (as rows of the table) of all buckets of two sets whose sketches are equally long, and the other buckets."""
+    sketches = table.column(5).combine_chunks()
+    _, offsets, data = sketches.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[sketches.offset : sketches.offset + len(sketches) + 1].astype(np.int64)
+    width, n, classes = np.diff(offsets), table.column(4).to_numpy(), table.column(6).to_numpy()
+    a = cuts[:-1]
+    two = np.diff(cuts) == 2
+    two[two] = width[a[two]] == width[a[two] + 1]
+    out = []
+    for w in np.unique(width[a[two]]):
+        x = a[two][width[a[two]] == w]
+        x = x[classes[x] != classes[x + 1]]
+        for i in range(0, len(x), max(1, (1 << 24) // int(w))):
+            p = x[i : i + max(1, (1 << 24) // int(w))]
+            left, right = (np.frombuffer(data, np.uint8)[offsets[q][:, None] + np.arange(w)].view(np.uint64) for q in (p, p + 1))
+            differing = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
+            small, large = np.minimum(n[p], n[p + 1]), np.maximum(n[p], n[p + 1])
+            near = (differing * (100 + percent) <= (100 - percent) * (small + large)) & (large * percent <= small * 100)
+            out.append(np.stack([p[near], p[near] + 1], 1))
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64), np.flatnonzero(~two)
+
+
+def _larger_first(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return pairs.max(1), pairs.min(1)
+
+
 def _place(batch: pa.RecordBatch, i: int) -> tuple:
     return tuple(batch.column(c)[i].as_py() for c in range(3))
 
@@ -391,14 +493,17 @@ def _linked(pairs: DataFrame, places: DataFrame, rows: DataFrame, percent: int,
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            sets = [s for _, s in _sets(chunk, shingle)]
-            yield pa.record_batch({"node": pa.array(chunk.column("node")), "elements": pa.array([s.tobytes() for s in sets], pa.binary())})
+            sets = _sets(chunk, shingle)
+            data = [sets.elements[a:b].tobytes() for a, b in zip(sets.cuts[:-1], sets.cuts[1:], strict=True)]
+            yield pa.record_batch({"node": pa.array(chunk.column("node")), "elements": pa.array(data, pa.binary())})
 
     chosen = saved(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(places, "node"))
     if chosen.count() <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
     # written once: a set that is in many pairs can then be dealt out to several tasks
-    content = saved(rows.join(chosen, ["key", "salt"]).select("node", "text").mapInArrow(elements, "node long, elements binary").dropDuplicates(["node"]))
+    content = saved(
+        rows.join(chosen, ["key", "salt"]).select("node", "text").mapInArrow(elements, "node long, elements binary").dropDuplicates(["node"])
+    )
     full = pairs.join(content.toDF("a", "x"), "a").join(content.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return saved(full.mapInArrow(compare, "a long, b long"))
 
@@ -419,23 +524,34 @@ def link_classes(documents: DataFrame, percent: int = 75, shingle: int = 5) -> D
     described = saved(_describe(rows, shingle))
     members = saved(_members(rows, parts, scheme, shingle))
     nodes = described.where("node is not null").groupBy("node")
-    sketches, places = nodes.agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), nodes.agg(F.min(F.struct("key", "salt")).alias("at")).select("node", "at.*")
+    sketches, places = nodes.agg(
+        F.first("n").alias("n"), F.first("sketch").alias("sketch")
+    ), nodes.agg(F.min(F.struct("key", "salt")).alias("at")).select("node", "at.*")
     found = saved(_near_pairs(members, parts, None, sketches, percent))
     tested = saved(found.select("a", "b").distinct())
     links = _linked(tested, places, rows, percent, shingle)
     classes = saved(components(links))
     # where a near pair was no link after all, or its bucket has several blocks, classes may be linked by another pair
     failed = tested.join(links, ["a", "b"], "left_anti")
-    again = saved(found.join(failed, ["a", "b"], "left_semi").select("bucket").union(members.where("blocks > 1").select("bucket")).distinct())
-    rest = _near_pairs(members.join(again, "bucket", "left_semi"), parts, classes, sketches, percent)
-    rest = saved(rest.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = _linked(rest, places, rows, percent, shingle)
-        classes = saved(components(links.unionByName(more)))
+    again = saved(
+        found.join(failed, ["a", "b"], "left_semi").select("bucket").union(members.where("blocks > 1").select("bucket")).distinct()
+    )
+    if not again.isEmpty():
+        rest = _near_pairs(members.join(again, "bucket", "left_semi"), parts, classes, sketches, percent)
+        rest = saved(rest.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            classes = saved(components(links.unionByName(_linked(rest, places, rows, percent, shingle))))
     # tables with one row a key are written before they are joined, so that Spark can split a large class's rows
     owners = saved(nodes.agg(F.min(doc_id()).alias("own")))
     least = saved(classes.join(owners, "node").groupBy("component").agg(F.min("own").alias("least")))
-    of_node = saved(owners.join(classes.join(least, "component"), "node", "left").select("node", F.coalesce("component", "node").alias("class"), F.when(F.col("component").isNull(), F.col("own")).otherwise(F.col("least")).alias("component_id")))
+    of_node = saved(
+        owners.join(classes.join(least, "component"), "node", "left").select(
+            "node", F.coalesce("component", "node").alias("class"),
+            F.when(F.col("component").isNull(), F.col("own")).otherwise(F.col("least")).alias("component_id")
+        )
+    )
     columns = ["key", "salt", doc_id(), F.col("n").alias("n_shingles")]
     linked = described.where("node is not null").join(of_node, "node").select(*columns, "component_id", "class")
-    return linked.unionByName(described.where("node is null").select(*columns, doc_id().alias("component_id"), F.lit(None).cast("long").alias("class")))
+    return linked.unionByName(
+        described.where("node is null").select(*columns, doc_id().alias("component_id"), F.lit(None).cast("long").alias("class"))
+    )
