@@ -40,11 +40,17 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 35 words or more that occur more than once; the documents stay, and n_chars is counted anew."""
-    cut = substring_dedup.remove_repeats(docs).where("n_removed > 0").select("key", "salt", F.col("text").alias("rest")).dropDuplicates(["key", "salt"])
+    cut = substring_dedup.remove_repeats(docs).where("n_removed > 0").select(
+        "key", "salt", F.col("text").alias("rest")
+    ).dropDuplicates(["key", "salt"])
     rows = _whole(docs).join(cut, ["key", "salt"], "left")
     changed, kind = F.col("rest").isNotNull(), dict(docs.dtypes)
     new = {"text": F.col("rest"), "n_chars": F.length("rest")}
-    return rows.select(*(F.when(changed, new[c].cast(kind[c])).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return rows.select(
+        *(
+            F.when(changed, new[c].cast(kind[c])).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns
+        )
+    )
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

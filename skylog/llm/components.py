@@ -34,6 +34,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first()
         if now == seen or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select("v", "v").toDF("node", "component").distinct())
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+                edges.select("v", "v").toDF("node", "component").distinct()
+            )
         seen = now
         edges = saved(_small_star(_large_star(edges)))

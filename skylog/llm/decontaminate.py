@@ -130,7 +130,9 @@ def _occurrences(rows: DataFrame, block: _Block) -> DataFrame:
                         spans[r].append((s - words.first[r], s - words.first[r] + k))
             yield pa.record_batch({
                 "key": pa.array(chunk.column("key")), "salt": pa.array(chunk.column("salt")), "n_words": pa.array(np.diff(words.first), pa.int64()),
-                "spans": pa.array([_merged(s) for s in spans], _SPANS), "items": pa.array([sorted(p) for p in pairs], pa.list_(pa.string())),
+                "spans": pa.array([_merged(s) for s in spans], _SPANS), "items": pa.array(
+                    [sorted(p) for p in pairs], pa.list_(pa.string())
+                ),
             })
 
     return rows.mapInArrow(find, "key long, salt long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
@@ -151,7 +153,9 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
 
 def _blocks(benchmark: DataFrame, window: int) -> Iterator[_Block]:
     """The benchmark in parts of bounded text, each brought to the driver on its own."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    items = benchmark.select(
+        F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")
+    ).where("item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // BLOCK_BYTES) * 2 if total > BLOCK_BYTES else 1
     for i in range(parts):
@@ -183,7 +187,18 @@ def _both(a: DataFrame, b: DataFrame) -> DataFrame:
     merge = F.aggregate(
         F.array_sort(F.concat("spans", F.coalesce("s", F.expr("cast(array() as array<struct<start:long,end:long>>)")))),
         F.expr("cast(array() as array<struct<start:long,end:long>>)"),
-        lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s))),
+        lambda done, s: F.when(
+            (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]),
+            F.concat(
+                F.slice(done, 1, F.size(done) - 1),
+                F.array(
+                    F.struct(
+                        F.element_at(done, -1)["start"].alias("start"),
+                        F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")
+                    )
+                )
+            )
+        ).otherwise(F.concat(done, F.array(s))),
     )
     items = F.array_sort(F.array_union("items", F.coalesce("i", F.expr("cast(array() as array<string>)"))))
     return a.join(more, ["key", "salt"], "left").select("key", "salt", "n_words", merge.alias("spans"), items.alias("items"))

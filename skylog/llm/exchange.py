@@ -35,6 +35,16 @@ def partitions(df: DataFrame) -> int:
     return max(least, min(-(-input_bytes(df) // PARTITION_BYTES), MOST_PARTITIONS))
 
 
+def planes(column: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first: bytes that hardly change cost next to nothing in a compressed shuffle."""
+    return np.ascontiguousarray(column).view(np.uint8).reshape(-1, column.itemsize).T.tobytes()
+
+
+def from_planes(data, kind: np.dtype, n: int, at: int = 0) -> np.ndarray:
+    """n numbers whose bytes begin at a place of the data."""
+    return np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T.copy(order="C").view(kind).ravel()
+
+
 class Packer:
     """Collects records (numpy columns) with their partition and gives packed rows."""
 
@@ -56,7 +66,7 @@ class Packer:
         order = np.argsort(part, kind="stable")
         part, columns = part[order], [c[order] for c in columns]
         cuts = np.flatnonzero(np.diff(part, prepend=-1, append=self.parts))
-        data = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        data = [b"".join(planes(c[a:b]) for c in columns) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         if data:
             yield pa.record_batch([pa.array(part[cuts[:-1]], pa.int32()), pa.array(data, pa.binary())], schema=_SCHEMA)
 
@@ -65,12 +75,14 @@ def unpack(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     """The columns of one packed row."""
     n, at, out = len(data) // sum(np.dtype(k).itemsize for k in kinds), 0, []
     for k in kinds:
-        out.append(np.frombuffer(data, k, n, at))
+        out.append(from_planes(data, np.dtype(k), n, at))
         at += n * np.dtype(k).itemsize
     return out
 
 
-def exchange(packed: DataFrame, kinds: tuple[str, ...], receive: Callable[..., Iterator[pa.RecordBatch]], schema: str, parts: int) -> DataFrame:
+def exchange(
+    packed: DataFrame, kinds: tuple[str, ...], receive: Callable[..., Iterator[pa.RecordBatch]], schema: str, parts: int
+) -> DataFrame:
     """Deals packed rows out to their partitions; ``receive`` gets the number and all records of one, as columns."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

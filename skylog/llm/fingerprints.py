@@ -108,8 +108,12 @@ def _compared(rows: list[tuple], following: str, samples: int) -> Iterator[pa.Re
     own, other = prints[: len(texts)], prints[len(texts) :]
     n = len(rows)
     yield pa.record_batch([
-        pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()),
-        pa.array([hashlib.sha256(t).hexdigest() for t in raw]), pa.array([p.tobytes() for p in own[:-1]], pa.binary()), pa.array([p.tobytes() for p in other], pa.binary()),
+        pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(
+            [len(t) for t in texts[:-1]], pa.int64()
+        ),
+        pa.array(
+            [hashlib.sha256(t).hexdigest() for t in raw]
+        ), pa.array([p.tobytes() for p in own[:-1]], pa.binary()), pa.array([p.tobytes() for p in other], pa.binary()),
         pa.array(likeness(own[:-1], other)), pa.array(likeness(own[:-1], own[1:])), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()),
     ], schema=_ROWS)
 
@@ -127,10 +131,19 @@ def compare_with_next(documents: DataFrame, samples: int = SAMPLES) -> DataFrame
         task, held, size, seen = TaskContext.get().partitionId(), [], 0, False
 
         def end(row: tuple, which: int) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([v], f.type) for v, f in zip((row[0], row[1], None, None, None, None, None, None, task, which, row[2]), _ROWS, strict=True)], schema=_ROWS)
+            return pa.record_batch(
+                [
+                    pa.array([v], f.type) for v,
+                    f in zip((row[0], row[1], None, None, None, None, None, None, task, which, row[2]), _ROWS, strict=True)
+                ],
+                schema=_ROWS
+            )
 
         for batch in batches:
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (t.as_py() or "" for t in batch.column(2)), strict=True):
+            for row in zip(
+                batch.column(0).to_pylist(), batch.column(1).to_pylist(), (t.as_py() or "" for t in batch.column(2)),
+                strict=True
+            ):
                 if not seen:
                     seen = True
                     yield end(row, _FIRST)

@@ -24,12 +24,16 @@ from pyspark.sql import functions as F
 
 #: Elements whose content isn't text, and those that part blocks (fixed values of the HTML standard).
 RAW = "script|style|noscript|template|iframe|object|svg|math|textarea|select|title"
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements, and class, id or role words, of what is not article text; those of headers count outside of articles only.
 SECTIONS = frozenset("article aside body dialog div footer form head header main nav section".split())
 OTHER = frozenset("nav aside footer form button dialog menu".split())
-OTHER_CLASSES = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies footer gdpr menu modal nav navbar navigation newsletter notice popup promo related share sharing sidebar social sponsor sponsored subscribe".split())
+OTHER_CLASSES = frozenset(
+    "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies footer gdpr menu modal nav navbar navigation newsletter notice popup promo related share sharing sidebar social sponsor sponsored subscribe".split()
+)
 HEADERS = frozenset("header masthead".split())
 #: Elements that are the article or hold it; their class doesn't make them other.
 WHOLE = frozenset("html body main article".split())
@@ -37,7 +41,10 @@ WHOLE = frozenset("html body main article".split())
 # A tag's quotes are such after "=" only, and an unclosed tag, comment or raw element reaches to the end:
 # every "<" that begins a token also ends one, so that a page is read in one pass.
 _ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))*+(?:>|\Z)"""
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]|\Z){_ATTRIBUTES}.*?(?:</\1(?=[\s/>]|\Z)[^>]*+(?:>|\Z)|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})|<[!?/][^>]*+(?:>|\Z)", re.S | re.I)
+_TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]|\Z){_ATTRIBUTES}.*?(?:</\1(?=[\s/>]|\Z)[^>]*+(?:>|\Z)|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})|<[!?/][^>]*+(?:>|\Z)",
+    re.S | re.I
+)
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 #: A token: start and end in the page, tag name ("" for text, "!" for what is skipped), 1 if it closes, marked as other, number of words, container.
@@ -120,7 +127,9 @@ def learn(pages: list[str], rounds: int = 12, step: float = 0.5) -> Weights:
     for _ in range(rounds):
         wrong = 0
         for found, a, b in examples:
-            x, y = region([weights.of(t) * (0.5 if a <= i < b else 4.0) if t[2] in ("", "!") else weights.of(t) for i, t in enumerate(found)])
+            x, y = region(
+                [weights.of(t) * (0.5 if a <= i < b else 4.0) if t[2] in ("", "!") else weights.of(t) for i, t in enumerate(found)]
+            )
             for i in [*range(min(a, x), max(a, x)), *range(min(b, y), max(b, y))]:
                 name = found[i][2]
                 if name not in ("", "!"):
@@ -178,7 +187,9 @@ def fit(pages: DataFrame, limit: int = 1000, longest: int = 200_000, budget: int
     Of these it takes as many as have ``budget`` characters together: all, but for pages that are long on
     average. Hashes alone are ranked; pages are brought to the driver once they are chosen.
     """
-    labelled = pages.select(F.col("html").cast("string").alias("html")).where(F.col("html").contains("<article") & (F.length("html") <= longest))
+    labelled = pages.select(F.col("html").cast("string").alias("html")).where(
+        F.col("html").contains("<article") & (F.length("html") <= longest)
+    )
     hashed = labelled.select("html", F.xxhash64("html").alias("h"))
     last = hashed.select("h").distinct().orderBy("h").limit(limit).agg(F.max("h")).first()[0]
     chosen: list[str] = []
@@ -200,6 +211,11 @@ def extract(pages: DataFrame, weights: Weights) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(page.as_py() or "", weights) for page in batch.column(2)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                ["page_id", "url", "text", "n_chars"]
+            )
+
+    return pages.select(
+        F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")
+    ).mapInArrow(run, "page_id long, url string, text string, n_chars long")

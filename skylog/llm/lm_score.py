@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import input_bytes, partitions, uniform_part
+from .exchange import from_planes, input_bytes, partitions, planes, uniform_part
 from .tables import doc_id, keyed, saved
 from .words import LOWER, Words, chunks, join
 
@@ -31,7 +31,7 @@ GROUP_BYTES = 4 << 20
 #: Names of words are even, those of pairs odd; this one is the start of a text.
 _START = np.uint64(0)
 _PAIR = np.uint64(1)
-#: ``data`` holds sorted names and, where they are counted, their counts in target and background, see ``_packed``.
+#: ``data`` holds sorted names and, where they are counted, their counts in target and background, all as ``planes``.
 _ROWS = "part int, chunk long, counted boolean, data binary"
 #: Names that one row of a written model holds.
 _ROW_NAMES = 1 << 19
@@ -70,13 +70,12 @@ class _Group:
 
 
 def _packed(*columns: np.ndarray) -> bytes:
-    """Numbers byte by byte, all first bytes first: those that are nearly always 0 cost next to nothing in a shuffle."""
-    return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+    return b"".join(map(planes, columns))
 
 
 def _unpacked(data, columns: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(columns, 8, -1)
-    return planes.transpose(0, 2, 1).copy(order="C").view(np.uint64).reshape(columns, -1)
+    n = len(data) // 8 // columns
+    return np.stack([from_planes(data, np.dtype(np.uint64), n, 8 * n * i) for i in range(columns)])
 
 
 def _unpacked_names(data, counted: bool) -> np.ndarray:
@@ -90,7 +89,12 @@ def _rows(parts: int, chunk: int | None, names: np.ndarray, *counts: np.ndarray)
     """One row for each partition of the sorted names, those without a name too."""
     cuts = np.searchsorted(uniform_part(names, parts), np.arange(parts + 1, dtype=np.uint64))
     data = [_packed(np.diff(names[a:b], prepend=np.uint64(0)), *(c[a:b] for c in counts)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table({"part": pa.array(range(parts), pa.int32()), "chunk": pa.array([chunk] * parts, pa.int64()), "counted": pa.array([bool(counts)] * parts), "data": pa.array(data, pa.binary())})
+    return pa.table(
+        {
+            "part": pa.array(range(parts), pa.int32()), "chunk": pa.array([chunk] * parts, pa.int64()),
+            "counted": pa.array([bool(counts)] * parts), "data": pa.array(data, pa.binary())
+        }
+    )
 
 
 def _added(held: list) -> list[np.ndarray]:
@@ -128,7 +132,10 @@ def _answers(asked: DataFrame, parts: int) -> DataFrame:
                 found[:, known] = [c[at[known]] for c in counts]
             if own:
                 found -= own
-            yield pa.record_batch([pa.array([chunk]), pa.array([part], pa.int32()), pa.array([totals + _packed(*found)], pa.binary())], ["chunk", "part", "data"])
+            yield pa.record_batch(
+                [pa.array([chunk]), pa.array([part], pa.int32()), pa.array([totals + _packed(*found)], pa.binary())],
+                ["chunk", "part", "data"]
+            )
 
     return asked.repartitionById(parts, "part").mapInArrow(answer, "chunk long, part int, data binary")
 
@@ -176,7 +183,9 @@ def _grouped(documents: DataFrame, target: DataFrame | None, broadcast_ids: int
     if target is None:
         rows = rows.withColumn("target", F.lit(False))
     else:
-        ids = target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key")).distinct().withColumn("target", F.lit(True))
+        ids = target.where("doc_id is not null").select(
+            F.col("doc_id").cast("long").alias("key")
+        ).distinct().withColumn("target", F.lit(True))
         if ids.count() <= broadcast_ids:
             ids = F.broadcast(ids)
         rows = rows.join(ids, "key", "left").withColumn("target", F.coalesce("target", F.lit(False)))
@@ -207,7 +216,10 @@ def fit(documents: DataFrame, target: DataFrame, broadcast_ids: int = 1_000_000)
         for a in range(0, len(sums[0]), _ROW_NAMES):
             names, *counts = (x[a : a + _ROW_NAMES] for x in sums)
             data = _packed(np.diff(names, prepend=np.uint64(0)), *counts)
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.array([True]), pa.array([data], pa.binary())], ["part", "chunk", "counted", "data"])
+            yield pa.record_batch(
+                [pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.array([True]), pa.array([data], pa.binary())],
+                ["part", "chunk", "counted", "data"]
+            )
 
     return Models(saved(rows.groupBy("chunk").applyInArrow(count, _ROWS).repartitionById(parts, "part").mapInArrow(add, _ROWS)), parts)
 

@@ -136,7 +136,13 @@ def tokenized(documents: DataFrame, capacity: int, path: str) -> DataFrame:
                     length = (len(ids) - start) % capacity or capacity
                     out.append((doc, piece, start, length, zlib.crc32(ids[start : start + length].tobytes())))
                     start, piece = start + length, piece + 1
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield pa.record_batch(
+                [
+                    pa.array(c, k) for c,
+                    k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)
+                ],
+                ["doc_id", "piece", "start", "length", "ids_crc32"]
+            )
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
@@ -159,7 +165,9 @@ def pack(documents: DataFrame, capacity: int = 2048, tokenizer: str | None = Non
     firsts = counts.select("length", "salt", before.alias("before"))
     place = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    ranked = pieces.withColumn("place", place).join(firsts, ["length", "salt"]).select(*columns, (F.col("before") + F.col("place") - 1).alias("rank"))
+    ranked = pieces.withColumn("place", place).join(firsts, ["length", "salt"]).select(
+        *columns, (F.col("before") + F.col("place") - 1).alias("rank")
+    )
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value

@@ -25,14 +25,20 @@ def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
     captures = pages.select(F.col("page_id").alias("capture_id"), "url", day(F.col("page_id") * 7919 % 366).alias("fetched"))
-    hosts = pages.select(F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("host"), "page_id").groupBy("host").agg(F.min("page_id").alias("m"))
+    hosts = pages.select(
+        F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)).alias("host"), "page_id"
+    ).groupBy("host").agg(F.min("page_id").alias("m"))
     m, first = F.col("m"), F.col("m") * 31 % 300
     event = lambda name, pattern, action, n: F.struct(F.lit(name).alias("list_name"), pattern.alias("pattern"), F.lit(action).alias("action"), day(n).alias("effective"))
     host, parent = F.col("host"), F.regexp_replace("host", r"^[^.]+\.", "")
     blocks = F.array(event("spam", host, "add", first), event("spam", host, "remove", first + 45), event("spam", host, "add", first + 120))
-    allows = F.when(m % 5 == 0, F.array(event("allow", parent, "add", m * 17 % 366), event("allow", parent, "remove", m * 17 % 366 + 20))).otherwise(F.array().cast("array<struct<list_name:string,pattern:string,action:string,effective:date>>"))
+    allows = F.when(
+        m % 5 == 0, F.array(event("allow", parent, "add", m * 17 % 366), event("allow", parent, "remove", m * 17 % 366 + 20))
+    ).otherwise(F.array().cast("array<struct<list_name:string,pattern:string,action:string,effective:date>>"))
     entries = hosts.where("host != ''").select(F.inline(F.concat(blocks, allows)))
-    return url_lists.judge(captures, entries).select("capture_id", "fetched", "n_active", F.array_join("lists", ",").alias("lists"), "blocked")
+    return url_lists.judge(captures, entries).select(
+        "capture_id", "fetched", "n_active", F.array_join("lists", ",").alias("lists"), "blocked"
+    )
 
 
 _OP3 = """
@@ -72,7 +78,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     learnt = read(spark, sf_dir, "labels").where(~toxicity.held_out(F.col("doc_id")))
     scored = toxicity.score(documents, toxicity.fit(documents, learnt))
-    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +116,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     ids = F.array_join("items", ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,5 +134,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {"pipeline": pipeline, "op1_ngram_join": op1_ngram_join, "op2_html_text": op2_html_text, "op3_url_lists": op3_url_lists, "op4_toxicity": op4_toxicity, "op5_lm_score": op5_lm_score, "op6_fingerprints": op6_fingerprints, "op7_packing": op7_packing, "op8_token_counts": op8_token_counts, "op9_decontamination": op9_decontamination, "op10_substring_dedup": op10_substring_dedup}
+QUERIES = {
+    "pipeline": pipeline, "op1_ngram_join": op1_ngram_join, "op2_html_text": op2_html_text, "op3_url_lists": op3_url_lists,
+    "op4_toxicity": op4_toxicity, "op5_lm_score": op5_lm_score, "op6_fingerprints": op6_fingerprints,
+    "op7_packing": op7_packing, "op8_token_counts": op8_token_counts, "op9_decontamination": op9_decontamination,
+    "op10_substring_dedup": op10_substring_dedup
+}
 SQL: dict[str, str] = {"op3_url_lists": _OP3}

@@ -60,7 +60,10 @@ def _repeated(select, kinds: tuple[str, ...]) -> tuple:
                 many[:-1] |= same[1:]
                 one, known = np.sort(order[~same]), np.sort(order[many])
                 yield from packer.add(uniform_part(names[0][one], parts), *(n[one] for n in names), key[one], salt[one], place[one])
-                yield from packer.add(_home(key[known], salt[known], parts), *(n[known] for n in names), key[known], salt[known], place[known] | _KNOWN)
+                yield from packer.add(
+                    _home(key[known], salt[known], parts), *(n[known] for n in names), key[known], salt[known],
+                    place[known] | _KNOWN
+                )
             yield from packer.flush()
 
         return send
@@ -108,7 +111,10 @@ def _found(df: DataFrame, parts: int, select, kinds: tuple[str, ...], before: in
             first = at[cuts[:-1]]
             yield pa.record_batch({
                 "key": pa.array(key[first]), "salt": pa.array(salt[first]),
-                "spans": pa.array([np.stack([start[x:y], end[x:y]]).astype(np.uint32).tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                "spans": pa.array(
+                    [np.stack([start[x:y], end[x:y]]).astype(np.uint32).tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)],
+                    pa.binary()
+                ),
             })
 
     sender, receiver = _repeated(select, kinds)

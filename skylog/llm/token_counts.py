@@ -117,9 +117,13 @@ class CountTree:
         last = max(first, self._leaf(max(start, end - 1))[0])
         text = "".join(self.leaves[first : last + 1])
         text = text[: start - first_at] + new + text[max(start, end) - first_at :]
-        while (before := next((i for i in range(first - 1, -1, -1) if self.leaves[i]), None)) is not None and not _parts(self.leaves[before], text):
+        while (
+            before := next((i for i in range(first - 1, -1, -1) if self.leaves[i]), None)
+        ) is not None and not _parts(self.leaves[before], text):
             text, first = self.leaves[before] + text, before
-        while (after := next((i for i in range(last + 1, len(self.leaves)) if self.leaves[i]), None)) is not None and not _parts(text, self.leaves[after]):
+        while (
+            after := next((i for i in range(last + 1, len(self.leaves)) if self.leaves[i]), None)
+        ) is not None and not _parts(text, self.leaves[after]):
             text, last = text + self.leaves[after], after
         leaves = self._cut(text) if len(text) >= 2 * LEAF else [text]
         counts, places = [self._count(x) for x in leaves], last + 1 - first
@@ -149,7 +153,10 @@ def build_trees(documents: DataFrame, tokenizer: str | None = None) -> DataFrame
 
 
 def _columns(trees: list[CountTree]) -> list[pa.Array]:
-    return [pa.array([t.leaves for t in trees], pa.list_(pa.string())), pa.array([t.tokens for t in trees], pa.list_(pa.int64())), pa.array([t.chars for t in trees], pa.list_(pa.int64()))]
+    return [
+        pa.array([t.leaves for t in trees], pa.list_(pa.string())), pa.array([t.tokens for t in trees], pa.list_(pa.int64())),
+        pa.array([t.chars for t in trees], pa.list_(pa.int64()))
+    ]
 
 
 def edit_trees(trees: DataFrame, edits: DataFrame, tokenizer: str | None = None, keep: bool = True) -> DataFrame:
@@ -163,9 +170,17 @@ def edit_trees(trees: DataFrame, edits: DataFrame, tokenizer: str | None = None,
     with it, and no others.
     """
     path = tokenizer or default_path()
-    edit = F.struct(F.coalesce("n", F.lit(0)).cast("long").alias("n"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("start", "end")), F.coalesce("new_text", F.lit("")).alias("new_text"))
+    edit = F.struct(
+        F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("start", "end")),
+        F.coalesce("new_text", F.lit("")).alias("new_text")
+    )
     # one row a key, written before it is joined, so that Spark can split the rows of a frequent doc_id
-    lists = saved(edits.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.array_sort(F.collect_list(edit)).alias("edits")))
+    lists = saved(
+        edits.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("key")).agg(
+            F.array_sort(F.collect_list(edit)).alias("edits")
+        )
+    )
     counts = "n_tokens_before long, n_tokens long, n_chars long, n_encoded long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +195,13 @@ def edit_trees(trees: DataFrame, edits: DataFrame, tokenizer: str | None = None,
                 done += [tree] if keep else []
                 out.append((before, tree.count, int(tree.chars[1]), tree.encoded))
             names = ["key", "salt", *(["leaves", "tokens", "chars"] if keep else []), "n_tokens_before", "n_tokens", "n_chars", "n_encoded"]
-            yield pa.record_batch([batch.column(0), batch.column(1), *(_columns(done) if keep else []), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], names)
+            yield pa.record_batch(
+                [
+                    batch.column(0), batch.column(1), *(_columns(done) if keep else []),
+                    *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))
+                ],
+                names
+            )
 
     rows = trees.join(lists, "key", "left").select("key", "salt", "leaves", "tokens", "chars", "edits")
     return rows.mapInArrow(run, f"{TREES}, {counts}" if keep else f"key long, salt long, {counts}")
@@ -193,4 +214,7 @@ def count_edited(documents: DataFrame, edits: DataFrame, tokenizer: str | None =
     texts count as empty.
     """
     done = edit_trees(build_trees(documents, tokenizer), edits, tokenizer, keep=False)
-    return done.select(doc_id(), F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.col("n_chars").alias("n_chars_edited"), "n_encoded")
+    return done.select(
+        doc_id(), F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"),
+        F.col("n_chars").alias("n_chars_edited"), "n_encoded"
+    )

@@ -31,17 +31,24 @@ def _byte_of() -> dict[str, int]:
 
 #: What a file must say, besides its vocabulary and merges, to be read by ranks (fixed values).
 _SPLITTER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
+_MODEL = {
+    "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None,
+    "byte_fallback": False, "ignore_merges": False
+}
 
 
 def by_ranks(spec: dict) -> bool:
     """Whether a file's ids are those of merging byte pairs by the rank of the result, after the usual byte-level split."""
     splitter, model = spec.get("pre_tokenizer") or {}, spec["model"]
-    if spec.get("normalizer") or any(splitter.get(k) != v for k, v in _SPLITTER.items()) or any((model.get(k) or None) != (v or None) for k, v in _MODEL.items()):
+    if spec.get("normalizer") or any(splitter.get(k) != v for k, v in _SPLITTER.items()) or any(
+        (model.get(k) or None) != (v or None) for k, v in _MODEL.items()
+    ):
         return False
     merged = [model["vocab"].get("".join(m.split(" ", 1) if isinstance(m, str) else m)) for m in model["merges"]]
     rest = len(model["vocab"]) - len(merged)
-    return rest == 256 and None not in merged and all(a < b for a, b in zip(merged[:-1], merged[1:], strict=True)) and min(merged, default=rest) >= rest
+    return rest == 256 and None not in merged and all(
+        a < b for a, b in zip(merged[:-1], merged[1:], strict=True)
+    ) and min(merged, default=rest) >= rest
 
 
 class Encoder:

@@ -24,10 +24,14 @@ def intervals(entries: DataFrame) -> DataFrame:
     Rows with a null in any of the four are left out.
     """
     day = entries.where("list_name is not null and pattern is not null and effective is not null and action in ('add', 'remove')")
-    day = day.groupBy("list_name", F.lower("pattern").alias("pattern"), F.col("effective").cast("date").alias("from_day")).agg(F.min(F.col("action") == "add").alias("added"))
+    day = day.groupBy(
+        "list_name", F.lower("pattern").alias("pattern"), F.col("effective").cast("date").alias("from_day")
+    ).agg(F.min(F.col("action") == "add").alias("added"))
     by = Window.partitionBy("list_name", "pattern").orderBy("from_day")
     changes = day.withColumn("before", F.lag("added", 1, False).over(by)).where("added != before")
-    return changes.withColumn("until_day", F.lead("from_day").over(by)).where("added").select("list_name", "pattern", "from_day", "until_day")
+    return changes.withColumn("until_day", F.lead("from_day").over(by)).where("added").select(
+        "list_name", "pattern", "from_day", "until_day"
+    )
 
 
 def url_keys(url: str = "url"):
@@ -36,7 +40,10 @@ def url_keys(url: str = "url"):
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)", 1)
     labels, parts = F.split(host, r"\."), F.filter(F.split(F.lower(path), "/"), lambda x: x != "")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.filter(F.sequence(F.lit(0), F.size(parts)), lambda i: i > 0), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    prefixes = F.transform(
+        F.filter(F.sequence(F.lit(0), F.size(parts)), lambda i: i > 0),
+        lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    )
     return F.when(host != "", F.array_distinct(F.concat(suffixes, prefixes))).otherwise(F.array().cast("array<string>"))
 
 
@@ -60,9 +67,14 @@ def judge(captures: DataFrame, entries: DataFrame, allow: str = "allow") -> Data
     # suffixes that no list names (a top-level domain has most of the captures) go before anything is dealt out by
     # them; the names are written first, so that Spark can broadcast a small table or split a frequent suffix
     listed = saved(dealt.select("pattern").distinct())
-    met = keys.join(listed, "pattern", "left_semi").join(dealt, ["pattern", "period"]).where("from_day <= fetched and (until_day is null or fetched < until_day)")
+    met = keys.join(listed, "pattern", "left_semi").join(dealt, ["pattern", "period"]).where(
+        "from_day <= fetched and (until_day is null or fetched < until_day)"
+    )
     verdict = met.groupBy("url", "fetched").agg(F.count("*").alias("n_active"), F.array_sort(F.collect_set("list_name")).alias("lists"))
     out = rows.join(verdict, ["url", "fetched"], "left")
     lists = F.coalesce("lists", F.array().cast("array<string>"))
     blocked = (F.size(F.array_remove(lists, allow)) > 0) & ~F.array_contains(lists, allow)
-    return out.select("capture_id", "url", "fetched", F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), lists.alias("lists"), blocked.alias("blocked"))
+    return out.select(
+        "capture_id", "url", "fetched", F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), lists.alias("lists"),
+        blocked.alias("blocked")
+    )

@@ -109,7 +109,8 @@ class Words:
         """128 bits of BLAKE2 over the n words (with one space between) from each word index: two columns."""
         size = self.end - self.start + 1
         stop = np.cumsum(size)
-        source = np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - size - self.start, size)
+        kind = np.int32 if len(self.folded) < 1 << 31 else np.int64
+        source = np.arange(stop[-1] if len(stop) else 0, dtype=kind) - np.repeat((stop - size - self.start).astype(kind), size)
         text = self.folded[source]
         text[stop - 1] = 0x20
         view, blake = memoryview(text), hashlib.blake2b

@@ -37,7 +37,11 @@ def corpus(seed=1, n=60):
         texts.append(text)
         docs.append((i * 7, text))
     long = " ".join(random.choice(vocabulary) for _ in range(30_000))
-    return docs + [(1000, None), (1001, ""), (1002, " \n\t "), (1003, "one"), (1004, "One"), (1005, "a b c d"), (1006, long), (1007, long + " more"), (1008, "x" * 50_000), (None, "no id here but words enough to count"), (5, docs[0][1]), (0, docs[0][1])]
+    return docs + [
+        (1000, None), (1001, ""), (1002, " \n\t "), (1003, "one"), (1004, "One"), (1005, "a b c d"), (1006, long),
+        (1007, long + " more"), (1008, "x" * 50_000), (None, "no id here but words enough to count"), (5, docs[0][1]),
+        (0, docs[0][1])
+    ]
 
 
 def sets(text):
@@ -108,7 +112,12 @@ def test_signatures_left_out_once():
     for n in range(11, 61):
         for _ in range(10):
             both = [random_.getrandbits(64) for _ in range(n - n // 7)]
-            signed = [{b: (v, left) for b, v, left in scheme.signed(np.array(sorted(both + [random_.getrandbits(64) for _ in range(n // 7)]), np.uint64))} for _ in range(2)]
+            signed = [
+                {
+                    b: (v, left) for b, v,
+                    left in scheme.signed(np.array(sorted(both + [random_.getrandbits(64) for _ in range(n // 7)]), np.uint64))
+                } for _ in range(2)
+            ]
             met = False
             for band in signed[0].keys() & signed[1].keys():
                 (x, i), (y, j) = signed[0][band], signed[1][band]
@@ -174,7 +183,11 @@ def test_large_groups_of_copies(spark):
 @pytest.mark.parametrize("window", [35, 12])
 def test_remove_repeats(spark, window):
     rows = corpus(3)
-    got = Counter((r.doc_id, r.n_words, r.n_removed, " ".join((r.text or "").encode().decode().split())) for r in substring_dedup.remove_repeats(table(spark, rows), window).collect())
+    got = Counter(
+        (
+            r.doc_id, r.n_words, r.n_removed, " ".join((r.text or "").encode().decode().split())
+        ) for r in substring_dedup.remove_repeats(table(spark, rows), window).collect()
+    )
     words = [(t or "").encode().split() for _, t in rows]
     count = Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))
     want = Counter()
@@ -197,9 +210,13 @@ def test_overlapping_repeats_of_one_text(spark):
 def test_contamination(spark, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     rows = corpus(5)
-    items = [(i, " ".join(t.split()[k : k + n])) for i, (_, t) in enumerate(rows[:20]) for k, n in [(2, 14 + i % 9)]] + [(50, "one"), (51, "A, b; C d!"), (52, ""), (53, None), (None, "a b"), (7, rows[9][1][:120])]
+    items = [
+        (i, " ".join(t.split()[k : k + n])) for i, (_, t) in enumerate(rows[:20]) for k, n in [(2, 14 + i % 9)]
+    ] + [(50, "one"), (51, "A, b; C d!"), (52, ""), (53, None), (None, "a b"), (7, rows[9][1][:120])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in decontaminate.contamination(table(spark, rows), bench).collect())
+    got = Counter(
+        (r.doc_id, r.n_words, r.n_hit, ",".join(r["items"])) for r in decontaminate.contamination(table(spark, rows), bench).collect()
+    )
     split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
     windows = defaultdict(set)
     for i, t in items:
@@ -231,3 +248,24 @@ def test_contamination_without_benchmark(spark):
     rows = decontaminate.contamination(table(spark, corpus(5)), spark.createDataFrame([], "item_id long, text string"))
     assert rows.where("n_hit > 0").count() == 0 and rows.count() == 72
     assert hashlib.sha256(b"").hexdigest()[:8] == "e3b0c442"
+
+
+def test_packed_records_come_back():
+    import numpy as np
+
+    from skylog.llm.exchange import Packer, unpack
+
+    rng, kinds = np.random.default_rng(3), ("u8", "i8", "u4", "u1", "u2")
+    columns = [rng.integers(0, 200, 500).astype(k) for k in kinds]
+    columns[1] = rng.integers(-(1 << 62), 1 << 62, 500)
+    part = rng.integers(0, 7, 500)
+    packer = Packer(9, *kinds)
+    rows = [
+        r for b in [*packer.add(part, *columns), *packer.flush()] for r in zip(
+            b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True
+        )
+    ]
+    assert sorted(p for p, _ in rows) == sorted(set(part.tolist()))
+    for p, data in rows:
+        for got, column in zip(unpack(data, kinds), columns, strict=True):
+            assert got.tolist() == column[part == p].tolist()

@@ -19,11 +19,16 @@ sys.path.insert(0, str(Path(__file__).parents[1]))
 from oracle import assert_same, database
 
 DATA = "/root/testdata/sf0.001"
-ODD = [(1, None), (2, ""), (3, "  \n"), (4, "One two. Two!"), (4, "One two. Two!"), (None, "no id"), (5, "é" * 3000 + " end"), (6, "w " * 40_000), (7, "stop <|endoftext|> here")]
+ODD = [
+    (1, None), (2, ""), (3, "  \n"), (4, "One two. Two!"), (4, "One two. Two!"), (None, "no id"), (5, "é" * 3000 + " end"),
+    (6, "w " * 40_000), (7, "stop <|endoftext|> here")
+]
 
 
 def table(spark, rows):
-    return spark.createDataFrame([(i, t, "k", "s", "x") for i, t in rows], "doc_id long, text string, key string, salt string, score string")
+    return spark.createDataFrame(
+        [(i, t, "k", "s", "x") for i, t in rows], "doc_id long, text string, key string, salt string, score string"
+    )
 
 
 def test_encoder_is_the_tokenizer(spark):
@@ -37,7 +42,11 @@ def test_encoder_is_the_tokenizer(spark):
 def test_plan_places_every_piece_once(capacity):
     random.seed(capacity)
     for _ in range(60):
-        lengths = [random.choice([random.randint(1, capacity), max(1, capacity // 3 + random.randint(-1, 1)), capacity]) for _ in range(random.randint(0, 300))]
+        lengths = [
+            random.choice(
+                [random.randint(1, capacity), max(1, capacity // 3 + random.randint(-1, 1)), capacity]
+            ) for _ in range(random.randint(0, 300))
+        ]
         counts = Counter(lengths)
         ranks, sequences = defaultdict(list), defaultdict(list)
         for length, first, n, sequence, each, offset in packing.plan(dict(counts), capacity):
@@ -83,7 +92,9 @@ def test_edits_count_as_encoding_anew(spark, monkeypatch):
     for leaf in (8, 512):
         monkeypatch.setattr(token_counts, "LEAF", leaf)
         for k in range(60):
-            text = random.choice(pool)[: random.choice([0, 5, 900, 3000])] if k % 3 else "".join(random.choice("ab '  \n\t1!sé") for _ in range(random.randint(0, 200)))
+            text = random.choice(pool)[: random.choice([0, 5, 900, 3000])] if k % 3 else "".join(
+                random.choice("ab '  \n\t1!sé") for _ in range(random.randint(0, 200))
+            )
             tree = token_counts.CountTree(text, encode)
             for _ in range(4):
                 a = random.randint(0, len(text) + 2)
@@ -94,8 +105,13 @@ def test_edits_count_as_encoding_anew(spark, monkeypatch):
 
 
 def test_count_edited(spark):
-    edits = spark.createDataFrame([(4, 1, 0, 3, "Three"), (4, 2, 5, 5, " x"), (6, 1, 100, 120, None), (99, 1, 0, 0, "y"), (None, 1, 0, 0, "z"), (2, 1, 9, 12, "new")], "doc_id long, n int, start long, end long, new_text string")
-    got = Counter((r.doc_id, r.n_tokens, r.n_tokens_edited, r.n_chars_edited) for r in token_counts.count_edited(table(spark, ODD), edits).collect())
+    edits = spark.createDataFrame(
+        [(4, 1, 0, 3, "Three"), (4, 2, 5, 5, " x"), (6, 1, 100, 120, None), (99, 1, 0, 0, "y"), (None, 1, 0, 0, "z"), (2, 1, 9, 12, "new")],
+        "doc_id long, n int, start long, end long, new_text string"
+    )
+    got = Counter(
+        (r.doc_id, r.n_tokens, r.n_tokens_edited, r.n_chars_edited) for r in token_counts.count_edited(table(spark, ODD), edits).collect()
+    )
     n = lambda t: len(tokens.encoder(tokens.default_path())(t))
     after = {4: "Three x two. Two!", 2: "new", 6: ("w " * 40_000)[:100] + ("w " * 40_000)[120:]}
     assert got == Counter((d, n(t or ""), n(after.get(d, t or "")), len(after.get(d, t or ""))) for d, t in ODD)
@@ -107,7 +123,12 @@ def test_written_trees_are_edited_by_a_later_job(spark, tmp_path):
     rows = [*ODD, (8, "some words and more " * 2000)]
     token_counts.build_trees(table(spark, rows)).write.parquet(str(tmp_path / "trees"))
     texts = {d: t or "" for d, t in rows}
-    for job, edits in enumerate(([(8, 1, 100, 105, "other"), (8, 2, 20_000, 20_000, " new text" * 500), (4, 1, 0, 3, "Three")], [(8, 1, 21_000, 21_010, ""), (1, 1, 0, 0, "no longer empty")])):
+    for job, edits in enumerate(
+        (
+            [(8, 1, 100, 105, "other"), (8, 2, 20_000, 20_000, " new text" * 500), (4, 1, 0, 3, "Three")],
+            [(8, 1, 21_000, 21_010, ""), (1, 1, 0, 0, "no longer empty")]
+        )
+    ):
         frame = spark.createDataFrame(edits, "doc_id long, n int, start long, end long, new_text string")
         before = {d: t for d, t in texts.items()}
         for d, _, a, b, new in edits:
@@ -138,7 +159,12 @@ def test_other_tokenizer_files(spark, tmp_path):
     for file in (other, str(tmp_path / "changed.json")):
         full = Tokenizer.from_file(file)
         want = Counter((d, len(full.encode(t or "", add_special_tokens=False).ids)) for d, t in ODD[:6])
-        assert Counter((r.doc_id, r.n_tokens) for r in token_counts.count_edited(table(spark, ODD[:6]), spark.createDataFrame([], "doc_id long, n int, start long, end long, new_text string"), file).collect()) == want
+        assert Counter(
+            (r.doc_id, r.n_tokens) for r in token_counts.count_edited(
+                table(spark, ODD[:6]), spark.createDataFrame([], "doc_id long, n int, start long, end long, new_text string"),
+                file
+            ).collect()
+        ) == want
 
 
 def test_fingerprints_estimate_weighted_likeness():
@@ -165,7 +191,13 @@ def test_fingerprints_of_large_counts():
 
 def test_compare_with_next(spark):
     rows = ODD + [(100 + i, f"text number {i} with some words " * (i % 5 + 1)) for i in range(30)]
-    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_chars, r.edited_sha256) for r in fingerprints.compare_with_next(table(spark, rows)).collect()))
+    got = sorted(
+        (
+            (
+                r.doc_id is not None, r.doc_id or 0, r.n_chars, r.edited_sha256
+            ) for r in fingerprints.compare_with_next(table(spark, rows)).collect()
+        )
+    )
     import hashlib
 
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
@@ -187,10 +219,18 @@ def test_main_text(spark):
     train = [PAGE.format(extra=f"<p>{'words ' * n}</p>") for n in range(3, 40)]
     weights = html_text.learn(train)
     assert html_text.main_text(PAGE.format(extra=""), weights) == "Head é\nFirst one and two\nSecond."
-    assert html_text.main_text(PAGE.format(extra="<aside>no</aside><p>yes yes yes yes yes yes yes yes</p><div class='comments'><p>no</p></div><form>no</form><!-- no -->"), weights) == "Head é\nFirst one and two\nSecond.\nyes yes yes yes yes yes yes yes"
+    assert html_text.main_text(
+        PAGE.format(
+            extra="<aside>no</aside><p>yes yes yes yes yes yes yes yes</p><div class='comments'><p>no</p></div><form>no</form><!-- no -->"
+        ),
+        weights
+    ) == "Head é\nFirst one and two\nSecond.\nyes yes yes yes yes yes yes yes"
     for page in ("", "plain words", "<article>", "</p></nav>", "<script>never closed", "<p " * 2000, "a < b > c &bogus; &#0; " * 100):
         html_text.main_text(page, weights)
-    pages = spark.createDataFrame([(1, "u", None, "t"), (1, None, "", "t"), (None, "u", PAGE.format(extra=""), "t")], "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame(
+        [(1, "u", None, "t"), (1, None, "", "t"), (None, "u", PAGE.format(extra=""), "t")],
+        "page_id long, url string, html string, text string"
+    )
     got = html_text.extract(pages, html_text.fit(pages)).collect()
     assert sorted(r.n_chars for r in got)[:2] == [0, 0] and len(got) == 3
     assert html_text.extract(pages.limit(0), html_text.fit(pages.limit(0))).count() == 0
@@ -219,7 +259,13 @@ def test_tags_as_browsers_read_them():
         assert html_text.main_text(page, weights) == text, page
 
 
-@pytest.mark.parametrize("part", ["<a ", "<a b='", "<!", "</", "<script>", "<nav>", "<div class=ad>", "</section>", "<div></section>", "<svg ", "&amp", "<a =", "<!--", "<p>x"])
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<a ", "<a b='", "<!", "</", "<script>", "<nav>", "<div class=ad>", "</section>", "<div></section>", "<svg ", "&amp",
+        "<a =", "<!--", "<p>x"
+    ]
+)
 def test_pages_are_read_in_one_pass(part):
     import time
 
@@ -242,11 +288,32 @@ def test_main_text_of_pages(spark):
 
 def test_url_lists(spark):
     day = lambda n: f"2024-01-{n:02d}"
-    entries = spark.createDataFrame([("spam", "Bad.example.com", "add", day(5)), ("spam", "bad.example.com", "remove", day(10)), ("spam", "bad.example.com", "add", day(7)), ("spam", "example.org/x", "add", day(1)), ("allow", "example.com", "add", day(8)), ("spam", "gone.net", "remove", day(3)), ("spam", None, "add", day(1)), ("spam", "same.net", "add", day(2)), ("spam", "same.net", "remove", day(2))], "list_name string, pattern string, action string, effective string")
-    captures = [(1, "http://bad.example.com/a", day(4)), (2, "https://www.bad.example.com:80/", day(5)), (3, "http://u@bad.example.com?q", day(9)), (4, "http://bad.example.com", day(10)), (5, "http://example.org/X/y", day(20)), (6, "http://example.org/xy", day(20)), (7, None, day(5)), (8, "not a url", day(5)), (9, "http://example.org/x", None), (2, "https://www.bad.example.com:80/", day(5)), (10, "http://same.net/", day(2))]
-    got = Counter((r.capture_id, r.n_active, tuple(r.lists), r.blocked) for r in url_lists.judge(spark.createDataFrame(captures, "capture_id long, url string, fetched string"), entries).collect())
+    entries = spark.createDataFrame(
+        [
+            ("spam", "Bad.example.com", "add", day(5)), ("spam", "bad.example.com", "remove", day(10)),
+            ("spam", "bad.example.com", "add", day(7)), ("spam", "example.org/x", "add", day(1)),
+            ("allow", "example.com", "add", day(8)), ("spam", "gone.net", "remove", day(3)), ("spam", None, "add", day(1)),
+            ("spam", "same.net", "add", day(2)), ("spam", "same.net", "remove", day(2))
+        ],
+        "list_name string, pattern string, action string, effective string"
+    )
+    captures = [
+        (1, "http://bad.example.com/a", day(4)), (2, "https://www.bad.example.com:80/", day(5)),
+        (3, "http://u@bad.example.com?q", day(9)), (4, "http://bad.example.com", day(10)),
+        (5, "http://example.org/X/y", day(20)), (6, "http://example.org/xy", day(20)), (7, None, day(5)),
+        (8, "not a url", day(5)), (9, "http://example.org/x", None), (2, "https://www.bad.example.com:80/", day(5)),
+        (10, "http://same.net/", day(2))
+    ]
+    got = Counter(
+        (r.capture_id, r.n_active, tuple(r.lists), r.blocked) for r in url_lists.judge(
+            spark.createDataFrame(captures, "capture_id long, url string, fetched string"), entries
+        ).collect()
+    )
     none = (0, (), False)
-    want = {1: none, 2: (1, ("spam",), True), 3: (2, ("allow", "spam"), False), 4: (1, ("allow",), False), 5: (1, ("spam",), True), 6: none, 7: none, 8: none, 9: none, 10: none}
+    want = {
+        1: none, 2: (1, ("spam",), True), 3: (2, ("allow", "spam"), False), 4: (1, ("allow",), False), 5: (1, ("spam",), True),
+        6: none, 7: none, 8: none, 9: none, 10: none
+    }
     assert got == Counter((i, *want[i]) for i, _, _ in captures)
     assert_same(QUERIES["op3_url_lists"](spark, DATA), database(DATA), SQL["op3_url_lists"])
     assert url_lists.judge(spark.createDataFrame([], "capture_id long, url string, fetched string"), entries).count() == 0
@@ -355,16 +422,22 @@ def rounded(rows):
 
 def test_lm_losses_are_those_of_plain_counts(spark):
     random.seed(8)
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(40).collect()]
+    docs = [
+        (r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(40).collect()
+    ]
     odd = [(i, "w x " * 300 if i == 6 else t) for i, t in ODD]
     rows, target = docs + odd + [(5000, docs[3][1]), (5001, "Start only")], {d for d, _ in docs[::3]} | {4, 5000}
     ids = spark.createDataFrame([(i,) for i in target] + [(None,)], "doc_id long")
     columns = ("doc_id", "n_tokens", "loss_target", "loss_background")
     got = lm_score.score_within(table(spark, rows), ids)
     assert rounded(got.select(*columns).collect()) == rounded(brute_losses(rows, rows, target, True))
-    assert got.where("n_tokens > 0 and abs(loss_background - loss_target - score) > 1e-9 or n_tokens = 0 and score is not null").count() == 0
+    assert got.where(
+        "n_tokens > 0 and abs(loss_background - loss_target - score) > 1e-9 or n_tokens = 0 and score is not null"
+    ).count() == 0
     models = lm_score.fit(table(spark, rows[:30]), ids)
-    assert rounded(lm_score.score(table(spark, rows), models).select(*columns).collect()) == rounded(brute_losses(rows[:30], rows, target, False))
+    assert rounded(
+        lm_score.score(table(spark, rows), models).select(*columns).collect()
+    ) == rounded(brute_losses(rows[:30], rows, target, False))
 
 
 def test_lm_scores_of_nothing(spark):
@@ -389,9 +462,14 @@ def test_lm_scores_tell_the_target(spark):
 def test_near_copies_keep_every_row_without_words(spark):
     import corpus_pipeline as cp
 
-    odd = [(None, None, "en"), (None, None, "de"), (None, "", "en"), (None, "", "en"), (None, " \n\x0b", "fr"), (7, None, "en"), (7, None, "de")]
+    odd = [
+        (None, None, "en"), (None, None, "de"), (None, "", "en"), (None, "", "en"), (None, " \n\x0b", "fr"), (7, None, "en"),
+        (7, None, "de")
+    ]
     rows = odd + [(1, "é", "en"), (1, "é", "de"), (2, "\x1cx", "en"), (3, "É", "en"), (4, "É", "en")]
-    docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(
+        [(i, t, lang, "s", 0) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )
     got = Counter((r.doc_id, r.text, r.lang) for r in cp.without_near_copies(spark, docs, DATA).collect())
     assert {k: n for k, n in got.items() if not (k[1] or "").strip(" \n\x0b")} == Counter(odd)
     assert sorted(k[0] for k in got if (k[1] or "").strip(" \n\x0b")) == [1, 2, 3]
@@ -411,7 +489,10 @@ def test_pipeline_stages(spark):
     assert 0.6 * docs.count() < out.count() < docs.count()
     packed = cp.STAGES[-1][1](spark, out, DATA)
     assert packed.select("doc_id").distinct().count() == out.count()
-    odd = table(spark, ODD).selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "cast(1 as long) as n_chars", "key", "salt", "'r' as row", "array(1) as best")
+    odd = table(spark, ODD).selectExpr(
+        "doc_id", "text", "'en' as lang", "'s' as source", "cast(1 as long) as n_chars", "key", "salt", "'r' as row",
+        "array(1) as best"
+    )
     kinds = odd.dtypes
     for _, stage in cp.STAGES[:-1]:
         odd = stage(spark, odd, DATA)
@@ -426,7 +507,9 @@ def test_near_copies_of_null_and_clashing_ids(spark):
     words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
     rows = [(None, words(1)), (None, words(2)), (None, words(3)), (7, words(4)), (7, words(5)), (8, words(6))]
     more = [(9, words(6) + " end"), (None, words(4).upper()), (3, words(4)), (7, words(4))]
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )
     assert Counter((r.doc_id, r.text) for r in cp.without_near_copies(spark, docs, DATA).collect()) == Counter(rows)
     docs = docs.union(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in more], docs.schema))
     want = rows[:3] + [(None, words(4).upper()), (7, words(5)), (8, words(6))]
@@ -475,7 +558,10 @@ def brute_pipeline(rows, scores, bench):
     parts = lambda t: items.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
     windows = {tuple(w[i : i + 10]) for w in map(parts, bench) for i in range(max(1, len(w) - 9)) if w}
     sizes = {len(x) for x in windows}
-    return [(d, t) for d, t in out if not any(tuple(w[i : i + n]) in windows for w in [parts(t)] for n in sizes for i in range(len(w) - n + 1))]
+    return [
+        (d, t) for d,
+        t in out if not any(tuple(w[i : i + n]) in windows for w in [parts(t)] for n in sizes for i in range(len(w) - n + 1))
+    ]
 
 
 def test_pipeline_is_that_of_brute_force(spark):
