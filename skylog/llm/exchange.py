@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 PACKED = "part int, data binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("data", pa.binary())])
 #: Records are held back in a task up to this size, so that rows don't get too short.
-BUFFER_BYTES = 16 << 20
+BUFFER_BYTES = 8 << 20
 
 
 #: Input that one partition takes, and the most partitions of a shuffle.

@@ -152,7 +152,7 @@ class PartEnum:
 
 
 #: Parts of sets that are worked on at once.
-_CELLS = 1 << 21
+_CELLS = 1 << 19
 
 
 @dataclass
@@ -456,8 +456,8 @@ def _twos(table: pa.Table, cuts: np.ndarray, percent: int) -> tuple[np.ndarray,
     for w in np.unique(width[a[two]]):
         x = a[two][width[a[two]] == w]
         x = x[classes[x] != classes[x + 1]]
-        for i in range(0, len(x), max(1, (1 << 24) // int(w))):
-            p = x[i : i + max(1, (1 << 24) // int(w))]
+        for i in range(0, len(x), max(1, (1 << 22) // int(w))):
+            p = x[i : i + max(1, (1 << 22) // int(w))]
             left, right = (np.frombuffer(data, np.uint8)[offsets[q][:, None] + np.arange(w)].view(np.uint64) for q in (p, p + 1))
             differing = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
             small, large = np.minimum(n[p], n[p + 1]), np.maximum(n[p], n[p + 1])
