@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fingerprints, html_text, lm_score, ngram_join, packing, substring_dedup, token_counts, toxicity, url_lists
+from . import byte_bpe, decontaminate, fingerprints, html_text, lm_score, ngram_join, packing, spelling, substring_dedup, token_counts, toxicity, url_lists
 from .tables import read
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -128,6 +128,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(words.cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(read(spark, sf_dir, "documents"), slip=97)
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_chars, the end of the last token's offsets, is the text's length."""
     encoded = byte_bpe.encode(read(spark, sf_dir, "documents")).select(
@@ -150,6 +155,7 @@ QUERIES = {
     "pipeline": pipeline, "op1_ngram_join": op1_ngram_join, "op2_html_text": op2_html_text, "op3_url_lists": op3_url_lists,
     "op4_toxicity": op4_toxicity, "op5_lm_score": op5_lm_score, "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing, "op8_token_counts": op8_token_counts, "op9_decontamination": op9_decontamination,
-    "op10_substring_dedup": op10_substring_dedup, "op13_byte_bpe": op13_byte_bpe
+    "op10_substring_dedup": op10_substring_dedup, "op11_spelling_variants": op11_spelling_variants,
+    "op13_byte_bpe": op13_byte_bpe
 }
 SQL: dict[str, str] = {"op3_url_lists": _OP3}
