@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fingerprints, html_text, lm_score, ngram_join, packing, spelling, substring_dedup, token_counts, toxicity, url_lists
+from . import byte_bpe, decontaminate, fingerprints, html_text, lm_score, ngram_join, packing, prefix_trie, spelling, substring_dedup, token_counts, toxicity, url_lists
 from .tables import read
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -133,6 +133,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(read(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.with_shared_openings(turns))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_chars, the end of the last token's offsets, is the text's length."""
     encoded = byte_bpe.encode(read(spark, sf_dir, "documents")).select(
@@ -155,7 +160,7 @@ QUERIES = {
     "pipeline": pipeline, "op1_ngram_join": op1_ngram_join, "op2_html_text": op2_html_text, "op3_url_lists": op3_url_lists,
     "op4_toxicity": op4_toxicity, "op5_lm_score": op5_lm_score, "op6_fingerprints": op6_fingerprints,
     "op7_packing": op7_packing, "op8_token_counts": op8_token_counts, "op9_decontamination": op9_decontamination,
-    "op10_substring_dedup": op10_substring_dedup, "op11_spelling_variants": op11_spelling_variants,
+    "op10_substring_dedup": op10_substring_dedup, "op11_spelling_variants": op11_spelling_variants, "op12_prefix_trie": op12_prefix_trie,
     "op13_byte_bpe": op13_byte_bpe
 }
 SQL: dict[str, str] = {"op3_url_lists": _OP3}
