@@ -25,10 +25,12 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, models
 
-from .words import CHUNK_BYTES, chunks
+from .words import chunks
 
 #: Pieces and characters of pieces remembered in a task, and pieces of a long text worked on at once.
-REMEMBERED, REMEMBERED_CHARACTERS, AT_ONCE = 300_000, 4 << 20, 200_000
+REMEMBERED, REMEMBERED_CHARACTERS, AT_ONCE = 200_000, 2 << 20, 100_000
+#: Text bytes encoded, and ids decoded, at once; a longer text alone.
+ENCODED_BYTES, DECODED_IDS = 1 << 19, 1 << 17
 #: Encoded rows: what the tokens are, and which characters of the text each one touches.
 ENCODED = "doc_id long, ids array<int>, starts array<int>, ends array<int>"
 
@@ -58,11 +60,33 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
-class ByteBpe:
-    """Encodes texts to ids and decodes ids to bytes by a rank file."""
+class ByteTable:
+    """The bytes of all tokens of a rank file, one after the other: token i is bytes[first[i]:first[i + 1]]."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.size = max(ranks.values()) + 1
+        by_id = [b""] * self.size
+        for token, n in ranks.items():
+            by_id[n] = token
+        self.length = np.array([len(t) for t in by_id], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.length)])
+        self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
+
+    def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all id sequences, one after the other, and the place of each one's first byte (and of their end)."""
+        wrong = (ids < 0) | (ids >= self.size)
+        wrong[~wrong] = self.length[ids[~wrong]] == 0
+        if wrong.any():
+            raise ValueError(f"{ids[wrong][0]} is no token")
+        n = self.length[ids]
+        return self.bytes[_ranges(self.first[ids], n)], np.concatenate([[0], np.cumsum(n)])[first]
+
+
+class ByteBpe(ByteTable):
+    """Encodes texts to ids, and decodes them, by a rank file."""
 
     def __init__(self, path: str, pattern: str) -> None:
-        ranks = read_ranks(path)
+        super().__init__(ranks := read_ranks(path))
         self._stand_in = dict(enumerate(stand_ins()))
         shown = {token: token.decode("latin-1").translate(self._stand_in) for token in ranks}
         merges = [
@@ -72,15 +96,6 @@ class ByteBpe:
         bpe = models.BPE(vocab={shown[t]: n for t, n in ranks.items()}, merges=merges, ignore_merges=True)
         self._library = Tokenizer(bpe)
         self._pieces = regex.compile(pattern)
-        # the byte table of all tokens, one after the other: token i is bytes[first[i]:first[i + 1]]
-        self.size = max(ranks.values()) + 1
-        by_id = [b""] * self.size
-        for token, n in ranks.items():
-            by_id[n] = token
-        self.known = np.array([bool(t) for t in by_id])
-        self.length = np.array([len(t) for t in by_id], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.length)])
-        self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
         self._forget()
 
     def _forget(self) -> None:
@@ -111,7 +126,7 @@ class ByteBpe:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the place of each text's first one (and of their end)."""
         ids, counts = [], np.zeros(len(texts), np.int64)
-        if sum(map(len, texts)) <= 2 * CHUNK_BYTES:
+        if sum(map(len, texts)) <= 2 * ENCODED_BYTES:
             pieces = [self._pieces.findall(t) for t in texts]
             if any(pieces):
                 got, n = self._encode_pieces(list(chain.from_iterable(pieces)))
@@ -137,15 +152,6 @@ class ByteBpe:
         before = np.repeat(np.concatenate([[0], begun])[where[:-1]], np.diff(first))
         return begun[end - self.length[ids]] - 1 - before, begun[end - 1] - before
 
-    def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all id sequences, one after the other, and the place of each one's first byte (and of their end)."""
-        wrong = (ids < 0) | (ids >= self.size)
-        wrong[~wrong] = ~self.known[ids[~wrong]]
-        if wrong.any():
-            raise ValueError(f"{ids[wrong][0]} is no token")
-        n = self.length[ids]
-        return self.bytes[_ranges(self.first[ids], n)], np.concatenate([[0], np.cumsum(n)])[first]
-
 
 def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of n numbers each, one range after the other."""
@@ -159,6 +165,11 @@ def _bpe(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def _table(path: str) -> ByteTable:
+    return ByteTable(read_ranks(path))
+
+
 def _lists(first: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, pa.int32()))
 
@@ -175,7 +186,7 @@ def encode(documents: DataFrame, path: str | None = None, pattern: str | None =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(path, pattern)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, limit=ENCODED_BYTES):
             texts = [t or "" for t in chunk.rows.column(1).to_pylist()]
             ids, first = bpe.encode(texts)
             starts, ends = bpe.offsets(ids, first, chunk.data, chunk.offsets)
@@ -185,23 +196,27 @@ def encode(documents: DataFrame, path: str | None = None, pattern: str | None =
     return rows.mapInArrow(run, ENCODED)
 
 
-def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """The encoded rows with ``bytes``, what their ids stand for; null ids give null.
 
     The bytes of a whole sequence are joined, so characters that tokens split are whole again. Ids cut out of
     a sequence may give bytes that are no UTF-8. An id that the file doesn't have is an error.
     """
-    path, pattern = path or default_path(), pattern or default_pattern()
+    path = path or default_path()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(path, pattern)
+        table = _table(path)
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("ids"))
-            first = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
-            data, where = bpe.decode(lists.flatten().to_numpy(), first)
-            data, cuts = data.tobytes(), where.tolist()
-            out = [data[a:b] if full else None for a, b, full in zip(cuts[:-1], cuts[1:], lists.is_valid().to_pylist(), strict=True)]
-            yield pa.record_batch([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "bytes"])
+            n = batch.column(batch.schema.get_field_index("ids")).value_lengths().fill_null(0).to_numpy()
+            # rows of about so many ids at a time
+            cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(n) // DECODED_IDS)) + 1, [len(n)]]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                rows = batch.slice(a, b - a)
+                lists = rows.column(rows.schema.get_field_index("ids"))
+                data, where = table.decode(lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(n[a:b])]))
+                data, where = data.tobytes(), where.tolist()
+                out = [data[x:y] if full else None for x, y, full in zip(where[:-1], where[1:], lists.is_valid().to_pylist(), strict=True)]
+                yield pa.record_batch([*rows.columns, pa.array(out, pa.binary())], [*rows.schema.names, "bytes"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{kinds}, bytes binary")

@@ -44,7 +44,7 @@ def test_ids_are_those_of_tiktoken(bpe, plain):
 def test_remembers_within_bounds(plain, monkeypatch):
     monkeypatch.setattr(byte_bpe, "REMEMBERED", 50)
     monkeypatch.setattr(byte_bpe, "AT_ONCE", 7)
-    monkeypatch.setattr(byte_bpe, "CHUNK_BYTES", 200)
+    monkeypatch.setattr(byte_bpe, "ENCODED_BYTES", 200)
     small = byte_bpe.ByteBpe(byte_bpe.default_path(), byte_bpe.default_pattern())
     for t in odd_texts()[::9]:
         ids, _ = small.encode([t])
