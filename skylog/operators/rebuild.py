@@ -1,7 +1,7 @@
 """Values rebuilt from recorded deltas, clocks unwrapped, and frames checked.
 
 A segment is one I frame and the P frames after it. Segments are short, so all but the checks and clocks
-work on (log_id, segment); these take a few narrow columns of a log in order.
+work on (log_id, segment); these take a few narrow columns of a log in order, block by block.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from skylog.functions import nth_scheduled, scheduled_before
 
 from .joins import _asof
-from .units import by_place, stream
+from .scan import BLOCK, beside, blocks, running_sums, saved
+from .units import by_place
 
 ROLLOVER = 1 << 32
 #: Limits between consecutive frames.
@@ -25,10 +26,8 @@ MAX_ITERATIONS, MAX_MICROSECONDS = 5000, 10_000_000
 
 def with_segments(raw: DataFrame) -> DataFrame:
     """Adds segment: how many I frames the log has had so far; rows before the first are in segment 0."""
-    number = F.sum(F.when(F.col("frame_type") == "I", 1).otherwise(0)).over(
-        stream().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return by_place(raw, raw.select("log_id", "seq", "frame_type").select("log_id", "seq", number.alias("segment")))
+    narrow = running_sums(raw.select("log_id", "seq", "frame_type"), {"segment": (F.col("frame_type") == "I").cast("long")})
+    return by_place(raw, narrow.drop("frame_type"))
 
 
 def _segment() -> Window:
@@ -138,14 +137,10 @@ def undo_gps_time(gps: DataFrame, frames: DataFrame) -> DataFrame:
 
 def unwrap_time(frames: DataFrame, column: str = "time") -> DataFrame:
     """32-bit clocks become 64-bit ones: a step back that is one forward of less than 10 s modulo 2**32 is a rollover."""
-    now, before = F.col(column), F.lag(column).over(stream())
-    rows = frames.select("log_id", "seq", column).withColumn(
-        "_over", F.when((now < before) & (F.pmod(now - before, F.lit(ROLLOVER)) < MAX_MICROSECONDS), 1).otherwise(0)
-    )
-    times = rows.select(
-        "log_id", "seq",
-        F.sum("_over").over(stream().rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_rolled")
-    )
+    rows = beside(frames.select("log_id", "seq", column), [column], previous="_previous")
+    now, before = F.col(column), F.col(f"_previous.{column}")
+    over = (now < before) & (F.pmod(now - before, F.lit(ROLLOVER)) < MAX_MICROSECONDS)
+    times = running_sums(rows, {"_rolled": over.cast("long")}).select("log_id", "seq", "_rolled")
     return by_place(frames, times).withColumn(column, now + ROLLOVER * F.col("_rolled")).drop("_rolled")
 
 
@@ -194,13 +189,70 @@ def _validity(kind: np.ndarray, iteration: np.ndarray, time: np.ndarray, ref: _R
     return valid, out
 
 
-def validate_frames(frames: DataFrame, events: DataFrame | None = None) -> DataFrame:
+#: Rows of a block in order: what it begins with (kind 3), its frames and events, and then what it ends with (kind 3).
+_CHECKED = "log_id string, _block long, seq long, frame_type string, kind int, iteration long, time long, valid boolean, rolled long, resumed boolean"
+_ENTRY = ("iteration", "time", "valid", "rolled")
+
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Checks blocks of rows in order; each begins with its entry, and a row of what it ends with is added.
+
+    Times, those of entry and end included, are given without the rollovers before the block.
+    """
+    names, block, ref, entry, resumed = [c.split()[0] for c in _CHECKED.split(", ")], None, _Reference(), 0, False
+
+    def ended() -> pa.RecordBatch:
+        time = None if ref.time is None else ref.time - ref.rolled
+        row = (*block, None, None, 3, ref.iteration, time, ref.sound, ref.rolled - entry, resumed)
+        return pa.record_batch([pa.array([x], k) for x, k in zip(row, schema.types, strict=True)], names)
+
+    for batch in batches:
+        schema = batch.schema
+        new = [0, *(np.flatnonzero(batch.column(4).to_numpy() == 3).tolist()), len(batch)]
+        for a, b in zip(new[:-1], new[1:], strict=True):
+            rows = batch.slice(a, b - a)
+            if len(rows) and rows.column(4)[0].as_py() == 3:
+                if block:
+                    yield ended()
+                row = [rows.column(i)[0].as_py() for i in (0, 1, 5, 6, 7, 8)]
+                block, ref, resumed = tuple(row[:2]), _Reference(), False
+                ref.iteration, time, ref.sound, ref.rolled = row[2:]
+                ref.time, entry = None if time is None else time + ref.rolled, ref.rolled
+                rows = rows.slice(1)
+            if len(rows):
+                # null counters and times count as 0, as a decoder's do
+                kind, iteration, time = (rows.column(i).fill_null(0).to_numpy() for i in (4, 5, 6))
+                valid, out = _validity(kind, iteration, time, ref)
+                resumed = resumed or bool((kind == 2).any())
+                n = len(rows)
+                yield pa.record_batch(
+                    [*rows.columns[:6], pa.array(out - entry), pa.array(valid), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names
+                )
+    if block:
+        yield ended()
+
+
+def _entries(ends: DataFrame) -> DataFrame:
+    """What each block has to begin with, if all ends are right: the end of the one before it, and all rollovers so far."""
+    w = Window.partitionBy("log_id").orderBy("_block")
+    rolled = F.coalesce(F.sum("rolled").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ends.select(
+        "log_id", "_block", "resumed", *(F.lag(c).over(w).alias(c) for c in ("iteration", "time")),
+        F.coalesce(F.lag("valid").over(w), F.lit(False)).alias("valid"), rolled.alias("rolled")
+    )
+
+
+def validate_frames(frames: DataFrame, events: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """(log_id, seq, frame_type, time, valid) of every frame, against the last valid one before it.
 
     Iteration and time must not go back, nor jump 5000 iterations or 10 s; a bad frame makes P frames
     invalid until an I frame passes. A logging-resume event (type 14) moves the reference. Times are
-    unwrapped along the way, since only valid frames tell of a rollover. A log's rows pass one task in
-    order, a batch at a time: what is held of it is its reference alone, however long it is.
+    unwrapped along the way, since only valid frames tell of a rollover.
+
+    Blocks of a log are checked at once, each as if the frame before it were valid. Where the block before ends
+    otherwise, the block is checked again with that end, and so on until all fit: rounds go on as long as a
+    block's end changes, so one more for each block in a row that a bad frame spoils whole. Checked rows are
+    written to the shared folder; only the number of blocks to check again reaches the driver.
     """
     kind = F.when(F.col("frame_type") == "I", 0).otherwise(1)
     rows = frames.select(
@@ -214,28 +266,45 @@ def validate_frames(frames: DataFrame, events: DataFrame | None = None) -> DataF
                 F.col("log_iteration").cast("long").alias("iteration"), F.col("time").cast("long").alias("time")
             )
         )
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log, ref = None, _Reference()
-        for batch in batches:
-            logs = batch.column(0).to_pylist()
-            kinds, iterations, times = (batch.column(i).fill_null(0).to_numpy() for i in (3, 4, 5))
-            cuts = [0, *(i for i in range(1, len(logs)) if logs[i] != logs[i - 1]), len(logs)]
-            parts = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b > a:
-                    if logs[a] != log:
-                        log, ref = logs[a], _Reference()
-                    parts.append(_validity(kinds[a:b], iterations[a:b], times[a:b], ref))
-            if parts:
-                valid, time = (np.concatenate(c) for c in zip(*parts, strict=True))
-                yield pa.record_batch(
-                    [*batch.columns[:3], pa.array(time), pa.array(valid)], ["log_id", "seq", "frame_type", "time", "valid"]
-                )
-
-    # null counters and times count as 0, as a decoder's do
-    dealt = rows.repartition("log_id").sortWithinPartitions("log_id", "seq")
-    return dealt.mapInArrow(check, "log_id string, seq long, frame_type string, time long, valid boolean").where("frame_type != 'E'")
+    key = ["log_id", "_block"]
+    none = {"seq": F.lit(None).cast("long"), "frame_type": F.lit(None).cast("string"), "kind": F.lit(3), "resumed": F.lit(None).cast("boolean")}
+    rows = blocks(rows, block).withColumns({"valid": none["resumed"], "rolled": none["seq"], "resumed": none["resumed"]})
+
+    def checked(rows: DataFrame, entries: DataFrame, number: int) -> DataFrame:
+        columns = [c.split()[0] for c in _CHECKED.split(", ")]
+        both = rows.select(columns).unionByName(entries.select(*key, *_ENTRY).withColumns(none).select(columns))
+        dealt = both.repartition(*key).sortWithinPartitions(*key, F.col("seq").asc_nulls_first(), "kind")
+        return saved(dealt.mapInArrow(_check, _CHECKED).withColumn("_round", F.lit(number)))
+
+    # at first, the last row of the block before counts as valid, and no rollover has been
+    w = Window.partitionBy("log_id").orderBy("_block")
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(F.coalesce("iteration", F.lit(0)).alias("iteration"), F.coalesce("time", F.lit(0)).alias("time")), "seq").alias("last"))
+    used = saved(
+        last.select(*key, F.lag("last").over(w).alias("last")).select(
+            *key, "last.iteration", "last.time", F.col("last").isNotNull().alias("valid"), F.lit(0).cast("long").alias("rolled"), F.lit(0).alias("_round")
+        )
+    )
+    parts = [checked(rows, used, 0)]
+    ends = parts[0].where("kind = 3")
+    while True:
+        wanted = _entries(ends)
+        # times of a block without resume events only shift by the rollovers before it
+        differs = ~F.col("_iteration").eqNullSafe(F.col("iteration")) | ~F.col("_time").eqNullSafe(F.col("time"))
+        differs |= (F.col("_valid") != F.col("valid")) | (F.col("resumed") & (F.col("_rolled") != F.col("rolled")))
+        stale = saved(wanted.join(used.select(*key, *(F.col(c).alias(f"_{c}") for c in _ENTRY)), key).where(differs).select(*key, *_ENTRY))
+        if not stale.limit(1).count():
+            break
+        number = len(parts)
+        parts.append(checked(rows.join(stale.select(*key), key, "left_semi"), stale, number))
+        used = saved(used.join(stale, key, "left_anti").unionByName(stale.withColumn("_round", F.lit(number))))
+        ends = saved(ends.join(stale, key, "left_anti").unionByName(parts[-1].where("kind = 3")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    # of each block the round that used the right entry, with the rollovers before it
+    right = used.select(*key, "_round").join(wanted.select(*key, F.col("rolled").alias("_before")), key)
+    out = out.where("kind < 2").join(right, [*key, "_round"])
+    return out.select("log_id", "seq", "frame_type", (F.col("time") + F.col("_before")).alias("time"), "valid")
 
 
 def accepted_frames(validated: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skylog.functions import adc_to_milliamps, int_div, scheduled_before
 from skylog.schema import CHANNEL, MAIN_COLUMNS, present
 
+from .scan import beside, running_sums
 from .units import by_place, pid_error, stream
 
 
@@ -217,6 +218,7 @@ def energy_cumulative(frames: DataFrame, config: DataFrame) -> DataFrame:
         "log_id", "left"
     )
     current = adc_to_milliamps(F.col("amperageLatest"), F.col("_offset"), F.col("_scale"))
-    rows = rows.withColumn("_step", F.coalesce(current * (F.col("time") - F.lag("time").over(stream())) / 3.6e9, F.lit(0.0)))
-    total = F.sum("_step").over(stream().rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return by_place(frames, rows.select("log_id", "seq", F.rint(total).cast("long").alias("energy_mah")))
+    rows = beside(rows, ["time"], previous="_previous")
+    # whole milliampere-microseconds add up exactly, in blocks as in one piece
+    total = running_sums(rows, {"_charge": current * (F.col("time") - F.col("_previous.time"))})
+    return by_place(frames, total.select("log_id", "seq", F.rint(F.col("_charge") / 3.6e9).cast("long").alias("energy_mah")))

@@ -201,6 +201,10 @@ def test_validity_is_that_of_the_rule(spark, seed):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = fold(rows)
     assert got == want and 0 < sum(v for v, _ in want) < len(want)
+    # blocks of 250 rows, and of so few that whole blocks are spoilt
+    for block in (2500, 400):
+        parted = rebuild.validate_frames(f, e, block)
+        assert [(r.valid, r.time) for r in parted.orderBy("seq").collect()] == want
 
 
 def step_log(overshoot=0.0, n=3000, sign=1):
