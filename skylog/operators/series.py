@@ -13,14 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import positions
 from .stats import error_profile, estimate_sample_rate, motor_frequency
 from .units import pid_error, to_channels, to_display_units, with_t_sec
 
 PROPWASH_BAND, NOISE_BAND = (30.0, 90.0), (10.0, 150.0)
 
 
-def _series() -> Window:
-    return Window.partitionBy("log_id", "channel")
+CHANNEL_KEYS = ("log_id", "channel")
+#: Spectra held in a task before they are sent.
+HELD_BYTES = 64 << 20
 
 
 def _check(**ranges) -> None:
@@ -35,7 +37,7 @@ def downsample_minmax(channels: DataFrame, max_points: int) -> DataFrame:
     are those of evenly spaced doubles, cut to whole rows.
     """
     bins = max_points // 2
-    rows = channels.withColumns({"idx": F.row_number().over(_series().orderBy("seq")) - 1, "n": F.count("*").over(_series())})
+    rows = positions(channels, CHANNEL_KEYS).withColumnRenamed("total", "n")
     width = F.col("n") / F.lit(float(bins))
     guess = F.floor(((F.col("idx") + 1) * bins - 1) / F.col("n"))
     edge = lambda k: F.floor(k * width)
@@ -64,8 +66,8 @@ def segments(channels: DataFrame, nperseg: int) -> DataFrame:
     n is nperseg, or the channel's length if it is shorter; the hop is n - n // 2; ``at`` is the first
     sample's position. Channels with fewer than 8 values give none.
     """
-    rows = channels.where("v is not null and not isnan(v)").withColumn("idx", F.row_number().over(_series().orderBy("seq")) - 1)
-    rows = rows.withColumn("total", F.count("*").over(_series())).withColumn("n", F.least(F.col("total"), F.lit(nperseg))).where("n >= 8")
+    rows = positions(channels.where("v is not null and not isnan(v)"), CHANNEL_KEYS)
+    rows = rows.withColumn("n", F.least(F.col("total"), F.lit(nperseg))).where("n >= 8")
     hop = F.expr("n - n div 2")
     last = F.expr("(total - n div 2) div (n - n div 2) - 1")
     first = F.greatest(F.lit(0), F.floor((F.col("idx") - F.col("n")) / hop) + 1)
@@ -77,30 +79,82 @@ def segments(channels: DataFrame, nperseg: int) -> DataFrame:
     return out.select("log_id", "channel", "segment", "n", "at", F.col("rows.v").alias("values"))
 
 
+def _densities(fs: np.ndarray, values: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows of equal length, and their densities: one-sided, mean removed, periodic Hann window."""
+    lengths, out = np.diff(values.offsets.to_numpy()), []
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        x = values.take(pa.array(at)).flatten().to_numpy().reshape(len(at), n)
+        window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+        power = np.abs(np.fft.rfft((x - x.mean(1, keepdims=True)) * window)) ** 2 / (fs[at, None] * (window**2).sum())
+        power[:, 1 : -1 if n % 2 == 0 else None] *= 2
+        out.append((at, power))
+    return out
+
+
+def _with_rates(cut: DataFrame, rates: DataFrame) -> DataFrame:
+    rates = rates.where("sample_rate > 0").select("log_id", F.col("sample_rate").alias("fs"))
+    return cut.join(rates, "log_id").select("log_id", "channel", F.col("segment").cast("long"), F.col("n").cast("long"), "fs", "values")
+
+
 def segment_psd(cut: DataFrame, rates: DataFrame) -> DataFrame:
     """One-sided power spectral density of each segment: mean removed, periodic Hann window."""
 
     def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fs, values = batch.column(4).to_numpy(), batch.column(5)
-            lengths = np.array([len(v) for v in values])
-            psd: list = [None] * len(lengths)
-            for n in np.unique(lengths):
-                at = np.flatnonzero(lengths == n)
-                x = values.take(pa.array(at)).flatten().to_numpy().reshape(len(at), n)
-                window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-                power = np.abs(np.fft.rfft((x - x.mean(1, keepdims=True)) * window)) ** 2 / (fs[at, None] * (window**2).sum())
-                power[:, 1 : -1 if n % 2 == 0 else None] *= 2
+            psd: list = [None] * len(batch)
+            for at, power in _densities(batch.column(4).to_numpy(), batch.column(5)):
                 for i, p in zip(at, power, strict=True):
                     psd[i] = p
             yield pa.record_batch(
                 [*batch.columns[:5], pa.array(psd, pa.list_(pa.float64()))], ["log_id", "channel", "segment", "n", "fs", "psd"]
             )
 
-    rows = cut.join(
-        rates.where("sample_rate > 0").select("log_id", F.col("sample_rate").alias("fs")), "log_id"
-    ).select("log_id", "channel", F.col("segment").cast("long"), F.col("n").cast("long"), "fs", "values")
-    return rows.mapInArrow(transform, "log_id string, channel string, segment long, n long, fs double, psd array<double>")
+    return _with_rates(cut, rates).mapInArrow(transform, "log_id string, channel string, segment long, n long, fs double, psd array<double>")
+
+
+_PARTIAL = "log_id string, channel string, n long, fs double, segments long, psd array<double>"
+
+
+def partial_spectra(cut: DataFrame, rates: DataFrame) -> DataFrame:
+    """Sums of the densities of a channel's segments, one row for each task that has some: they can be added up.
+
+    What a task holds is bounded; beyond that it sends its sums and begins again.
+    """
+    names = [c.split()[0] for c in _PARTIAL.split(", ")]
+
+    def rows(held: dict) -> pa.RecordBatch:
+        keys = [[k[i] for k in held] for i in range(4)]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.float64())
+        counts, sums = zip(*held.values(), strict=True)
+        return pa.record_batch([*(pa.array(k, t) for k, t in zip(keys, kinds, strict=True)), pa.array(counts, pa.int64()), pa.array(sums, pa.list_(pa.float64()))], names)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        size = 0
+        for batch in batches:
+            log, channel, n = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            fs = batch.column(4).to_numpy()
+            for at, power in _densities(fs, batch.column(5)):
+                keys = [(log[i], channel[i], n[i], float(fs[i])) for i in at]
+                number = {k: j for j, k in enumerate(dict.fromkeys(keys))}
+                of = np.array([number[k] for k in keys])
+                sums = np.zeros((len(number), power.shape[1]))
+                np.add.at(sums, of, power)
+                for (k, j), count in zip(number.items(), np.bincount(of).tolist(), strict=True):
+                    if k in held:
+                        held[k][0] += count
+                        held[k][1] += sums[j]
+                    else:
+                        held[k] = [count, sums[j]]
+                        size += sums[j].nbytes
+            if size > HELD_BYTES:
+                yield rows(held)
+                held, size = {}, 0
+        if held:
+            yield rows(held)
+
+    return _with_rates(cut, rates).mapInArrow(add_up, _PARTIAL)
 
 
 def _bins(psd: DataFrame, max_freq: float) -> DataFrame:
@@ -109,11 +163,24 @@ def _bins(psd: DataFrame, max_freq: float) -> DataFrame:
 
 
 def welch(channels: DataFrame, rates: DataFrame, max_freq: float, nperseg: int, least: int = 0) -> DataFrame:
-    """(log_id, channel, bin, freq, psd): mean density over segments; channels of fewer than ``least`` rows give none."""
+    """(log_id, channel, bin, freq, psd): mean density over segments; channels of fewer than ``least`` rows give none.
+
+    Densities are added up where they are computed; only sums are dealt out by bin.
+    """
     if least:
-        channels = channels.withColumn("_n", F.count("*").over(_series())).where(F.col("_n") >= least).drop("_n")
-    rows = _bins(segment_psd(segments(channels, nperseg), rates), max_freq)
-    return rows.groupBy("log_id", "channel", "bin").agg(F.first("freq").alias("freq"), F.avg("p").alias("psd"))
+        channels = _at_least(channels, least)
+    sums = partial_spectra(segments(channels, nperseg), rates)
+    rows = sums.select("log_id", "channel", "segments", (F.col("fs") / F.col("n")).alias("width"), F.posexplode("psd").alias("bin", "p"))
+    rows = rows.where(F.col("bin") * F.col("width") <= max_freq)
+    return rows.groupBy("log_id", "channel", "bin").agg(
+        (F.col("bin") * F.first("width")).alias("freq"), (F.sum("p") / F.sum("segments")).alias("psd")
+    )
+
+
+def _at_least(channels: DataFrame, least: int) -> DataFrame:
+    """The channels of so many rows and more; one row a channel is joined."""
+    counts = channels.groupBy(*CHANNEL_KEYS).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    return channels.join(counts, list(CHANNEL_KEYS), "left_semi")
 
 
 def power_spectrum(frames: DataFrame, config: DataFrame, names: list[str], max_freq: float = 200, nperseg: int = 1024) -> DataFrame:
@@ -160,8 +227,7 @@ def spectrogram(
     """
     _check(max_freq=(max_freq, 10, 1000), nperseg=(nperseg, 64, 8192))
     channels = to_channels(to_display_units(with_t_sec(frames), config), [name])
-    channels = channels.withColumn("_n", F.count("*").over(_series())).where("_n >= 32").drop("_n")
-    cut = segments(channels, nperseg)
+    cut = segments(_at_least(channels, 32), nperseg)
     counts = cut.groupBy("log_id", "channel").agg((F.max("segment") + 1).alias("_s"))
     k = F.explode(F.sequence(F.lit(0), F.least(F.col("_s"), F.lit(max_time_bins)).cast("int") - 1))
     target = F.when(F.col("_s") <= max_time_bins, F.col("column")).when(
