@@ -126,7 +126,8 @@ def _occurrences(rows: DataFrame, block: _Block) -> DataFrame:
                 for w, s, k, r in zip(window[same], start[same], size[same], row[same], strict=True):
                     text = chunk.data[words.start[s] : words.end[s + k - 1]].tobytes().translate(_TOKENS).split()
                     if text == block.words(w):
-                        pairs[r].add(block.ids[block.item[w]])
+                        if (item := block.ids[block.item[w]]) is not None:
+                            pairs[r].add(item)
                         spans[r].append((s - words.first[r], s - words.first[r] + k))
             yield pa.record_batch({
                 "key": pa.array(chunk.column("key")), "salt": pa.array(chunk.column("salt")), "n_words": pa.array(np.diff(words.first), pa.int64()),
@@ -155,7 +156,7 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator[_Block]:
     """The benchmark in parts of bounded text, each brought to the driver on its own."""
     items = benchmark.select(
         F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")
-    ).where("item_id is not null and text is not null").distinct()
+    ).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-total // BLOCK_BYTES) * 2 if total > BLOCK_BYTES else 1
     for i in range(parts):
@@ -167,8 +168,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
 
     An item of fewer words, but not none, is one window. Returns key columns, ``doc_id``, ``n_words``,
     ``spans`` (disjoint ranges of hit word positions, in order), ``n_hit`` and ``items`` (ids of items with
-    occurring windows, of whatever type, as strings and sorted as such). Null texts have no words; items without an id or words find nothing;
-    several texts under one item_id all count for it; repeated rows get equal results. Every row comes
+    occurring windows, of whatever type, as strings and sorted as such). Null texts have no words; items without words find nothing, and the windows
+    of items without an id count as hits but name no item; several texts under one item_id all count for it; repeated rows get equal results. Every row comes
     back, hit or not. A benchmark of more than ``BLOCK_BYTES`` is joined in blocks.
     """
     rows = keyed(documents)
@@ -183,7 +184,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
 
 def _both(a: DataFrame, b: DataFrame) -> DataFrame:
     """Joins the results of two blocks; rows repeated as a whole have equal results in each."""
-    more = saved(b.where("size(items) > 0").groupBy("key", "salt").agg(F.first("spans").alias("s"), F.first("items").alias("i")))
+    more = saved(b.where("size(spans) > 0").groupBy("key", "salt").agg(F.first("spans").alias("s"), F.first("items").alias("i")))
     merge = F.aggregate(
         F.array_sort(F.concat("spans", F.coalesce("s", F.expr("cast(array() as array<struct<start:long,end:long>>)")))),
         F.expr("cast(array() as array<struct<start:long,end:long>>)"),

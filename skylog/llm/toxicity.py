@@ -55,18 +55,22 @@ def _sentences(chunk: Chunk):
 
 
 def held_out(doc: F.Column) -> F.Column:
-    return F.crc32(doc.cast("string").cast("binary")) % 5 == 0
+    """Whether a document is held out of training; one without an id is not."""
+    return F.coalesce(F.crc32(doc.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def _sample(documents: DataFrame, labels: DataFrame, limit: int, budget: int) -> DataFrame:
-    """Label and text of documents, chosen by a hash of their id: at most ``limit`` rows and ``budget`` characters."""
+    """Label and text of documents, chosen by a hash of their id: at most ``limit`` rows and ``budget`` characters.
+
+    A text of more than a 64th of the budget is passed over, so that no single row keeps the others out.
+    """
     chosen = labels.where(
         "doc_id is not null and toxic is not null"
     ).groupBy(F.col("doc_id").cast("long").alias("key")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("key"), "key").limit(limit)
     order = (F.xxhash64("key"), "key", "salt")
     # at most ``limit`` small rows: broadcast
-    rows = keyed(documents).join(F.broadcast(chosen), "key").orderBy(*order).limit(limit)
     size = F.coalesce(F.length("text"), F.lit(0))
+    rows = keyed(documents).join(F.broadcast(chosen), "key").where(64 * size <= budget).orderBy(*order).limit(limit)
     rows = rows.withColumn(
         "sum", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ).where(F.col("sum") <= budget)

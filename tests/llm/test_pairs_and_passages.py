@@ -222,8 +222,8 @@ def test_contamination(spark, monkeypatch, block):
     for i, t in items:
         w = split(t)
         for a in range(len(w) - min(10, len(w)) + 1):
-            if w and i is not None:
-                windows[tuple(w[a : a + min(10, len(w))])].add(i)
+            if w:
+                windows[tuple(w[a : a + min(10, len(w))])] |= set() if i is None else {i}
     want = Counter()
     for d, t in rows:
         w = split(t)
@@ -269,3 +269,14 @@ def test_packed_records_come_back():
     for p, data in rows:
         for got, column in zip(unpack(data, kinds), columns, strict=True):
             assert got.tolist() == column[part == p].tolist()
+
+
+@pytest.mark.parametrize("bytes_", [1 << 20, 150])
+def test_items_without_an_id_hit_all_the_same(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", bytes_)
+    words = [f"w{i}" for i in range(40)]
+    items = [(None, " ".join(words[:12])), ("a", " ".join(words[20:32])), (None, " ".join(words[20:31])), (None, None), ("b", "")]
+    docs = table(spark, [(1, "x " + " ".join(words[:11]) + " y"), (2, " ".join(words)), (3, "nothing here")])
+    found = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id string, text string"))
+    got = {r.doc_id: (r.n_hit, list(r["items"])) for r in found.select("doc_id", "n_hit", "items").collect()}
+    assert got == {1: (11, []), 2: (24, ["a"]), 3: (0, [])}

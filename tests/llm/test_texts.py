@@ -259,6 +259,35 @@ def test_tags_as_browsers_read_them():
         assert html_text.main_text(page, weights) == text, page
 
 
+def article(inside):
+    return f"<nav><a href=x>menu words</a></nav><article><h1>A head of words</h1><p>Some words before it all.</p>{inside}<p>{'Words that come after. ' * 8}</p></article><footer>foot words</footer>"
+
+
+@pytest.mark.parametrize("element", [
+    "<svg class=i />", "<svg class=i/>", "<math/>", "<object data=x>", "<form><select><option>a</form>", "<select>", "<svg><path/><title>no</title></svg>",
+    "<svg><text>no</text></svg>", "<object><p>no</p></object>", "<select><option>no</select>", "<math><mi>no</mi></math>", "<form><select><option>no</select></form>",
+])
+def test_no_element_takes_the_text_after_it(element):
+    import re
+
+    weights = html_text.learn([PAGE.format(extra=f"<p>{'words ' * n}</p>") for n in range(3, 40)])
+    plain = html_text.main_text(article(""), weights)
+    got = html_text.main_text(article(element), weights)
+    # an element that nothing closes is no element to leave out
+    assert re.sub(r"\na$", "", got.replace("\na\n", "\n")) == plain
+    assert plain.startswith("A head of words\nSome words") and plain.count("Words that come after.") == 8
+
+
+@pytest.mark.parametrize("word", sorted(html_text.OTHER_CLASSES | html_text.HEADERS))
+def test_a_word_of_a_class_drops_nothing_of_an_article(word):
+    weights = html_text.learn([PAGE.format(extra=f"<p>{'words ' * n}</p>") for n in range(3, 40)])
+    kept = "<ul class='{0}-issues'><li>a list item</li></ul><section id=the-{0}><p>a section</p></section><p class='x {0}_description'>a part</p>"
+    text = html_text.main_text(article(kept.format(word)), weights)
+    assert "\na list item\na section\na part\n" in text
+    if word in html_text.OTHER_CLASSES:
+        assert html_text.main_text(article(f"<div class='box {word}'><p>no text of it</p></div>"), weights) == html_text.main_text(article(""), weights)
+
+
 @pytest.mark.parametrize(
     "part",
     [
@@ -369,6 +398,15 @@ def test_toxicity_is_the_noisy_or_of_sentences(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_one_huge_text_keeps_no_other_out_of_the_sample(spark):
+    docs = table(spark, [(0, "huge " * 40_000), *((i, f"text number {i}") for i in range(1, 60)), (None, "no id")])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = toxicity._sample(docs, labels, 100, 64_000).collect()
+    assert len(got) == 59 and max(len(r.text) for r in got) < 20
+    assert toxicity._sample(docs, labels, 10, 64_000).count() == 10
+    assert docs.select(toxicity.held_out(docs.doc_id).alias("h")).where("h is null").count() == 0
+
+
 def test_toxicity_of_unknown_words(spark):
     """A word that training has not seen weighs nothing, however near its hash is to that of an insult."""
     rows, labels = toxic_table(spark)
