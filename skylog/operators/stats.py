@@ -179,20 +179,49 @@ def throttle_slope(evt: DataFrame) -> DataFrame:
     return filled.where("n >= 4").select("log_id", "axis", "slope")
 
 
+def exact_medians(rows: DataFrame, keys: tuple[str, ...], value: str, name: str = "median") -> DataFrame:
+    """The median of a column for each key that has values, equal to that of all of them at once; nulls are passed over.
+
+    Equal values are counted where they are read, the counts are added up in blocks of value, and only the block that
+    holds the middle is put in order: neither a key's values nor its distinct values meet in one task.
+    """
+    own = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    # as many blocks as a power of two tells apart: by size first, for values far from the others
+    magnitude = F.when(F.col("_v") == 0, 0).otherwise(F.floor(F.log2(F.abs("_v").cast("double")) * 64) + (1 << 17))
+    own = own.withColumn("_block", F.when(F.col("_v") < 0, -magnitude).otherwise(magnitude).cast("long"))
+    over = Window.partitionBy(*keys)
+    blocks = own.groupBy(*keys, "_block").agg(F.sum("_n").alias("_m"))
+    to = F.sum("_m").over(over.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    blocks = blocks.withColumns({"_to": to, "_all": F.sum("_m").over(over)})
+    # the middle rows are the ones at (all - 1) div 2 and all div 2, from 0
+    holds = lambda n: (F.col("_to") > F.expr("(_all - 1) div 2")) & (F.col("_to") - F.col(n) <= F.expr("_all div 2"))
+    middle = own.join(blocks.where(holds("_m")).select(*keys, "_block", (F.col("_to") - F.col("_m")).alias("_before"), "_all"), [*keys, "_block"])
+    inside = Window.partitionBy(*keys, "_block").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = middle.withColumn("_to", F.col("_before") + F.sum("_n").over(inside)).where(holds("_n"))
+    return found.groupBy(*keys).agg(F.avg("_v").alias(name))
+
+
 def estimate_sample_rate(frames: DataFrame, exact: bool = True) -> DataFrame:
     """Rows per second: 1 over the median positive time step; 0 for logs without one."""
-    step = frames.select("log_id", "seq", "time").select("log_id", (F.col("time") - F.lag("time").over(stream())).alias("dt"))
-    positive = F.when(F.col("dt") > 0, F.col("dt"))
-    middle = F.median(positive) if exact else F.percentile_approx(positive, 0.5, 10000)
-    return step.groupBy("log_id").agg(F.coalesce(1e6 / middle, F.lit(0.0)).alias("sample_rate"))
+    narrow = beside(frames.select("log_id", "seq", "time"), ["time"], previous="_previous")
+    step = F.col("time") - F.col("_previous.time")
+    steps = narrow.select("log_id", F.when(step > 0, step).alias("dt"))
+    logs = steps.groupBy("log_id")
+    if exact:
+        middles = logs.agg(F.lit(0).alias("_")).join(exact_medians(steps, ("log_id",), "dt"), "log_id", "left")
+    else:
+        middles = logs.agg(F.percentile_approx("dt", 0.5, 10000).alias("median"))
+    return middles.select("log_id", F.coalesce(1e6 / F.col("median"), F.lit(0.0)).alias("sample_rate"))
 
 
 def motor_frequency(frames: DataFrame, pole_pairs: int = 7, harmonics: int = 3) -> DataFrame:
     """Median over motors of each one's median positive rotation, in Hz, and its harmonics; logs without any are null."""
     motors = present(frames, [f"eRPM_{i}" for i in range(8)])
-    each = frames.groupBy("log_id").agg(*(F.median(F.when(F.col(c) > 0, F.col(c))).alias(c) for c in motors))
-    pairs = ", ".join(f"{c} * 100.0 / {pole_pairs} / 60.0" for c in motors)
-    one = each.select("log_id", F.explode(F.expr(f"array({pairs})")).alias("hz")).groupBy("log_id").agg(F.median("hz").alias("motor_hz"))
+    stacked = ", ".join(f"'{c}', cast({c} as long)" for c in motors)
+    turns = frames.selectExpr("log_id", f"stack({len(motors)}, {stacked}) as (motor, turns)").where("turns > 0")
+    each = exact_medians(turns, ("log_id", "motor"), "turns").withColumn("hz", F.col("median") * 100.0 / pole_pairs / 60.0)
+    one = each.groupBy("log_id").agg(F.median("hz").alias("motor_hz"))
+    one = frames.select("log_id").distinct().join(one, "log_id", "left")
     return one.withColumn(
         "harmonics",
         F.when(F.col("motor_hz").isNotNull(), F.transform(F.sequence(F.lit(1), F.lit(harmonics)), lambda k: k * F.col("motor_hz")))

@@ -54,8 +54,43 @@ def split_sections(files: DataFrame, marker: str = MARKER) -> DataFrame:
 
 
 def read_log_sections(spark: SparkSession, path: str, marker: str = MARKER) -> DataFrame:
-    """Sections of all files under a path."""
-    return split_sections(read_log_files(spark, path), marker)
+    """Sections of all files under a path, as ``split_sections`` has them, from files of any size.
+
+    Files are read in byte ranges, as lines that the marker ends, so a file takes several tasks and a section
+    is what has to fit in memory. Places come from the lengths of the sections before: narrow rows, at most one
+    for each section, which are joined to the sections by where they were read.
+    """
+    read = spark.read.option("lineSep", marker).option("recursiveFileLookup", "true").text(path)
+    rows = read.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("_size"),
+        F.col("_metadata.file_block_start").alias("_range"), F.monotonically_increasing_id().alias("_row"),
+        F.col("value").cast("binary").alias("_rest"), F.octet_length("value").cast("long").alias("_n"),
+    )
+    order = Window.partitionBy("path").orderBy("_range", "_row")
+    before = F.sum(F.col("_n") + len(marker)).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    places = rows.select("path", "_size", "_range", "_row", "_n").withColumns(
+        {"_at": F.coalesce(before, F.lit(0)), "_number": F.row_number().over(order) - 2, "_lines": F.count("*").over(Window.partitionBy("path"))}
+    )
+    # a marker at the very end begins a section, but no line
+    end = F.col("_at") + F.col("_n")
+    places = places.withColumn("_ends", end + len(marker) == F.col("_size"))
+    found = rows.join(places.select("path", "_range", "_row", "_at", "_number", "_lines", "_ends"), ["path", "_range", "_row"])
+    body = F.concat(F.lit(marker), F.decode("_rest", "ISO-8859-1"))
+    log_id = F.concat_ws("#", "path", F.col("section_no").cast("string")).alias("log_id")
+    section = [log_id, "path", "section_no", "start_offset", "end_offset", "body"]
+    sections = found.where("_number >= 0").select(
+        "path", F.col("_number").cast("int").alias("section_no"), (F.col("_at") - len(marker)).alias("start_offset"),
+        (F.col("_at") + F.col("_n")).alias("end_offset"), body.alias("body"),
+    ).select(section)
+    last = places.where("_ends").select(
+        "path", (F.col("_number") + 1).cast("int").alias("section_no"), end.alias("start_offset"), F.col("_size").alias("end_offset"),
+        F.lit(marker).alias("body"),
+    ).select(section)
+    without = places.where("_lines = 1 and not _ends").select(
+        F.lit(None).cast("string").alias("log_id"), "path", F.lit(None).cast("int").alias("section_no"),
+        F.lit(0).cast("long").alias("start_offset"), F.col("_size").alias("end_offset"), F.lit(None).cast("string").alias("body"),
+    )
+    return sections.unionByName(last).unionByName(without)
 
 
 def section_listing(sections: DataFrame) -> DataFrame:
@@ -235,9 +270,18 @@ def _suffixed(df: DataFrame, units: dict[str, str]) -> DataFrame:
     return df.select(*(F.col(c).alias(f"{n} ({units[c]})" if c in units else n) if c != "log_id" else F.col(c) for c, n in names.items()))
 
 
-def write_frames(df: DataFrame, path: str, fmt: str = "parquet", units: dict[str, str] | None = None) -> None:
-    """A folder for each log, rows in stream order; CSV names carry their units."""
-    rows = df.repartition("log_id").sortWithinPartitions("log_id", "seq")
+def in_stream_order(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Rows dealt out by ranges of log and place, in order inside each: a long log takes several parts, and the parts' numbers follow its stream."""
+    dealt = df.repartitionByRange("log_id", "seq") if parts is None else df.repartitionByRange(parts, "log_id", "seq")
+    return dealt.sortWithinPartitions("log_id", "seq")
+
+
+def write_frames(df: DataFrame, path: str, fmt: str = "parquet", units: dict[str, str] | None = None, parts: int | None = None) -> None:
+    """A folder for each log, rows in stream order, CSV names with their units.
+
+    A log has one file or several, whose names are in the order of its stream.
+    """
+    rows = in_stream_order(df, parts)
     if fmt == "csv":
         _suffixed(rows, units or {}).write.partitionBy("log_id").csv(path, header=True)
     elif fmt == "parquet":
@@ -246,14 +290,13 @@ def write_frames(df: DataFrame, path: str, fmt: str = "parquet", units: dict[str
         raise ValueError(f"unknown format {fmt}")
 
 
-def write_gps_csv(gps: DataFrame, path: str, units: dict[str, str] | None = None) -> None:
-    """GPS rows, their own time first."""
+def write_gps_csv(gps: DataFrame, path: str, units: dict[str, str] | None = None, parts: int | None = None) -> None:
+    """GPS rows in stream order, their own time first."""
     rest = [c for c in gps.columns if c not in ("log_id", "seq", "time")]
-    _suffixed(
-        gps.repartition("log_id").sortWithinPartitions("log_id", "seq").select("log_id", "time", *rest), units or {"time": "us"}
-    ).write.partitionBy("log_id").csv(path, header=True)
+    rows = in_stream_order(gps, parts).select("log_id", "time", *rest)
+    _suffixed(rows, units or {"time": "us"}).write.partitionBy("log_id").csv(path, header=True)
 
 
-def write_events_json(events: DataFrame, path: str) -> None:
-    """One JSON object a line: name, time and, where an event has any, data."""
-    events.select("log_id", F.to_json(F.struct("name", "time", "data")).alias("value")).write.partitionBy("log_id").text(path)
+def write_events_json(events: DataFrame, path: str, parts: int | None = None) -> None:
+    """One JSON object a line, in stream order: name, time and, where an event has any, data."""
+    in_stream_order(events, parts).select("log_id", F.to_json(F.struct("name", "time", "data")).alias("value")).write.partitionBy("log_id").text(path)

@@ -99,3 +99,18 @@ def test_one_long_log_takes_many_tasks(spark):
         (k * 500_000, 96 - 77) for k in range(4)
     ]
     assert scan.blocks(frames).groupBy("_block").count().count() == 8
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_exact_medians(spark, seed):
+    import statistics
+
+    random.seed(seed)
+    rows = [(k, random.choice([None, random.gauss(0, 10.0 ** random.randint(-3, 8)), random.randint(-2, 2) * 1.0, 1e300])) for k in "abcd" for _ in range(random.randint(1, 300))]
+    rows += [("one", 5.0), ("none", None), ("zero", 0.0), ("zero", -0.0), ("two", -3.0), ("two", 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    got = {r.k: r["median"] for r in stats.exact_medians(df, ("k",), "v").collect()}
+    want = {}
+    for k in {k for k, v in rows if v is not None}:
+        want[k] = statistics.median(v for x, v in rows if x == k and v is not None)
+    assert got == pytest.approx(want, rel=1e-12)

@@ -1,7 +1,9 @@
 import json
 import os
+import random
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from skylog import sources, streaming
@@ -65,6 +67,40 @@ def test_sections_headers_and_settings(spark, tmp_path):
     assert back.count() == headers.count()
 
 
+def listed(sections):
+    return {(os.path.basename(r.path), r.section_no): (r.start_offset, r.end_offset, r.body) for r in sections.collect()}
+
+
+@pytest.mark.parametrize("size", ["7b", "40b", "1000b", "128m"])
+def test_sections_of_byte_ranges(spark, tmp_path, size):
+    """Ranges that begin and end anywhere, in a marker too, give the sections of the whole file."""
+    random.seed(4)
+    m = sources.MARKER
+    texts = {"none": "nothing H Produc", "end": f"x{m}", "only": m, "two": m + m, "odd": f"H ProH Product{m[:-1]}{m}a"}
+    for i in range(4):
+        texts[f"r{i}"] = "".join(random.choice([m, m[:5], "\n", "\xe9\xff", "text ", "\x00"]) for _ in range(random.randint(3, 60)))
+    for name, text in texts.items():
+        write(tmp_path / name, text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = sources.read_log_sections(spark, str(tmp_path))
+        assert listed(got) == listed(sources.split_sections(sources.read_log_files(spark, str(tmp_path)), m))
+        longest = max(texts.values(), key=len)
+        assert spark.read.option("lineSep", m).text(str(tmp_path)).rdd.getNumPartitions() >= min(len(longest) // int(size[:-1].replace("128", "9999")), 4)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_one_log_in_several_files_in_order(spark, tmp_path):
+    f = spark.range(5000).selectExpr("if(id < 4500, 'a', 'b') as log_id", "(id * 7919) % 5000 as seq", "id as time")
+    f = f.selectExpr("if(seq < 4500, 'a', 'b') as log_id", "seq", "time")
+    sources.write_frames(f, str(tmp_path / "out"), "csv", parts=6)
+    files = sorted((tmp_path / "out" / "log_id=a").glob("part-*"))
+    assert len(files) >= 4
+    places = [int(line.split(",")[0]) for p in files for line in p.read_text().splitlines()[1:]]
+    assert places == list(range(4500))
+
+
 def test_tables_out_and_in(spark, tmp_path):
     f = spark.createDataFrame(
         [("a", 10 * i, i, 1000 * i, 1600 - i) for i in range(5)],
