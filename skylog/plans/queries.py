@@ -333,10 +333,12 @@ def estimate_sample_rate(t: Tables) -> DataFrame:
     return _rounded(stats.estimate_sample_rate(t.frames))
 
 
-@query("""select log_id, round(hz, 6) as motor_hz, round(2 * hz, 6) as second, round(3 * hz, 6) as third from (select log_id,
-  median(m) * 100.0::double / 7 / 60 as hz from (
+_MOTOR_HZ = """motor_hz as (select log_id, median(m) * 100.0::double / 7 / 60 as hz from (
   select log_id, k, median(v) as m from (select log_id, unnest([0, 1, 2, 3]) as k, unnest([eRPM_0, eRPM_1, eRPM_2, eRPM_3]) as
-  v from f) where v > 0 group by all) group by log_id)""")
+  v from f) where v > 0 group by all) group by log_id)"""
+
+
+@query(f", {_MOTOR_HZ} select log_id, round(hz, 6) as motor_hz, round(2 * hz, 6) as second, round(3 * hz, 6) as third from motor_hz")
 def motor_frequency(t: Tables) -> DataFrame:
     out = stats.motor_frequency(t.frames)
     return _rounded(out.select("log_id", "motor_hz", out.harmonics[1].alias("second"), out.harmonics[2].alias("third")))
@@ -899,6 +901,9 @@ def _log_files(t: Tables, text: str = _SECTION_TEXT) -> DataFrame:
 _SECTIONS = f"""secs as (select log_id as path, s, c, {_SECTION_TEXT.format(m=_MARKER, c="c", s="s")} as text from (select
   log_id, n // 500 as s, count(*) as c from f group by all)),
 placed as (select *, cast(sum(length(text)) over (partition by path order by s) as bigint) as stop from secs)"""
+_SECTION_ENDS = "ends as (select path, count(*) as number, max(stop) as stop from placed group by path)"
+_HEADER_ROWS = """path || '#' || s as log_id, unnest(['Product', 'I interval', 'P interval', 'rollPID']) as field_name,
+  unnest([' recorder', cast(c as varchar), '1/' || (s + 2), (c % 90) || ',40,' || s]) as field_value"""
 
 
 @query(f", {_SECTIONS} select path, s as section_no, stop - length(text) as start_offset, length(text) as size from placed")
@@ -1006,6 +1011,69 @@ def frames_csv(t: Tables) -> DataFrame:
     return sources.read_frames_csv(t.spark, path)
 
 
+@query(f""", {_SECTIONS}, {_SECTION_ENDS} select path, s as section_no, stop - length(text) as start_offset, length(text) as size from placed
+  union all select path, number, stop, length('{_MARKER}') from ends""")
+def log_sections(t: Tables) -> DataFrame:
+    """The sections of written log files, read in byte ranges; a marker ends each file."""
+    from skylog import sources
+
+    path = f"{_shared_folder(t.spark)}/logs-{uuid.uuid4().hex}"
+    text = F.expr(_SECTION_TEXT.format(m=_MARKER, c="cast(c as string)", s="s"))
+    counts = t._all.groupBy("log_id", F.expr("n div 500").alias("s")).agg(F.count("*").alias("c"))
+    lines = counts.select("log_id", "s", F.substring_index(text, _MARKER, -1).alias("value"))
+    lines = lines.unionByName(counts.select("log_id").distinct().select("log_id", F.lit(-1).cast("long").alias("s"), F.lit("").alias("value")))
+    lines.repartition("log_id").sortWithinPartitions("log_id", "s").select("log_id", "value").write.partitionBy("log_id").option("lineSep", _MARKER).text(path)
+    return sources.section_listing(sources.read_log_sections(t.spark, path, _MARKER)).select(
+        F.regexp_extract("path", "log_id=([^/]+)", 1).alias("path"), F.col("section_no").cast("long").alias("section_no"), "start_offset", "size"
+    )
+
+
+@query(f", {_SECTIONS} select {_HEADER_ROWS} from placed")
+def headers_csv(t: Tables) -> DataFrame:
+    """The headers written as CSV and read again."""
+    from skylog import sources
+
+    path = f"{_shared_folder(t.spark)}/headers-{uuid.uuid4().hex}"
+    sources.write_headers_csv(sources.parse_headers(sources.split_sections(_log_files(t), _MARKER)), path)
+    return sources.read_headers_csv(t.spark, path)
+
+
+@query("""select log_id, cast(time as double) as time, cast(GPS_numSat as double) as GPS_numSat, cast(GPS_coord_0 as double) as GPS_coord_0,
+  cast(GPS_altitude as double) as GPS_altitude from gps""")
+def gps_csv(t: Tables) -> DataFrame:
+    """The GPS rows written as CSV and read again."""
+    from skylog import sources
+
+    path = f"{_shared_folder(t.spark)}/gps-{uuid.uuid4().hex}"
+    sources.write_gps_csv(t.gps.drop("GPS_coord_1", "GPS_speed", "GPS_ground_course"), path, {"time": "us", "GPS_altitude": "m"})
+    return sources.read_frames_csv(t.spark, path)
+
+
+@query("""select log_id, time, case event_type when 0 then 'Sync beep' when 13 then 'Inflight adjustment' when 14 then 'Logging resume' else
+  'Log clean end' end as name, case when event_type = 13 then case when adjustment_function > 127 then float_value else cast(int_value as
+  double) end end as value, case when event_type = 14 then log_iteration end as log_iteration from ev""")
+def events_json(t: Tables) -> DataFrame:
+    """The events written as JSON lines and read again."""
+    from skylog import sources
+
+    path = f"{_shared_folder(t.spark)}/events-{uuid.uuid4().hex}"
+    sources.write_events_json(units.decode_events(t.events), path)
+    back = t.spark.read.schema("log_id string, name string, time long, data struct<value: double, log_iteration: long>").json(path)
+    return back.select("log_id", "time", "name", "data.value", "data.log_iteration")
+
+
+@query(f", {_RATE}, {_MOTOR_HZ} select log_id, round(fs, 6) as sample_rate, round(hz, 6) as motor_hz, round(2 * hz, 6) as second, round(3 * hz, 6) as third from rates join motor_hz using (log_id)")
+def spectrum_info(t: Tables) -> DataFrame:
+    at = lambda k: F.element_at("harmonics", k)
+    return _rounded(series.spectrum_info(t.frames).select("log_id", "sample_rate", "motor_hz", at(2).alias("second"), at(3).alias("third")))
+
+
+@query(f", {_METRICS} select log_id, axis, step_no, {', '.join(f'round({c}, 6) as {c}' for c in _METRIC_NAMES)} from metrics where step_no < 1")
+def first_steps(t: Tables) -> DataFrame:
+    """No more than one step of each axis; without the limit there are two."""
+    return _rounded(steps.detect_steps(t.frames, t.config, max_steps=1)[0])
+
+
 def _shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a local session makes one of its own where it names none."""
     import re
@@ -1020,6 +1088,22 @@ def _shared_folder(spark: SparkSession) -> str:
     return shared
 
 
+def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as files that come in: each micro-batch runs a batch job and its rows are kept under the batch's number."""
+    from skylog import streaming
+
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/[e]vents.parquet")
+    job = lambda batch: batch.groupBy(F.col("event_type").alias("log_id")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    folder = f"{_shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    streaming.ingest(feed, job, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("log_id").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+
+
+QUERIES["ingest"] = ingest
+SQL["ingest"] = "select event_type as log_id, count(*) as n, max(event_id) as last from events group by event_type"
+
+
 def live_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a feed of frames, followed to its present end."""
     from skylog.streaming import live_limits as follow

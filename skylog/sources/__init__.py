@@ -243,7 +243,8 @@ def field_defs(headers: DataFrame) -> DataFrame:
 def write_headers_csv(headers: DataFrame, path: str) -> None:
     """fieldname and fieldvalue, quoted, in a folder for each log."""
     rows = headers.select("log_id", F.col("field_name").alias("fieldname"), F.col("field_value").alias("fieldvalue"))
-    rows.write.partitionBy("log_id").csv(path, header=True, quoteAll=True, escape='"')
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.partitionBy("log_id").csv(path, header=True, quoteAll=True, escape='"', **blanks)
 
 
 def read_headers_csv(spark: SparkSession, path: str) -> DataFrame:
