@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fingerprints, html_text, lm_score, ngram_join, packing, prefix_trie, spelling, substring_dedup, token_counts, toxicity, url_lists
+from . import byte_bpe, decontaminate, fingerprints, html_text, lm_score, ngram_join, oracle_sql, packing, prefix_trie, spelling, substring_dedup, token_counts, toxicity, url_lists
 from .tables import read
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -163,4 +163,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup, "op11_spelling_variants": op11_spelling_variants, "op12_prefix_trie": op12_prefix_trie,
     "op13_byte_bpe": op13_byte_bpe
 }
-SQL: dict[str, str] = {"op3_url_lists": _OP3}
+SQL: dict[str, str] = {
+    "op1_ngram_join": oracle_sql.OP1, "op3_url_lists": _OP3, "op9_decontamination": oracle_sql.OP9,
+    "op10_substring_dedup": oracle_sql.OP10, "op11_spelling_variants": oracle_sql.OP11, "op12_prefix_trie": oracle_sql.OP12
+}
