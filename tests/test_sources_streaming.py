@@ -147,3 +147,37 @@ def test_ingest_and_live_feed(spark, tmp_path):
     last = {r.log_id: r for r in spark.read.parquet(str(tmp_path / "live")).orderBy("n").collect()}
     assert last["a"].n == 6 and last["a"].time == 2**32 - 2500 + 5000 and (last["a"].min, last["a"].max) == (0, 50)
     assert last["b"].n == 1 and last["b"].min is None
+
+
+class Held:
+    """State of one log, held in plain values: what a processor may ask of its handle."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.writes = None, {}, [], []
+        self.getValueState = lambda *_: self
+        self.getMapState = lambda *_: self
+        self.exists, self.get, self.update = lambda: self.value is not None, lambda: self.value, lambda v: setattr(self, "value", v)
+        self.containsKey, self.getValue = lambda k: k in self.map, lambda k: self.map[k]
+        self.listTimers, self.deleteTimer, self.registerTimer = lambda: iter(self.timers), self.timers.remove, self.timers.append
+        self.getCurrentProcessingTimeInMs = lambda: 1000
+
+    def updateValue(self, k, v):  # noqa: N802
+        self.map[k] = v
+        self.writes.append(k[0])
+
+    def clear(self):
+        self.value = None
+        self.map.clear()
+
+
+def test_state_grows_with_changed_channels_alone():
+    import pandas as pd
+
+    held, limits = Held(), streaming.Limits(["a", "b"], silent_after_ms=500)
+    limits.init(held)
+    batch = lambda *rows: iter([pd.DataFrame(rows, columns=["log_id", "seq", "time", "a", "b"])])
+    first = pd.concat(limits.handleInputRows(("x",), batch(("x", 1, 10, 5.0, None), ("x", 0, 2**32 - 5, 1.0, None)), held))
+    assert first.values.tolist()[0] == ["x", "a", 2**32 + 10, 2, 1.0, 5.0] and held.writes == ["a"] and held.timers == [1500]
+    list(limits.handleInputRows(("x",), batch(("x", 2, 20, 3.0, 7.0)), held))
+    assert held.writes == ["a", "b"] and held.value == (20, 2**32, 3) and held.timers == [1500]
+    assert list(limits.handleExpiredTimer(("x",), held, None)) == [] and held.value is None and not held.map
