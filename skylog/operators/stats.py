@@ -239,8 +239,8 @@ def motor_peak(frames: DataFrame, config: DataFrame) -> DataFrame:
     ).withColumn("share", F.when(limit > 0, F.col("motor_max") / limit))
 
 
-def energy_cumulative(frames: DataFrame, config: DataFrame) -> DataFrame:
-    """Adds energy_mah: the running integral of the current, each sample counted from the frame before it on."""
+def charge(frames: DataFrame, config: DataFrame) -> DataFrame:
+    """(log_id, seq, time, energy_mah): the running integral of the current, each sample counted from the frame before it on."""
     narrow = frames.select("log_id", "seq", "time", "amperageLatest")
     rows = narrow.join(
         config.select("log_id", F.col("current_meter_offset").alias("_offset"), F.col("current_meter_scale").alias("_scale")),
@@ -250,4 +250,9 @@ def energy_cumulative(frames: DataFrame, config: DataFrame) -> DataFrame:
     rows = beside(rows, ["time"], previous="_previous")
     # whole milliampere-microseconds add up exactly, in blocks as in one piece
     total = running_sums(rows, {"_charge": current * (F.col("time") - F.col("_previous.time"))})
-    return by_place(frames, total.select("log_id", "seq", F.rint(F.col("_charge") / 3.6e9).cast("long").alias("energy_mah")))
+    return total.select("log_id", "seq", "time", F.rint(F.col("_charge") / 3.6e9).cast("long").alias("energy_mah"))
+
+
+def energy_cumulative(frames: DataFrame, config: DataFrame) -> DataFrame:
+    """Adds energy_mah to the frames, see ``charge``."""
+    return by_place(frames, charge(frames, config).drop("time"))
