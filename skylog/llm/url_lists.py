@@ -34,16 +34,17 @@ def intervals(entries: DataFrame) -> DataFrame:
     )
 
 
-def url_keys(url: str = "url"):
-    """Patterns that cover a URL: its host and the host's suffixes, and the host with each prefix of its path."""
+def url_keys(labels: list[int], parts: list[int], url: str = "url"):
+    """Patterns that can cover a URL: suffixes of its host of so many labels, and its host with so many parts of its path.
+
+    What no list has isn't built: a long URL gives no more than there are lengths of patterns.
+    """
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)", 1)
-    labels, parts = F.split(host, r"\."), F.filter(F.split(F.lower(path), "/"), lambda x: x != "")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size(parts)), lambda i: i > 0),
-        lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    )
+    names, steps = F.split(host, r"\."), F.filter(F.split(F.lower(path), "/"), lambda x: x != "")
+    some = lambda sizes, of: F.filter(F.lit(sorted(sizes)).cast("array<int>"), lambda n: n <= F.size(of))
+    suffixes = F.transform(some(labels, names), lambda n: F.array_join(F.slice(names, F.size(names) - n + 1, n), "."))
+    prefixes = F.transform(some(parts, steps), lambda n: F.concat(host, F.lit("/"), F.array_join(F.slice(steps, F.lit(1), n), "/")))
     return F.when(host != "", F.array_distinct(F.concat(suffixes, prefixes))).otherwise(F.array().cast("array<string>"))
 
 
@@ -63,10 +64,14 @@ def judge(captures: DataFrame, entries: DataFrame, allow: str = "allow") -> Data
     dealt = cut.withColumn("period", F.explode(F.sequence(period(first), period(last))))
     # equal captures are judged once, which also gathers the copies of a hot URL before the join
     asked = rows.where("fetched is not null and url is not null").select("url", "fetched").distinct()
-    keys = asked.select("url", "fetched", F.explode(url_keys()).alias("pattern"), period(F.col("fetched")).alias("period"))
     # suffixes that no list names (a top-level domain has most of the captures) go before anything is dealt out by
     # them; the names are written first, so that Spark can broadcast a small table or split a frequent suffix
     listed = saved(dealt.select("pattern").distinct())
+    count = lambda c: F.length("pattern") - F.length(F.replace("pattern", F.lit(c), F.lit("")))
+    is_path = F.col("pattern").contains("/")
+    # how long patterns are: no more numbers than the longest of them has characters
+    labels, parts = listed.agg(F.collect_set(F.when(~is_path, count(".") + 1)), F.collect_set(F.when(is_path, count("/")))).first()
+    keys = asked.select("url", "fetched", F.explode(url_keys(labels, parts)).alias("pattern"), period(F.col("fetched")).alias("period"))
     met = keys.join(listed, "pattern", "left_semi").join(dealt, ["pattern", "period"]).where(
         "from_day <= fetched and (until_day is null or fetched < until_day)"
     )

@@ -348,6 +348,22 @@ def test_url_lists(spark):
     assert url_lists.judge(spark.createDataFrame([], "capture_id long, url string, fetched string"), entries).count() == 0
 
 
+def test_very_long_urls(spark):
+    import time
+
+    entries = spark.createDataFrame([
+        ("spam", "long.org/a/a", "add", "2024-01-01"), ("spam", "b.c", "add", "2024-01-01"), ("other", "x.b.c", "add", "2024-01-01"),
+        ("spam", "long.org/a/a/b", "add", "2024-01-01"),
+    ], "list_name string, pattern string, action string, effective string")
+    urls = ["http://long.org" + "/a" * 500_000, "http://" + "a." * 500_000 + "x.b.c/", "http://long.org/" + "/" * 1_000_000 + "a//a/b", "http://long.org/" + "a" * 1_000_000]
+    captures = spark.createDataFrame([(i, u, "2024-02-01") for i, u in enumerate(urls)], "capture_id long, url string, fetched string")
+    url_lists.judge(captures.limit(0), entries).count()
+    began = time.time()
+    got = {r.capture_id: (r.n_active, r.lists) for r in url_lists.judge(captures, entries).collect()}
+    assert got == {0: (1, ["spam"]), 1: (2, ["other", "spam"]), 2: (2, ["spam"]), 3: (0, [])}
+    assert time.time() - began < 15
+
+
 def toxic_table(spark, n=400):
     random.seed(9)
     vocabulary = [f"word{i}" for i in range(300)]
