@@ -7,11 +7,14 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skylog.operators.scan import saved
 from skylog.schema import CHANNEL, COLUMN
 
 #: What the first header line of a section begins with; callers may give the whole line.
 MARKER = "H Product:"
 LONGEST_LINE = 1024
+#: Sections whose places are sent to all readers.
+SENT = 500_000
 
 
 def read_log_files(spark: SparkSession, path: str) -> DataFrame:
@@ -57,8 +60,9 @@ def read_log_sections(spark: SparkSession, path: str, marker: str = MARKER) -> D
     """Sections of all files under a path, as ``split_sections`` has them, from files of any size.
 
     Files are read in byte ranges, as lines that the marker ends, so a file takes several tasks and a section
-    is what has to fit in memory. Places come from the lengths of the sections before: narrow rows, at most one
-    for each section, which are joined to the sections by where they were read.
+    is what has to fit in memory. Places come from the lengths of the sections before: a first job finds them, one
+    narrow row for each section. Up to SENT of them (counted) are broadcast, so that the sections stay where they
+    are read; more are joined by where they were read.
     """
     read = spark.read.option("lineSep", marker).option("recursiveFileLookup", "true").text(path)
     rows = read.select(
@@ -73,8 +77,9 @@ def read_log_sections(spark: SparkSession, path: str, marker: str = MARKER) -> D
     )
     # a marker at the very end begins a section, but no line
     end = F.col("_at") + F.col("_n")
-    places = places.withColumn("_ends", end + len(marker) == F.col("_size"))
-    found = rows.join(places.select("path", "_range", "_row", "_at", "_number", "_lines", "_ends"), ["path", "_range", "_row"])
+    places = saved(places.withColumn("_ends", end + len(marker) == F.col("_size")))
+    known = F.broadcast(places) if places.limit(SENT + 1).count() <= SENT else places
+    found = rows.join(known.select("path", "_range", "_row", "_at", "_number", "_lines", "_ends"), ["path", "_range", "_row"])
     body = F.concat(F.lit(marker), F.decode("_rest", "ISO-8859-1"))
     log_id = F.concat_ws("#", "path", F.col("section_no").cast("string")).alias("log_id")
     section = [log_id, "path", "section_no", "start_offset", "end_offset", "body"]
