@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PACKED = "part int, data binary"
 _SCHEMA = pa.schema([("part", pa.int32()), ("data", pa.binary())])
@@ -23,9 +24,11 @@ PARTITION_BYTES, MOST_PARTITIONS = 512 << 20, 100_000
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Size of the files and tables that the rows come from, as far as Spark knows it before it runs."""
+    """Size of the files and tables that the rows come from; where Spark doesn't know it before it runs, bytes of text are counted."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    if "text" in df.columns and any(x >= 1 << 60 for x in sizes):
+        return df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return sum(x for x in sizes if x < 1 << 60)
 
 

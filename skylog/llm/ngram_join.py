@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .exchange import PACKED, Packer, exchange, partitions, uniform_part
 from .tables import doc_id, keyed, saved
-from .words import LOWER, Chunk, chunks, mix
+from .words import LOWER, Chunk, WordStyle, chunks, mix
 
 #: Up to so many row keys (24 bytes each) are broadcast to select texts; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 200_000
@@ -193,9 +193,9 @@ _SHARED = ("u8", "u8", "u1", "u4", "u2")
 _KEPT = ("u8", "u8")
 
 
-def _sets(chunk: Chunk, shingle: int) -> Sets:
+def _sets(chunk: Chunk, shingle: int, style: WordStyle) -> Sets:
     """Shingle hashes of each text; a text of fewer words is one shingle, one without words none."""
-    words = chunk.words(LOWER)
+    words = chunk.words(style)
     at, hashes = words.windows(shingle)
     counts, first = np.diff(words.first), np.searchsorted(at, words.first)
     short = np.flatnonzero((counts > 0) & (counts < shingle))
@@ -219,12 +219,12 @@ def _same_length(sketches: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, n // 8), 0) for s in sketches])
 
 
-def _describe(rows: DataFrame, shingle: int) -> DataFrame:
+def _describe(rows: DataFrame, shingle: int, style: WordStyle) -> DataFrame:
     """key, salt, node (set id; null for the empty set), n and the set's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            sets = _sets(chunk, shingle)
+            sets = _sets(chunk, shingle, style)
             n = np.diff(sets.cuts)
             yield pa.record_batch({
                 "key": pa.array(chunk.column("key")), "salt": pa.array(chunk.column("salt")), "node": pa.array(sets.names(), mask=n == 0),
@@ -253,7 +253,7 @@ def _groups(sign: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order[count > 1], count[count > 1]
 
 
-def _members(rows: DataFrame, parts: int, scheme: PartEnum, shingle: int) -> DataFrame:
+def _members(rows: DataFrame, parts: int, scheme: PartEnum, shingle: int, style: WordStyle) -> DataFrame:
     """(bucket, block, blocks, node): the sets to compare in each bucket of a signature, in blocks of ``BLOCK``.
 
     Records of signatures are dealt by signature, those that several sets share then by set: a linked
@@ -266,7 +266,7 @@ def _members(rows: DataFrame, parts: int, scheme: PartEnum, shingle: int) -> Dat
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, seen = Packer(parts, *_SIGNED), set()
         for chunk in chunks(batches):
-            sets = _sets(chunk, shingle)
+            sets = _sets(chunk, shingle, style)
             names = sets.names()
             new = np.zeros(len(names), bool)
             for i, name in enumerate(names.tolist()):
@@ -479,7 +479,7 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
     yield None
 
 
-def _linked(pairs: DataFrame, places: DataFrame, rows: DataFrame, percent: int, shingle: int) -> DataFrame:
+def _linked(pairs: DataFrame, places: DataFrame, rows: DataFrame, percent: int, shingle: int, style: WordStyle) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, decided on the whole sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -493,7 +493,7 @@ def _linked(pairs: DataFrame, places: DataFrame, rows: DataFrame, percent: int,
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            sets = _sets(chunk, shingle)
+            sets = _sets(chunk, shingle, style)
             data = [sets.elements[a:b].tobytes() for a, b in zip(sets.cuts[:-1], sets.cuts[1:], strict=True)]
             yield pa.record_batch({"node": pa.array(chunk.column("node")), "elements": pa.array(data, pa.binary())})
 
@@ -518,18 +518,19 @@ def link_classes(documents: DataFrame, percent: int = 75, shingle: int = 5) -> D
     and never are the least), and ``class``, which rows share if and only if they are connected (null
     without words). Equal texts are one set, whatever their number; rows are never paired within a
     group. Sets hold 64-bit hashes of their shingles and are told apart by 64 bits of these: what
-    differs is taken for equal by chance only (one pair of 10**9 different sets with a probability of 3 %).
+    differs is taken for equal by chance only (one pair of 10**9 different sets with a probability of 3 %),
+    as words are hashed under a key drawn for each call.
     """
-    scheme, rows, parts = PartEnum(percent), keyed(documents), partitions(documents)
-    described = saved(_describe(rows, shingle))
-    members = saved(_members(rows, parts, scheme, shingle))
+    scheme, rows, parts, style = PartEnum(percent), keyed(documents), partitions(documents), LOWER.keyed()
+    described = saved(_describe(rows, shingle, style))
+    members = saved(_members(rows, parts, scheme, shingle, style))
     nodes = described.where("node is not null").groupBy("node")
     sketches, places = nodes.agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch")
     ), nodes.agg(F.min(F.struct("key", "salt")).alias("at")).select("node", "at.*")
     found = saved(_near_pairs(members, parts, None, sketches, percent))
     tested = saved(found.select("a", "b").distinct())
-    links = _linked(tested, places, rows, percent, shingle)
+    links = _linked(tested, places, rows, percent, shingle, style)
     classes = saved(components(links))
     # where a near pair was no link after all, or its bucket has several blocks, classes may be linked by another pair
     failed = tested.join(links, ["a", "b"], "left_anti")
@@ -540,7 +541,7 @@ def link_classes(documents: DataFrame, percent: int = 75, shingle: int = 5) -> D
         rest = _near_pairs(members.join(again, "bucket", "left_semi"), parts, classes, sketches, percent)
         rest = saved(rest.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
-            classes = saved(components(links.unionByName(_linked(rest, places, rows, percent, shingle))))
+            classes = saved(components(links.unionByName(_linked(rest, places, rows, percent, shingle, style))))
     # tables with one row a key are written before they are joined, so that Spark can split a large class's rows
     owners = saved(nodes.agg(F.min(doc_id()).alias("own")))
     least = saved(classes.join(owners, "node").groupBy("component").agg(F.min("own").alias("least")))

@@ -2,8 +2,10 @@
 
 Texts stay UTF-8 bytes: every pattern the operators use is defined on ASCII bytes, so a byte
 table tells words from separators, and bytes of longer characters always belong to words.
-A word's 64-bit hash depends on its (folded) bytes only: words of up to 8 bytes have one each that no
-other of them has, those of up to 64 bytes are mixed block by block, and longer ones go through BLAKE2.
+A word's 64-bit hash depends on its (folded) bytes and the style's key only: words of up to 8 bytes have
+one each that no other of them has, those of up to 64 bytes are mixed block by block, and longer ones go
+through BLAKE2. The standing key is public, so words can be made to clash under it; ``keyed()`` draws a
+secret one, which goes with the job, and whose hashes mean nothing outside it.
 A window's hash comes from those of its words, mixed at each step, so that neither repeats nor symmetric
 sequences cancel out. Different words or windows share a hash by chance only, at about 2**-64 a pair.
 """
@@ -11,8 +13,9 @@ sequences cancel out. Different words or windows share a hash by chance only, at
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,12 @@ class WordStyle:
 
     separator: np.ndarray
     fold: np.ndarray
+    #: Added to a word's first bytes before they are mixed, and an odd factor afterwards.
+    key: tuple[int, int] = (0, 1)
+
+    def keyed(self) -> WordStyle:
+        """The same words under a key drawn anew."""
+        return replace(self, key=(secrets.randbits(64), secrets.randbits(64) | 1))
 
 
 def _style(is_separator, lower: bool) -> WordStyle:
@@ -119,13 +128,14 @@ class Words:
         return np.frombuffer(b"".join(blake(view[a:b], digest_size=16).digest() for a, b in pairs), np.uint64).reshape(-1, 2)
 
 
-def _hashes(folded: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _hashes(folded: np.ndarray, start: np.ndarray, end: np.ndarray, key: tuple[int, int]) -> np.ndarray:
     """Hashes of words; ``folded`` has 8 bytes more than the texts."""
     block = np.ndarray((len(folded) - 7,), "<u8", folded.data, strides=(1,))
     size = end - start
     value = block[start] & _MASKS[np.minimum(size, 8)]
     # a shorter word's unused top byte holds its length; words of 8 bytes whose top byte looks like one count as long
-    hashes = mix(value | (np.where(size < 8, size, 0).astype(np.uint64) << np.uint64(56)))
+    first = value | (np.where(size < 8, size, 0).astype(np.uint64) << np.uint64(56))
+    hashes = mix(first + np.uint64(key[0])) * np.uint64(key[1])
     long = np.flatnonzero((size > 8) | ((size == 8) & (value >> np.uint64(56) < np.uint64(8))))
     hashes[long] = mix(hashes[long] + size[long].astype(np.uint64) * _ODD)
     for k in range(8, _BLOCKS, 8):
@@ -133,8 +143,9 @@ def _hashes(folded: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
         if not len(long):
             return hashes
         hashes[long] = join(hashes[long], mix(block[start[long] + k] & _MASKS[np.minimum(size[long] - k, 8)]))
+    secret = b"".join(x.to_bytes(8, "little") for x in key) if key != (0, 1) else b""
     for i in long[size[long] > _BLOCKS]:
-        hashes[i] = int.from_bytes(hashlib.blake2b(folded[start[i] : end[i]], digest_size=8).digest(), "little")
+        hashes[i] = int.from_bytes(hashlib.blake2b(folded[start[i] : end[i]], digest_size=8, key=secret).digest(), "little")
     return hashes
 
 
@@ -154,7 +165,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, style: WordStyle) -> Word
     end = np.flatnonzero(word & ~after) + 1
     folded = np.zeros(len(data) + 8, np.uint8)
     folded[: len(data)] = style.fold[data]
-    return Words(_hashes(folded, start, end), start, end, np.searchsorted(start, offsets), folded)
+    return Words(_hashes(folded, start, end, style.key), start, end, np.searchsorted(start, offsets), folded)
 
 
 @dataclass

@@ -5,10 +5,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from skylog.llm import decontaminate, ngram_join, substring_dedup
 from skylog.llm.ngram_join import PartEnum
+from skylog.llm.words import LOWER, split_words
 
 SCHEMA = "doc_id long, text string, lang string, key string, salt string, node string, places string"
 
@@ -280,3 +282,12 @@ def test_items_without_an_id_hit_all_the_same(spark, monkeypatch, bytes_):
     found = decontaminate.contamination(docs, spark.createDataFrame(items, "item_id string, text string"))
     got = {r.doc_id: (r.n_hit, list(r["items"])) for r in found.select("doc_id", "n_hit", "items").collect()}
     assert got == {1: (11, []), 2: (24, ["a"]), 3: (0, [])}
+
+
+def test_made_clashes_of_words_link_nothing(spark):
+    """Two words that hash alike under the standing key, found from its constants: their documents aren't linked."""
+    clash = ["abcdefghijklmnop", "gamktdpszu)e`%]s"]
+    hashes = [split_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), LOWER).hash[0] for w in clash]
+    assert hashes[0] == hashes[1]
+    rows = [(i, f"{w} b c d") for i, w in enumerate(clash)]
+    assert {r.doc_id: r.component_id for r in ngram_join.link_classes(table(spark, rows)).collect()} == {0: 0, 1: 1}

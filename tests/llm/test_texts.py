@@ -444,27 +444,31 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.score(table(spark, []), model).count() == 0
 
 
-def brute_losses(counted, scored, target, within, weight=0.6):
+def brute_losses(counted, scored, target, within, weight=0.6, prior=20.0):
     """Mean losses of each scored row under target and background, from plain counts of the counted rows."""
     split = lambda t: ["", *(t or "").encode().lower().split()]
-    out = []
     kinds = {w for _, t in counted for w in split(t)[1:]}
+    out = []
     for d, t in scored:
-        words, losses = split(t), []
-        for target_only in (True, False):
-            texts = [split(x) for i, x in counted if not target_only or i in target]
+        words, counts = split(t), []
+        for kept in (lambda i: i in target, lambda i: i not in target):
             c, pairs = Counter(), Counter()
-            for x in texts:
+            for x in (split(x) for i, x in counted if kept(i)):
                 c.update(x if len(x) > 1 else [])
                 pairs.update(zip(x, x[1:]))
-            if within and (not target_only or d in target) and len(words) > 1:
+            if within and kept(d) and len(words) > 1:
                 c.subtract(words)
                 pairs.subtract(zip(words, words[1:]))
-            n = sum(k for w, k in c.items() if w)
-            total = 0.0
+            counts.append((c, pairs, sum(k for w, k in c.items() if w)))
+        every, every_pairs, n = counts[0][0] + counts[1][0], counts[0][1] + counts[1][1], counts[0][2] + counts[1][2]
+        losses = []
+        for (c, pairs, size), (_, _, other) in (counts, counts[::-1]):
+            scale, total = min(1, other / size) if size else 0, 0.0
             for v, w in zip(words, words[1:]):
-                single = (c[w] + 1) / (n + len(kinds) + 1)
-                total -= np.log(weight * pairs[v, w] / c[v] + (1 - weight) * single if c[v] > 0 else single)
+                single = (every[w] + 1) / (n + len(kinds) + 1)
+                shared = (every_pairs[v, w] + prior * single) / (every[v] + prior)
+                seen = c[w] / size if scale else single
+                total -= np.log(weight * (scale * pairs[v, w] + prior * shared) / (scale * c[v] + prior) + (1 - weight) * (single + seen) / 2)
             losses.append(total / (len(words) - 1) if len(words) > 1 else None)
         out.append((d, len(words) - 1, *losses))
     return out
@@ -513,6 +517,35 @@ def test_lm_scores_tell_the_target(spark):
     assert min(scores[i] for i in range(1, 200, 2)) > max(scores[i] for i in range(0, 200, 2))
 
 
+def test_lm_scores_are_centred_between_matched_models(spark):
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    quality = {r.doc_id: r.quality for r in read("labels").collect()}
+    scores = lm_score.score_within(read("documents"), read("labels").where("quality = 1")).where("score is not null").collect()
+    mean = {q: np.mean([r.score for r in scores if quality.get(r.doc_id) == q]) for q in (0, 1)}
+    assert mean[1] > 0 > mean[0]
+
+
+def test_lm_many_equal_rows_are_one_in_a_group(spark):
+    rows = [(None, "many equal rows here")] * 9000 + [(1, "equal rows there"), (2, "other words")]
+    documents = table(spark, rows).repartition(3)
+    _, groups, _ = lm_score._grouped(documents, None)
+    assert sorted((r.key, r.times) for r in groups.collect() if r.key > 0) == [(1, 1), (2, 1)]
+    assert [r.times for r in groups.where("key < 0").collect()] == [9000]
+    got = lm_score.score_within(documents, spark.createDataFrame([(1,)], "doc_id long")).collect()
+    assert Counter(r.doc_id for r in got) == {None: 9000, 1: 1, 2: 1} and len({r.score for r in got if r.doc_id is None}) == 1
+    want = brute_losses(rows, [rows[0], *rows[-2:]], {1}, True)
+    assert set(rounded((r.doc_id, r.n_tokens, r.loss_target, r.loss_background) for r in got)) == set(rounded(want))
+
+
+@pytest.mark.parametrize("parts", [4, 16, 64])
+def test_lm_rows_are_sent_only_where_names_are(parts):
+    names = np.sort(np.random.default_rng(parts).integers(0, 1 << 63, 8).astype(np.uint64) * np.uint64(2))
+    sent = lm_score._rows(parts, 5, names, names, names)
+    assert 0 < sent.num_rows <= min(parts, len(names)) and lm_score._rows(parts, 5, names[:0]).num_rows == 0
+    back = np.concatenate([lm_score._unpacked_names(x.as_buffer(), True)[0] for x in sent.column("data")])
+    assert (back == names).all()
+
+
 def test_near_copies_keep_every_row_without_words(spark):
     import corpus_pipeline as cp
 
