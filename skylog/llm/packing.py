@@ -2,9 +2,10 @@
 
 Lengths are whole numbers up to the capacity, so a packing is decided on the histogram of lengths
 alone: at most ``capacity`` counts reach the driver, however many documents there are. Pieces above
-a third of the capacity go at most two to a sequence: each takes the largest partner that fits, in
-descending order (a greedy matching). The shorter ones then go, in descending order, to the smallest gap that
-holds them. The plan names ranges of ranks within a length; each piece finds its place by its own rank.
+a third of the capacity go at most two to a sequence, by a greedy matching in descending order: each takes
+the largest partner that fits, or the partner whose gap a shorter piece fills best, which then comes along,
+whichever way takes fewer sequences in all. The shorter ones then go, in descending order, to the smallest
+gap that holds them. The plan names ranges of ranks within a length; each piece finds its place by its own rank.
 """
 
 from __future__ import annotations
@@ -59,8 +60,15 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     Rank ``first rank + j`` of a length goes to sequence ``first sequence + j // pieces`` at
     ``offset + (j % pieces) * length``.
     """
+    return min((_planned(counts, capacity, fill) for fill in (False, True)), key=lambda found: found[1])[0]
+
+
+def _planned(counts: dict[int, int], capacity: int, fill: bool) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+    """The runs and the number of sequences; with ``fill``, partners are chosen by the gaps that shorter pieces fill."""
     runs, gaps, sequences = [], _Gaps(), 0
     left = {n: c for n, c in counts.items() if c and 3 * n > capacity}
+    free = {n: c for n, c in counts.items() if c and 3 * n <= capacity}
+    short = np.array(sorted(free), np.int64)
     rank = dict.fromkeys(counts, 0)
 
     def place(length: int, n: int, sequence: int, each: int, offset: int) -> None:
@@ -71,6 +79,28 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     while lengths:
         a = lengths[-1]
         i = bisect_left(lengths, capacity - a + 1) - 1
+        if fill and i >= 0 and len(short):
+            room = capacity - a - np.array(lengths[: i + 1])
+            at = np.searchsorted(short, room, "right") - 1
+            i -= int(np.argmin((room - np.where(at >= 0, short[at], 0))[::-1]))
+            b, most = lengths[i], left[a] // 2 if lengths[i] == a else min(left[a], left[lengths[i]])
+            if at[i] >= 0 and most:
+                third = int(short[at[i]])
+                n = min(most, free[third])
+                if a == b:
+                    place(a, 2 * n, sequences, 2, 0)
+                else:
+                    place(a, n, sequences, 1, 0)
+                    place(b, n, sequences, 1, a)
+                place(third, n, sequences, 1, a + b)
+                left[a] -= n
+                left[b] -= n
+                free[third] -= n
+                gaps.put(capacity - a - b - third, sequences, n)
+                sequences += n
+                short = short if free[third] else short[short != third]
+                lengths = [x for x in lengths if left[x]]
+                continue
         if i < 0:
             n, used = left[a], a
             place(a, n, sequences, 1, 0)
@@ -100,8 +130,8 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
         sequences += n
         lengths = [x for x in lengths if left[x]] if 0 in (left[x] for x in {a, *lengths[max(0, i - 1) : i + 1]}) else lengths
 
-    for length in sorted((n for n, c in counts.items() if c and 3 * n <= capacity), reverse=True):
-        todo = counts[length]
+    for length in sorted((n for n, c in free.items() if c), reverse=True):
+        todo = free[length]
         while todo:
             gap, first, n = gaps.take(length) or (capacity, sequences, -(-todo // (capacity // length)))
             if gap == capacity:
@@ -119,7 +149,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
                     full += 1
                     todo = 0
                 gaps.put(gap, first + full, n - full)
-    return runs
+    return runs, sequences
 
 
 def tokenized(documents: DataFrame, capacity: int, path: str) -> DataFrame:

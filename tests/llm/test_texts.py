@@ -64,6 +64,13 @@ def test_plan_places_every_piece_once(capacity):
         assert len(sequences) <= -(-sum(lengths) // capacity) * 1.25 + 1 or any(2 * n > capacity for n in lengths)
 
 
+def test_partners_are_chosen_by_the_gaps_that_shorter_pieces_fill():
+    counts = dict.fromkeys((650, 660, 683, 684, 690, 700), 3333)
+    runs = packing.plan(counts, 2048)
+    sequences = {s + j for _, _, n, s, each, _ in runs for j in range(-(-n // each))}
+    assert len(sequences) <= 6667 < packing._planned(counts, 2048, False)[1]
+
+
 def test_pack(spark):
     rows = ODD + [(10 + i, "some words here " * (i * 7)) for i in range(40)]
     out = packing.pack(table(spark, rows), 256).collect()
