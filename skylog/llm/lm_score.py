@@ -37,7 +37,9 @@ from .tables import doc_id, keyed, saved
 from .words import LOWER, Words, WordStyle, chunks, join
 
 #: Input of one group of documents; a document is never split.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 3 << 20
+#: Words of a group that are scored at a time.
+_SLICE = 1 << 16
 #: Names of words are even, those of pairs odd; this one is the start of a text.
 _START = np.uint64(0)
 _PAIR = np.uint64(1)
@@ -184,19 +186,22 @@ def _losses(group: pa.Table, answers: pa.Table, totals: Totals, style: WordStyle
         own_word, kinds, times = _of(doc, w, len(names))
         own_before = np.where(new, 1, times[np.minimum(np.searchsorted(kinds, doc * len(names) + v), len(kinds) - 1)])
         own_n = n[doc]
-    mine = own.target[doc]
-    every = _Counts(counts[1, w] - own_word, counts[1, p] - own_pair, counts[1, v] - own_before, totals.all - own_n)
-    target = _Counts(counts[0, w] - own_word * mine, counts[0, p] - own_pair * mine, counts[0, v] - own_before * mine, totals.target - own_n * mine)
-    rest = _Counts(*(a - b for a, b in zip(every, target, strict=True)))
-    single = (every.word + 1) / (every.n + totals.kinds + 1)
-    shared = (every.pair + prior * single) / (every.before + prior)
-    out = []
-    for model, other in ((target, rest), (rest, target)):
-        scale = np.minimum(1, other.n / np.maximum(model.n, 1))
-        # without words on one side both are the shared distribution
-        seen = np.where(scale * model.n > 0, model.word / np.maximum(model.n, 1), single)
-        likely = weight * (scale * model.pair + prior * shared) / (scale * model.before + prior) + (1 - weight) * (single + seen) / 2
-        out.append(np.bincount(doc, -np.log(likely), len(n)) / np.maximum(n, 1))
+    loss = np.empty((2, len(w)))
+    for i in range(0, len(w), _SLICE):  # so that what is held for each word stays small
+        at = slice(i, i + _SLICE)
+        mine, own_w, own_p, own_v, size = own.target[doc[at]], own_word[at], own_pair[at], own_before[at], own_n[at]
+        every = _Counts(counts[1, w[at]] - own_w, counts[1, p[at]] - own_p, counts[1, v[at]] - own_v, totals.all - size)
+        target = _Counts(counts[0, w[at]] - own_w * mine, counts[0, p[at]] - own_p * mine, counts[0, v[at]] - own_v * mine, totals.target - size * mine)
+        rest = _Counts(*(x - y for x, y in zip(every, target, strict=True)))
+        single = (every.word + 1) / (every.n + totals.kinds + 1)
+        shared = (every.pair + prior * single) / (every.before + prior)
+        for k, (model, other) in enumerate(((target, rest), (rest, target))):
+            scale = np.minimum(1, other.n / np.maximum(model.n, 1))
+            # without words on one side both are the shared distribution
+            seen = np.where(scale * model.n > 0, model.word / np.maximum(model.n, 1), single)
+            likely = weight * (scale * model.pair + prior * shared) / (scale * model.before + prior) + (1 - weight) * (single + seen) / 2
+            loss[k, at] = -np.log(likely)
+    out = [np.bincount(doc, x, len(n)) / np.maximum(n, 1) for x in loss]
     none = n == 0
     return pa.table({
         "key": pa.array(chunk.column("key")), "salt": pa.array(chunk.column("salt")), "times": pa.array(chunk.column("times")), "n_tokens": pa.array(n, pa.int64()),
