@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skylog.operators import joins, rebuild, scan, stats
+from skylog.operators import joins, rebuild, scan, stats, steps
 
 BLOCKS = [7, 100, 1 << 18]
 
@@ -114,3 +114,58 @@ def test_exact_medians(spark, seed):
     for k in {k for k, v in rows if v is not None}:
         want[k] = statistics.median(v for x, v in rows if x == k and v is not None)
     assert got == pytest.approx(want, rel=1e-12)
+
+
+@pytest.mark.parametrize("block", BLOCKS)
+def test_nearest(spark, block):
+    rows, df = table(spark, seed=4)
+    got = {(r.log_id, r.seq): (r.a, r.b) for r in scan.nearest(df, F.when(F.col("w") == 9, F.col("seq")), "a", "b", block=block).collect()}
+    assert len(got) == len(rows)
+    for (log,), part in by_key(rows, 1).items():
+        places = [r[2] for r in part if r[4] == 9]
+        for r in part:
+            assert got[log, r[2]] == (max((p for p in places if p <= r[2]), default=None), min((p for p in places if p >= r[2]), default=None))
+
+
+def test_motions_are_the_same_in_any_blocks(spark):
+    """Motions that lie across many blocks, gaps that end in another one, and a log that always moves."""
+    random.seed(5)
+    rows = []
+    for log in "abc":
+        sp, held = 0.0, 0
+        for i in range(600):
+            held = held - 1 if held else (random.choice([0, 0, 0, 5, 30]) if log != "c" else 0)
+            sp += 0.0 if held else random.choice([1.0, 2.0, -3.0])
+            rows.append((log, "roll", i, sp, 600, 1000.0))
+    samples = spark.createDataFrame(rows, "log_id string, axis string, idx long, sp double, n long, fs double").repartition(5)
+    found = []
+    for block in (7, 100, 1 << 18):
+        mask = steps.motion_mask(samples, block)
+        moving = sorted(map(tuple, mask.select("log_id", "idx", "moving").collect()))
+        found.append((moving, sorted(map(tuple, steps.motion_runs(mask, block).select("log_id", "run", "start", "end", "edge").collect()))))
+    assert found[0] == found[1] == found[2] and len(found[0][1]) > 3
+    # as a plain loop finds them
+    runs = []
+    for (log,), part in by_key(found[0][0], 1).items():
+        flags = [m for _, _, m in part] + [False]
+        runs += [(log, i) for i in range(len(flags) - 1) if flags[i] and not (i and flags[i - 1])]
+    assert [(r[0], r[2]) for r in found[0][1]] == runs
+
+
+def whole_logs(df):
+    """Windows of a plan that run over a log's own rows at once, not inside a block nor over one row for each block."""
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    windows = [i for i, line in enumerate(lines) if "Window [" in line]
+    return [lines[i] for i in windows if "_block" not in lines[i].split("], [")[1] and "Aggregate [" not in "\n".join(lines[i + 1 : i + 4])]
+
+
+def test_logs_are_numbered_by_block(spark):
+    from skylog.plans.driver_tables import Tables
+
+    assert not whole_logs(Tables(spark, "/root/testdata/sf0.001").frames)
+
+
+def test_motions_are_only_scanned_by_block(spark):
+    samples = spark.range(100).selectExpr("'a' as log_id", "'roll' as axis", "id as idx", "id * 1.0D as sp", "100L as n", "1000.0D as fs")
+    mask = steps.motion_mask(samples)
+    assert not whole_logs(mask) and not whole_logs(steps.motion_runs(mask))
