@@ -172,8 +172,9 @@ def diagnose(frames: DataFrame, config: DataFrame, nperseg: int = 1024) -> DataF
         "log_id", "seq", "t_s", F.expr(f"stack({pairs.count('cast(')}, {pairs}) as (channel, v)")
     ).where("v is not null and not isnan(v)")
     error = F.col("channel").startswith("error")
-    n = F.count("*").over(Window.partitionBy("log_id", "channel"))
-    psd = welch(channels.withColumn("_n", n).where(error | (F.col("_n") >= 32)).drop("_n"), rates, 200, nperseg)
+    # one row a channel is joined: a count beside each row would take a channel's rows into one task
+    counts = channels.groupBy("log_id", "channel").agg(F.count("*").alias("_n"))
+    psd = welch(channels.join(counts.where(error | (F.col("_n") >= 32)), ["log_id", "channel"], "left_semi"), rates, 200, nperseg)
     bands = {"wash": PROPWASH_BAND, "noise": NOISE_BAND, "gyro_high": (100.0, 150.0), "d_high": (100.0, 200.0), "d_total": (10.0, 200.0)}
     rms = channels.where(error).groupBy("log_id", "channel").agg(F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"))
     rows = _with_axis(band_energies(psd, bands, PROPWASH_BAND).join(rms, ["log_id", "channel"], "left")).join(config, "log_id")

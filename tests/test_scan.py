@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skylog.operators import joins, rebuild, scan, stats, steps
+from skylog.operators import joins, rebuild, scan, stats, steps, tuning
 
 BLOCKS = [7, 100, 1 << 18]
 
@@ -169,3 +169,12 @@ def test_motions_are_only_scanned_by_block(spark):
     samples = spark.range(100).selectExpr("'a' as log_id", "'roll' as axis", "id as idx", "id * 1.0D as sp", "100L as n", "1000.0D as fs")
     mask = steps.motion_mask(samples)
     assert not whole_logs(mask) and not whole_logs(steps.motion_runs(mask))
+
+
+def test_diagnosis_counts_channels_without_a_window(spark):
+    from skylog.plans.driver_tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    # those by channel alone run over the bins of a spectrum, which an aggregate has made
+    plan = tuning.diagnose(t.frames, t.config)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Window [count(" in line]
