@@ -20,7 +20,7 @@ def test_same_as_sql(spark, name):
     assert not any(x in plan for x in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"))
 
 
-@pytest.mark.parametrize("name", ["detect_steps", "step_summary"])
+@pytest.mark.parametrize("name", ["detect_steps", "first_steps", "step_summary"])
 def test_gyro_at_a_bound(spark, tmp_path, name):
     """A gyro that lies at a tenth of a step to the last bit: 30 raw units are a little less than 30 degrees a second."""
     events = spark.range(2600).selectExpr("id as event_id", "id as user_id", "'click' as event_type", "10.0D as value")
