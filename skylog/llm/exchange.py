@@ -6,7 +6,7 @@ own bytes only, where a row of its own would cost several times as much.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,11 @@ def partitions(df: DataFrame) -> int:
     return max(least, min(-(-input_bytes(df) // PARTITION_BYTES), MOST_PARTITIONS))
 
 
+def kinds_of(names: Sequence[str]) -> list[tuple[np.dtype, bool]]:
+    """Types of columns, and whether their numbers stay whole: "u8=" is for hashes that repeat in neighbouring records."""
+    return [(np.dtype(k.rstrip("=")), k.endswith("=")) for k in names]
+
+
 def planes(column: np.ndarray) -> bytes:
     """Numbers byte by byte, all first bytes first: bytes that hardly change cost next to nothing in a compressed shuffle."""
     return np.ascontiguousarray(column).view(np.uint8).reshape(-1, column.itemsize).T.tobytes()
@@ -52,10 +57,10 @@ class Packer:
     """Collects records (numpy columns) with their partition and gives packed rows."""
 
     def __init__(self, parts: int, *kinds: str) -> None:
-        self.parts, self.kinds, self.held, self.size = parts, [np.dtype(k) for k in kinds], [], 0
+        self.parts, self.kinds, self.held, self.size = parts, kinds_of(kinds), [], 0
 
     def add(self, part: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        columns = [np.ascontiguousarray(c, k) for c, k in zip(columns, self.kinds, strict=True)]
+        columns = [np.ascontiguousarray(c, k) for c, (k, _) in zip(columns, self.kinds, strict=True)]
         self.held.append((part.astype(np.int32), *columns))
         self.size += sum(c.nbytes for c in columns)
         if self.size >= BUFFER_BYTES:
@@ -69,17 +74,21 @@ class Packer:
         order = np.argsort(part, kind="stable")
         part, columns = part[order], [c[order] for c in columns]
         cuts = np.flatnonzero(np.diff(part, prepend=-1, append=self.parts))
-        data = [b"".join(planes(c[a:b]) for c in columns) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        data = [
+            b"".join(c[a:b].tobytes() if whole else planes(c[a:b]) for c, (_, whole) in zip(columns, self.kinds, strict=True))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True)
+        ]
         if data:
             yield pa.record_batch([pa.array(part[cuts[:-1]], pa.int32()), pa.array(data, pa.binary())], schema=_SCHEMA)
 
 
 def unpack(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
     """The columns of one packed row."""
-    n, at, out = len(data) // sum(np.dtype(k).itemsize for k in kinds), 0, []
-    for k in kinds:
-        out.append(from_planes(data, np.dtype(k), n, at))
-        at += n * np.dtype(k).itemsize
+    types = kinds_of(kinds)
+    n, at, out = len(data) // sum(k.itemsize for k, _ in types), 0, []
+    for k, whole in types:
+        out.append(np.frombuffer(data, np.uint8, n * k.itemsize, at).copy().view(k) if whole else from_planes(data, k, n, at))
+        at += n * k.itemsize
     return out
 
 

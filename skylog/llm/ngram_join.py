@@ -102,6 +102,15 @@ class PartEnum:
         """Signatures of an instance that a set may leave out, the first ones of an order that all sets share."""
         return min(self.sure(band) - 1, 0xFFFF)
 
+    def bounds(self, sets: dict[int, int]) -> np.ndarray:
+        """Each instance's stretch of the partitions (from 0 to 1), as long as its share of all signatures; ``sets`` counts sets by band."""
+        weights = np.zeros(len(self.ends) + 1)
+        for band, count in sets.items():
+            for instance, k in self.tasks(self.ends[band + 1]):
+                scheme = self.scheme(instance)
+                weights[instance] += count * scheme.needed(k) * len(scheme.subsets)
+        return np.concatenate([[0.0], np.cumsum(weights) / max(weights.sum(), 1.0)])
+
     def signatures(self, elements: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Instance and signatures (uint64) of a sorted set of hashes."""
         return ((band, signs) for band, signs, _ in self.signed(elements))
@@ -188,7 +197,7 @@ class Sets:
         return out
 
 
-_SIGNED = ("u4", "u1", "u8", "u1", "u2")
+_SIGNED = ("u4", "u1", "u8=", "u1", "u2")
 _SHARED = ("u8", "u8", "u1", "u4", "u2")
 _KEPT = ("u8", "u8")
 
@@ -253,10 +262,26 @@ def _groups(sign: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return order[count > 1], count[count > 1]
 
 
-def _members(rows: DataFrame, parts: int, scheme: PartEnum, shingle: int, style: WordStyle) -> DataFrame:
+def _dealt(signs: np.ndarray, band: int, bounds: np.ndarray, parts: int) -> np.ndarray:
+    """Partitions of an instance's signatures, inside its stretch of them.
+
+    So a set's signatures lie in few partitions, and there one after the other: its name repeats, which the shuffle compresses.
+    """
+    at = bounds[band] + (signs >> np.uint64(40)) / float(1 << 24) * (bounds[band + 1] - bounds[band])
+    return np.minimum((at * parts).astype(np.int64), parts - 1)
+
+
+def _bounds(described: DataFrame, scheme: PartEnum) -> np.ndarray:
+    """Stretches of the instances, by how many different sets each band has (about; one row a band)."""
+    band = F.size(F.filter(F.array(*map(F.lit, scheme.ends[1:])), lambda end: end < F.col("n")))
+    counts = described.where("node is not null").groupBy(band.alias("band")).agg(F.approx_count_distinct("node").alias("sets"))
+    return scheme.bounds({r["band"]: r["sets"] for r in counts.collect()})
+
+
+def _members(rows: DataFrame, parts: int, scheme: PartEnum, shingle: int, style: WordStyle, bounds: np.ndarray) -> DataFrame:
     """(bucket, block, blocks, node): the sets to compare in each bucket of a signature, in blocks of ``BLOCK``.
 
-    Records of signatures are dealt by signature, those that several sets share then by set: a linked
+    Records of signatures are dealt by signature, inside their instance's stretch of the partitions, those that several sets share then by set: a linked
     pair shares at least ``sure`` signatures of its instance, so each set may leave out its first
     ``sure`` - 1, in one order for all sets, and still meets every partner: those of empty parts, which
     are never sent, and then the most common ones. The others are dealt by
@@ -276,9 +301,8 @@ def _members(rows: DataFrame, parts: int, scheme: PartEnum, shingle: int, style:
             kept = Sets(sets.elements[np.repeat(new, np.diff(sets.cuts))], np.concatenate([[0], np.cumsum(np.diff(sets.cuts)[new])]))
             nodes = names[new].view(np.uint64)
             for band, of, signs, left in scheme.signed_sets(kept):
-                part = ((signs >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
                 yield from packer.add(
-                    part, signs & np.uint64(0xFFFFFFFF), (signs >> np.uint64(32)) & np.uint64(0xFF), nodes[of],
+                    _dealt(signs, band, bounds, parts), signs & np.uint64(0xFFFFFFFF), (signs >> np.uint64(32)) & np.uint64(0xFF), nodes[of],
                     np.full(len(signs), band), left
                 )
         yield from packer.flush()
@@ -523,7 +547,7 @@ def link_classes(documents: DataFrame, percent: int = 75, shingle: int = 5) -> D
     """
     scheme, rows, parts, style = PartEnum(percent), keyed(documents), partitions(documents), LOWER.keyed()
     described = saved(_describe(rows, shingle, style))
-    members = saved(_members(rows, parts, scheme, shingle, style))
+    members = saved(_members(rows, parts, scheme, shingle, style, _bounds(described, scheme)))
     nodes = described.where("node is not null").groupBy("node")
     sketches, places = nodes.agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch")
