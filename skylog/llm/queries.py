@@ -140,14 +140,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_chars, the end of the last token's offsets, is the text's length."""
-    encoded = byte_bpe.encode(read(spark, sf_dir, "documents")).select(
-        "doc_id", "ids", F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long").alias("n_chars")
-    )
-    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return byte_bpe.decode(encoded).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"), "n_chars"
+    # a text without tokens has no last one
+    encoded = byte_bpe.encode(read(spark, sf_dir, "documents"), parts=True).select(
+        "doc_id", "part", "last", "ids", F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("n_chars")
     )
+    return byte_bpe.digests(byte_bpe.decode(encoded))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
